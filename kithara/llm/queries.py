@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import mixing, sharding, url_reputation
+from kithara.llm import mixing, sharding, simhash, url_reputation
 from kithara.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,12 @@ def op7_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- op8: SimHash near-duplicates
+def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 # ---------------------------------------------------------------- op10: URL reputation
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 BAD_LIMIT, BOUND_Z = 0.3, 1.645
@@ -146,6 +152,7 @@ SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op7_stratified_sharding": op7_stratified_sharding,
+    "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op10_host_reputation": op10_host_reputation,
 }
 ORACLES: dict[str, str] = {"op1_source_mixing": _op1_sql(), "op10_host_reputation": _op10_sql()}
