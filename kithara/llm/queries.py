@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import mixing, sharding, simhash, url_reputation
+from kithara.llm import mixing, sharding, simhash, toxicity, url_reputation
 from kithara.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,24 @@ def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- op9: toxicity
+def crc_remainder(column: str, of: int) -> F.Column:
+    return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % of
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), learn=crc_remainder("doc_id", 5) != 0)
+
+
+def op9_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select(
+        "doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.col("toxic_limit").alias("lang_limit"), F.col("toxic_reject").cast("int").alias("rejected"),
+    )
+
+
 # ---------------------------------------------------------------- op10: URL reputation
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 BAD_LIMIT, BOUND_Z = 0.3, 1.645
@@ -153,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op7_stratified_sharding": op7_stratified_sharding,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
+    "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_host_reputation": op10_host_reputation,
 }
 ORACLES: dict[str, str] = {"op1_source_mixing": _op1_sql(), "op10_host_reputation": _op10_sql()}
