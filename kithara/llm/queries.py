@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import mixing, sharding, simhash, toxicity, url_reputation
+from kithara.llm import mixing, sharding, simhash, token_files, toxicity, url_reputation
 from kithara.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,19 @@ UNION ALL SELECT doc_id, domain, lang, source, whole::BIGINT, t::BIGINT, least(t
     return "WITH " + ",".join(with_)
 
 
+# ---------------------------------------------------------------- op4: token files
+END_ID = 2
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.digest(spark, token_files.write(docs, tokenizer, END_ID))
+
+
 # ---------------------------------------------------------------- op7: sharding
 SHARDS, SHARD_SEED = 16, 11
 
@@ -169,6 +182,7 @@ SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad
 
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
+    "op4_token_files": op4_token_files,
     "op7_stratified_sharding": op7_stratified_sharding,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_cnn_toxicity": op9_cnn_toxicity,

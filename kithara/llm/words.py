@@ -44,9 +44,9 @@ def slices(off: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of some texts: low[start[i]:end[i]], with text t owning words first[t] to first[t+1]."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, kept: np.ndarray = BY_SPACE, joined: bool = False) -> None:
+    def __init__(self, raw: np.ndarray, off: np.ndarray, kept: np.ndarray = BY_SPACE, joined: bool = False, lower: bool = True) -> None:
         n = len(raw)
-        low, word = _lower[raw], kept[raw]
+        low, word = _lower[raw] if lower else raw.copy(), kept[raw]
         edge = off[(off > 0) & (off < n)]
         begins, ends = word.copy(), word.copy()
         begins[1:] &= ~word[:-1]
