@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import mixing, sharding, simhash, token_files, toxicity, url_reputation
+from kithara.llm import decontamination, line_dedup, mixing, sharding, simhash, token_files, toxicity, url_reputation
 from kithara.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,28 @@ def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_files.digest(spark, token_files.write(docs, tokenizer, END_ID))
 
 
+# ---------------------------------------------------------------- op5: line dedup
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kept_crc32 is that of the text after the cut; runs are `head-tail<source`, lines from 0."""
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.aggregate("line_runs", F.lit(0), lambda n, r: n + r["tail"] - r["head"] + 1)
+    runs = F.transform("line_runs", lambda r: F.concat(r["head"], F.lit("-"), r["tail"], F.lit("<"), F.coalesce(r["source"].cast("string"), F.lit(""))))
+    return out.select(
+        "doc_id", "line_count", F.coalesce(cut, F.lit(0)).alias("removed_lines"), F.coalesce(F.size("line_runs"), F.lit(0)).alias("removed_runs"),
+        F.array_join(runs, ",").alias("runs"), F.octet_length("text").alias("kept_bytes"), F.crc32(F.encode("text", "UTF-8")).alias("kept_crc32"),
+    )
+
+
+# ---------------------------------------------------------------- op6: benchmark decontamination
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.split_items(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), benchmark_items(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- op7: sharding
 SHARDS, SHARD_SEED = 16, 11
 
@@ -183,6 +205,8 @@ SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op4_token_files": op4_token_files,
+    "op5_line_winnowing": op5_line_winnowing,
+    "op6_bm25_decontamination": op6_bm25_decontamination,
     "op7_stratified_sharding": op7_stratified_sharding,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_cnn_toxicity": op9_cnn_toxicity,
