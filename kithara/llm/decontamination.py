@@ -16,8 +16,8 @@ What was retrieved is verified by five-word shingles: `overlap` of the item's qu
 answer must stand in the passage.
 
 Defined results: null and empty texts match nothing; items without words are not indexed; of an item
-of several rows each row is searched; a question or answer of fewer than five words is one shingle,
-an empty one needs no overlap; repeated documents match each; empty tables give an empty result.
+of several rows each row is searched; a question or answer of fewer than five words is one shingle of
+its length, an empty one needs no overlap; repeated documents match each; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -40,11 +40,10 @@ BLOCK, SHARD = 4, 1024
 PASS = 20_000
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of SHINGLE words, or of all words where there are fewer."""
-    if not len(h):
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words; none where there are fewer."""
+    if len(h) < k or not k:
         return np.zeros(0, np.uint64)
-    k = min(SHINGLE, len(h))
     out = np.zeros(len(h) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
@@ -87,7 +86,7 @@ class Shard:
 class Index:
     length: int
     items: list  # item ids
-    parts: list[tuple[np.ndarray, np.ndarray]]  # distinct shingles of question and answer
+    parts: list[tuple]  # of question and answer: shingle length and distinct shingles
     shards: list[Shard]
 
 
@@ -97,7 +96,7 @@ def build(items: list[tuple]) -> Index:
     words = [np.concatenate(x) for x in zip(*both, strict=True)]
     kept = [i for i, w in enumerate(words) if len(w)]
     words = [words[i] for i in kept]
-    parts = [tuple(np.unique(shingles(x[i])) for x in both) for i in kept]
+    parts = [tuple((k := min(SHINGLE, len(x[i])), np.unique(shingles(x[i], k))) for x in both) for i in kept]
     mean = np.mean([len(w) for w in words]) if words else 1
     n = len(words)
     all_terms, df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
@@ -200,9 +199,9 @@ def matches_of(index: Index, texts: pa.Array, threshold: float, overlap: float)
             for passage, item, score in zip(*search(s, h, place, base[doc], index.length, threshold), strict=True):
                 d = int(np.searchsorted(base, passage, "right")) - 1
                 start = (int(passage) - int(base[d])) * index.length
-                own = shingles(h[w.first[d] + start : min(w.first[d] + start + 2 * index.length, w.first[d + 1])])
+                own = h[w.first[d] + start : min(w.first[d] + start + 2 * index.length, w.first[d + 1])]
                 i = k * SHARD + int(item)
-                q, ans = (float(np.isin(p, own).mean()) if len(p) else 1.0 for p in index.parts[i])
+                q, ans = (float(np.isin(p, shingles(own, size)).mean()) if size else 1.0 for size, p in index.parts[i])
                 if q >= overlap and ans >= overlap:
                     found = (float(score), q, ans, -start)
                     best[a + d, i] = max(best.get((a + d, i), found), found)

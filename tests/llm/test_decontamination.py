@@ -13,9 +13,13 @@ def words(t):
     return re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").encode().lower())
 
 
-def grams(w):
-    k = min(5, len(w))
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+def grams(w, k):
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def overlap(part, own):
+    k = min(5, len(part))
+    return len(grams(part, k) & grams(own, k)) / len(grams(part, k)) if k else 1
 
 
 def slow(docs, items):
@@ -36,10 +40,9 @@ def slow(docs, items):
             own = w[a : a + 2 * length]
             if not own:
                 continue
-            g = grams(own)
             for (i, q, ans), s in zip(items, impact, strict=True):
                 if sum(s.get(t, 0) for t in set(own)) >= dc.THRESHOLD - 1e-4:
-                    if all(not p or len(grams(p) & g) / len(grams(p)) >= dc.OVERLAP for p in (q, ans)):
+                    if min(overlap(q, own), overlap(ans, own)) >= dc.OVERLAP:
                         out.add((d, i))
     return out
 
