@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import decontamination, line_dedup, mixing, sharding, simhash, token_files, toxicity, url_reputation
+from kithara.llm import decontamination, line_dedup, mixing, neighbours, sharding, simhash, token_files, toxicity, url_reputation
 from kithara.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ UNION ALL SELECT doc_id, domain, lang, source, whole::BIGINT, t::BIGINT, least(t
     return "WITH " + ",".join(with_)
 
 
+# ---------------------------------------------------------------- op2: nearest neighbours
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 # ---------------------------------------------------------------- op4: token files
 END_ID = 2
 
@@ -204,6 +209,7 @@ SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad
 
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_learned_partitions": op2_learned_partitions,
     "op4_token_files": op4_token_files,
     "op5_line_winnowing": op5_line_winnowing,
     "op6_bm25_decontamination": op6_bm25_decontamination,
