@@ -32,8 +32,8 @@ from kithara.session import written
 #: Vectors that the graph and the network are fitted to, at most.
 SAMPLE = 8192
 EDGES, HIDDEN, EPOCHS, SEED = 10, 128, 20, 9
-ROWS_A_PART, LEAST_PARTS, MOST_PARTS = 2000, 8, 256
-RECALL = 0.96
+ROWS_A_PART, LEAST_PARTS, MOST_PARTS = 500, 64, 256
+RECALL = 0.93
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 
 
