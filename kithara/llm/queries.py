@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import decontamination, line_dedup, mixing, neighbours, sharding, simhash, token_files, toxicity, url_reputation
+from kithara.llm import decontamination, line_dedup, maxent, mixing, neighbours, sharding, simhash, token_files, toxicity, url_reputation
 from kithara.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+# ---------------------------------------------------------------- op3: language-model scores
+def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 10) == 0)
+
+
 # ---------------------------------------------------------------- op4: token files
 END_ID = 2
 
@@ -210,6 +215,7 @@ SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_learned_partitions": op2_learned_partitions,
+    "op3_maxent_scores": op3_maxent_scores,
     "op4_token_files": op4_token_files,
     "op5_line_winnowing": op5_line_winnowing,
     "op6_bm25_decontamination": op6_bm25_decontamination,
