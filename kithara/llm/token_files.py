@@ -19,10 +19,12 @@ an empty table gives a manifest without parts and an empty result.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -32,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm.words import PAD, Words, byte_buffer, slices, xxh64
+from kithara.llm.words import Words, byte_buffer, slices, xxh64
 from kithara.session import new_path, written
 
 NO_KEY = -(2**63)
 #: Words whose ids an encoder remembers; beyond, it starts anew. This bounds memory, not results.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
+#: Pieces that the library encodes in one call; its results are large until the ids are taken.
+AT_ONCE = 2048
 
 
 class Encoder:
@@ -48,36 +52,43 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # A task has one core; threads of the library would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.starts, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Add pieces, given with their hashes in ascending order, none of them known."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))
-        self.hashes = np.concatenate([self.hashes, hashes])
-        sizes = np.concatenate([np.diff(self.starts), sizes])
-        order = np.argsort(self.hashes, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.concatenate([self.flat, flat])
-        sizes = sizes[order]
-        self.flat = flat[_spread(starts[:-1][order], sizes)]
-        self.hashes, self.starts = self.hashes[order], np.concatenate([[0], np.cumsum(sizes)])
-
-    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and how many each text has, the end id included."""
+        """Known pieces: hashes in ascending order, and where in `flat` the ids of each stand."""
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat: list[np.ndarray] = [np.zeros(0, np.uint32)]
+
+    def _learn(self, hashes: np.ndarray, pieces: Iterator[str]) -> None:
+        """Add pieces, none of them known."""
+        sizes, flat, pieces = [], [], iter(pieces)
+        while some := list(islice(pieces, AT_ONCE)):
+            # One call for many pieces; an id belongs to the piece that its first character lies in.
+            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            at = np.fromiter((a for a, _ in done.offsets), np.int64)
+            of = np.searchsorted(np.cumsum(lengths + 1), at, "right")
+            sizes.append(np.bincount(of, minlength=len(some)).astype(np.int32))
+            flat.append(np.array(done.ids, np.uint32))
+        sizes, flat = np.concatenate(sizes), np.concatenate(flat)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes + len(self.flat[0])
+        self.flat = [np.concatenate([*self.flat, flat])]
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.starts, self.sizes = np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, sizes])[order]
+
+    def encode(self, texts: pa.Array, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For ranges of the texts, in order: all ids, and how many each text has, the end id included."""
         raw, off = byte_buffer(texts)
-        counts, parts = np.zeros(len(texts), np.int64), []
-        for i, j in slices(off, 16 << 20):
+        for i, j in slices(off, 1 << 20):
             w = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i], lower=False)
-            h = xxh64(w.low, w.start, w.end)
-            distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            distinct, at, inverse = np.unique(xxh64(w.low, w.start, w.end), return_index=True, return_inverse=True)
             if len(self.hashes) > REMEMBERED:
                 self._forget()
             place = np.searchsorted(self.hashes, distinct)
@@ -85,17 +96,15 @@ class Encoder:
             inside = place < len(self.hashes)
             new[inside] = self.hashes[place[inside]] != distinct[inside]
             if new.any():
-                data = w.low[: len(w.low) - PAD].tobytes()
-                self._learn(distinct[new], [data[a:b].decode() for a, b in zip(w.start[at[new]], w.end[at[new]], strict=True)])
+                data = w.low.tobytes()
+                self._learn(distinct[new], (data[a:b].decode() for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)))
                 place = np.searchsorted(self.hashes, distinct)
-            sizes = np.diff(self.starts)[place][inverse]
-            ids = self.flat[_spread(self.starts[place][inverse], sizes)]
-            ends = np.concatenate([[0], np.cumsum(sizes)])[w.first]
+            sizes = self.sizes[place][inverse]
+            ids = self.flat[0][_spread(self.starts[place][inverse], sizes)]
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[w.first]
             if end is not None:
                 ids = np.insert(ids, ends[1:], end)
-            counts[i:j] = np.diff(ends) + (end is not None)
-            parts.append(ids)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), counts
+            yield ids, np.diff(ends) + (end is not None)
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -146,11 +155,12 @@ def write(docs: DataFrame, tokenizer: str, end: int | None, folder: str | None =
             if streams is None:
                 fs.create_dir(base, recursive=True)
                 streams = fs.open_output_stream(f"{base}/{name}.ids")
-            ids, count = encoder(tokenizer).encode(b.column(1), end)
-            streams.write(ids.astype(kind).tobytes())
             keys.append(b.column(0).cast(pa.int64()).fill_null(NO_KEY).to_numpy().astype("<i8"))
-            counts.append(count)
-            n, total = n + b.num_rows, total + len(ids)
+            n += b.num_rows
+            for ids, count in encoder(tokenizer).encode(b.column(1), end):
+                streams.write(ids.astype(kind).tobytes())
+                counts.append(count)
+                total += len(ids)
         if streams is not None:
             streams.close()
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype("<i8")
