@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithara.llm.words import BY_ALNUM, Words, byte_buffer, slices, xxh64
-from kithara.session import free_of
+from kithara.session import free_of, written
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
@@ -249,7 +249,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, that hold no item."""
     docs = free_of(docs, ["_key", "_row"])
-    held = matches(docs, items, key, text, **options).select(F.col(key).alias("_key")).distinct()
+    held = written(matches(docs, items, key, text, **options).select(F.col(key).alias("_key")).distinct(), "contaminated")
     return docs.join(held, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
 
 
