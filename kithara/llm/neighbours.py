@@ -8,7 +8,8 @@ parts and ranked there by the exact inner product in double precision. How many
 measured: the fewest at which held-back sample vectors find RECALL of their true neighbours.
 
 A part of many rows is dealt to tasks as blocks, and so are its queries, so one task holds one block
-of either whatever the sizes. Each block returns each query's nearest few only.
+of either whatever the sizes. Each block returns each query's nearest few only, and of these only what reaches the k-th best
+score among the sampled rows of the query's probed parts.
 
 Defined results: null ids and vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part; rows that repeat an id are one candidate with its
@@ -42,6 +43,9 @@ class Router:
     weights: list[np.ndarray]
     parts: int
     probes: int
+    ids: np.ndarray | None = None  # of the sample, and its vectors and parts
+    vectors: np.ndarray | None = None
+    filed: np.ndarray | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.weights
@@ -49,6 +53,19 @@ class Router:
         return np.maximum((x / np.where(norm > 0, norm, 1)) @ w1 + b1, 0) @ w2 + b2
 
 
+    def bounds(self, ids: np.ndarray, x: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+        """For each query the k-th best score among sampled rows of its probed parts: no less can be needed."""
+        out = np.full(len(x), -np.inf)
+        for i in range(0, len(x), 256):
+            s = x[i : i + 256] @ self.vectors.T
+            open_ = np.zeros((len(s), self.parts), bool)
+            np.put_along_axis(open_, probed[i : i + 256], True, axis=1)
+            s[~open_[:, self.filed] | (ids[i : i + 256, None] == self.ids[None, :])] = -np.inf
+            if s.shape[1] >= k:
+                out[i : i + 256] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        return out
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k rows of largest inner product with each row, itself excluded."""
     out = np.empty((len(x), k), np.int64)
@@ -167,8 +184,11 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
 
 
-def nearest_in_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query its k nearest ids of the block and their scores, best first; ids are ascending."""
+def nearest_in_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its k nearest ids of the block and their scores, best first; ids are ascending.
+
+    Scores below a query's bound are left out.
+    """
     head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     names = ids[head]
     single = len(head) == len(ids)
@@ -178,7 +198,7 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.nd
             rough = np.maximum.reduceat(rough, head, axis=1)
         rough[q_ids[i : i + 256, None] == names[None, :]] = -np.inf
         m = min(k, rough.shape[1])
-        edge = -np.partition(-rough, m - 1, axis=1)[:, m - 1]
+        edge = np.maximum(-np.partition(-rough, m - 1, axis=1)[:, m - 1], bound[i : i + 256])
         for j in range(len(rough)):
             slack = 1e-12 * max(1.0, float(np.abs(rough[j][np.isfinite(rough[j])]).max(initial=0)))
             pick = np.flatnonzero((rough[j] >= edge[j] - slack) & np.isfinite(rough[j]))
@@ -192,7 +212,7 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.nd
 
 
 def _searched(length: int, k: int):
-    """Turns rows (cell, is_query, id, vector), sorted so, into (query_id, vec_id, score)."""
+    """Turns rows (cell, is_query, id, vector, bound), sorted so, into (query_id, vec_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -205,7 +225,7 @@ def _searched(length: int, k: int):
             if not 0 < n < len(asks):
                 return
             ids, x = t.column("id").to_numpy(), _matrix(t.column("vector").combine_chunks(), length)
-            found = [(np.full(len(v), a), v, s) for a, v, s in nearest_in_block(ids[:n], x[:n], ids[n:], x[n:], k)]
+            found = [(np.full(len(v), a), v, s) for a, v, s in nearest_in_block(ids[:n], x[:n], ids[n:], x[n:], t.column("bound").to_numpy()[n:], k)]
             cols = [np.concatenate(c) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.float64())], names=names)
 
@@ -237,8 +257,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     length, total = sizes["n"], sizes["count"]
     rows = rows.filter(usable(F.col("vector"), length))
     order = F.xxhash64("id", F.lit(SEED))
-    drawn = rows.select("id", "vector", order.alias("o")).orderBy("o", "id", "vector").limit(SAMPLE).select("vector").toPandas()["vector"]
-    router = fit(np.array([np.asarray(v, np.float64) for v in drawn]).reshape(-1, length), total, k)
+    drawn = rows.select("id", "vector", order.alias("o")).orderBy("o", "id", "vector").limit(SAMPLE).select("id", "vector").toPandas().drop_duplicates("id")
+    x = np.array([np.asarray(v, np.float64) for v in drawn["vector"]]).reshape(-1, length)
+    router = fit(x, total, k)
+    router.ids, router.vectors, router.filed = drawn["id"].to_numpy(), x, router.scores(x.astype(np.float32)).argmax(1)
     shared = spark.sparkContext.broadcast(router)
     kind = dict(rows.dtypes)["vector"]
 
@@ -246,26 +268,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = shared.value
             for b in batches:
-                best = np.argsort(-r.scores(_matrix(b.column(1), length).astype(np.float32)), axis=1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "vector", "parts"])
+                x = _matrix(b.column(1), length)
+                best = np.argsort(-r.scores(x.astype(np.float32)), axis=1, kind="stable")[:, :n]
+                bound = r.bounds(b.column(0).to_numpy(), x, best[:, : r.probes], k) if n > 1 else np.full(len(x), -np.inf)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(best.astype(np.int32)), pa.list_(pa.int32())), pa.array(bound)], names=["id", "vector", "parts", "bound"])
 
         return run
 
-    filed = rows.select("id", "vector").mapInArrow(routed(1), f"id long, vector {kind}, parts array<int>")
+    filed = rows.select("id", "vector").mapInArrow(routed(1), f"id long, vector {kind}, parts array<int>, bound double")
     filed = written(filed.select("id", "vector", F.col("parts")[0].alias("part")), "filed")
     asked = rows.filter("is_query").groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = written(asked.mapInArrow(routed(router.parts), f"id long, vector {kind}, parts array<int>"), "asked")
+    asked = written(asked.mapInArrow(routed(router.parts), f"id long, vector {kind}, parts array<int>, bound double"), "asked")
 
     def found(queries: DataFrame, probes: int) -> DataFrame:
-        queries = queries.select("id", "vector", F.explode(F.slice("parts", 1, probes)).alias("part"))
+        queries = queries.select("id", "vector", "bound", F.explode(F.slice("parts", 1, probes)).alias("part"))
         n = filed.groupBy("part").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("row_blocks"))
         m = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
         blocks = written(n.join(m, "part"), "blocks")
         own = lambda c: F.pmod(F.xxhash64("id", F.lit(1)), F.col(c)).cast("int")
         all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        a = filed.join(blocks, "part").select("part", own("row_blocks").alias("r"), all_("query_blocks").alias("q"), F.lit(False).alias("is_query"), "id", "vector")
-        b = queries.join(blocks, "part").select("part", all_("row_blocks").alias("r"), own("query_blocks").alias("q"), F.lit(True).alias("is_query"), "id", "vector")
-        cells = a.unionByName(b).select(F.xxhash64("part", "r", "q").alias("cell"), "is_query", "id", "vector")
+        a = filed.join(blocks, "part").select("part", own("row_blocks").alias("r"), all_("query_blocks").alias("q"), F.lit(False).alias("is_query"), "id", "vector", F.lit(None).cast("double").alias("bound"))
+        b = queries.join(blocks, "part").select("part", all_("row_blocks").alias("r"), own("query_blocks").alias("q"), F.lit(True).alias("is_query"), "id", "vector", "bound")
+        cells = a.unionByName(b).select(F.xxhash64("part", "r", "q").alias("cell"), "is_query", "id", "vector", "bound")
         cells = cells.repartition("cell").sortWithinPartitions("cell", "is_query", "id")
         near = cells.mapInArrow(_searched(length, k), "query_id long, vec_id long, score double")
         near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -276,6 +300,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     if router.probes < router.parts:
         short = asked.join(out.filter(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
         if not short.isEmpty():
-            again = found(short, router.parts)
+            again = found(short.withColumn("bound", F.lit(float("-inf"))), router.parts)
             out = out.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return out.select("query_id", "rank", "vec_id", "score")
