@@ -85,7 +85,7 @@ def normalized_crosstab(rows: DataFrame, row: str, column: str) -> DataFrame:
 
 def presence_matrix(rows: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
     """One row for each `row` and a 0/1 column for each of the values."""
-    df = rows.groupBy(row).pivot(column, list(values)).agg(F.count("*"))
+    df = rows.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1)))
     return df.select(row, *[(F.coalesce(F.col(f"`{v}`"), F.lit(0)) > 0).cast("int").alias(str(v)) for v in values])
 
 

@@ -77,14 +77,14 @@ def evaluation_enrichment(assignments: DataFrame, by: Sequence[str] = ("run_id",
         F.count_if(F.col("sample_label") == "sample").alias("n_sample"), F.count_if(F.col("sample_label") == "background").alias("n_background")
     )
     totals = rows.groupBy(*by).agg(
-        F.count_if(F.col("sample_label") == "sample").alias("N_sample"), F.count_if(F.col("sample_label") == "background").alias("N_background"),
+        F.count_if(F.col("sample_label") == "sample").alias("total_sample"), F.count_if(F.col("sample_label") == "background").alias("total_background"),
         *[F.min(c).alias(c) for c in ("method", "parameter_json") if c in rows.columns],
     )
     df = own.join(totals, list(by))
     share = lambda n, t: F.when(F.col(t) > 0, F.col(n) / F.col(t)).otherwise(0.0)
-    df = df.withColumns({"sample_fraction": share("n_sample", "N_sample"), "background_fraction": share("n_background", "N_background"), "cluster_size": F.col("n_sample") + F.col("n_background")})
+    df = df.withColumns({"sample_fraction": share("n_sample", "total_sample"), "background_fraction": share("n_background", "total_background"), "cluster_size": F.col("n_sample") + F.col("n_background")})
     df = df.withColumn("log2FC", F.log2((F.col("sample_fraction") + 1e-9) / (F.col("background_fraction") + 1e-9)))
-    df = df.withColumn("p_value", stats.binomial_upper_tail("n_sample", "N_sample", "background_fraction"))
+    df = df.withColumn("p_value", stats.binomial_upper_tail("n_sample", "total_sample", "background_fraction"))
     df = stats.with_fdr(df, "p_value", "q_value", by, ("cluster_id",))
     return df.withColumn("is_significant", is_enriched(F.col("q_value"), F.col("log2FC")))
 
@@ -99,7 +99,7 @@ def summarize_enrichment(enrichment: DataFrame, by: Sequence[str] = ("run_id", "
         n.alias("number_of_significant_enriched_clusters"),
         (n / F.greatest(F.countDistinct("cluster_id"), F.lit(1))).alias("fraction_of_significant_clusters"),
         F.coalesce(F.sum(sig("n_sample")), F.lit(0)).alias("number_of_retained_post_vaccination_clonotypes"),
-        (F.coalesce(F.sum(sig("n_sample")), F.lit(0)) / F.greatest(F.max("N_sample"), F.lit(1))).alias("retained_fraction"),
+        (F.coalesce(F.sum(sig("n_sample")), F.lit(0)) / F.greatest(F.max("total_sample"), F.lit(1))).alias("retained_fraction"),
         F.coalesce(F.median(sig("log2FC")), F.lit(0.0)).alias("median_log2FC_enriched"),
         F.coalesce(F.max(sig("log2FC")), F.lit(0.0)).alias("max_log2FC_enriched"),
         F.coalesce(F.median(sig("q_value")), F.lit(1.0)).alias("median_q_value_enriched"),
