@@ -127,13 +127,13 @@ def word_counts(table: DataFrame) -> DataFrame:
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = table.agg(F.sum(F.length("vocab") / 8).alias("n")).first()["n"] or 0
     ranges = max(1, min(parts, int(total // 20_000) + 1), int(total // RANGE_ENTRIES) + 1)
-    width = np.uint64(2**64 // ranges + 1)
+    width = np.uint64(min(2**64 // ranges + 1, 2**64 - 1))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 vocab, tails, counts = (np.frombuffer(row[c], t) for c, t in (("vocab", np.uint64), ("tails", np.uint8), ("counts", np.int32)))
-                own = (vocab // width).astype(np.int64)
+                own = np.minimum(vocab // width, np.uint64(ranges - 1)).astype(np.int64)
                 cut = np.searchsorted(own, np.arange(ranges + 1))
                 live = [r for r in range(ranges) if cut[r] < cut[r + 1]]
                 part = lambda x: _bytes([x[cut[r] : cut[r + 1]] for r in live])  # noqa: B023, E731
