@@ -235,9 +235,14 @@ class Trainer:
         grad = np.exp(_log_softmax(self.tables[k], rows, inside))
         grad[np.arange(len(target)), target] -= 1
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            own, first, count = np.unique(r[order], return_index=True, return_counts=True)
-            g = np.add.reduceat(grad[order], first, axis=0)
+            if r[0] == 0 and not r.any():  # the bias: one row for all
+                own, count, g = np.zeros(1, np.int64), np.array([len(r)]), grad.sum(0, keepdims=True)
+            else:
+                order = np.argsort(r.astype(np.uint16), kind="stable")  # a radix sort
+                r = r[order]
+                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                own, count = r[first], np.diff(np.append(first, len(r)))
+                g = np.add.reduceat(grad[order], first, axis=0)
             self.squares[k][own] += g * g
             self.tables[k][own] -= RATE * g / np.sqrt(self.squares[k][own])
             self.met[k][own] += count
