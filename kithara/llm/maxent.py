@@ -309,9 +309,9 @@ def _classes(company: np.ndarray, n: int) -> np.ndarray:
 
 
 def _tasks(table: DataFrame) -> DataFrame:
-    """Fewer, longer tasks: each returns whole tables of weights."""
-    n = table.rdd.getNumPartitions()
-    return table.coalesce(min(1024, max(6, n // 2)))
+    """Fewer, longer tasks, since each returns whole tables of weights, but no fewer than there are cores."""
+    n, cores = table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if n < cores else table.coalesce(min(1024, max(cores, n // 2)))
 
 
 def _summed(frame: DataFrame) -> dict[int, np.ndarray]:
