@@ -145,7 +145,7 @@ def noise_by_radius(points: DataFrame, pairs: DataFrame, nearest: DataFrame, rad
     out = None
     for r in radii:
         labels = dbscan_prefiltered(points, pairs.filter(F.col("dist") <= r), nearest, r, least)
-        row = labels.agg(F.lit(r).alias("eps"), F.count_if("cluster_id = -1").alias("n_noise"), F.countDistinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"))
+        row = labels.agg(F.lit(r).alias("eps"), F.count_if(F.col("cluster_id") == -1).alias("n_noise"), F.countDistinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"))
         out = row if out is None else out.unionByName(row)
     if out is None:
         raise ValueError("no radius")
