@@ -33,7 +33,7 @@ LEAST_WORDS = 20
 
 
 def windows_of(texts: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
-    """For each window: its text, first and last line, words, hash of all its lines, and fingerprint."""
+    """For each window: its text, first and last line, hash of all its lines, fingerprint, and the line that gave it."""
     raw, off = byte_buffer(texts)
     parts = []
     for a, b in slices(off):
@@ -56,19 +56,20 @@ def windows_of(texts: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
         live = tail < len(full)
         live[live] = doc[tail[live]] == doc[live]
         head, tail = head[live], tail[live]
-        print_, whole = h[head].copy(), h[head].copy()
+        print_, whole, spot = h[head].copy(), h[head].copy(), number[head].copy()
         with np.errstate(over="ignore"):
             more, k = np.flatnonzero(tail > head), 1
             while len(more):
                 at = h[head[more] + k]
-                print_[more] = np.minimum(print_[more], at)
+                less = at < print_[more]
+                print_[more[less]], spot[more[less]] = at[less], number[head[more[less]] + k]
                 x = (whole[more] ^ (at + np.uint64(k))) * np.uint64(0x9E3779B97F4A7C15)
                 whole[more] = x ^ (x >> np.uint64(29))
                 k += 1
                 more = more[head[more] + k <= tail[more]]
-        parts.append((doc[head] + a, number[head], number[tail], words[tail] - words[head] + n[full][head], whole, print_))
+        parts.append((doc[head] + a, number[head], number[tail], whole, print_, spot))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -83,18 +84,18 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, head, tail, _, whole, print_ = windows_of(b.column(2), least_words)
+            doc, head, tail, whole, print_, spot = windows_of(b.column(2), least_words)
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(print_.view(np.int64))],
-                names=["key", "same", "head", "tail", "whole", "print"],
+                [b.column(0).take(at), b.column(1).take(at), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(print_.view(np.int64)), pa.array(spot.astype(np.int32))],
+                names=["key", "same", "head", "tail", "whole", "print", "spot"],
             )
 
-    windows = written(docs.mapInArrow(run, f"key {kind}, same long, head int, tail int, whole long, print long"), "windows")
+    windows = written(docs.mapInArrow(run, f"key {kind}, same long, head int, tail int, whole long, print long, spot int"), "windows")
     place = F.struct(F.col("key").isNull().alias("none"), "key", "same", "head")
     # A fingerprint of one place, selected by several windows there, is not repeated.
-    prints = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
-    prints = prints.filter((F.col("n") > 1) & (F.col("a") != F.col("b"))).select("print")
+    spot = F.struct(F.col("key").isNull().alias("none"), "key", "same", "spot")
+    prints = windows.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("print")
     open_ = windows.join(prints, "print", "left_semi")
     first = open_.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = written(first.filter("first != last").select("whole", "first"), "first_places")
