@@ -94,7 +94,7 @@ def run_identity(run_id: Column) -> dict[str, Column]:
 
 def split_list(values: Column, by: str = ",") -> Column:
     """Trimmed, non-empty entries of a separated list."""
-    return F.filter(F.transform(F.split(F.coalesce(values, F.lit("")), F.lit(by)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(values, F.lit("")), F.lit(by)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def has_only_of(values: Column, wanted: str, interest: Sequence[str]) -> Column:
