@@ -177,7 +177,7 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when(F.coalesce("toxic", "quality").isNotNull(), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int"))
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     out = url_reputation.judge(pages, outcomes, URL_RULES, BAD_LIMIT, BOUND_Z)
-    return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_low", 6).alias("bad_low"))
+    return out.select("page_id", "host", "path", "rule", "verdict", (F.round("bad_low", 6) + 0.0).alias("bad_low"))
 
 
 def _op10_sql() -> str:
@@ -209,7 +209,7 @@ hm AS (SELECT host, n, bad, m FROM h JOIN du USING (suffix, domain)),
 hk AS {strength('hm')}, rate AS (SELECT host, n, k, (bad + k * m) / (n + k) AS r FROM hm, hk),
 low AS (SELECT host, r - {BOUND_Z} * sqrt(r * (1 - r) / (n + k + 1)) AS bad_low FROM rate)
 SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad_low > {BAD_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-  round(bad_low, 6) AS bad_low FROM p JOIN low USING (host)"""
+  0.0 + round(bad_low, 6) AS bad_low FROM p JOIN low USING (host)"""
 
 
 QUERIES: dict[str, Query] = {
