@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,26 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = _positive_zeros(sql)
         return f
 
     return add
 
 
+def _positive_zeros(sql: str) -> str:
+    """Every round(...) of the SQL as (0.0 + round(...)), which turns -0 into 0 as `rounded` does."""
+    out, at = [], 0
+    for m in re.finditer(r"\bround\(", sql):
+        end, depth = m.end(), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        if m.start() >= at:
+            out += [sql[at : m.start()], f"(0.0 + {sql[m.start() : end]})"]
+            at = end
+    return "".join([*out, sql[at:]])
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that sums in another order compare equal; -0 becomes 0."""
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
@@ -420,13 +435,13 @@ def confusion_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluation.confusion(rows, ["g"]))
 
 
-@query("""WITH pos AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size < 20), neg AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size >= 20), x AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_retailprice > 960),
+@query("""WITH pos AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size < 20), neg AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size >= 20), x AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_partkey % 2 = 0),
  u AS (SELECT p_name, p_brand, true AS t FROM pos UNION ALL SELECT p_name, p_brand, false FROM neg WHERE (p_name, p_brand) NOT IN (FROM pos)), f AS (SELECT t, (p_name, p_brand) IN (FROM x) AS h FROM u),
  c AS (SELECT count(*) FILTER (t AND h) AS tp, count(*) FILTER (NOT t AND h) AS fp, count(*) FILTER (NOT t AND NOT h) AS tn, count(*) FILTER (t AND NOT h) AS fn FROM f)
 SELECT tp, fp, tn, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
 def confusion_sets(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part")
-    return rounded(evaluation.key_set_confusion(p.filter("p_retailprice > 960"), p.filter("p_size < 20"), p.filter("p_size >= 20"), ["p_name", "p_brand"]))
+    return rounded(evaluation.key_set_confusion(p.filter("p_partkey % 2 = 0"), p.filter("p_size < 20"), p.filter("p_size >= 20"), ["p_name", "p_brand"]))
 
 
 @query("""WITH r AS (SELECT l_quantity > 25 AS ta, l_discount > 0.05 AS tb, l_tax > 0.04 AS ha, l_returnflag = 'R' AS hb FROM lineitem),
@@ -547,9 +562,9 @@ def best_per_group(spark: SparkSession, folder: str) -> DataFrame:
     return runs.best_per_group(views.parameter_runs(spark, folder), ["method", "k"], [F.desc("score"), F.asc("event_id")], 2).select("method", "k", "event_id", "score", "best_rank")
 
 
-@query(f"""WITH {PARAMS_SQL}, g AS (SELECT method, k, round(avg(score), 2) AS s FROM par GROUP BY 1, 2) SELECT method, k, s, rank() OVER (PARTITION BY method ORDER BY s DESC NULLS LAST)::INT AS r FROM g""")
+@query(f"""WITH {PARAMS_SQL}, g AS (SELECT method, k, round(avg(score), 6) AS s FROM par GROUP BY 1, 2) SELECT method, k, s, rank() OVER (PARTITION BY method ORDER BY s DESC NULLS LAST)::INT AS r FROM g""")
 def rank_min_desc(spark: SparkSession, folder: str) -> DataFrame:
-    g = views.parameter_runs(spark, folder).groupBy("method", "k").agg(F.round(F.avg("score"), 2).alias("s"))
+    g = views.parameter_runs(spark, folder).groupBy("method", "k").agg(F.round(F.avg("score"), 6).alias("s"))
     return g.withColumn("r", runs.min_rank("s", ["method"]))
 
 
@@ -712,11 +727,11 @@ def logo_counts(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.logo_counts(p, "p_name", ["initial"]).withColumn("position", F.col("position").cast("long"))
 
 
-@query("""WITH pub AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size < 10), x AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_retailprice > 950), c AS (SELECT (SELECT count(*) FROM pub WHERE (p_name, p_brand) IN (FROM x)) AS tp, (SELECT count(*) FROM pub WHERE (p_name, p_brand) NOT IN (FROM x)) AS fn, (SELECT count(*) FROM x) AS clustered)
+@query("""WITH pub AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size < 10), x AS (SELECT DISTINCT p_name, p_brand FROM part WHERE p_partkey % 3 = 0), c AS (SELECT (SELECT count(*) FROM pub WHERE (p_name, p_brand) IN (FROM x)) AS tp, (SELECT count(*) FROM pub WHERE (p_name, p_brand) NOT IN (FROM x)) AS fn, (SELECT count(*) FROM x) AS clustered)
 SELECT tp, fn, clustered, round(tp / (tp + fn), 6) AS recall, round(tp / clustered, 6) AS public_share FROM c""")
 def public_recall(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part")
-    return rounded(cohort.recall_of_public(p.filter("p_retailprice > 950"), p.filter("p_size < 10"), ["p_name", "p_brand"]))
+    return rounded(cohort.recall_of_public(p.filter("p_partkey % 3 = 0"), p.filter("p_size < 10"), ["p_name", "p_brand"]))
 
 
 @query(f"""WITH {ASSIGN_SQL} SELECT cluster_id, sha1(string_agg(clonotype_id, ',' ORDER BY clonotype_id)) AS members FROM assign WHERE run_id = 'run_1' GROUP BY 1""")
