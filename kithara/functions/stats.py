@@ -33,6 +33,12 @@ def two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x != x or x is None else 1 + math.erf(-abs(x) / math.sqrt(2)))
 
 
+@F.pandas_udf(DoubleType())
+def centred_normal(z: pd.Series) -> pd.Series:
+    """2 (Phi(z) - 1/2): the exploratory local statistic."""
+    return z.map(lambda x: None if x != x or x is None else math.erf(x / math.sqrt(2)))
+
+
 def _log_beta_cf(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz)."""
     tiny = 1e-300

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from kithara.functions.stats import fisher_two_sided
 from kithara.functions.text import smoothed_ratio
@@ -37,6 +39,28 @@ def log_probability(df: DataFrame, column: str = "pgen", floor: float = 1e-16) -
     return df.withColumn("log_pgen", F.log10(F.when(F.col(column).isNotNull(), F.greatest(F.col(column), F.lit(floor)))))
 
 
+def sequence_probability(model) -> Callable:
+    """A column function from a user's model: a callable from a list of sequences to a list of probabilities."""
+
+    @F.pandas_udf(DoubleType())
+    def probability(sequence: pd.Series) -> pd.Series:
+        return pd.Series(model(list(sequence)), dtype=float)
+
+    return probability
+
+
+def clonotype_usage(rows: DataFrame, keys: Sequence[str], patient: str = "sample_name") -> DataFrame:
+    """(keys, usage): in how many samples a clonotype occurs."""
+    return rows.groupBy(*keys).agg(F.countDistinct(patient).alias("usage"))
+
+
+def sample_share(members: DataFrame, keys: Sequence[str], cluster: str = "cluster_id", patient: str = "sample_name") -> DataFrame:
+    """(cluster, patient, share): which part of a sample's distinct clonotypes lies in the cluster."""
+    own = members.select(cluster, patient, *keys).distinct()
+    whole = members.select(patient, *keys).distinct().groupBy(patient).agg(F.count("*").alias("_n"))
+    return own.groupBy(cluster, patient).agg(F.count("*").alias("_k")).join(whole, patient).select(cluster, patient, (F.col("_k") / F.col("_n")).alias("share"))
+
+
 def topsis(df: DataFrame, weights: Mapping[str, float], costs: Sequence[str] = (), score: str = "topsis_score", ties: Sequence[str] = ()) -> DataFrame:
     """Closeness to the best of all metrics (min-max scaled, costs turned round), and its rank."""
     total = sum(weights.values())

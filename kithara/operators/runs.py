@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithara.functions.stats import average_rank, percent_rank
-from kithara.functions.text import is_enriched, parameter_tag, safe_ratio
+from kithara.functions.text import is_enriched, parameter_tag, parameters, safe_ratio
 
 NOISE = -1
 
@@ -39,6 +39,16 @@ def union_tables(tables: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def with_run_parameters(rows: DataFrame, names: Sequence[str], json: str = "parameter_json") -> DataFrame:
+    """Rows with a param_* column for each name; what does not parse is null."""
+    return rows.withColumns(parameters(F.col(json), names))
+
+
+def in_order(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """A left join whose rows come in the order of a column of the left side."""
+    return rows.join(lookup, list(keys), "left").orderBy(order)
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The last row of each key."""
     down = [F.desc_nulls_last(c) if isinstance(c, str) else c.desc_nulls_last() for c in order]

@@ -751,6 +751,92 @@ def public_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.public_clusters(views.patients(spark, folder))
 
 
+@query(f"""WITH {PATIENTS_SQL}, k AS (SELECT DISTINCT cluster_id, cdr3 FROM pat WHERE cluster_id % 5 = 0), l AS (SELECT DISTINCT cdr3, sample_name FROM pat WHERE seg = 'BUILDING') SELECT cluster_id, count(DISTINCT sample_name) AS usage FROM k JOIN l USING (cdr3) GROUP BY 1""")
+def cluster_usage(spark: SparkSession, folder: str) -> DataFrame:
+    p = views.patients(spark, folder)
+    lookup = cohort.patient_lookup(p.filter("sample_group = 'case'"), ["cdr3"])
+    return merging.cluster_usage(p.filter("cluster_id % 5 = 0"), lookup, ["cdr3"])
+
+
+@query(f"""WITH {PATIENTS_SQL} SELECT cdr3, count(DISTINCT sample_name) AS usage FROM pat GROUP BY 1""")
+def clonotype_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return cohort.clonotype_usage(views.patients(spark, folder), ["cdr3"])
+
+
+@query(f"""WITH {PATIENTS_SQL}, n AS (SELECT sample_name, count(DISTINCT cdr3) AS n FROM pat GROUP BY 1) SELECT cluster_id, sample_name, round(count(DISTINCT cdr3) / any_value(n), 6) AS share FROM pat JOIN n USING (sample_name) GROUP BY 1, 2""")
+def sample_share(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(cohort.sample_share(views.patients(spark, folder), ["cdr3"]))
+
+
+@query(f"""WITH {PATIENTS_SQL} SELECT DISTINCT cdr3, cluster_id, sample_name FROM pat WHERE trim(cdr3) <> ''""")
+def patient_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    p = cohort.patient_lookup(views.patients(spark, folder), ["cdr3", "cluster_id"])
+    return p.withColumn("cluster_id", F.col("cluster_id").cast("long"))
+
+
+@query(f"""WITH {ASSIGN_SQL}, r AS (SELECT DISTINCT run_id, parameter_json FROM assign) SELECT run_id, json_extract_string(parameter_json, '$.k') AS param_k, json_extract_string(parameter_json, '$.gamma') AS param_gamma FROM r""")
+def run_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    r = views.assignments(spark, folder).select("run_id", "parameter_json").distinct()
+    return runs.with_run_parameters(r, ["k", "gamma"]).drop("parameter_json")
+
+
+@query("""WITH r AS (SELECT r_name || '__vdbscan_leiden__k-' || r_regionkey AS run_id FROM region) SELECT run_id, regexp_extract(run_id, '^(.+?)__([a-z_]+?)(?:__(.*))?$', 1) AS dataset, regexp_extract(run_id, '^(.+?)__([a-z_]+?)(?:__(.*))?$', 2) AS method, regexp_extract(run_id, '^(.+?)__([a-z_]+?)(?:__(.*))?$', 3) AS tag FROM r""")
+def run_identity(spark: SparkSession, folder: str) -> DataFrame:
+    r = table(spark, folder, "region").select(F.concat("r_name", F.lit("__vdbscan_leiden__k-"), "r_regionkey").alias("run_id"))
+    return r.select("run_id", *[c.alias(n) for n, c in text.run_identity(F.col("run_id")).items()])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 20 AND p_partkey % 2 = 0 THEN 'TP' WHEN p_size < 20 THEN 'FN' WHEN p_partkey % 2 = 0 THEN 'FP' ELSE 'TN' END AS category FROM part""")
+def confusion_category(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select("p_partkey", text.confusion_category(F.col("p_size") < 20, F.col("p_partkey") % 2 == 0).alias("category"))
+
+
+@query("""SELECT p_name, p_brand, bool_or(p_size < 5) AS truth FROM part GROUP BY 1, 2""")
+def truth_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.truth_by_key(table(spark, folder, "part").withColumn("truth", F.col("p_size") < 5), ["p_name", "p_brand"])
+
+
+@query(f"""WITH {EDGES_SQL}, d AS (SELECT src AS point_id, dist AS d, len(cdr3) AS gid FROM edg JOIN pts ON src = point_id WHERE rank = 3) SELECT gid, point_id, round(d, 6) AS d, row_number() OVER (PARTITION BY gid ORDER BY d, point_id)::INT AS curve_rank FROM d""")
+def distance_curve(spark: SparkSession, folder: str) -> DataFrame:
+    own = views.points(spark, folder).select("point_id", F.length("cdr3").cast("long").alias("gid"))
+    d = knn.kth_distance(edges_table(spark, folder), 4).join(own, "point_id")
+    return rounded(density.distance_curve(d, ["gid"])).select("gid", "point_id", "d", "curve_rank")
+
+
+@query(f"""WITH {EDGES_SQL} SELECT src AS point_id, round(min(dist), 6) AS d FROM edg WHERE src <> dst GROUP BY 1""")
+def first_neighbour(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(knn.first_neighbour_distance(edges_table(spark, folder)))
+
+
+@query(f"""WITH {GEO_SQL}, f AS (SELECT src, min(dist) AS d FROM se GROUP BY 1) SELECT sp.cluster_id, round(avg(d), 6) AS sample_nearest_neighbor_distance FROM f JOIN sp ON sp.point_id = src GROUP BY 1""")
+def neighbour_distance(spark: SparkSession, folder: str) -> DataFrame:
+    own, edges, _ = point_summary(spark, folder)
+    return rounded(cluster_metrics.neighbour_distance(own, edges, "sample_nearest_neighbor_distance"))
+
+
+@query(f"""WITH {CLUSTER_SQL} SELECT run_id, cluster_id, round(CASE WHEN z < 0 THEN p - 1 ELSE 1 - p END, 6) AS local_statistic FROM clu""")
+def local_statistic(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(cluster_table(spark, folder).select("run_id", "cluster_id", stats.centred_normal("z").alias("local_statistic")))
+
+
+@query(f"""WITH {ASSIGN_SQL}, g AS (SELECT run_id, count(*) AS n_points, count(DISTINCT cluster_id) FILTER (NOT is_noise) AS n_clusters, avg(is_noise::INT) AS nf FROM assign GROUP BY 1) SELECT run_id, round(1 - nf, 6) AS coverage, round(log10(greatest(n_clusters, 1)), 6) AS log10_clusters, round(n_points / 2.5, 6) AS throughput FROM g""")
+def global_proxies(spark: SparkSession, folder: str) -> DataFrame:
+    g = views.assignments(spark, folder).groupBy("run_id").agg(F.count("*").alias("n_points"), F.countDistinct(F.when(~F.col("is_noise"), F.col("cluster_id"))).alias("n_clusters"), F.avg(F.col("is_noise").cast("int")).alias("noise_fraction"), F.lit(2.5).alias("runtime_seconds"))
+    return rounded(runs.global_proxies(g).select("run_id", "coverage", "log10_clusters", "throughput"))
+
+
+@query(f"""WITH {EVAL_SQL}, r AS (SELECT run_id, donor_id, cluster_id, is_significant FROM ev) SELECT run_id, donor_id, cluster_id, round(avg(is_significant::INT) OVER (PARTITION BY run_id), 6) AS known_recovery_rate FROM r""")
+def recovery_rate(spark: SparkSession, folder: str) -> DataFrame:
+    e = donor_enrichment_table(spark, folder).withColumnRenamed("is_significant", "is_in_significant_cluster")
+    return rounded(evaluation.with_recovery_rate(e).select(*RUN, "cluster_id", "known_recovery_rate"))
+
+
+@query("""SELECT 'D' || (l_suppkey % 6) AS donor, date_trunc('month', l_shipdate) AS window_start, l_partkey % 20 AS cluster_id, count(*) FILTER (l_returnflag = 'R') AS sample, count(*) FILTER (l_returnflag <> 'R') AS background FROM lineitem GROUP BY 1, 2, 3""")
+def monthly_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").select(F.concat(F.lit("D"), (F.col("l_suppkey") % 6).cast("string")).alias("donor"), F.date_trunc("month", "l_shipdate").alias("window_start"), (F.col("l_partkey") % 20).alias("cluster_id"), F.when(F.col("l_returnflag") == "R", "sample").otherwise("background").alias("source"))
+    return enrichment.cluster_counts(rows, ["donor", "window_start"]).drop("cluster_size")
+
+
 # ---------------------------------------------------------------- without a SQL form
 @query()
 def pca_distances(spark: SparkSession, folder: str) -> DataFrame:
@@ -776,3 +862,26 @@ def full_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """The whole pipeline with vDBSCAN and Leiden inside its clusters."""
     r = compare(views.points(spark, folder), Config(algorithm="vdbscan_leiden", components=16, k_neighbors=8))
     return r.summary.select("cluster_id", "sample", "background", "cluster_size", "log_fold_change", "density_validity", "is_good_candidate_relaxed")
+
+
+@query()
+def vdbscan_leiden(spark: SparkSession, folder: str) -> DataFrame:
+    p, edges = views.points(spark, folder), edges_table(spark, folder)
+    radii, own = radius_table(spark, folder, edges)
+    labels = written(density.vdbscan(edges, written(density.radius_of_points(own, radii), "radius"), 3), "labels")
+    return communities.vdbscan_leiden(p, labels, knn.neighbour_graph(edges))
+
+
+@query()
+def leiden_dbscan(spark: SparkSession, folder: str) -> DataFrame:
+    p = views.points(spark, folder)
+    return communities.leiden_dbscan(p, knn.neighbour_graph(edges_table(spark, folder)), written(knn.within(p, DBSCAN_EPS), "pairs"))
+
+
+@query()
+def noise_by_radius(spark: SparkSession, folder: str) -> DataFrame:
+    """Noise and clusters of DBSCAN over a sweep of radii."""
+    p = views.points(spark, folder)
+    pairs = written(knn.within(p, DBSCAN_EPS), "pairs")
+    first = pairs.filter("src <> dst").groupBy(F.col("src").alias("point_id")).agg(F.min("dist").alias("d"))
+    return density.noise_by_radius(p, pairs, first, [1.0, 1.08, DBSCAN_EPS], 3)
