@@ -6,9 +6,10 @@ the line of the least hash in it as its fingerprint, so a run of lines that repe
 window shares a fingerprint with its other occurrence, wherever it begins. Windows whose fingerprint
 occurs once are done with. The others are joined, by the hash of all their lines, with the first
 place (by key, then line) where these lines stand: one row for each later place, never all pairs.
-Matched windows that overlap or touch are then extended into each other both ways, up to the whole
-repeated run, and the later runs are deleted. Every run of `least_words` words or more that stands
-earlier is deleted, and every deleted line still stands somewhere.
+With `to_ends` there are also the windows that end with a line and begin as many before it as are
+needed: a repeated run then holds a window from its first line and one up to its last. Matched windows
+that overlap or touch are united and the later runs are deleted. Every deleted line still stands
+somewhere; with `to_ends` every run of `least_words` words or more that stands earlier is deleted whole.
 
 Defined results: a null text stays null; documents are in order of key, nulls last; rows of one key and
 different texts are ordered by a hash of the text; rows that repeat key and text count as one
@@ -32,8 +33,11 @@ from kithara.session import free_of, written
 LEAST_WORDS = 20
 
 
-def windows_of(texts: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
-    """For each window: its text, first and last line, hash of all its lines, fingerprint, and the line that gave it."""
+def windows_of(texts: pa.Array, least_words: int, to_ends: bool = False) -> tuple[np.ndarray, ...]:
+    """For each window: its text, first and last line, hash of all its lines, fingerprint, and the line that gave it.
+
+    to_ends: also the windows counted back from each line, where they are not windows already.
+    """
     raw, off = byte_buffer(texts)
     parts = []
     for a, b in slices(off):
@@ -55,7 +59,14 @@ def windows_of(texts: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
         tail = np.searchsorted(words, words - n[full] + least_words)
         live = tail < len(full)
         live[live] = doc[tail[live]] == doc[live]
-        head, tail = head[live], tail[live]
+        if to_ends:
+            end = np.arange(len(full))
+            begin = np.searchsorted(words - n[full], words - least_words, "right") - 1
+            back = begin >= 0
+            back[back] = (doc[begin[back]] == doc[back]) & (tail[begin[back]] != end[back])
+            head, tail = np.concatenate([head[live], begin[back]]), np.concatenate([tail[live], end[back]])
+        else:
+            head, tail = head[live], tail[live]
         print_, whole, spot = h[head].copy(), h[head].copy(), number[head].copy()
         with np.errstate(over="ignore"):
             more, k = np.flatnonzero(tail > head), 1
@@ -73,18 +84,18 @@ def windows_of(texts: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text", to_ends: bool = False) -> DataFrame:
     """(key, same, runs): the later repeated runs of each document that has any, in order.
 
     same: the text's hash. runs: array of (head, tail, source): first and last line from 0, and the key
-    of the document where the first window of the run stands earlier.
+    of the document where the first window of the run stands earlier. to_ends: as in `dedup`.
     """
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, head, tail, whole, print_, spot = windows_of(b.column(2), least_words)
+            doc, head, tail, whole, print_, spot = windows_of(b.column(2), least_words, to_ends)
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(at), b.column(1).take(at), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(print_.view(np.int64)), pa.array(spot.astype(np.int32))],
@@ -100,22 +111,23 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "d
     first = open_.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = written(first.filter("first != last").select("whole", "first"), "first_places")
     later = open_.join(first, "whole").filter(place != F.col("first")).select("key", "same", "head", "tail", F.col("first.key").alias("source")).distinct()
-    in_order = Window.partitionBy("key", "same").orderBy("head")
+    in_order = Window.partitionBy("key", "same").orderBy("head", "tail")
     reach = F.max("tail").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("fresh", (F.col("head") > F.coalesce(reach + 1, F.lit(-1))).cast("int"))
     later = later.withColumn("run", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = later.groupBy("key", "same", "run").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.min_by("source", "head").alias("source"))
+    runs = later.groupBy("key", "same", "run").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.min_by("source", F.struct("head", "tail")).alias("source"))
     return runs.groupBy("key", "same").agg(F.array_sort(F.collect_list(F.struct("head", "tail", "source"))).alias("runs"))
 
 
-def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text", to_ends: bool = False) -> DataFrame:
     """All rows with their columns, the later repeated runs cut from `text`, and line_runs and line_count.
 
     line_runs: the deleted runs as in `repeated_runs` (null where nothing was deleted); line_count: the
-    lines there were.
+    lines there were. to_ends: runs reach to their last line (the query does so); without it a short
+    tail in no window counted from its first line stays.
     """
     docs = free_of(docs, ["line_runs", "line_count", "_same", "_key", "_as"])
-    runs = written(repeated_runs(docs, least_words, key, text), "runs")
+    runs = written(repeated_runs(docs, least_words, key, text, to_ends), "runs")
     runs = runs.select(F.col("key").alias("_key"), F.col("same").alias("_as"), F.col("runs").alias("line_runs"))
     rows = docs.withColumn("_same", F.xxhash64(text))
     rows = rows.join(runs.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_same") == F.col("_as")), "left")

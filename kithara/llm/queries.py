@@ -106,7 +106,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 # ---------------------------------------------------------------- op5: line dedup
 def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kept_crc32 is that of the text after the cut; runs are `head-tail<source`, lines from 0; source_ids lists the sources."""
-    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), to_ends=True)
     cut = F.aggregate("line_runs", F.lit(0), lambda n, r: n + r["tail"] - r["head"] + 1)
     runs = F.transform("line_runs", lambda r: F.concat(r["head"], F.lit("-"), r["tail"], F.lit("<"), F.coalesce(r["source"].cast("string"), F.lit(""))))
     return out.select(
