@@ -1,57 +1,66 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-p(word | history) = p(class | history) * p(word | class, history). The frequent words (at most HEAD,
-each at least 1/(1000 HEAD) of all training tokens) form balanced classes of words that keep like company; all other
-words belong to a class by their last two bytes, so unseen words have one too. Both
-softmaxes are linear in hashed features of the history: the last word, the last two, and the
-words two and three back (skips); a rare word stands in features as its class. Within a class of rare words the
-probability is the smoothed share of the word in the class.
-
-Training is parameter mixing over all training texts: in each round the tasks begin from the same
-weights, take Adagrad steps over their share of the texts, and the weights are averaged row by row,
-each task counting by how often it met the row. Counts are exact and cover the whole corpus. They
-are kept by ranges of word hashes, so no task or driver holds the vocabulary.
-
-Texts are tokenized once, into chunks: one row for some megabytes of text, with the chunk's distinct
-word hashes and the texts as indices into them. Counts go from chunks to hash ranges and back as
-arrays. A word is known by the XXH64 of its bytes.
-
-Defined results: a null or empty text is the end token alone; repeated rows are texts of their own;
-with no training text the base gives each token probability 1; an empty table gives an empty
-result.
+Every word of the corpus is modelled. Classes are nested, sixteen to a class: a word's path through
+them is given by the leading digits of its hash, and levels are added as the counted vocabulary grows,
+until a last class holds LEAF words or fewer. At each level the sixteen branches have a softmax whose
+logits are the logs of the branches' exact shares plus a weight for each feature of the history:
+
+    p(word | history) = product over levels of p(branch | class, history) * share of the word in its last class
+
+Features are hashed n-grams and skips of whole words: the last word, the last two, the words two and
+three back, and the endings of the last word and of the last two (which stand for words not seen
+before). A feature and a class name a row of sixteen weights in one hashed table, whose rows follow
+the number of training tokens.
+
+Training is by distributed gradient updates over all training texts. In each of ROUNDS rounds every
+task counts, for the rows its tokens meet, how often each branch was seen and how often the model of
+the round, sampled once a token, would have chosen it. The sum of the differences is the gradient of
+the likelihood; the update is its scaled form, the log of the ratio of both counts. Counts are
+integers, so neither the order nor the number of tasks changes a weight, and a run repeats itself.
+
+Counts of words are exact and cover the whole corpus. They are kept by ranges of word hashes, so no
+task or driver holds the vocabulary. Texts are tokenized once, into chunks: one row for some megabytes
+of text, with the chunk's distinct word hashes and the texts as indices into them.
+
+Defined results: a null or empty text is the end token alone; repeated rows are texts of their own,
+and ties between words do not arise, since nothing is ranked; a very long text is one chunk of its own
+and is scored whole; with no training text each token has probability 1; extra columns, of whatever
+names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithara.llm.words import Words, byte_buffer, slices, xxh64
 from kithara.session import written
 
-HEAD, WIDTH = 512, 32  # frequent words, and at most so many in a class
-HEAD_CLASSES, TAIL_CLASSES = 16, 48
-CLASSES = HEAD_CLASSES + TAIL_CLASSES
-SYMBOLS = HEAD + TAIL_CLASSES + 1  # the last stands for what precedes a text
-PAIRS = 4096  # rows for hashed pairs of symbols
-ROUNDS, RATE, BATCH = 2, 0.15, 8192
+#: Branches of a class, words that a last class should hold at most, and most levels (a million last classes).
+WIDTH, LEAF, MOST_LEVELS = 16, 16, 5
+#: Training tokens for a row of the table, and the least and most rows as powers of two (64 MB of weights).
+TOKENS_A_ROW, LEAST_BITS, MOST_BITS = 16, 12, 20
+ROUNDS, STEP, PRIOR = 2, 2.0, 2.0
+BATCH = 8192
 CHUNK_BYTES = 4 << 20
 RANGE_ENTRIES = 1_000_000  # entries of chunk vocabularies that a hash range should hold
+BLOCK_ROWS = 4096
+TASK_TOKENS = 1 << 30  # at most in one training task, so that its counts fit 32 bits
+ENDINGS = 48  # classes of words by their last two bytes; the end token and what precedes a text are two more
 NO_KEY = -(2**63)
-#: The end token: the hash of a byte that no word holds.
+#: The end token: the hash of a byte that no word holds. And what stands before a text.
 END = np.uint64(int(xxh64(np.array([32] + [0] * 8, np.uint8), np.array([0]), np.array([1]))[0]))
-#: Rows of the class table by feature: bias, last, last two, two back, three back.
-CLASS_AT = np.cumsum([0, 1, SYMBOLS, PAIRS, SYMBOLS])
-CLASS_ROWS = int(CLASS_AT[-1]) + SYMBOLS
-#: Rows of the word table: bias of the class, then hashed (class, last) and (class, two back).
-WORD_AT = np.cumsum([0, HEAD_CLASSES, PAIRS])
-WORD_ROWS = int(WORD_AT[-1]) + PAIRS
+BEGIN = np.uint64(7)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Features by level: those of the first two levels, and those below.
+LAST, LAST_TWO, TWO_BACK, THREE_BACK, ENDING, TWO_ENDINGS = range(6)
+BROAD, NARROW = (LAST, LAST_TWO, TWO_BACK, THREE_BACK, ENDING, TWO_ENDINGS), (LAST, LAST_TWO, ENDING)
 
 
 def _bytes(arrays: list[np.ndarray]) -> pa.Array:
@@ -62,9 +71,10 @@ CHUNK = "chunk string, keys binary, held binary, sizes binary, vocab binary, tai
 
 
 def chunks(docs: DataFrame, held: Column, key: str, text: str) -> DataFrame:
-    """One row for each chunk of texts; written, so that a chunk's name stays the same."""
+    """One row for each chunk of texts, named by the task and its place there; written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         for b in batches:
             keys = b.column(0).cast(pa.int64()).fill_null(NO_KEY).to_numpy()
             out = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
@@ -75,15 +85,16 @@ def chunks(docs: DataFrame, held: Column, key: str, text: str) -> DataFrame:
                 h = np.insert(xxh64(w.low, w.start, w.end), w.first[1:], END)
                 last = w.low[w.end - 1].astype(np.int64)
                 prior = np.where(w.end - w.start > 1, w.low[w.end - 2], 0)
-                tail = np.insert((last * 31 + prior) % TAIL_CLASSES, w.first[1:], 0).astype(np.uint8)
+                tail = np.insert((last * 31 + prior) % ENDINGS, w.first[1:], ENDINGS).astype(np.uint8)
                 vocab, at, ids = np.unique(h, return_index=True, return_inverse=True)
                 train = np.repeat(out[i:j] == 0, n + 1)
                 counts = np.bincount(ids[train], minlength=len(vocab)).astype(np.int32)
                 kind = np.uint16 if len(vocab) <= 1 << 16 else np.uint32
                 row = [keys[i:j], out[i:j], (n + 1).astype(np.int32), vocab, tail[at], counts, ids.astype(kind)]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(_bytes([x]) for x in row)], names=[c.split()[0] for c in CHUNK.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), *(_bytes([x]) for x in row)], names=[c.split()[0] for c in CHUNK.split(", ")])
+                number += 1
 
-    slim = docs.select(key, held.alias("held_"), F.col(text).alias("text_"))
+    slim = docs.select(F.col(key).alias("key_"), F.coalesce(held, F.lit(False)).alias("held_"), F.col(text).alias("text_"))
     return written(slim.mapInArrow(run, CHUNK), "chunks")
 
 
@@ -103,7 +114,7 @@ class Chunk:
         return Chunk(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["held"], np.uint8), np.frombuffer(row["sizes"], np.int32), vocab, np.frombuffer(row["tails"], np.uint8), np.frombuffer(row["ids"], kind))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[Iterator[dict]]:
+def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[dict]]:
     """Lists of consecutive rows with the same value of `by`."""
     held: list[dict] = []
     for b in batches:
@@ -117,306 +128,251 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[Iterator[di
         yield held
 
 
+def levels_for(words: int) -> int:
+    """Levels at which a last class holds LEAF of so many words, or the most there may be."""
+    return next((n for n in range(MOST_LEVELS) if LEAF * WIDTH**n >= words), MOST_LEVELS)
+
+
+def leaf_of(words: np.ndarray, levels: int) -> np.ndarray:
+    return (words >> np.uint64(64 - 4 * levels)).astype(np.int64) if levels else np.zeros(len(words), np.int64)
+
+
 def word_counts(table: DataFrame) -> DataFrame:
     """Exact counts over all chunks, by hash range.
 
     Rows (kind, chunk, range, data): kind 0 returns to a chunk the counts of its words in the range;
-    kind 1 has words and counts that may be frequent; kind 2 has, for each class of rare words, how
-    many tokens and distinct words of the range it has.
+    kind 1 has the tokens and distinct words of the last classes in the range, at the levels that fit
+    all entries of chunk vocabularies: data is levels, the first class, then both counts.
     """
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = table.agg(F.sum(F.length("vocab") / 8).alias("n")).first()["n"] or 0
     ranges = max(1, min(parts, int(total // 20_000) + 1), int(total // RANGE_ENTRIES) + 1)
     width = np.uint64(min(2**64 // ranges + 1, 2**64 - 1))
+    levels = levels_for(int(total))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                vocab, tails, counts = (np.frombuffer(row[c], t) for c, t in (("vocab", np.uint64), ("tails", np.uint8), ("counts", np.int32)))
+                vocab, counts = np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["counts"], np.int32)
                 own = np.minimum(vocab // width, np.uint64(ranges - 1)).astype(np.int64)
                 cut = np.searchsorted(own, np.arange(ranges + 1))
                 live = [r for r in range(ranges) if cut[r] < cut[r + 1]]
                 part = lambda x: _bytes([x[cut[r] : cut[r + 1]] for r in live])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([row["chunk"]] * len(live)), part(vocab), part(tails), part(counts)], names=["range", "chunk", "vocab", "tails", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([row["chunk"]] * len(live)), part(vocab), part(counts)], names=["range", "chunk", "vocab", "counts"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "range"):
-            vocab, tails, counts = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("vocab", np.uint64), ("tails", np.uint8), ("counts", np.int32)))
-            words, at, place = np.unique(vocab, return_index=True, return_inverse=True)
+            vocab, counts = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("vocab", np.uint64), ("counts", np.int32)))
+            words, place = np.unique(vocab, return_inverse=True)
             sums = np.bincount(place, counts, len(words)).astype(np.int64)
             ends = np.cumsum([len(r["vocab"]) // 8 for r in rows])
             back = np.split(sums[place], ends[:-1])
-            tails = tails[at]
-            often = np.argsort(-sums, kind="stable")[: 1000 * HEAD]
-            often = often[sums[often] * 1000 * HEAD >= max(1, sums.sum())]
-            stats = np.stack([np.bincount(tails, sums, TAIL_CLASSES), np.bincount(tails, sums > 0, TAIL_CLASSES)]).astype(np.int64)
-            frequent = np.concatenate([words[often], sums[often].view(np.uint64), tails[often].astype(np.uint64)])
+            leaf = leaf_of(words, levels)
+            first = int(leaf[0])
+            stats = [np.array([levels, first]), np.bincount(leaf - first, sums).astype(np.int64), np.bincount(leaf - first, sums > 0).astype(np.int64)]
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n + [1, 2], pa.int32()), pa.array([r["chunk"] for r in rows] + ["", ""]), pa.array([rows[0]["range"]] * (n + 2), pa.int32()), _bytes([*back, frequent, stats])],
+                [pa.array([0] * n + [1], pa.int32()), pa.array([r["chunk"] for r in rows] + [""]), pa.array([rows[0]["range"]] * (n + 1), pa.int32()), _bytes([*back, np.concatenate(stats)])],
                 names=["kind", "chunk", "range", "data"],
             )
 
-    spread = table.select("chunk", "vocab", "tails", "counts").mapInArrow(dealt, "range int, chunk string, vocab binary, tails binary, counts binary")
+    spread = table.select("chunk", "vocab", "counts").mapInArrow(dealt, "range int, chunk string, vocab binary, counts binary")
     spread = spread.repartition(min(ranges, 4096), "range").sortWithinPartitions("range")
     return written(spread.mapInArrow(counted, "kind int, chunk string, range int, data binary"), "counts")
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # frequent words by hash, ascending
-    symbol: np.ndarray  # of each its symbol
-    class_of: np.ndarray  # by symbol, of frequent words and then of classes of rare words
-    place: np.ndarray  # by symbol of a frequent word, its place in its class
-    inside: np.ndarray  # (class, place): whether there is a word
-    tail_tokens: np.ndarray
-    tail_words: np.ndarray
     tokens: int
     distinct: int
-    by_class: np.ndarray
-    by_word: np.ndarray
-
-    def symbols(self, c: Chunk) -> np.ndarray:
-        """The symbol of each word of the chunk's vocabulary."""
-        out = HEAD + c.tails.astype(np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, c.vocab), len(self.words) - 1)
-            known = self.words[at] == c.vocab
-            out[known] = self.symbol[at[known]]
-        return out
-
-
-def _history(s: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The symbols one, two and three back, within each text."""
-    place = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = []
-    for k in (1, 2, 3):
-        back = np.full(len(s), SYMBOLS - 1, np.int64)
-        back[k:] = s[:-k]
-        back[place < k] = SYMBOLS - 1
-        out.append(back)
-    return out
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) % PAIRS
-
-
-def _features(hist: list[np.ndarray]) -> list[np.ndarray]:
-    one, two, three = hist
-    return [CLASS_AT[1] + one, CLASS_AT[2] + _pair(one, two), CLASS_AT[3] + two, CLASS_AT[4] + three]
-
-
-def _word_features(cls: np.ndarray, hist: list[np.ndarray]) -> list[np.ndarray]:
-    return [cls, WORD_AT[1] + _pair(cls, hist[0]), WORD_AT[2] + _pair(cls, hist[1])]
-
-
-def _log_softmax(table: np.ndarray, rows: list[np.ndarray], inside: np.ndarray | None = None) -> np.ndarray:
-    z = table[rows[0]]
-    for r in rows[1:]:
-        z += table[r]
-    if inside is not None:
-        z[~inside] = -1e30
+    levels: int
+    bits: int  # the table has 2 ** bits rows
+    mass: np.ndarray  # smoothed tokens of each last class
+    shares: list[np.ndarray]  # by level: (class, branch), logs of the branches' shares
+    weights: np.ndarray | None = None  # (row, branch); none before the first round
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _A
+    return x ^ (x >> np.uint64(29))
+
+
+def history(c: Chunk) -> list[np.ndarray]:
+    """For each token of the chunk the hashes of its six features."""
+    with np.errstate(over="ignore"):
+        words, tails = np.append(c.vocab, BEGIN), np.append(c.tails, np.uint8(ENDINGS + 1)).astype(np.uint64)
+        place = np.arange(len(c.ids)) - np.repeat(np.cumsum(c.sizes) - c.sizes, c.sizes)
+        back = []
+        for k in (1, 2, 3):
+            at = np.full(len(c.ids), len(c.vocab), np.int64)
+            at[k:] = c.ids[:-k]
+            at[place < k] = len(c.vocab)
+            back.append(at)
+        one = _mixed(words + _A)
+        pair = one[back[0]] ^ _mixed(words ^ _B)[back[1]]
+        ends = tails[back[0]], tails[back[1]]
+        return [one[back[0]], _mixed(pair), _mixed(words + _B)[back[1]], _mixed(words ^ _A)[back[2]], _mixed(ends[0] + (_A ^ _B)), _mixed(ends[0] * np.uint64(64) + ends[1] + (_A & _B))]
+
+
+def _rows(m: Model, level: int, node: np.ndarray, features: list[np.ndarray]) -> list[np.ndarray]:
+    """The table rows of the features at each token's class."""
+    with np.errstate(over="ignore"):
+        name = (node + WIDTH**level).astype(np.uint64) * _B
+        return [(((features[f] ^ name) * _A) >> np.uint64(64 - m.bits)).astype(np.int64) for f in (BROAD if level < 2 else NARROW)]
+
+
+def _branches(m: Model, level: int, node: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the branches less their greatest, and the running sums of their exponentials."""
+    z = m.shares[level].take(node, axis=0)
+    if m.weights is not None:
+        for r in rows:
+            z += m.weights.take(r, axis=0)
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-class Trainer:
-    """Adagrad over the class and word tables, counting how often each row was met."""
+    return z, np.cumsum(np.exp(z), axis=1)
+
+
+def log_paths(m: Model, c: Chunk) -> np.ndarray:
+    """For each token the natural log of its last class's probability after the history."""
+    out, features = np.zeros(len(c.ids)), history(c)
+    code = leaf_of(c.vocab, m.levels)[c.ids]
+    for a in range(0, len(code), BATCH):
+        own, at = [f[a : a + BATCH] for f in features], code[a : a + BATCH]
+        for level in range(m.levels):
+            node, branch = at >> 4 * (m.levels - level), (at >> 4 * (m.levels - level - 1)) & 15
+            z, run = _branches(m, level, node, _rows(m, level, node, own))
+            out[a : a + BATCH] += z[np.arange(len(at)), branch] - np.log(run[:, -1])
+    return out
 
-    def __init__(self, m: Model) -> None:
-        self.m = m
-        self.tables = [m.by_class.copy(), m.by_word.copy()]
-        self.squares = [np.full_like(t, 1.0) for t in self.tables]
-        self.met = [np.zeros(len(t), np.float32) for t in self.tables]
 
-    def _step(self, k: int, rows: list[np.ndarray], target: np.ndarray, inside: np.ndarray | None) -> None:
-        grad = np.exp(_log_softmax(self.tables[k], rows, inside))
-        grad[np.arange(len(target)), target] -= 1
-        for r in rows:
-            if r[0] == 0 and not r.any():  # the bias: one row for all
-                own, count, g = np.zeros(1, np.int64), np.array([len(r)]), grad.sum(0, keepdims=True)
-            else:
-                order = np.argsort(r.astype(np.uint16), kind="stable")  # a radix sort
-                r = r[order]
-                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                own, count = r[first], np.diff(np.append(first, len(r)))
-                g = np.add.reduceat(grad[order], first, axis=0)
-            self.squares[k][own] += g * g
-            self.tables[k][own] -= RATE * g / np.sqrt(self.squares[k][own])
-            self.met[k][own] += count
-
-    def learn(self, c: Chunk, seed: int) -> None:
-        m = self.m
-        s = m.symbols(c)[c.ids]
-        hist = _history(s, c.sizes)
-        use = np.flatnonzero(np.repeat(c.held == 0, c.sizes))
-        use = np.random.default_rng(seed).permutation(use)
-        bias = np.zeros(len(s), np.int64)
-        for a in range(0, len(use), BATCH):
-            at = use[a : a + BATCH]
-            own = [h[at] for h in hist]
-            self._step(0, [bias[at], *_features(own)], m.class_of[s[at]], None)
-            frequent = np.flatnonzero(s[at] < HEAD)
-            if len(frequent):
-                t = s[at][frequent]
-                self._step(1, _word_features(m.class_of[t], [h[frequent] for h in own]), m.place[t], m.inside[m.class_of[t]])
+def tally(m: Model, c: Chunk, seen: np.ndarray, chosen: np.ndarray, round_: int) -> None:
+    """Count, by row and branch, what the chunk's training tokens show and what the model would choose."""
+    features, code = history(c), leaf_of(c.vocab, m.levels)[c.ids]
+    with np.errstate(over="ignore"):
+        place = np.arange(len(code)) - np.repeat(np.cumsum(c.sizes) - c.sizes, c.sizes)
+        lot = _mixed(np.repeat(c.keys.view(np.uint64) * _A, c.sizes) + place.astype(np.uint64) * _B + np.uint64(round_))
+    use = np.flatnonzero(np.repeat(c.held == 0, c.sizes))
+    for a in range(0, len(use), BATCH):
+        pick = use[a : a + BATCH]
+        own, at = [f[pick] for f in features], code[pick]
+        for level in range(m.levels):
+            node, branch = at >> 4 * (m.levels - level), (at >> 4 * (m.levels - level - 1)) & 15
+            rows = _rows(m, level, node, own)
+            _, run = _branches(m, level, node, rows)
+            with np.errstate(over="ignore"):
+                draw = (_mixed(lot[pick] + np.uint64(level)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+            guess = (run[:, :-1] <= (draw * run[:, -1])[:, None]).sum(1)
+            for r in rows:
+                np.add.at(seen, r * WIDTH + branch, np.int32(1))
+                np.add.at(chosen, r * WIDTH + guess, np.int32(1))
+
+
+def updated(weights: np.ndarray, seen: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The weights after a round, from both counts."""
+    return (weights + STEP / len(BROAD) * np.log((seen + PRIOR) / (chosen + PRIOR))).astype(np.float32)
 
 
 def score_chunk(m: Model, c: Chunk, counts: np.ndarray) -> list[np.ndarray]:
     """keys, held, tokens, known tokens, base score and score of each text of the chunk."""
     at = np.cumsum(c.sizes) - c.sizes
     base = np.log10((counts + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
-    vs = m.symbols(c)
-    s = vs[c.ids]
-    rare = np.log10((counts + 0.1) / (m.tail_tokens[c.tails] + 0.1 * (m.tail_words[c.tails] + 1)))
-    logs = np.where(vs < HEAD, 0.0, rare)[c.ids]
-    hist = _history(s, c.sizes)
-    for a in range(0, len(s), BATCH):
-        e = min(a + BATCH, len(s))
-        own = [h[a:e] for h in hist]
-        z = _log_softmax(m.by_class, [np.zeros(e - a, np.int64), *_features(own)])
-        logs[a:e] += z[np.arange(e - a), m.class_of[s[a:e]]] / np.log(10)
-        frequent = np.flatnonzero(s[a:e] < HEAD)
-        if len(frequent):
-            t = s[a:e][frequent]
-            z = _log_softmax(m.by_word, _word_features(m.class_of[t], [h[frequent] for h in own]), m.inside[m.class_of[t]])
-            logs[a + frequent] += z[np.arange(len(t)), m.place[t]] / np.log(10)
+    own = np.log((counts + 0.1) / m.mass[leaf_of(c.vocab, m.levels)])
+    logs = (log_paths(m, c) + own[c.ids]) / np.log(10)
     known = np.add.reduceat((counts > 0)[c.ids].astype(np.int64), at)
     return [c.keys, c.held, c.sizes, known, np.add.reduceat(base[c.ids], at), np.add.reduceat(logs, at)]
 
 
-def _classes(company: np.ndarray, n: int) -> np.ndarray:
-    """A class for each of n frequent words: recursive halving along the main direction of their company."""
-    x = np.log1p(np.concatenate([company[:n, :n], company[:n, :n].T], axis=1).astype(float))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    out = np.zeros(n, np.int64)
-    groups = [np.arange(n)]
-    while len(groups) < HEAD_CLASSES:
-        split = []
-        for g in groups:
-            if len(g) > 1:
-                y = x[g] - x[g].mean(0)
-                u = np.linalg.svd(y, full_matrices=False)[0][:, 0]
-                u *= np.sign(u[np.argmax(np.abs(u))]) or 1
-                g = g[np.argsort(u, kind="stable")]
-            split += [np.sort(g[: (len(g) + 1) // 2]), np.sort(g[(len(g) + 1) // 2 :])]
-        groups = split
-    for k, g in enumerate(groups):
-        out[g] = k
-    return out
-
+def _packed(x: np.ndarray) -> bytes:
+    """Counts of 32 bits, bytes of equal weight together, compressed."""
+    return pa.compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
-def _tasks(table: DataFrame) -> DataFrame:
-    """Fewer, longer tasks, since each returns whole tables of weights, but no fewer than there are cores."""
-    n, cores = table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if n < cores else table.coalesce(min(1024, max(cores, n // 2)))
 
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
-def _summed(frame: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of float arrays by block, from rows (block, data); one block is held at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = None, np.zeros(0)
-        for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(data.as_py(), np.float32).astype(np.float64)
-                if block != own:
-                    if own is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), _bytes([total])], names=["block", "data"])
-                    own, total = block, x
-                else:
-                    total = total + x
-        if own is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), _bytes([total])], names=["block", "data"])
-
-    rows = frame.repartition(24, "block").sortWithinPartitions("block").mapInArrow(run, "block int, data binary")
-    return {r["block"]: np.frombuffer(r["data"], np.float64) for r in rows.collect()}
+def _tasks(table: DataFrame, tokens: int) -> DataFrame:
+    """As many tasks as there are cores, since each returns counts for the whole table of weights."""
+    n, cores = table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism
+    want = max(cores, -(-tokens // TASK_TOKENS))
+    return table.repartition(want) if n < want else table.coalesce(want)
 
 
-BLOCK_ROWS = 512
+def _prepared(counts: DataFrame) -> Model:
+    """A model without weights, from the counts of last classes."""
+    mass = words = None
+    for r in counts.filter("kind = 1").select("data").toLocalIterator():
+        (levels, first), stats = np.frombuffer(r["data"], np.int64)[:2], np.frombuffer(r["data"], np.int64)[2:].reshape(2, -1)
+        if mass is None:
+            mass, words = np.zeros(WIDTH**levels, np.int64), np.zeros(WIDTH**levels, np.int64)
+        mass[first : first + stats.shape[1]] += stats[0]
+        words[first : first + stats.shape[1]] += stats[1]
+    if mass is None:
+        mass = words = np.zeros(1, np.int64)
+    tokens, distinct = int(mass.sum()), int(words.sum())
+    levels = levels_for(distinct)
+    mass = mass.reshape(WIDTH**levels, -1).sum(1) + 0.1 * (words.reshape(WIDTH**levels, -1).sum(1) + 1)
+    shares, up = [], mass
+    for _ in range(levels):
+        down = up.reshape(-1, WIDTH)
+        up = down.sum(1)
+        shares.insert(0, np.log(down / up[:, None]).astype(np.float32))
+    bits = min(MOST_BITS, max(LEAST_BITS, (tokens // TOKENS_A_ROW).bit_length()))
+    return Model(tokens, distinct, levels, bits, mass, shares)
 
 
 def train(table: DataFrame, counts: DataFrame) -> Model:
-    spark = table.sparkSession
-    stats = np.zeros((2, TAIL_CLASSES), np.int64)
-    for r in counts.filter("kind = 2").select("data").toLocalIterator():
-        stats += np.frombuffer(r["data"], np.int64).reshape(2, TAIL_CLASSES)
-    found = [np.zeros((3, 0), np.uint64)]
-    for r in counts.filter("kind = 1").select("data").toLocalIterator():
-        found.append(np.frombuffer(r["data"], np.uint64).reshape(3, -1))
-        whole = np.concatenate(found, axis=1)
-        found = [whole[:, np.lexsort((whole[0], -whole[1].view(np.int64)))[:HEAD]]]
-    words, often, tails = found[0]
-    often = often.view(np.int64)
-    tokens, distinct = int(stats[0].sum()), int(stats[1].sum())
-    keep = often * 1000 * HEAD >= max(1, tokens)
-    words, often, tails = words[keep], often[keep], tails[keep].astype(np.int64)
-    tail_tokens, tail_words = stats[0] - np.bincount(tails, often, TAIL_CLASSES).astype(np.int64), stats[1] - np.bincount(tails, often > 0, TAIL_CLASSES).astype(np.int64)
-    n, order = len(words), np.argsort(words)
-    class_of = np.concatenate([np.zeros(HEAD, np.int64), HEAD_CLASSES + np.arange(TAIL_CLASSES), [0]])
-    m = Model(words[order], order, class_of, np.zeros(HEAD, np.int64), np.zeros((HEAD_CLASSES, WIDTH), bool), tail_tokens, tail_words, tokens, distinct, np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, WIDTH), np.float32))
-    if not tokens:
-        return m
-    first = spark.sparkContext.broadcast(m)
-
-    def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(HEAD * HEAD)
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk.of(row)
-                s = first.value.symbols(c)[c.ids]
-                one = _history(s, c.sizes)[0]
-                use = np.repeat(c.held == 0, c.sizes) & (s < HEAD) & (one < HEAD)
-                total += np.bincount(one[use] * HEAD + s[use], minlength=HEAD * HEAD)
-        yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), _bytes(np.split(total.astype(np.float32), 8))], names=["block", "data"])
-
-    sums = _summed(_tasks(table).mapInArrow(company, "block int, data binary"))
-    pairs = np.concatenate([sums[k] for k in range(8)]).reshape(HEAD, HEAD)
-    own = _classes(pairs, n)
-    m.class_of[:n] = own
-    for k in range(HEAD_CLASSES):
-        at = np.flatnonzero(own == k)
-        m.place[at] = np.arange(len(at))
-        m.inside[k, : len(at)] = True
-        m.by_word[k, : len(at)] = np.log(often[at])
-    mass = np.concatenate([np.bincount(own, often, HEAD_CLASSES), tail_tokens])
-    m.by_class[0] = np.log((mass + 0.5) / (mass + 0.5).sum())
-    for r in range(ROUNDS):
+    spark, m = table.sparkSession, _prepared(counts)
+    size = BLOCK_ROWS * WIDTH
+    blocks = (WIDTH << m.bits) // size
+    for r in range(ROUNDS if m.levels else 0):
         shared = spark.sparkContext.broadcast(m)
 
-        def learn(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            t = Trainer(shared.value)
+        def tallied(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
+            seen, chosen = np.zeros(WIDTH << m.bits, np.int32), np.zeros(WIDTH << m.bits, np.int32)
+            for b in batches:
+                for k in range(b.num_rows):
+                    tally(shared.value, Chunk.of(b.slice(k, 1).to_pylist()[0]), seen, chosen, r)
+            for k in range(blocks):
+                at = slice(k * size, (k + 1) * size)
+                if seen[at].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(seen[at])], pa.binary()), pa.array([_packed(chosen[at])], pa.binary())], names=["block", "seen", "chosen"])
+
+        def summed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            def done(block: int) -> pa.RecordBatch:
+                w = shared.value.weights
+                old = np.zeros(size, np.float32) if w is None else w.ravel()[block * size : (block + 1) * size]
+                return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), _bytes([updated(old, *total)])], names=["block", "data"])
+
+            own, total = None, None
             for b in batches:
                 for row in b.to_pylist():
-                    if int(row["chunk"][:8], 16) % ROUNDS == r:
-                        t.learn(Chunk.of(row), r)
-            for k, (w, met) in enumerate(zip(t.tables, t.met, strict=True)):
-                for a in range(0, len(w), BLOCK_ROWS):
-                    count = met[a : a + BLOCK_ROWS]
-                    if count.any():
-                        data = np.concatenate([(w[a : a + BLOCK_ROWS] * count[:, None]), count[:, None]], axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array([k * 1000 + a // BLOCK_ROWS], pa.int32()), _bytes([data])], names=["block", "data"])
-
-        for block, data in _summed(_tasks(table).mapInArrow(learn, "block int, data binary")).items():
-            target = (m.by_class, m.by_word)[block // 1000]
-            a = block % 1000 * BLOCK_ROWS
-            data = data.reshape(-1, target.shape[1] + 1)
-            met = data[:, -1] > 0
-            target[a : a + len(data)][met] = data[met, :-1] / data[met, -1:]
+                    if row["block"] != own:
+                        if own is not None:
+                            yield done(own)
+                        own, total = row["block"], [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+                    total[0] += _unpacked(row["seen"], size)
+                    total[1] += _unpacked(row["chosen"], size)
+            if own is not None:
+                yield done(own)
+
+        sums = _tasks(table, m.tokens).select("keys", "held", "sizes", "vocab", "tails", "ids").mapInArrow(tallied, "block int, seen binary, chosen binary")
+        sums = sums.repartition(min(blocks, 256), "block").sortWithinPartitions("block").mapInArrow(summed, "block int, data binary")
+        after = np.zeros((1 << m.bits, WIDTH), np.float32) if m.weights is None else m.weights.copy()
+        for row in written(sums, "weights").toLocalIterator():
+            after[row["block"] * BLOCK_ROWS : (row["block"] + 1) * BLOCK_ROWS] = np.frombuffer(row["data"], np.float32).reshape(-1, WIDTH)
+        shared.unpersist()
+        m = Model(m.tokens, m.distinct, m.levels, m.bits, m.mass, m.shares, after)
     return m
 
 
 def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of each text.
 
-    held: which texts the model must not learn from.
+    held: which texts the model must not learn from; where it is null, the text is learned from.
     """
     table = chunks(docs, held, key, text)
     counts = word_counts(table)
-    model = train(table, counts)
-    shared = table.sparkSession.sparkContext.broadcast(model)
+    shared = table.sparkSession.sparkContext.broadcast(train(table, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "chunk"):

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from kithara.llm import maxent
@@ -46,19 +47,76 @@ def test_counts_and_base_against_brute_force_and_the_model_is_better(spark):
     assert all(r.score < 0 for r in got)
 
 
-def test_classes_are_a_distribution(spark):
-    docs = spark.createDataFrame(corpus(60), "doc_id long, text string")
-    table = maxent.chunks(docs, F.lit(False), "doc_id", "text")
+def plain_score(m, rows, counts):
+    """The model's log10 probability of each text, word by word and feature by feature."""
+    mask = 2**64 - 1
+    A, B = int(maxent._A), int(maxent._B)
+
+    def mixed(x):
+        x &= mask
+        x = ((x ^ (x >> 33)) * A) & mask
+        return x ^ (x >> 29)
+
+    def hash_of(w):
+        return int(maxent.END) if w is None else xxhash.xxh64_intdigest(w)
+
+    def ending(w):
+        return maxent.ENDINGS if w is None else (w[-1] * 31 + (w[-2] if len(w) > 1 else 0)) % maxent.ENDINGS
+
+    out = []
+    for _, text in rows:
+        own = words(text)
+        total = 0.0
+        for i, w in enumerate(own):
+            h = [hash_of(own[i - k]) if i >= k else int(maxent.BEGIN) for k in (1, 2, 3)]
+            e = [ending(own[i - k]) if i >= k else maxent.ENDINGS + 1 for k in (1, 2)]
+            one = mixed(h[0] + A)
+            features = [one, mixed(one ^ mixed(h[1] ^ B)), mixed(h[1] + B), mixed(h[2] ^ A), mixed(e[0] + (A ^ B)), mixed(e[0] * 64 + e[1] + (A & B))]
+            code = hash_of(w)
+            for level in range(m.levels):
+                node = code >> (64 - 4 * level) if level else 0
+                branch = (code >> (60 - 4 * level)) & 15
+                z = [float(x) for x in m.shares[level][node]]
+                for f in maxent.BROAD if level < 2 else maxent.NARROW:
+                    row = (((features[f] ^ (((node + 16**level) * B) & mask)) * A) & mask) >> (64 - m.bits)
+                    z = [x + float(y) for x, y in zip(z, m.weights[row], strict=True)]
+                top = max(z)
+                total += z[branch] - top - math.log(sum(math.exp(x - top) for x in z))
+            total += math.log((counts[w] + 0.1) / m.mass[code >> (64 - 4 * m.levels)])
+        out.append(total / math.log(10))
+    return out
+
+
+def test_score_equals_a_plain_loop_over_the_weights(spark):
+    rows = [r for r in corpus() if r[0] != 1003]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 10 == 0
+    table = maxent.chunks(docs, out, "doc_id", "text")
     m = maxent.train(table, maxent.word_counts(table))
-    rng = maxent.np.random.default_rng(0)
-    hist = [rng.integers(0, maxent.SYMBOLS, 50) for _ in range(3)]
-    z = maxent._log_softmax(m.by_class, [maxent.np.zeros(50, int), *maxent._features(hist)])
-    assert maxent.np.allclose(maxent.np.exp(z).sum(1), 1, atol=1e-5)
-    cls = rng.integers(0, maxent.HEAD_CLASSES, 50)
-    live = m.inside[cls].any(1)
-    z = maxent._log_softmax(m.by_word, maxent._word_features(cls, hist), m.inside[cls])
-    assert maxent.np.allclose(maxent.np.exp(z[live]).sum(1), 1, atol=1e-5)
-    assert (m.by_class[1:] != 0).any() and m.inside.sum() == len(m.words)
+    assert m.levels >= 1 and (m.weights != 0).any()
+    assert all(maxent.np.allclose(maxent.np.exp(s).sum(1), 1, atol=1e-5) for s in m.shares)
+    counts = Counter(w for k, t in rows if not held(k) for w in words(t))
+    want = sorted(zip((str(k) for k, _ in rows), plain_score(m, rows, counts), strict=True))
+    got = sorted((str(r.doc_id), r.score) for r in maxent.score(docs, out).collect())
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 * (1 + abs(b[1]))
+
+
+def test_scores_do_not_depend_on_the_run_or_the_number_of_tasks(spark):
+    docs = spark.createDataFrame(corpus(120), "doc_id long, text string")
+    out = F.col("doc_id") % 7 == 0
+    found = [sorted((str(r.doc_id), r.score) for r in maxent.score(docs.repartition(n), out).collect()) for n in (1, 5, 5)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_more_vocabulary_gives_more_classes_and_more_tokens_more_rows(spark):
+    small, large = ([(i, " ".join(f"w{(i * 37 + k) % v}" for k in range(400))) for i in range(n)] for n, v in ((10, 50), (500, 6000)))
+    models = []
+    for rows in (small, large):
+        table = maxent.chunks(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), "doc_id", "text")
+        models.append(maxent.train(table, maxent.word_counts(table)))
+    assert models[0].levels < models[1].levels and models[0].bits < models[1].bits
+    assert models[1].tokens == 500 * 401 and models[1].distinct == 6001
 
 
 def test_nothing_to_learn_and_empty(spark):
