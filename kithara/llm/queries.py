@@ -168,7 +168,8 @@ def op9_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- op10: URL reputation
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-BAD_LIMIT, BOUND_Z = 0.3, 1.645
+#: The bound is that of 90 % confidence; the limit is this share of the bad rate of all labelled pages.
+BOUND_Z, RATE_SHARE = 1.2816, 0.95
 
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +177,7 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     bad = F.when(F.coalesce("toxic", "quality").isNotNull(), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int"))
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    out = url_reputation.judge(pages, outcomes, URL_RULES, BAD_LIMIT, BOUND_Z)
+    out = url_reputation.judge(pages, outcomes, URL_RULES, z=BOUND_Z, share=RATE_SHARE)
     return out.select("page_id", "host", "path", "rule", "verdict", (F.round("bad_low", 6) + 0.0).alias("bad_low"))
 
 
@@ -208,7 +209,7 @@ dk AS {strength('d')}, du AS (SELECT suffix, domain, (bad + k * m) / (n + k) AS
 hm AS (SELECT host, n, bad, m FROM h JOIN du USING (suffix, domain)),
 hk AS {strength('hm')}, rate AS (SELECT host, n, k, (bad + k * m) / (n + k) AS r FROM hm, hk),
 low AS (SELECT host, r - {BOUND_Z} * sqrt(r * (1 - r) / (n + k + 1)) AS bad_low FROM rate)
-SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad_low > {BAD_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad_low > {RATE_SHARE} * (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM h) THEN 'block' ELSE 'allow' END) AS verdict,
   0.0 + round(bad_low, 6) AS bad_low FROM p JOIN low USING (host)"""
 
 

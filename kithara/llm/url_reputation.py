@@ -3,12 +3,15 @@
 Labelled page outcomes (bad or not) are counted by host. The bad rate of a suffix is shrunk to the
 rate of all pages, that of a registered domain to its suffix, that of a host to its domain, each by
 a beta prior whose strength is fitted to the level by moments. A host is blocked where the lower
-bound of its posterior bad rate lies above a limit.
+bound of its posterior bad rate lies above a limit: by default `share` of the rate of all labelled
+pages, so a host goes once it is, with the confidence that `z` asks for, about as bad as the average
+page or worse.
 
 Defined results: a null url or one without `://` has an empty host and path, judged like a host of
 that name; pages without outcomes count for nothing; hosts without outcomes take their domain's
-rate; repeated rows count as often as they come; an empty table gives an empty result;
-input columns named like the added ones are replaced.
+rate; a bound that equals the limit does not block; of rules of one length the later by name wins;
+a very long url is judged whole; repeated rows count as often as they come; an empty table gives an
+empty result; input columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -81,14 +84,15 @@ def _shrunk(strength: float) -> Column:
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, n, bad, bad_rate (posterior mean), bad_low (its lower bound), from host, n, bad."""
+    """host, n, bad, bad_rate (posterior mean), bad_low (its lower bound), all_rate (of all pages), from host, n, bad."""
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     hosts = written(hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    suffixes = suffixes.withColumn("m", F.lit((total["bad"] + 1.0) / (total["n"] + 2.0)))
+    all_rate = (total["bad"] + 1.0) / (total["n"] + 2.0)
+    suffixes = suffixes.withColumn("m", F.lit(all_rate))
     up = suffixes.select("suffix", _shrunk(_strength(suffixes)).alias("m"))
     domains = domains.join(up, "suffix")
     up = domains.select("suffix", "domain", _shrunk(_strength(domains)).alias("m"))
@@ -97,22 +101,24 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     rate = _shrunk(k)
     hosts = hosts.withColumn("bad_rate", rate)
     spread = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("n") + k + 1))
-    return hosts.select("host", "n", "bad", "bad_rate", (F.col("bad_rate") - z * spread).alias("bad_low"))
+    return hosts.select("host", "n", "bad", "bad_rate", (F.col("bad_rate") - z * spread).alias("bad_low"), F.lit(all_rate).alias("all_rate"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), limit: float = 0.3, z: float = 1.645, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), limit: float | None = None, z: float = 1.645, share: float = 1.0, key: str = "page_id", url: str = "url") -> DataFrame:
     """All pages with their columns and host, path, rule, verdict, bad_low.
 
     outcomes: `key` and bad (0 or 1), any number of rows a page; a null bad is no outcome.
+    limit: the bad rate above which a host is blocked; None stands for `share` of the rate of all labelled pages.
     """
-    pages = free_of(pages, ["host", "path", "rule", "verdict", "bad_low", "_action", "_id"])
+    pages = free_of(pages, ["host", "path", "rule", "verdict", "bad_low", "all_rate", "_action", "_id"])
     pages = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     known = outcomes.filter("bad is not null").groupBy(F.col(key).alias("_id")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     counts = pages.select("host", F.col(key).alias("_id")).join(known, "_id", "left")
     counts = counts.select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    standing = written(host_reputation(counts, z).select("host", "bad_low"), "standing")
+    standing = written(host_reputation(counts, z).select("host", "bad_low", "all_rate"), "standing")
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
     judged = pages.join(standing, "host", "left").withColumns({"rule": rule, "_action": action})
-    own = F.when(F.col("bad_low") > limit, F.lit("block")).otherwise(F.lit("allow"))
+    most = F.col("all_rate") * share if limit is None else F.lit(limit)
+    own = F.when(F.col("bad_low") > most, F.lit("block")).otherwise(F.lit("allow"))
     kept = [c for c in pages.columns]
     return judged.withColumn("verdict", F.coalesce("_action", own)).select(*kept, "rule", "verdict", "bad_low")

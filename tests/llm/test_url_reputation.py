@@ -1,7 +1,9 @@
 import math
 
+import pytest
+
 from kithara.llm import url_reputation as ur
-from kithara.llm.queries import URL_RULES
+from kithara.llm.queries import URL_RULES, op10_host_reputation
 
 URLS = [
     None, "", "no scheme.com/en/", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/a", "https://x.www.example.com/en/", "http://example.com", "http://example.com?x=/en/",
@@ -72,7 +74,8 @@ def test_against_brute_force(spark):
     rows = [(i, URLS[i % len(URLS)], "clash") for i in range(400)] + [(1000 + i, f"http://bad{i % 3}.spam.org/{i}", "c") for i in range(90)] + [(None, "http://z.org/", "c"), (3, URLS[3], "c")]
     outcomes = [(i, int(i % 5 == 0)) for i in range(400) if i % 3] + [(1000 + i, 1) for i in range(60)] + [(3, 1), (None, 1), (4, None), (99999, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string").repartition(4)
-    got = ur.judge(pages, spark.createDataFrame(outcomes, "page_id long, bad int"), URL_RULES).collect()
+    table = spark.createDataFrame(outcomes, "page_id long, bad int")
+    got = ur.judge(pages, table, URL_RULES).collect()
     known = {}
     for k, b in outcomes:
         if b is not None:
@@ -85,13 +88,15 @@ def test_against_brute_force(spark):
         hosts[parsed(u)[0]] = (a + n, b + y)
     low = brute_low(hosts, 1.645)
     assert len(got) == len(rows)
+    rate = (sum(y for _, y in hosts.values()) + 1) / (sum(n for n, _ in hosts.values()) + 2)
+    assert all(r.verdict == ("block" if low[r.host] > 0.1 else "allow") for r in ur.judge(pages, table, limit=0.1).collect())
     verdicts = set()
     for r in got:
         host, path = parsed(r.url)
         rule = ruled(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[1]), r
         assert abs(r.bad_low - low[host]) < 1e-9
-        assert r.verdict == (rule[0] if rule else "block" if low[host] > 0.3 else "allow")
+        assert r.verdict == (rule[0] if rule else "block" if low[host] > rate else "allow")
         verdicts.add((rule is None, r.verdict))
     assert verdicts == {(True, "allow"), (True, "block"), (False, "allow"), (False, "block")}
 
@@ -101,3 +106,16 @@ def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, bad int")
     assert ur.judge(pages, none, URL_RULES).first().verdict == "allow"
     assert ur.judge(pages.limit(0), none, URL_RULES).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_method_decides_pages_without_a_rule(spark, sf):
+    got = op10_host_reputation(spark, f"/root/testdata/{sf}").filter("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
+def test_very_long_url(spark):
+    url = "HTTP://" + "a." * 5000 + "net/es/" + "p" * 100_000
+    pages = spark.createDataFrame([(1, url), (1, url)], "page_id long, url string")
+    got = ur.judge(pages, spark.createDataFrame([], "page_id long, bad int"), URL_RULES).collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [("a." * 5000 + "net", "/es/" + "p" * 100_000, "net/es/", "block")] * 2
