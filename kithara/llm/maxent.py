@@ -12,11 +12,12 @@ three back, and the endings of the last word and of the last two (which stand fo
 before). A feature and a class name a row of sixteen weights in one hashed table, whose rows follow
 the number of training tokens.
 
-Training is by distributed gradient updates over all training texts. In each of ROUNDS rounds every
-task counts, for the rows its tokens meet, how often each branch was seen and how often the model of
-the round, sampled once a token, would have chosen it. The sum of the differences is the gradient of
-the likelihood; the update is its scaled form, the log of the ratio of both counts. Counts are
-integers, so neither the order nor the number of tasks changes a weight, and a run repeats itself.
+Training is by distributed gradient updates over all training texts, which a hash of the key deals to
+ROUNDS rounds; each text is learned from in one. In a round every task counts, for the rows its tokens
+meet, how often each branch was seen and how often the model of the round, sampled once a token, would
+have chosen it. The sum of the differences is the gradient of the likelihood; the update is its scaled
+form, the log of the ratio of both counts. Counts are integers, so neither the order nor the number of
+tasks changes a weight, and a run repeats itself.
 
 Counts of words are exact and cover the whole corpus. They are kept by ranges of word hashes, so no
 task or driver holds the vocabulary. Texts are tokenized once, into chunks: one row for some megabytes
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithara.llm.words import Words, byte_buffer, slices, xxh64
-from kithara.session import written
+from kithara.session import dropped, written
 
 #: Branches of a class, words that a last class should hold at most, and most levels (a million last classes).
 WIDTH, LEAF, MOST_LEVELS = 16, 16, 5
-#: Training tokens for a row of the table, and the least and most rows as powers of two (64 MB of weights).
-TOKENS_A_ROW, LEAST_BITS, MOST_BITS = 16, 12, 20
+#: Training tokens for a row of the table, and the least and most rows as powers of two (32 MB of weights).
+TOKENS_A_ROW, LEAST_BITS, MOST_BITS = 32, 12, 20
 ROUNDS, STEP, PRIOR = 2, 2.0, 2.0
 BATCH = 8192
 CHUNK_BYTES = 4 << 20
@@ -189,7 +191,14 @@ class Model:
     bits: int  # the table has 2 ** bits rows
     mass: np.ndarray  # smoothed tokens of each last class
     shares: list[np.ndarray]  # by level: (class, branch), logs of the branches' shares
-    weights: np.ndarray | None = None  # (row, branch); none before the first round
+    weights: np.ndarray | None = None  # (row, branch), in half precision; none before the first round
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        return self.weights.astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -226,7 +235,7 @@ def _branches(m: Model, level: int, node: np.ndarray, rows: list[np.ndarray]) ->
     z = m.shares[level].take(node, axis=0)
     if m.weights is not None:
         for r in rows:
-            z += m.weights.take(r, axis=0)
+            z += m.table.take(r, axis=0)
     z -= z.max(1, keepdims=True)
     return z, np.cumsum(np.exp(z), axis=1)
 
@@ -249,8 +258,9 @@ def tally(m: Model, c: Chunk, seen: np.ndarray, chosen: np.ndarray, round_: int)
     features, code = history(c), leaf_of(c.vocab, m.levels)[c.ids]
     with np.errstate(over="ignore"):
         place = np.arange(len(code)) - np.repeat(np.cumsum(c.sizes) - c.sizes, c.sizes)
-        lot = _mixed(np.repeat(c.keys.view(np.uint64) * _A, c.sizes) + place.astype(np.uint64) * _B + np.uint64(round_))
-    use = np.flatnonzero(np.repeat(c.held == 0, c.sizes))
+        own = _mixed(c.keys.view(np.uint64) * _A)
+        lot = _mixed(np.repeat(own, c.sizes) + place.astype(np.uint64) * _B)
+    use = np.flatnonzero(np.repeat((c.held == 0) & (own % np.uint64(ROUNDS) == round_), c.sizes))
     for a in range(0, len(use), BATCH):
         pick = use[a : a + BATCH]
         own, at = [f[pick] for f in features], code[pick]
@@ -268,7 +278,7 @@ def tally(m: Model, c: Chunk, seen: np.ndarray, chosen: np.ndarray, round_: int)
 
 def updated(weights: np.ndarray, seen: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The weights after a round, from both counts."""
-    return (weights + STEP / len(BROAD) * np.log((seen + PRIOR) / (chosen + PRIOR))).astype(np.float32)
+    return (weights + STEP / len(BROAD) * np.log((seen + PRIOR) / (chosen + PRIOR))).astype(np.float16)
 
 
 def score_chunk(m: Model, c: Chunk, counts: np.ndarray) -> list[np.ndarray]:
@@ -340,7 +350,7 @@ def train(table: DataFrame, counts: DataFrame) -> Model:
         def summed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             def done(block: int) -> pa.RecordBatch:
                 w = shared.value.weights
-                old = np.zeros(size, np.float32) if w is None else w.ravel()[block * size : (block + 1) * size]
+                old = 0 if w is None else w.ravel()[block * size : (block + 1) * size].astype(np.float64)
                 return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), _bytes([updated(old, *total)])], names=["block", "data"])
 
             own, total = None, None
@@ -356,11 +366,13 @@ def train(table: DataFrame, counts: DataFrame) -> Model:
                 yield done(own)
 
         sums = _tasks(table, m.tokens).select("keys", "held", "sizes", "vocab", "tails", "ids").mapInArrow(tallied, "block int, seen binary, chosen binary")
-        sums = sums.repartition(min(blocks, 256), "block").sortWithinPartitions("block").mapInArrow(summed, "block int, data binary")
-        after = np.zeros((1 << m.bits, WIDTH), np.float32) if m.weights is None else m.weights.copy()
-        for row in written(sums, "weights").toLocalIterator():
-            after[row["block"] * BLOCK_ROWS : (row["block"] + 1) * BLOCK_ROWS] = np.frombuffer(row["data"], np.float32).reshape(-1, WIDTH)
-        shared.unpersist()
+        sums = sums.repartition(min(blocks, 32), "block").sortWithinPartitions("block").mapInArrow(summed, "block int, data binary")
+        after = np.zeros((1 << m.bits, WIDTH), np.float16) if m.weights is None else m.weights.copy()
+        blocks_now = written(sums, "weights")
+        for row in blocks_now.toLocalIterator():
+            after[row["block"] * BLOCK_ROWS : (row["block"] + 1) * BLOCK_ROWS] = np.frombuffer(row["data"], np.float16).reshape(-1, WIDTH)
+        dropped(blocks_now)
+        shared.destroy()
         m = Model(m.tokens, m.distinct, m.levels, m.bits, m.mass, m.shares, after)
     return m
 

@@ -79,7 +79,7 @@ def plain_score(m, rows, counts):
                 z = [float(x) for x in m.shares[level][node]]
                 for f in maxent.BROAD if level < 2 else maxent.NARROW:
                     row = (((features[f] ^ (((node + 16**level) * B) & mask)) * A) & mask) >> (64 - m.bits)
-                    z = [x + float(y) for x, y in zip(z, m.weights[row], strict=True)]
+                    z = [x + float(y) for x, y in zip(z, m.weights[row], strict=True)]  # half precision
                 top = max(z)
                 total += z[branch] - top - math.log(sum(math.exp(x - top) for x in z))
             total += math.log((counts[w] + 0.1) / m.mass[code >> (64 - 4 * m.levels)])
