@@ -2,19 +2,27 @@
 
 Lines are compared by their words (lower-cased A-Z, white space apart); blank lines do not count. A
 window is a line and as many after it as are needed for `least_words` words. Every window selects
-the line of the least hash in it as its fingerprint, so a run of lines that repeats and holds a
-window shares a fingerprint with its other occurrence, wherever it begins. Windows whose fingerprint
-occurs once are done with. The others are joined, by the hash of all their lines, with the first
-place (by key, then line) where these lines stand: one row for each later place, never all pairs.
-With `to_ends` there are also the windows that end with a line and begin as many before it as are
-needed: a repeated run then holds a window from its first line and one up to its last. Matched windows
-that overlap or touch are united and the later runs are deleted. Every deleted line still stands
-somewhere; with `to_ends` every run of `least_words` words or more that stands earlier is deleted whole.
+the line of the least hash in it as its fingerprint. A run of lines that repeats and has
+`least_words` words holds a window, so it shares a fingerprint with its other occurrence, wherever it
+begins. Fingerprints that stand in one place only are done with.
+
+Places of a repeated fingerprint are joined with the first place (by key, then line) that has the
+fingerprint in the same window: one row for each later place, never all pairs. The matches are then
+extended. To the left, every line begins a window, so the windows before a match are matches
+themselves as far as the run goes. To the right, where lines are too few for another window, a matched
+window grows line by line, and what it has grown to is again joined with the first place that agrees,
+which may be another than that of the window. Matches of a document that overlap or touch are one run,
+and all later runs are deleted: exactly the lines of those runs of `least_words` words or more that
+stand earlier, in another document or in the same one. Every deleted line still stands somewhere.
+
+A very common line or window is one key of the joins, whose other side has one row a key; adaptive
+execution splits its partition there, and the aggregations combine before they shuffle.
 
 Defined results: a null text stays null; documents are in order of key, nulls last; rows of one key and
 different texts are ordered by a hash of the text; rows that repeat key and text count as one
-document and get the same result; within a document the earliest run stays; an empty table gives an
-empty result; input columns named like the added ones are replaced.
+document and get the same result; within a document the earliest run stays; a very long text, or line,
+is compared whole; an empty table gives an empty result; input columns named like the added ones are
+replaced.
 """
 
 from __future__ import annotations
@@ -23,23 +31,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kithara.llm.words import Words, byte_buffer, slices, xxh64
 from kithara.session import free_of, written
 
 LEAST_WORDS = 20
+#: Runs of one partition that are held in memory to be met by the texts; where there are more, both are sorted.
+HELD_RUNS = 1_000_000
 
 
-def windows_of(texts: pa.Array, least_words: int, to_ends: bool = False) -> tuple[np.ndarray, ...]:
+def _grown(whole: np.ndarray, line: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of runs of k lines, grown by one more."""
+    x = (whole ^ (line + np.uint64(k))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def windows_of(texts: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
     """For each window: its text, first and last line, hash of all its lines, fingerprint, and the line that gave it.
 
-    to_ends: also the windows counted back from each line, where they are not windows already.
+    Then, for what windows can grow to: the window's place in these arrays, the last line, the hash. A
+    window grows while the lines after its first have fewer than least_words words.
     """
     raw, off = byte_buffer(texts)
-    parts = []
+    parts, more_parts, done = [], [], 0
     for a, b in slices(off):
         part, cuts = raw[off[a] : off[b]], off[a : b + 1] - off[a]
         breaks = np.flatnonzero(part == 10) + 1
@@ -59,14 +77,7 @@ def windows_of(texts: pa.Array, least_words: int, to_ends: bool = False) -> tupl
         tail = np.searchsorted(words, words - n[full] + least_words)
         live = tail < len(full)
         live[live] = doc[tail[live]] == doc[live]
-        if to_ends:
-            end = np.arange(len(full))
-            begin = np.searchsorted(words - n[full], words - least_words, "right") - 1
-            back = begin >= 0
-            back[back] = (doc[begin[back]] == doc[back]) & (tail[begin[back]] != end[back])
-            head, tail = np.concatenate([head[live], begin[back]]), np.concatenate([tail[live], end[back]])
-        else:
-            head, tail = head[live], tail[live]
+        head, tail = head[live], tail[live]
         print_, whole, spot = h[head].copy(), h[head].copy(), number[head].copy()
         with np.errstate(over="ignore"):
             more, k = np.flatnonzero(tail > head), 1
@@ -74,79 +85,104 @@ def windows_of(texts: pa.Array, least_words: int, to_ends: bool = False) -> tupl
                 at = h[head[more] + k]
                 less = at < print_[more]
                 print_[more[less]], spot[more[less]] = at[less], number[head[more[less]] + k]
-                x = (whole[more] ^ (at + np.uint64(k))) * np.uint64(0x9E3779B97F4A7C15)
-                whole[more] = x ^ (x >> np.uint64(29))
+                whole[more] = _grown(whole[more], at, k)
                 k += 1
                 more = more[head[more] + k <= tail[more]]
+            own, end, hash_ = np.arange(len(head)), tail.copy(), whole.copy()
+            while len(own):
+                end += 1
+                fits = end < len(full)
+                fits[fits] = (doc[end[fits]] == doc[head[own[fits]]]) & (words[end[fits]] - words[head[own[fits]]] < least_words)
+                own, end = own[fits], end[fits]
+                hash_ = _grown(hash_[fits], h[end], end - head[own])
+                if len(own):
+                    more_parts.append((own + done, number[end], hash_))
         parts.append((doc[head] + a, number[head], number[tail], whole, print_, spot))
-    if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        done += len(head)
+    none = np.zeros(0, np.int64)
+    windows = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none.view(np.uint64), none.view(np.uint64), none)
+    grown = tuple(np.concatenate(x) for x in zip(*more_parts, strict=True)) if more_parts else (none, none, none.view(np.uint64))
+    return *windows, *grown
 
 
-def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text", to_ends: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, same, runs): the later repeated runs of each document that has any, in order.
 
     same: the text's hash. runs: array of (head, tail, source): first and last line from 0, and the key
-    of the document where the first window of the run stands earlier. to_ends: as in `dedup`.
+    of the document where the first window of the run stands earlier.
     """
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
+    names = ["key", "same", "head", "tail", "whole", "print", "spot", "grown"]
+    pair = pa.struct([("tail", pa.int32()), ("whole", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, head, tail, whole, print_, spot = windows_of(b.column(2), least_words, to_ends)
+            doc, head, tail, whole, print_, spot, own, end, hash_ = windows_of(b.column(2), least_words)
+            order = np.argsort(own, kind="stable")
+            items = pa.StructArray.from_arrays([pa.array(end[order].astype(np.int32)), pa.array(hash_[order].view(np.int64))], fields=list(pair))
+            grown = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[order], np.arange(len(doc) + 1)).astype(np.int32)), items)
             at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(print_.view(np.int64)), pa.array(spot.astype(np.int32))],
-                names=["key", "same", "head", "tail", "whole", "print", "spot"],
-            )
+            ints = [pa.array(x.astype(np.int32)) for x in (head, tail, spot)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *ints[:2], pa.array(whole.view(np.int64)), pa.array(print_.view(np.int64)), ints[2], grown], names=names)
 
-    windows = written(docs.mapInArrow(run, f"key {kind}, same long, head int, tail int, whole long, print long, spot int"), "windows")
-    place = F.struct(F.col("key").isNull().alias("none"), "key", "same", "head")
+    windows = written(docs.mapInArrow(run, f"key {kind}, same long, head int, tail int, whole long, print long, spot int, grown array<struct<tail: int, whole: long>>"), "windows")
     # A fingerprint of one place, selected by several windows there, is not repeated.
     spot = F.struct(F.col("key").isNull().alias("none"), "key", "same", "spot")
     prints = windows.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("print")
     open_ = windows.join(prints, "print", "left_semi")
-    first = open_.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = written(first.filter("first != last").select("whole", "first"), "first_places")
-    later = open_.join(first, "whole").filter(place != F.col("first")).select("key", "same", "head", "tail", F.col("first.key").alias("source")).distinct()
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "same", "head")
+
+    def with_first(frame: DataFrame, label: str) -> DataFrame:
+        """The rows whose fingerprint stands in an equal run elsewhere, with the first such place."""
+        first = frame.groupBy("print", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        return frame.join(written(first.filter("first != last").drop("last"), label), ["print", "whole"])
+
+    def later(frame: DataFrame) -> DataFrame:
+        return frame.filter(place != F.col("first")).select("key", "same", "head", "tail", F.col("first.key").alias("source"))
+
+    met = with_first(open_, "first_places")
+    longer = met.select("key", "same", "head", "print", F.explode("grown").alias("g")).select("key", "same", "head", "print", "g.tail", "g.whole")
+    found = later(met).unionByName(later(with_first(longer, "first_places_of_longer"))).distinct()
     in_order = Window.partitionBy("key", "same").orderBy("head", "tail")
     reach = F.max("tail").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    later = later.withColumn("fresh", (F.col("head") > F.coalesce(reach + 1, F.lit(-1))).cast("int"))
-    later = later.withColumn("run", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = later.groupBy("key", "same", "run").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.min_by("source", F.struct("head", "tail")).alias("source"))
+    found = found.withColumn("fresh", (F.col("head") > F.coalesce(reach + 1, F.lit(-1))).cast("int"))
+    found = found.withColumn("run", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = found.groupBy("key", "same", "run").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.min_by("source", F.struct("head", "tail")).alias("source"))
     return runs.groupBy("key", "same").agg(F.array_sort(F.collect_list(F.struct("head", "tail", "source"))).alias("runs"))
 
 
-def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text", to_ends: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows with their columns, the later repeated runs cut from `text`, and line_runs and line_count.
 
     line_runs: the deleted runs as in `repeated_runs` (null where nothing was deleted); line_count: the
-    lines there were. to_ends: runs reach to their last line (the query does so); without it a short
-    tail in no window counted from its first line stays.
+    lines there were.
     """
     docs = free_of(docs, ["line_runs", "line_count", "_same", "_key", "_as"])
-    runs = written(repeated_runs(docs, least_words, key, text, to_ends), "runs")
+    runs = written(repeated_runs(docs, least_words, key, text), "runs")
     runs = runs.select(F.col("key").alias("_key"), F.col("same").alias("_as"), F.col("runs").alias("line_runs"))
+    if runs.count() <= HELD_RUNS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        runs = runs.hint("shuffle_hash")
     rows = docs.withColumn("_same", F.xxhash64(text))
-    rows = rows.join(runs.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_same") == F.col("_as")), "left")
+    rows = rows.join(runs, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_same") == F.col("_as")), "left")
     rows = rows.select(*docs.columns, "line_runs")
     names, at = rows.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, cuts, counts = b.column(at).to_pylist(), b.column(len(names) - 1).to_pylist(), []
-            for i, (t, c) in enumerate(zip(texts, cuts, strict=True)):
-                counts.append(None if t is None else t.count("\n") + 1)
-                if t is not None and c:
+            texts, cuts = b.column(at), b.column(len(names) - 1)
+            counts = pc.add(pc.count_substring(texts, "\n"), 1).cast(pa.int64())
+            cut = pc.is_valid(cuts)
+            if pc.any(cut).as_py():
+                fresh = []
+                for t, c in zip(texts.filter(cut).to_pylist(), cuts.filter(cut).to_pylist(), strict=True):
                     lines = t.split("\n")
                     for r in reversed(c):
                         del lines[r["head"] : r["tail"] + 1]
-                    texts[i] = "\n".join(lines)
+                    fresh.append("\n".join(lines))
+                texts = pc.replace_with_mask(texts, cut, pa.array(fresh, texts.type))
             columns = list(b.columns)
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "line_count"])
+            columns[at] = texts
+            yield pa.RecordBatch.from_arrays([*columns, counts], names=[*names, "line_count"])
 
-    fields = [StructField(f.name, StringType()) if f.name == text else f for f in rows.schema.fields]
-    return rows.mapInArrow(run, StructType([*fields, StructField("line_count", LongType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("line_count", LongType())]))

@@ -47,8 +47,35 @@ def test_runs_are_deleted_to_their_ends(spark):
         rows.append((i, "\n".join(lines)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = whole_runs(rows, LEAST)
-    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs, LEAST, to_ends=True).collect()) == want
-    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs, LEAST).collect()) != want
+    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs, LEAST).collect()) == want
+
+
+def lines_of(*words):
+    """A run of lines of so many words."""
+    return "\n".join(" ".join(f"r{i}x{k}" for k in range(n)) for i, n in enumerate(words))
+
+
+def test_runs_whose_ends_hold_no_window(spark):
+    texts = [(1, "first of one\n" + lines_of(20, 5, 6) + "\nend of one"), (2, "first of two\n" + lines_of(20, 5, 6) + "\nend of two")]
+    long_ = lines_of(5, 20, 9, 10).replace("r", "q")
+    texts += [(3, "first of three\n" + long_ + "\nend of three"), (4, long_)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: texts[0][1], 2: "first of two\nend of two", 3: texts[2][1], 4: ""}
+
+
+def test_a_longer_run_may_stand_elsewhere_than_its_first_window(spark):
+    window, tail = lines_of(12, 12), "two words"
+    texts = [(1, window + "\nother line"), (2, window + "\n" + tail + "\nown of two"), (3, window + "\n" + tail + "\nown of three")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: texts[0][1], 2: tail + "\nown of two", 3: "own of three"}
+
+
+def test_a_hot_line_and_a_hot_window(spark):
+    """One run in every document, and one line that is common but never in a repeated run."""
+    run = lines_of(8, 9, 7)
+    texts = [(i, f"own {i} first\nthe common line\nown {i} then\n{run}\nlast {i}") for i in range(3000)]
+    found = line_dedup.repeated_runs(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == 2999 and all([tuple(x) for x in r.runs] == [(3, 5, 0)] for r in found)
 
 
 def test_query_deletes_short_tail(spark, tmp_path):
