@@ -3,7 +3,12 @@
 The items are the indexed documents, each passage of the training text is a query. A passage is
 2 L words long and begins every L words, where L is the longest item's length, so an item that lies
 in a text lies in a passage whole. The score of an item is its BM25 score divided by the score it
-would have if the passage held all of it, so one threshold serves items of every length.
+would have if the passage held all of it, so one threshold serves items of every length. Document
+frequencies and the mean length are those of all items.
+
+The index is sparse and broadcast. Its size is bounded: it holds PASS_ENTRIES pairs of item and term at
+most, and more items take more passes over the documents. The statistics are the same in every pass, so
+the rows found do not depend on how items fall into passes.
 
 The search is block-max WAND, run for many passages at once. Terms are numbered by their greatest
 impact on any item. Over a passage's terms in that order, those before the running sum reaches the
@@ -15,9 +20,12 @@ above the threshold are retrieved; nothing is cut off.
 What was retrieved is verified by five-word shingles: `overlap` of the item's question and of its
 answer must stand in the passage.
 
-Defined results: null and empty texts match nothing; items without words are not indexed; of an item
-of several rows each row is searched; a question or answer of fewer than five words is one shingle of
-its length, an empty one needs no overlap; repeated documents match each; empty tables give an empty result.
+Defined results: null and empty texts match nothing; a very long text is searched whole, passage by
+passage; items without words are not indexed; of an item of several rows each different row is
+searched; a question or answer of fewer than five words is one shingle of its length, an empty one
+needs no overlap; of the passages of a text that hold an item the best by score counts, then the
+earliest; repeated documents match each; columns other than those named are not read, and `clean`
+keeps them all, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +35,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from kithara.llm.words import BY_ALNUM, Words, byte_buffer, slices, xxh64
 from kithara.session import free_of, written
@@ -36,8 +46,8 @@ from kithara.session import free_of, written
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 BLOCK, SHARD = 4, 1024
-#: Items of one pass over the documents; this bounds what is broadcast. More items take more passes.
-PASS = 20_000
+#: Pairs of item and term in one pass over the documents: 64 to 128 MB of index. More take more passes.
+PASS_ENTRIES = 4_000_000
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -68,16 +78,40 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return text, ""
 
 
+@dataclass
+class Rows:
+    """Sparse rows: row r has terms[at[r] : at[r + 1]] with their values."""
+
+    at: np.ndarray
+    terms: np.ndarray
+    values: np.ndarray
+
+    def sums(self, row: np.ndarray, group: np.ndarray, codes: np.ndarray, terms: int) -> np.ndarray:
+        """For each i the sum of row[i]'s values over the terms of group[i]; codes: group * terms + term, ascending."""
+        out = np.empty(len(row), np.float32)
+        n = np.diff(self.at)[row]
+        step = max(1, (1 << 20) // max(1, int(n.max(initial=1))))
+        for a in range(0, len(row), step):
+            size = n[a : a + step]
+            ends = np.cumsum(size)
+            at = np.repeat(self.at[row[a : a + step]] - ends + size, size) + np.arange(ends[-1])
+            key = np.repeat(group[a : a + step] * terms, size) + self.terms[at]
+            place = np.minimum(np.searchsorted(codes, key), len(codes) - 1)
+            out[a : a + step] = np.add.reduceat(np.where(codes[place] == key, self.values[at], np.float32(0)), ends - size)
+        return out
+
+
 @dataclass
 class Shard:
     """An inverted index of up to SHARD items."""
 
+    first: int  # the place of its first item among all of the index
     terms: np.ndarray  # term hashes, ascending
     number: np.ndarray  # of each term, by greatest impact
     sieve: np.ndarray  # whether a term may have these low 16 bits
     greatest: np.ndarray  # impact by term number
-    impact: np.ndarray  # (item, term number)
-    block: np.ndarray  # (block, term number): the greatest impact in the block
+    impact: Rows  # by item
+    block: Rows  # by block: the greatest impacts in the block
     posting_at: np.ndarray
     posting: np.ndarray  # blocks that hold a term number
 
@@ -90,50 +124,44 @@ class Index:
     shards: list[Shard]
 
 
-def build(items: list[tuple]) -> Index:
-    """An index of (id, question, answer)."""
-    both = word_hashes([q for _, q, _ in items]), word_hashes([a for _, _, a in items])
-    words = [np.concatenate(x) for x in zip(*both, strict=True)]
-    kept = [i for i, w in enumerate(words) if len(w)]
-    words = [words[i] for i in kept]
-    parts = [tuple((k := min(SHINGLE, len(x[i])), np.unique(shingles(x[i], k))) for x in both) for i in kept]
-    mean = np.mean([len(w) for w in words]) if words else 1
-    n = len(words)
-    all_terms, df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+@dataclass
+class Item:
+    item: object
+    parts: tuple
+    terms: np.ndarray
+    impact: np.ndarray
+
+
+def build(items: list[Item], length: int) -> Index:
+    """An index of weighted items; length: words of half a passage."""
     shards = []
-    for a in range(0, n, SHARD):
-        own = words[a : a + SHARD]
-        terms = np.unique(np.concatenate(own))
-        weight = idf[np.searchsorted(all_terms, terms)]
-        impact = np.zeros((len(own), len(terms)), np.float32)
-        for i, w in enumerate(own):
-            t, tf = np.unique(w, return_counts=True)
-            at = np.searchsorted(terms, t)
-            score = weight[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-            impact[i, at] = score / score.sum()
-        order = np.argsort(impact.max(0), kind="stable")
+    for a in range(0, len(items), SHARD):
+        own = items[a : a + SHARD]
+        size = np.array([len(x.terms) for x in own])
+        terms, term = np.unique(np.concatenate([x.terms for x in own]), return_inverse=True)
+        impact = np.concatenate([x.impact for x in own]).astype(np.float32)
+        greatest = np.zeros(len(terms), np.float32)
+        np.maximum.at(greatest, term, impact)
+        order = np.argsort(greatest, kind="stable")
         number = np.empty(len(terms), np.int64)
         number[order] = np.arange(len(terms))
-        impact = impact[:, order]
-        block = np.maximum.reduceat(impact, np.arange(0, len(own), BLOCK), axis=0)
-        t, b = np.nonzero(block.T)
+        term = number[term]
+        blocks = -(-len(own) // BLOCK)
+        pair = np.repeat(np.arange(len(own)) // BLOCK, size) * len(terms) + term
+        pair, at = np.unique(pair, return_inverse=True)
+        most = np.zeros(len(pair), np.float32)
+        np.maximum.at(most, at, impact)
+        block, of = pair // len(terms), pair % len(terms)
+        by_term = np.lexsort((block, of))
         sieve = np.zeros(1 << 16, bool)
         sieve[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-        shards.append(Shard(terms, number, sieve, impact.max(0), impact, block, np.searchsorted(t, np.arange(len(terms) + 1)), b))
-    return Index(max([32, *map(len, words)]), [items[i][0] for i in kept], parts, shards)
-
-
-def _sums(table: np.ndarray, row: np.ndarray, term: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each i the sum of table[row[i], term[head[i] : head[i] + size[i]]]."""
-    out = np.empty(len(row), np.float32)
-    step = max(1, (1 << 21) // max(1, int(size.max(initial=1))))
-    for a in range(0, len(row), step):
-        n = size[a : a + step]
-        ends = np.cumsum(n)
-        at = np.repeat(head[a : a + step] - ends + n, n) + np.arange(ends[-1])
-        out[a : a + step] = np.add.reduceat(table[np.repeat(row[a : a + step], n), term[at]], ends - n)
-    return out
+        shards.append(Shard(
+            a, terms, number, sieve, greatest[order],
+            Rows(np.concatenate([[0], np.cumsum(size)]), term, impact),
+            Rows(np.searchsorted(block, np.arange(blocks + 1)), of, most),
+            np.searchsorted(of[by_term], np.arange(len(terms) + 1)), block[by_term],
+        ))
+    return Index(length, [x.item for x in items], [x.parts for x in items], shards)
 
 
 def search(s: Shard, h: np.ndarray, place: np.ndarray, base: np.ndarray, length: int, threshold: float) -> tuple[np.ndarray, ...]:
@@ -167,16 +195,18 @@ def search(s: Shard, h: np.ndarray, place: np.ndarray, base: np.ndarray, length:
     n = np.diff(s.posting_at)[term[pivot]]
     ends = np.cumsum(n)
     blocks = s.posting[np.repeat(s.posting_at[term[pivot]] - ends + n, n) + np.arange(ends[-1])]
-    cand = np.unique(np.repeat(rank[pivot], n) * len(s.block) + blocks)
-    group, block = cand // len(s.block), cand % len(s.block)
-    keep = _sums(s.block, block, term, head[group], size[group]) >= slack
+    in_all = len(s.block.at) - 1
+    cand = np.unique(np.repeat(rank[pivot], n) * in_all + blocks)
+    group, block = cand // in_all, cand % in_all
+    codes = rank * v + term
+    keep = s.block.sums(block, group, codes, v) >= slack
     group = np.repeat(group[keep], BLOCK)
     item = (block[keep][:, None] * BLOCK + np.arange(BLOCK)).ravel()
-    inside = item < len(s.impact)
+    inside = item < len(s.impact.at) - 1
     group, item = group[inside], item[inside]
     if not len(item):
         return none
-    score = _sums(s.impact, item, term, head[group], size[group])
+    score = s.impact.sums(item, group, codes, v)
     keep = score >= slack
     return passage[head[group[keep]]], item[keep], score[keep]
 
@@ -195,12 +225,12 @@ def matches_of(index: Index, texts: pa.Array, threshold: float, overlap: float)
         base = np.cumsum(passages) - passages
         doc = np.repeat(np.arange(b - a), n)
         place = np.arange(len(h)) - w.first[doc]
-        for k, s in enumerate(index.shards):
+        for s in index.shards:
             for passage, item, score in zip(*search(s, h, place, base[doc], index.length, threshold), strict=True):
                 d = int(np.searchsorted(base, passage, "right")) - 1
                 start = (int(passage) - int(base[d])) * index.length
                 own = h[w.first[d] + start : min(w.first[d] + start + 2 * index.length, w.first[d + 1])]
-                i = k * SHARD + int(item)
+                i = s.first + int(item)
                 q, ans = (float(np.isin(p, shingles(own, size)).mean()) if size else 1.0 for size, p in index.parts[i])
                 if q >= overlap and ans >= overlap:
                     found = (float(score), q, ans, -start)
@@ -208,40 +238,72 @@ def matches_of(index: Index, texts: pa.Array, threshold: float, overlap: float)
     return [(d, i, s, q, ans, -p) for (d, i), (s, q, ans, p) in sorted(best.items())]
 
 
+def weighted_items(items: DataFrame, item: str, question: str, answer: str) -> tuple[DataFrame, int, int]:
+    """The different items that have words, with their terms' shares of the score; the longest's words, and all entries.
+
+    Rows: item, q_size, q_prints, a_size, a_prints, and entries: array of (term, score), by term.
+    """
+    rows = items.select(F.col(item).alias("item"), F.coalesce(question, F.lit("")).alias("q"), F.coalesce(answer, F.lit("")).alias("a")).distinct()
+    kind = rows.schema["item"].dataType.simpleString()
+    names = ["id", "item", "words", "q_size", "q_prints", "a_size", "a_prints", "terms", "tf"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [word_hashes(b.column(k).to_pylist()) for k in (2, 3)]
+            words = [np.concatenate(x) for x in zip(*both, strict=True)]
+            kept = pa.array([i for i, w in enumerate(words) if len(w)], pa.int64())
+            found = [np.unique(words[i], return_counts=True) for i in kept.to_pylist()]
+            parts = []
+            for own in both:
+                size = [min(SHINGLE, len(own[i])) for i in kept.to_pylist()]
+                parts += [pa.array(size, pa.int32()), pa.array([np.unique(shingles(own[i], k)).tobytes() for i, k in zip(kept.to_pylist(), size, strict=True)], pa.binary())]
+            lists = [pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept), pa.array([len(words[i]) for i in kept.to_pylist()], pa.int32()), *parts, *lists], names=names)
+
+    keyed = rows.select(F.xxhash64("item", "q", "a").alias("id"), "item", "q", "a")
+    known = written(keyed.mapInArrow(run, f"id long, item {kind}, words int, q_size int, q_prints binary, a_size int, a_prints binary, terms array<long>, tf array<int>"), "items")
+    n, mean, longest, entries = known.agg(F.count("*"), F.avg("words"), F.max("words"), F.sum(F.size("terms"))).first()
+    each = known.select("id", "words", F.explode(F.arrays_zip("terms", "tf")).alias("e")).select("id", "words", F.col("e.terms").alias("term"), F.col("e.tf").alias("tf"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / (mean or 1.0)))
+    scored = each.join(df, "term").select("id", F.struct("term", score.alias("score")).alias("e"))
+    scored = scored.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+    return known.drop("terms", "tf", "words").join(scored, "id"), max(32, longest or 0), entries or 0
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", question: str = "question", answer: str = "answer", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(key, item, bm25_share, question_overlap, answer_overlap, word) for each item that a document holds."""
     docs = docs.select(key, text)
-    out = None
-    ids = dict(items.dtypes)[item]
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, `{item}` {ids}, bm25_share double, question_overlap double, answer_overlap double, word long"
-    rows = items.select(item, F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit(""))).orderBy(item, question, answer)
-    chunk: list = []
+    known, length, entries = weighted_items(items, item, question, answer)
+    passes = max(1, -(-entries // PASS_ENTRIES))
+    known = written(known.withColumn("pass", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(passes)).cast("int")), "weighted_items")
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, `{item}` {dict(items.dtypes)[item]}, bm25_share double, question_overlap double, answer_overlap double, word long"
+    target = to_arrow_schema(_parse_datatype_string(schema))
 
-    def one_pass(chunk: list) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(build(chunk))
+    def one(r: Row) -> Item:
+        prints = [(r[f"{c}_size"], np.frombuffer(r[f"{c}_prints"], np.uint64)) for c in "qa"]
+        score = np.array([e["score"] for e in r["entries"]])
+        return Item(r["item"], tuple(prints), np.array([e["term"] for e in r["entries"]], np.int64).view(np.uint64), score / score.sum())
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = None
+    for k in range(passes):
+        own = sorted((one(r) for r in known.filter(F.col("pass") == k).toLocalIterator()), key=lambda x: (str(x.item), x.terms.tobytes()))
+        shared = docs.sparkSession.sparkContext.broadcast(build(own, length))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in batches:
                 found = matches_of(index, b.column(1), threshold, overlap) if index.shards else []
                 d, i, *rest = zip(*found, strict=True) if found else ([],) * 6
-                names = pa.array([index.items[x] for x in i]) if i else pa.array([], target.field(1).type)
-                arrays = [b.column(0).take(pa.array(d, pa.int64())), names.cast(target.field(1).type), *(pa.array(x, t) for x, t in zip(rest, (pa.float64(),) * 3 + (pa.int64(),), strict=True))]
+                names = pa.array([index.items[x] for x in i], target.field(1).type)
+                arrays = [b.column(0).take(pa.array(d, pa.int64())), names, *(pa.array(x, t) for x, t in zip(rest, (pa.float64(),) * 3 + (pa.int64(),), strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=target.names)
 
-        return docs.mapInArrow(run, schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    target = to_arrow_schema(_parse_datatype_string(schema))
-    for r in rows.toLocalIterator():
-        chunk.append(tuple(r))
-        if len(chunk) == PASS:
-            part, chunk = one_pass(chunk), []
-            out = part if out is None else out.unionByName(part)
-    if chunk or out is None:
-        part = one_pass(chunk)
+        part = docs.mapInArrow(run, schema)
+        if passes > 1:  # one index at a time on the driver and the executors
+            part = written(part, "matches")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 

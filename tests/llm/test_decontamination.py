@@ -3,7 +3,6 @@ import random
 import re
 from collections import Counter
 
-import pyarrow as pa
 import pytest
 
 from kithara.llm import decontamination as dc
@@ -67,31 +66,42 @@ def corpus(seed=1, n_items=60):
     return docs + [(500, None), (501, ""), (502, docs[0][1]), (None, docs[1][1])], items
 
 
-@pytest.mark.parametrize("shard", [1024, 16])
-def test_equals_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "entries"), [(1024, 4_000_000), (16, 4_000_000), (1024, 300), (7, 40)])
+def test_equals_brute_force_whatever_the_shards_and_passes(spark, monkeypatch, shard, entries):
     monkeypatch.setattr(dc, "SHARD", shard)
+    monkeypatch.setattr(dc, "PASS_ENTRIES", entries)
     docs, items = corpus()
     want = slow(docs, items)
-    index = dc.build(items)
-    got = {(docs[d][0], index.items[i]) for d, i, *_ in dc.matches_of(index, pa.array([t for _, t in docs]), dc.THRESHOLD, dc.OVERLAP)}
-    assert got == want and len(want) > 30
+    frame = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, bm25_share int, _key int").repartition(4)
+    table = spark.createDataFrame([(*x, "clash") for x in [*items, items[3]]], "item_id long, question string, answer string, text string")
+    rows = dc.matches(frame, table).collect()
+    assert sorted((str(r.doc_id), r.item_id) for r in rows) == sorted((str(d), i) for d, i in want) and len(want) > 30
+    kept = dc.clean(frame.drop("_key"), table)
+    assert kept.columns == ["doc_id", "text", "bm25_share"]
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_operator(spark, monkeypatch):
+def test_reported_shares_do_not_depend_on_the_passes(spark, monkeypatch):
     docs, items = corpus(2)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     table = spark.createDataFrame(items, "item_id long, question string, answer string")
-    found = dc.matches(frame, table)
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == slow(docs, items)
-    monkeypatch.setattr(dc, "PASS", 25)
-    split = {(r.doc_id, r.item_id) for r in dc.matches(frame, table).collect()}
-    assert {d for d, _ in slow(docs, items)} - {d for d, _ in split} == set()
-    kept = {r.doc_id for r in dc.clean(frame, table).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in split}
+    whole = sorted(map(str, dc.matches(frame, table).collect()))
+    monkeypatch.setattr(dc, "PASS_ENTRIES", 100)
+    assert sorted(map(str, dc.matches(frame, table).collect())) == whole and whole
     for a, b in ((frame.limit(0), table), (frame, table.limit(0))):
         assert dc.matches(a, b).count() == 0
 
 
+def test_item_inside_a_very_long_text(spark):
+    rnd = random.Random(3)
+    pick = lambda k: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(k))
+    question, answer = pick(30), pick(8)
+    docs = [(1, pick(150_000) + " " + question + " " + answer + " " + pick(50_000)), (2, pick(100_000))]
+    table = spark.createDataFrame([(7, question, answer)], "item_id long, question string, answer string")
+    found = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 7)] and 149_900 <= found[0].word <= 150_000
+
+
 def test_split_of_items(spark):
     items = spark.createDataFrame([(1, "Who is it?\nNobody at all"), (2, "One. Two. Three"), (3, "only"), (4, None), (5, "a\n")], "item_id long, text string")
     got = {r.item_id: (r.question, r.answer) for r in dc.split_items(items).collect()}
