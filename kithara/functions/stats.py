@@ -1,7 +1,7 @@
 """Enrichment statistics: tails of the normal, binomial and hypergeometric laws, and false-discovery rates.
 
-The tails are Arrow functions over one row a cluster: neither log-gamma nor the error function exists
-as a Spark expression. All else is expressions.
+The tails are Arrow functions over one row a cluster, in numpy over a whole batch: neither log-gamma nor
+the error function exists as a Spark expression. All else is expressions.
 """
 
 from __future__ import annotations
@@ -28,93 +28,153 @@ def log10_fold_change(a: Column, b: Column, s: Column, n: Column) -> Column:
     return F.log10(((a + 1e-9) / F.nullif(s, F.lit(0.0))) / ((b + 1e-9) / F.nullif(n, F.lit(0.0))))
 
 
+def erfc(x: np.ndarray) -> np.ndarray:
+    """The complementary error function of x >= 0: by its series up to 2.5, beyond by its continued fraction."""
+    x = np.asarray(x, float)
+    out = np.empty_like(x)
+    low = x < 2.5
+    y = x[low]
+    term, total = y.copy(), y.copy()
+    for k in range(1, 60):
+        term = term * (-y * y) / k
+        total += term / (2 * k + 1)
+    out[low] = 1 - 2 / math.sqrt(math.pi) * total
+    y = x[~low]
+    fraction = y.copy()
+    for k in range(80, 0, -1):
+        fraction = y + k / 2 / fraction
+    out[~low] = np.exp(-y * y) / (math.sqrt(math.pi) * fraction)
+    return out
+
+
+def _of_known(f, z: pd.Series) -> pd.Series:
+    x = z.to_numpy(dtype=float, na_value=np.nan)
+    known = ~np.isnan(x)
+    out = np.full(len(x), np.nan)
+    out[known] = f(x[known])
+    return pd.Series(out).where(known, None)
+
+
 @F.pandas_udf(DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if x != x or x is None else 1 + math.erf(-abs(x) / math.sqrt(2)))
+    return _of_known(lambda x: erfc(np.abs(x) / math.sqrt(2)), z)
 
 
 @F.pandas_udf(DoubleType())
 def centred_normal(z: pd.Series) -> pd.Series:
     """2 (Phi(z) - 1/2): the exploratory local statistic."""
-    return z.map(lambda x: None if x != x or x is None else math.erf(x / math.sqrt(2)))
+    return _of_known(lambda x: np.sign(x) * (1 - erfc(np.abs(x) / math.sqrt(2))), z)
+
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The log of the gamma function of x > 0: Stirling's series, from x + 10 down where x is small."""
+    x = np.asarray(x, float)
+    y = np.where(x < 10, x + 10, x)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+    down = np.zeros_like(y)
+    for k in range(10):
+        down += np.log(np.where(x < 10, x + k, 1.0))
+    return out - down
 
-def _log_beta_cf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz)."""
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fractions of the incomplete beta function (Lentz), those that have settled left out."""
     tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
+    kept = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(x), 1 / kept(1 - (a + b) * x / (a + 1))
+    h, open_ = d.copy(), np.arange(len(x))
     for m in range(1, 20000):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
+        p, q, y = a[open_], b[open_], x[open_]
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d[open_] = 1 / kept(1 + num * d[open_])
+            c[open_] = kept(1 + num / c[open_])
+            h[open_] *= d[open_] * c[open_]
+        open_ = open_[np.abs(d[open_] * c[open_] - 1) >= 1e-15]
+        if not len(open_):
             break
     return h
 
 
-def regularized_beta(x: float, a: float, b: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _log_beta_cf(a, b, x) / a
-    return 1 - front * _log_beta_cf(b, a, 1 - x) / b
+def regularized_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x, a, b = (np.atleast_1d(v).astype(float) for v in np.broadcast_arrays(x, a, b))
+    out = (x >= 1).astype(float)
+    own = np.flatnonzero((x > 0) & (x < 1))
+    x, a, b = x[own], a[own], b[own]
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x))
+    left = x < (a + 1) / (a + b + 2)
+    part = np.empty_like(x)
+    part[left] = front[left] * _beta_fraction(a[left], b[left], x[left]) / a[left]
+    part[~left] = 1 - front[~left] * _beta_fraction(b[~left], a[~left], 1 - x[~left]) / b[~left]
+    out[own] = part
+    return out
 
 
-def binomial_sf(k: int, n: int, p: float) -> float:
+def binomial_sf(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     """P(X > k)."""
-    if k < 0:
-        return 1.0
-    return 0.0 if k >= n else regularized_beta(p, k + 1, n - k)
+    k, n, p = (np.atleast_1d(v).astype(float) for v in np.broadcast_arrays(k, n, p))
+    inside = (k >= 0) & (k < n)
+    out = (k < 0).astype(float)
+    out[inside] = regularized_beta(p[inside], k[inside] + 1, n[inside] - k[inside])
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def binomial_min_tail(a: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:
     """min(P(X > a), P(X <= a)) for X of s draws."""
-    out = []
-    for k, n, q in zip(a, s, p, strict=True):
-        t = binomial_sf(int(k), int(n), q)
-        out.append(min(t, 1 - t))
-    return pd.Series(out, dtype=float)
+    t = binomial_sf(a.to_numpy(float), s.to_numpy(float), p.to_numpy(float))
+    return pd.Series(np.minimum(t, 1 - t))
 
 
 @F.pandas_udf(DoubleType())
 def binomial_upper_tail(a: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:
     """P(X >= a); for p = 0 it is 0 if a > 0, else 1."""
-    return pd.Series([(0.0 if k > 0 else 1.0) if q <= 0 else binomial_sf(int(k) - 1, int(n), q) for k, n, q in zip(a, s, p, strict=True)], dtype=float)
+    k, n, q = (v.to_numpy(float) for v in (a, s, p))
+    return pd.Series(np.where(q <= 0, (k <= 0).astype(float), binomial_sf(k - 1, n, np.maximum(q, 0))))
+
+
+#: Tables of a margin that are held at once.
+TABLES = 1 << 20
 
 
-def hypergeometric(a: int, b: int, c: int, d: int) -> tuple[np.ndarray, int]:
-    """Probabilities of all tables with the margins of [[a, b], [c, d]], and the place of this one."""
+def hypergeometric(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of all tables with the margins of each [[a, b], [c, d]], where those of each begin, and the place of its own."""
+    a, b, c, d = (np.asarray(v).astype(np.int64) for v in (a, b, c, d))
     row, col, n = a + b, a + c, a + b + c + d
-    low, high = max(0, col - (n - row)), min(row, col)
-    lg = math.lgamma
-    whole = lg(row + 1) + lg(n - row + 1) + lg(col + 1) + lg(n - col + 1) - lg(n + 1)
-    logs = np.array([whole - lg(x + 1) - lg(row - x + 1) - lg(col - x + 1) - lg(n - row - col + x + 1) for x in range(low, high + 1)])
-    return np.exp(logs), a - low
+    low = np.maximum(0, col - (n - row))
+    size = np.minimum(row, col) - low + 1
+    begin = np.cumsum(size) - size
+    whole = log_gamma(row + 1) + log_gamma(n - row + 1) + log_gamma(col + 1) + log_gamma(n - col + 1) - log_gamma(n + 1)
+    of = np.repeat(np.arange(len(a)), size)
+    x = np.arange(len(of)) - begin[of] + low[of]
+    logs = whole[of] - log_gamma(x + 1) - log_gamma(row[of] - x + 1) - log_gamma(col[of] - x + 1) - log_gamma(n[of] - row[of] - col[of] + x + 1)
+    return np.exp(logs), begin, begin + a - low
+
+
+def _fisher(sides, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Sums of sides(probabilities, own probability, whether at or above the own table), in slices of TABLES tables."""
+    cells = [v.to_numpy(float).astype(np.int64) for v in (a, b, c, d)]
+    size = np.minimum(cells[0] + cells[1], cells[0] + cells[2]) + 1
+    out, i = np.zeros(len(size)), 0
+    ends = np.cumsum(size)
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TABLES, "right")))
+        p, begin, at = hypergeometric(*(v[i:j] for v in cells))
+        n = np.diff(np.append(begin, len(p)))
+        keep = sides(p, np.repeat(p[at], n), np.arange(len(p)) >= np.repeat(at, n))
+        out[i:j] = np.add.reduceat(np.where(keep, p, 0.0), begin)
+        i = j
+    return pd.Series(np.minimum(out, 1.0))
 
 
 @F.pandas_udf(DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    out = []
-    for t in zip(a, b, c, d, strict=True):
-        p, at = hypergeometric(*map(int, t))
-        out.append(min(1.0, float(p[at:].sum())))
-    return pd.Series(out, dtype=float)
+    return _fisher(lambda p, own, above: above, a, b, c, d)
 
 
 @F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    out = []
-    for t in zip(a, b, c, d, strict=True):
-        p, at = hypergeometric(*map(int, t))
-        out.append(min(1.0, float(p[p <= p[at] * (1 + 1e-7)].sum())))
-    return pd.Series(out, dtype=float)
+    return _fisher(lambda p, own, above: p <= own * (1 + 1e-7), a, b, c, d)
 
 
 def with_fdr(df: DataFrame, p: str, q: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:

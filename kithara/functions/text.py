@@ -34,8 +34,48 @@ def chain_name(marker: Column) -> Column:
     return F.when(m.startswith("TRB") | (m == "BETA"), "beta").when(m.startswith("TRA") | (m == "ALPHA"), "alpha")
 
 
+def chain_of_columns(df: DataFrame, default: str = "beta") -> Column:
+    """The chain of each row: from a chain or locus column, or else from which chain's columns the table has."""
+    for c in ("chain", "locus"):
+        if c in df.columns:
+            return F.coalesce(chain_name(F.col(f"`{c}`")), F.lit(default))
+    if any(c in df.columns for c in BETA_COLUMNS):
+        return F.lit("beta")
+    return F.lit("alpha" if any(c in df.columns for c in ALPHA_COLUMNS) else default)
+
+
+#: Columns that only tables of one chain have (fixed values).
+BETA_COLUMNS = ("cdr3aa_TRB", "v_TRB", "j_TRB", "TRBV", "TRBJ", "cdr3_beta_aa")
+ALPHA_COLUMNS = ("cdr3aa_TRA", "v_TRA", "j_TRA", "TRAV", "TRAJ", "cdr3_alpha_aa")
+
+
 def source_of_id(clone_id: Column) -> Column:
-    return F.when(clone_id.startswith("s_"), "sample").when(clone_id.startswith("b_"), "background")
+    """sample or background from the id's prefix; any other id is an error."""
+    failed = F.raise_error(F.concat(F.lit("no source in the id "), F.coalesce(clone_id, F.lit("null")))).cast("string")
+    return F.when(clone_id.startswith("s_"), "sample").when(clone_id.startswith("b_"), "background").otherwise(failed)
+
+
+def starts_with_motif(sequence: Column, motif: str) -> Column:
+    """Whether a sequence begins with a motif, which may be a pattern such as `CAS[SR]..G`."""
+    return F.coalesce(sequence.rlike(f"^(?:{motif})"), F.lit(False))
+
+
+#: Parts of a tagged run name: what they stand for, and their type (fixed values).
+RUN_TAGS = {
+    "kn": ("k_neighbors", "int"), "ekn": ("eps_k_neighbors", "int"), "ms": ("cluster_min_samples", "int"), "eps": ("eps_estimation_based_on", "string"),
+    "sym": ("vdbscan_sym_rule", "string"), "lr": ("leiden_resolution", "double"), "pc": ("cluster_pc_components", "int"), "test": ("enrichment_test", "string"),
+}
+
+
+def tagged_run(name: Column) -> dict[str, Column]:
+    """method and parameters of a name such as `algo_vdbscan__kn_16__lr_0p5`; parts that are missing are null."""
+    parts = F.filter(F.split(name, "__"), lambda x: x != "")
+    out = {"method": F.regexp_replace(F.try_element_at(parts, F.lit(1)), "^algo_", "")}
+    for tag, (column, kind) in RUN_TAGS.items():
+        own = F.filter(F.slice(parts, 2, 1000), lambda x: x.startswith(f"{tag}_"))  # noqa: B023
+        value = F.substring(F.try_element_at(own, F.lit(1)), len(tag) + 2, 1000)
+        out[column] = F.nullif(value, F.lit("")) if kind == "string" else F.replace(value, F.lit("p"), F.lit(".")).try_cast(kind)
+    return out
 
 
 def match_key(*parts: Column) -> Column:

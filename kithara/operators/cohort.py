@@ -34,6 +34,18 @@ def prevalence(usage: DataFrame) -> DataFrame:
     return df.withColumns({"log_patient_fc": F.log10("patient_fc"), "fisher_p": fisher_two_sided(a, n - a, b, m - b)})
 
 
+def merged_summary(members: DataFrame, case: str = "case", control: str = "control", cluster: str = "merged_cluster_id", patient: str = "sample_name", group: str = "sample_group", source: str = "source", pattern: str = "as_pattern", pgen: str = "pgen") -> DataFrame:
+    """One row a merged cluster: sizes, samples, any pattern, mean probability, counts and shares by source, usage and prevalence."""
+    usage = usage_by_group(members, case, control, cluster, patient, group)
+    from_ = lambda s: F.count_if(F.col(source) == s)
+    own = members.groupBy(cluster).agg(
+        F.coalesce(F.bool_or(pattern), F.lit(False)).alias("as_pattern"), F.avg(pgen).alias("pgen"), from_("sample").alias("sample"), from_("background").alias("background"),
+    )
+    df = prevalence(usage).join(own, cluster)
+    df = df.withColumns({f"{s}_fraction": F.col(s) / F.greatest("cluster_size", F.lit(1)) for s in ("sample", "background")})
+    return log_probability(df.withColumn("n_patients", F.col("n_samples")))
+
+
 def log_probability(df: DataFrame, column: str = "pgen", floor: float = 1e-16) -> DataFrame:
     """log_pgen of mean generation probabilities; the model that gives them is the user's."""
     return df.withColumn("log_pgen", F.log10(F.when(F.col(column).isNotNull(), F.greatest(F.col(column), F.lit(floor)))))

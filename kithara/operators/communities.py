@@ -108,6 +108,20 @@ def modularity(labels: pd.Series, edges: pd.DataFrame, gamma: float = 1.0) -> fl
     return float(edges["weight"][la == lb].sum() / m - gamma * ((size / (2 * m)) ** 2).sum())
 
 
+def partition_modularity(graph: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """One row: the modularity of labels (point_id, root) over edges (a, b, weight)."""
+    side = lambda c: labels.select(F.col("point_id").alias(c), F.col("root").alias(f"r{c}"))
+    edges = graph.join(side("a"), "a").join(side("b"), "b").select("weight", "ra", "rb")
+    within = edges.agg(F.sum(F.when(F.col("ra") == F.col("rb"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("m"))
+    ends = edges.select(F.explode(F.array("ra", "rb")).alias("root"), "weight").groupBy("root").agg(F.sum("weight").alias("k"))
+    squares = ends.agg(F.sum(F.col("k") * F.col("k")).alias("squares"))
+    return within.crossJoin(squares).select((F.col("inside") / F.col("m") - gamma * F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
+
+
+#: Edges of one connected component that a task moves; about a gigabyte.
+MOST_EDGES = 10_000_000
+
+
 def communities(graph: DataFrame, gamma: float = 1.0, groups: DataFrame | None = None) -> DataFrame:
     """(point_id, root) of the points that have an edge; with groups (point_id, group), edges across groups do not count."""
     if groups is not None:
@@ -116,6 +130,9 @@ def communities(graph: DataFrame, gamma: float = 1.0, groups: DataFrame | None =
     graph = written(graph, "graph")
     roots = connected_components(graph, "a", "b")
     own = graph.join(roots.withColumnRenamed("node", "a"), "a")
+    largest = own.groupBy("root").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if largest > MOST_EDGES:
+        raise ValueError(f"a connected component has {largest} edges, more than the {MOST_EDGES} that one task can move; cut the graph into groups first (vdbscan_leiden does)")
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["a", "b"])

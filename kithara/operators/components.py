@@ -2,8 +2,10 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every round is two
 aggregations by node with map-side combine and two joins; nothing is gathered by component, so a
-component may hold any share of all nodes. Each round is written to the shared folder, which also
-cuts the lineage.
+component may hold any share of all nodes. The least neighbours, one row a node, are written before
+they are joined: where they are small they are broadcast, and else adaptive execution can split the
+partition in which the edges of a hub meet. Each round is written to the shared folder, which also
+cuts the lineage; what a round no longer needs is deleted.
 """
 
 from __future__ import annotations
@@ -14,15 +16,16 @@ from pyspark.sql import functions as F
 from kithara.session import dropped, written
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star step then one small-star step; edges are (a, b) with a > b."""
+def _stars(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """One large-star step then one small-star step, and the tables they read; edges are (a, b) with a > b."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    least = written(least.select("u", F.least("u", "m").alias("m")), "least")
     large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-    small = large.groupBy("a").agg(F.min("b").alias("m"))
+    large = written(large, "large")
+    small = written(large.groupBy("a").agg(F.min("b").alias("m")), "small")
     moved = large.join(small, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), [least, large, small]
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,9 +44,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(most_rounds):
         if not state[0]:
             break
-        after = written(_stars(edges), "stars")
+        stars, used = _stars(edges)
+        after = written(stars, "stars")
         found = _state(after)
-        dropped(edges)
+        for table in (edges, *used):
+            dropped(table)
         edges, was, state = after, state, found
         if state == was:
             break

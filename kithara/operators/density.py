@@ -5,7 +5,6 @@ Labels are numbered from 0 by the least core point of each cluster; noise is -1.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +49,43 @@ def nearest_group(lengths: DataFrame, groups: DataFrame, length: str = "length")
     return pairs.select("length", best["gid"].alias("gid"))
 
 
+#: Whose distances radii are learned from: sample points among sample points, background among background, or all.
+BASES = ("sample", "background", "all")
+
+
+def of_basis(edges: DataFrame, points: DataFrame, kth: int, basis: str = "all") -> DataFrame:
+    """(point_id, d): kth distances of the points of a basis among points of the same basis.
+
+    edges: neighbour lists with ranks; of a basis of one source the lists keep neighbours of that source only,
+    in their order, so they must be longer than kth.
+    """
+    if basis not in BASES:
+        raise ValueError(f"basis {basis!r}; one of {BASES}")
+    if basis != "all":
+        own = written(points.filter(F.col("source") == basis).select("point_id"), "basis")
+        for side in ("src", "dst"):
+            edges = edges.join(own.select(F.col("point_id").alias(side)), side, "left_semi")
+        edges = edges.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("rank")) - 1)
+    return edges.filter(F.col("rank") == kth - 1).select(F.col("src").alias("point_id"), F.col("dist").alias("d"))
+
+
+def ranked_in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with the rank from 0 of each row in its group's order; no group is gathered in one task.
+
+    Rows are dealt by ranges of group and order; a rank is the place in the range and the rows before it.
+    """
+    dealt = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    sizes = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_part").alias("_p"), before.alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return dealt.withColumn("_local", local).join(starts, same).withColumn(name, F.col("_before") + F.col("_local")).select(*df.columns, name)
+
+
 def chord_radius(distances: DataFrame, by: Sequence[str] = (), d: str = "d", least: int = 1) -> DataFrame:
     """(by, eps): the point of the sorted distances that lies farthest above the chord of the curve.
 
@@ -58,18 +94,16 @@ def chord_radius(distances: DataFrame, by: Sequence[str] = (), d: str = "d", lea
     small = distances.groupBy(*by).count().filter(F.col("count") < least).limit(1).count()
     if small:
         raise ValueError(f"a group has fewer than {least} distances")
-    order = Window.partitionBy(*by).orderBy(d)
-    whole = Window.partitionBy(*by)
-    x = distances.select(*by, F.col(d).alias("d")).withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(whole), "low": F.min(d).over(whole), "high": F.max(d).over(whole)})
+    x = ranked_in_ranges(distances.select(*by, F.col(d).alias("d")), by, ["d"], "i")
+    ends = x.groupBy(*by).agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+    x = x.join(ends, list(by)) if by else x.crossJoin(ends)  # one row without groups
     line = F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))
-    x = x.withColumn("above", F.round(F.col("d") - line, 12))
-    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("above"), "i"))
-    return x.withColumn("r", best).filter("r = 1").select(*by, F.col("d").alias("eps"))
+    return x.groupBy(*by).agg(F.max_by("d", F.struct(F.round(F.col("d") - line, 12), -F.col("i"))).alias("eps"))
 
 
 def distance_curve(distances: DataFrame, by: Sequence[str] = (), d: str = "d") -> DataFrame:
     """The sorted distances of each group with their rank from 1."""
-    return distances.withColumn("curve_rank", F.row_number().over(Window.partitionBy(*by).orderBy(d, "point_id")))
+    return ranked_in_ranges(distances, by, [d, "point_id"], "curve_rank").withColumn("curve_rank", (F.col("curve_rank") + 1).cast("int"))
 
 
 def radius_of_points(groups: DataFrame, radii: DataFrame) -> DataFrame:
@@ -81,8 +115,8 @@ def radius_of_points(groups: DataFrame, radii: DataFrame) -> DataFrame:
 
 def numbered(labels: DataFrame) -> DataFrame:
     """(point_id, cluster_id) from (point_id, root): clusters in order of root, null roots noise."""
-    roots = labels.select("root").filter("root is not null").distinct()
-    roots = roots.withColumn("cluster_id", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    roots = ranked_in_ranges(labels.select("root").filter("root is not null").distinct(), [], ["root"], "cluster_id")
+    roots = roots.withColumn("cluster_id", F.col("cluster_id").cast("long"))
     return labels.join(roots, "root", "left").select("point_id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
 
 
@@ -151,7 +185,3 @@ def noise_by_radius(points: DataFrame, pairs: DataFrame, nearest: DataFrame, rad
         raise ValueError("no radius")
     return out
 
-
-def draws(n: int, least: int = 20_000, share: float = 0.2) -> int:
-    """How many distances a resampled curve is drawn from."""
-    return min(n, max(least, math.floor(share * n)))

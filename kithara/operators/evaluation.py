@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithara.functions.text import match_key
+from kithara.functions.text import match_key, trim_allele
 
 
 def with_truth(assignments: DataFrame, truth: DataFrame, keys: Sequence[str] = ("cdr3", "v_gene", "j_gene", "chain")) -> DataFrame:
@@ -150,18 +150,49 @@ def confusion(rows: DataFrame, by: Sequence[str] = (), truth: str = "truth", pre
     return df.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def paired_flags(pairs: DataFrame, hits: dict[str, DataFrame], keys: dict[str, Sequence[str]], valid: str = "valid") -> DataFrame:
+    """Pairs of chains with truth_alpha, truth_beta, hit_alpha and hit_beta.
+
+    A chain's key is true if any of its pairs is valid, and a hit if the clustered keys of the chain hold
+    it (hits: alpha and beta to tables with the chain's key columns). Keys with a null are no hits.
+    """
+    for chain in ("alpha", "beta"):
+        own = list(keys[chain])
+        same = lambda t, other: [F.col(f"{t}.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in own]  # noqa: B023, E731
+        truth = pairs.groupBy(*own).agg(F.coalesce(F.bool_or(valid), F.lit(False)).alias(f"truth_{chain}"))
+        pairs = pairs.alias("p").join(truth.alias("t"), same("p", "t"), "left").select("p.*", f"truth_{chain}")
+        found = hits[chain].select(*own).na.drop().distinct().withColumn(f"hit_{chain}", F.lit(True))
+        pairs = pairs.join(found, own, "left").withColumn(f"hit_{chain}", F.coalesce(f"hit_{chain}", F.lit(False)))
+    return pairs
+
+
 def paired_confusion(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Confusion for truth of alpha, beta, either, both against a hit of either and of both chains.
+    """Confusion of six combinations: each chain, either and both by themselves, and the truth of either against one chain.
 
     rows: truth_alpha, truth_beta, hit_alpha, hit_beta.
     """
     truths = {"alpha": F.col("truth_alpha"), "beta": F.col("truth_beta"), "or": F.col("truth_alpha") | F.col("truth_beta"), "and": F.col("truth_alpha") & F.col("truth_beta")}
     hits = {"alpha": F.col("hit_alpha"), "beta": F.col("hit_beta"), "or": F.col("hit_alpha") | F.col("hit_beta"), "and": F.col("hit_alpha") & F.col("hit_beta")}
-    combos = [("alpha", "alpha"), ("beta", "beta"), ("or", "or"), ("or", "and"), ("and", "or"), ("and", "and")]
+    combos = [("alpha", "alpha"), ("beta", "beta"), ("or", "or"), ("and", "and"), ("or", "alpha"), ("or", "beta")]
     stacked = F.explode(F.array(*[F.struct(F.lit(t).alias("truth_kind"), F.lit(p).alias("hit_kind"), truths[t].alias("truth"), hits[p].alias("predicted")) for t, p in combos]))
     return confusion(rows.select(*by, stacked.alias("x")).select(*by, "x.*"), [*by, "truth_kind", "hit_kind"])
 
 
+def motif_baseline(motifs: DataFrame, truth: DataFrame, with_genes: bool = False, valid: str = "valid") -> DataFrame:
+    """One row: precision, recall and F1 (with counts) of calling a truth row valid where its sequence is a motif member.
+
+    motifs: cdr3 and, with genes, v_gene and j_gene, which may list several after commas; truth: the same and `valid`.
+    Alleles do not count.
+    """
+    keys = ["cdr3", "v_gene", "j_gene"] if with_genes else ["cdr3"]
+    for g in keys[1:]:
+        motifs = motifs.withColumn(g, F.explode(F.transform(F.split(g, ","), lambda x: trim_allele(F.trim(x)))))
+        truth = truth.withColumn(g, trim_allele(F.col(g)))
+    known = motifs.select(*keys).na.drop().distinct().withColumn("_hit", F.lit(True))
+    rows = truth.join(known, keys, "left").select(F.coalesce(F.col(valid), F.lit(False)).alias("truth"), F.coalesce("_hit", F.lit(False)).alias("predicted"))
+    return confusion(rows)
+
+
 def truth_by_key(rows: DataFrame, keys: Sequence[str], label: str = "truth") -> DataFrame:
     """Rows of the same key collapse; any positive makes it positive."""
     return rows.groupBy(*keys).agg(F.bool_or(label).alias(label))

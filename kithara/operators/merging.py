@@ -8,27 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithara.operators.components import connected_components
+from kithara.session import written
 
 
-def wildcard_keys(sequence: Column, mismatches: int, longest: int = 40) -> Column:
-    """All keys of a sequence with up to `mismatches` of its positions starred.
+def wildcard_keys(sequence: Column, mismatches: int) -> Column:
+    """The sequence itself, or with one mismatch all keys of it in which one position is starred.
 
     Two sequences of equal length differ in at most that many places if and only if they share a key.
     """
-    length = F.length(sequence)
     if mismatches == 0:
         return F.array(sequence)
-    if mismatches == 1:
-        at = F.sequence(F.lit(1), F.greatest(length, F.lit(1)))
-        return F.transform(at, lambda i: F.concat(F.substring(sequence, 1, i - 1), F.lit("*"), F.substring(sequence, i + 1, length)))
-    keys = []
-    for places in combinations(range(1, longest + 1), mismatches):
-        k = sequence
-        for i in places:
-            k = F.overlay(k, F.lit("*"), F.lit(i), F.lit(1))
-        keys.append(F.when(length >= places[-1], k))
-    short = F.when(length < mismatches, F.repeat(F.lit("*"), length))
-    return F.array_distinct(F.filter(F.array(short, *keys), lambda k: k.isNotNull()))
+    if mismatches > 1:
+        raise ValueError("keys that stand for a link exist for one mismatch at most")
+    length = F.length(sequence)
+    at = F.sequence(F.lit(1), F.greatest(length, F.lit(1)))
+    keys = F.transform(at, lambda i: F.concat(F.substring(sequence, 1, i - 1), F.lit("*"), F.substring(sequence, i + 1, length)))
+    return F.when(length == 0, F.array(sequence)).otherwise(keys)
+
+
+def piece_keys(sequence: Column, mismatches: int) -> Column:
+    """Keys that sequences of equal length share if they differ in at most `mismatches` places, whatever the length.
+
+    A sequence is cut into mismatches + 2 pieces of near equal length; at least two of them agree, so
+    each pair of pieces, with its place and the whole length, is a key. What shares a key must still be compared.
+    """
+    length, n = F.length(sequence), mismatches + 2
+    cut = lambda i: F.floor(length * i / n).cast("int")
+    piece = [F.substring(sequence, cut(i) + 1, cut(i + 1) - cut(i)) for i in range(n)]
+    return F.array(*[F.concat_ws("|", length, F.lit(f"{i},{j}"), piece[i], piece[j]) for i, j in combinations(range(n), 2)])
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -39,7 +46,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 def hamming_join(left: DataFrame, right: DataFrame, mismatches: int = 1, on: str = "sequence") -> DataFrame:
     """(left_seq, right_seq, distance) of distinct sequences of equal length within the mismatches."""
-    key = lambda df, n: df.select(F.col(on).alias(n)).filter(F.col(n).isNotNull()).distinct().withColumn("key", F.explode(wildcard_keys(F.col(n), mismatches)))
+    keys = wildcard_keys if mismatches < 2 else piece_keys
+    key = lambda df, n: df.select(F.col(on).alias(n)).filter(F.col(n).isNotNull()).distinct().withColumn("key", F.explode(keys(F.col(n), mismatches)))
     pairs = key(left, "left_seq").join(key(right, "right_seq"), "key").select("left_seq", "right_seq").distinct()
     return pairs.withColumn("distance", hamming(F.col("left_seq"), F.col("right_seq"))).filter(F.col("distance") <= mismatches)
 
@@ -52,9 +60,17 @@ def merge_clusters(members: DataFrame, sequence: str, mismatches: int = 0, clust
     """
     rows = members.filter(F.col(cluster) != -1)
     own = rows if source is None else rows.filter(F.col(source) == "sample")
-    keyed = own.filter(F.col(sequence).isNotNull()).select(F.col(cluster).cast("long").alias("c"), F.explode(wildcard_keys(F.col(sequence), mismatches)).alias("key")).distinct()
+    own = own.filter(F.col(sequence).isNotNull()).select(F.col(cluster).cast("long").alias("c"), F.col(sequence).alias("sequence"))
+    keyed = own.select("c", F.explode(wildcard_keys(F.col("sequence"), min(mismatches, 1))).alias("key")).distinct()
     least = keyed.groupBy("key").agg(F.min("c").alias("m"), F.max("c").alias("x")).filter("m < x").select("key", "m")
-    found = connected_components(keyed.join(least, "key").filter("c > m").select(F.col("c").alias("src"), F.col("m").alias("dst")))
+    edges = keyed.join(least, "key").filter("c > m").select(F.col("c").alias("src"), F.col("m").alias("dst"))
+    if mismatches > 1:  # clusters of one sequence are linked above; sequences farther apart link their least clusters
+        first = written(own.groupBy("sequence").agg(F.min("c").alias("c")), "least_clusters")
+        pairs = hamming_join(first, first, mismatches).filter("left_seq < right_seq")
+        for side in ("left", "right"):
+            pairs = pairs.join(first.select(F.col("sequence").alias(f"{side}_seq"), F.col("c").alias(f"{side}_c")), f"{side}_seq")
+        edges = edges.unionByName(pairs.select(F.col("left_c").alias("src"), F.col("right_c").alias("dst")))
+    found = connected_components(edges)
     ids = rows.select(F.col(cluster).cast("long").alias("node")).distinct()
     return ids.join(found, "node", "left").select(F.col("node").alias(cluster), F.coalesce("root", "node").alias("merged_cluster_id"))
 

@@ -217,6 +217,30 @@ def knn_proxies(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("distance_ratio", F.col("within_distance") / F.col("between_distance"))
 
 
+def proxy_table(assignment: DataFrame, neighbours: DataFrame, runs: DataFrame, keys: Sequence[str] = ("run_id",), columns: Sequence[str] = ("method", "epitope", "f1")) -> DataFrame:
+    """Assignment and neighbour proxies of all runs that have either, with the runs' own columns where there are any."""
+    own = runs.select(*keys, *columns).distinct()
+    return assignment.join(neighbours, list(keys), "full").join(own, list(keys), "left")
+
+
+def missing_runs(expected: DataFrame, present: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Expected runs that are not there."""
+    return expected.join(present.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def selected_runs(runs: DataFrame, manifest: DataFrame, mode: str = "all", prefix: str = "") -> DataFrame:
+    """Runs whose id has the prefix and whose dataset mode, by their name or by the manifest, is the wanted one.
+
+    A name gives the mode as its first part before `__`.
+    """
+    runs = runs.filter(F.col("run_id").startswith(prefix))
+    if mode == "all":
+        return runs
+    known = manifest.filter(F.col("dataset_mode") == mode).select("run_id").distinct().withColumn("_known", F.lit(True))
+    named = F.split_part(F.col("run_id"), F.lit("__"), F.lit(1)) == mode
+    return runs.join(known, "run_id", "left").filter(named | F.coalesce("_known", F.lit(False))).drop("_known")
+
+
 def metric_correlations(runs: DataFrame, metrics: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, metric, n, pearson, spearman) of each metric with the target; ties at mean ranks."""
     long = unpivoted(runs, [*by, target], metrics).filter(F.col(target).isNotNull())

@@ -28,6 +28,7 @@ class Config:
     tests: tuple[str, ...] = ("zbinom",)
     auxiliary: bool = True
     eps: float | None = None
+    radius_basis: str = "all"
 
     def __post_init__(self) -> None:
         if self.algorithm not in ALGORITHMS:
@@ -53,7 +54,7 @@ def labels_of(points: DataFrame, edges: DataFrame, config: Config) -> tuple[Data
         lengths = points.select("point_id", F.length("cdr3").alias("length"))
         groups = density.length_groups(lengths, c.least_share)
         own = lengths.join(density.nearest_group(lengths, groups), "length").select("point_id", "gid")
-        radii = density.chord_radius(d.join(own, "point_id"), ["gid"])
+        radii = density.chord_radius(density.of_basis(edges, points, c.eps_k, c.radius_basis).join(own, "point_id"), ["gid"])
         radius = written(density.radius_of_points(own, radii), "radius")
         more |= {"length_groups": groups, "radii": radii, "distance_curve": density.distance_curve(d.join(own, "point_id"), ["gid"])}
         labels = density.vdbscan(edges, radius, c.core_min_samples, c.symmetrization)
@@ -92,7 +93,7 @@ def compare(points: DataFrame, config: Config = Config()) -> Result:
 
 def main(argv: list[str] | None = None) -> None:
     """Command line: compare a parquet table of points and write the three result tables."""
-    from kithara.sources.repertoire import write_outputs
+    from kithara.sources.repertoire import write_outputs, write_tables
 
     p = argparse.ArgumentParser(prog="kithara", description=main.__doc__)
     p.add_argument("points")
@@ -103,11 +104,15 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--core-min-samples", type=int, default=3)
     p.add_argument("--components", type=int, default=50)
     p.add_argument("--gamma", type=float, default=1.0)
+    p.add_argument("--radius-basis", choices=density.BASES, default="all")
+    p.add_argument("--debug-tables", help="a folder for the tables in between")
     a = p.parse_args(argv)
     spark = local_session()
-    config = Config(algorithm=a.algorithm, k_neighbors=a.k_neighbors, eps_k=a.eps_k, core_min_samples=a.core_min_samples, components=a.components, gamma=a.gamma)
+    config = Config(algorithm=a.algorithm, k_neighbors=a.k_neighbors, eps_k=a.eps_k, core_min_samples=a.core_min_samples, components=a.components, gamma=a.gamma, radius_basis=a.radius_basis)
     r = compare(spark.read.parquet(a.points), config)
     write_outputs(a.output, r.members.drop("embedding"), r.summary, r.enriched.drop("embedding"))
+    if a.debug_tables:
+        write_tables(a.debug_tables, r.tables)
 
 
 if __name__ == "__main__":

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kithara.functions import stats, text
 from kithara.operators import cluster_metrics, cohort, communities, density, enrichment, evaluation, knn, longitudinal, merging, reduction, runs
+from kithara.operators.components import connected_components
 from kithara.plans import views
 from kithara.plans.compare import Config, compare
 from kithara.plans.views import ASSIGN_SQL, PARAMS_SQL, PATIENTS_SQL, POINTS_SQL
@@ -53,8 +54,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL pieces
 LOG_BINOM = "lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1)"
-#: Two-sided normal tail by its series; beyond 6 it is below 2e-9.
-NORMAL = """CASE WHEN {z} IS NULL THEN NULL WHEN abs({z}) > 6 THEN 0.0 WHEN {z} = 0 THEN 1.0 ELSE 2 * (0.5 - exp(-{z} * {z} / 2) / sqrt(2 * pi()) *
+#: Two-sided normal tail by its series; from 4 on by its continued fraction.
+NORMAL = """CASE WHEN {z} IS NULL THEN NULL WHEN abs({z}) >= 4 THEN 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) /
+    list_reduce(list_prepend(abs({z}), list_transform(range(100, 0, -1), lambda k: k::DOUBLE)), lambda f, k: abs({z}) + k / f) WHEN {z} = 0 THEN 1.0 ELSE 2 * (0.5 - exp(-{z} * {z} / 2) / sqrt(2 * pi()) *
     list_sum(list_transform(range(0, 121), lambda k: exp((2 * k + 1) * ln(abs({z})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))) END"""
 Z = "CASE WHEN s * (b + 1e-6) * (n - b) > 0 THEN (n * a - s * b) / sqrt(s * (b + 1e-6) * (n - b)) END"
 LFC = "log10(((a + 1e-9) / s) / ((b + 1e-9) / n))"
@@ -143,9 +145,9 @@ def significance_line(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(enrichment.significance_line(cluster_table(spark, folder), ["run_id"], level=LEVEL))
 
 
-@query(f"""WITH {CLUSTER_SQL} SELECT run_id, cluster_id, round(-log10(p + 1e-10), 4) AS minus_log10_p, q < 0.3 AS is_significant FROM clu WHERE abs(z) < 5""")
+@query(f"""WITH {CLUSTER_SQL} SELECT run_id, cluster_id, round(-log10(p + 1e-10), 4) AS minus_log10_p, q < 0.3 AS is_significant FROM clu""")
 def volcano_frame(spark: SparkSession, folder: str) -> DataFrame:
-    v = enrichment.volcano(cluster_table(spark, folder).filter("abs(z) < 5"), level=LEVEL)
+    v = enrichment.volcano(cluster_table(spark, folder), level=LEVEL)
     return rounded(v.select("run_id", "cluster_id", "minus_log10_p", "is_significant"), 4)
 
 
@@ -332,9 +334,9 @@ def hamming_join(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- metrics of clusters
 @query(f"""WITH {CLUSTER_SQL}, m AS (SELECT *, log2((a + 0.5) / s) - log2((b + 0.5) / n) AS g, least(-log10(greatest(q, 1e-300)), 50) AS f FROM clu)
 SELECT run_id, cluster_id, round(a / s, 6) AS sample_usage, round(b / n, 6) AS background_usage, round(a / cluster_size, 6) AS sample_fraction_in_cluster, round(g, 6) AS log2fc_smooth, round(pow(2, g), 6) AS fc_smooth,
- round(ln(1 + a), 6) AS support_log, round(greatest(g, 0) * ln(1 + a), 6) AS enrichment_support_score, round(greatest(g, 0) * ln(1 + a) * f, 4) AS enrichment_stat_score FROM m WHERE abs(z) < 5""")
+ round(ln(1 + a), 6) AS support_log, round(greatest(g, 0) * ln(1 + a), 6) AS enrichment_support_score, round(greatest(g, 0) * ln(1 + a) * f, 4) AS enrichment_stat_score FROM m""")
 def aux_enrichment(spark: SparkSession, folder: str) -> DataFrame:
-    df = cluster_metrics.enrichment_metrics(cluster_table(spark, folder).filter("abs(z) < 5"))
+    df = cluster_metrics.enrichment_metrics(cluster_table(spark, folder))
     six = ["sample_usage", "background_usage", "sample_fraction_in_cluster", "log2fc_smooth", "fc_smooth", "support_log", "enrichment_support_score"]
     return rounded(df.select("run_id", "cluster_id", *six, F.round("enrichment_stat_score", 4).alias("enrichment_stat_score")))
 
@@ -445,7 +447,7 @@ def confusion_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT l_quantity > 25 AS ta, l_discount > 0.05 AS tb, l_tax > 0.04 AS ha, l_returnflag = 'R' AS hb FROM lineitem),
- s AS (SELECT unnest([{'t': 'alpha', 'h': 'alpha', 'x': ta, 'y': ha}, {'t': 'beta', 'h': 'beta', 'x': tb, 'y': hb}, {'t': 'or', 'h': 'or', 'x': ta OR tb, 'y': ha OR hb}, {'t': 'or', 'h': 'and', 'x': ta OR tb, 'y': ha AND hb}, {'t': 'and', 'h': 'or', 'x': ta AND tb, 'y': ha OR hb}, {'t': 'and', 'h': 'and', 'x': ta AND tb, 'y': ha AND hb}]) AS q FROM r)
+ s AS (SELECT unnest([{'t': 'alpha', 'h': 'alpha', 'x': ta, 'y': ha}, {'t': 'beta', 'h': 'beta', 'x': tb, 'y': hb}, {'t': 'or', 'h': 'or', 'x': ta OR tb, 'y': ha OR hb}, {'t': 'and', 'h': 'and', 'x': ta AND tb, 'y': ha AND hb}, {'t': 'or', 'h': 'alpha', 'x': ta OR tb, 'y': ha}, {'t': 'or', 'h': 'beta', 'x': ta OR tb, 'y': hb}]) AS q FROM r)
 SELECT q.t AS truth_kind, q.h AS hit_kind, count(*) FILTER (q.x AND q.y) AS tp, count(*) FILTER (NOT q.x AND q.y) AS fp, count(*) FILTER (NOT q.x AND NOT q.y) AS tn, count(*) FILTER (q.x AND NOT q.y) AS fn FROM s GROUP BY 1, 2""")
 def confusion_paired(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").select((F.col("l_quantity") > 25).alias("truth_alpha"), (F.col("l_discount") > 0.05).alias("truth_beta"), (F.col("l_tax") > 0.04).alias("hit_alpha"), (F.col("l_returnflag") == "R").alias("hit_beta"))
@@ -695,9 +697,9 @@ def crosstab_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(cohort.normalized_crosstab(table(spark, folder, "lineitem"), "l_linenumber", "l_returnflag"))
 
 
-@query("""SELECT p_brand, (count(*) FILTER (p_type = 'ECONOMY') > 0)::INT AS "ECONOMY", (count(*) FILTER (p_type = 'SMALL') > 0)::INT AS "SMALL" FROM part WHERE p_size < 4 GROUP BY 1""")
+@query("""SELECT p_brand, (count(*) FILTER (p_type = 'ECONOMY') > 0)::INT AS "ECONOMY", (count(*) FILTER (p_type = 'SMALL') > 0)::INT AS "SMALL" FROM part GROUP BY 1""")
 def presence_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return cohort.presence_matrix(table(spark, folder, "part").filter("p_size < 4"), "p_brand", "p_type", ["ECONOMY", "SMALL"])
+    return cohort.presence_matrix(table(spark, folder, "part"), "p_brand", "p_type", ["ECONOMY", "SMALL"])
 
 
 @query(f"""WITH {CLUSTER_SQL} SELECT run_id, cluster_id, metric, round(value, 6) AS value FROM (SELECT run_id, cluster_id, a AS sample, lfc AS log_fold_change FROM clu) UNPIVOT (value FOR metric IN (sample, log_fold_change))""")
@@ -734,10 +736,10 @@ def public_recall(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(cohort.recall_of_public(p.filter("p_partkey % 3 = 0"), p.filter("p_size < 10"), ["p_name", "p_brand"]))
 
 
-@query(f"""WITH {ASSIGN_SQL} SELECT cluster_id, sha1(string_agg(clonotype_id, ',' ORDER BY clonotype_id)) AS members FROM assign WHERE run_id = 'run_1' GROUP BY 1""")
+@query(f"""WITH {ASSIGN_SQL} SELECT run_id, cluster_id, sha1(string_agg(clonotype_id, ',' ORDER BY clonotype_id)) AS members FROM assign GROUP BY 1, 2""")
 def membership_hash(spark: SparkSession, folder: str) -> DataFrame:
-    a = views.assignments(spark, folder).filter("run_id = 'run_1'")
-    return a.groupBy("cluster_id").agg(text.members_hash(F.col("clonotype_id")).alias("members"))
+    a = views.assignments(spark, folder)
+    return a.groupBy("run_id", "cluster_id").agg(text.members_hash(F.col("clonotype_id")).alias("members"))
 
 
 @query("""SELECT p_partkey, replace(regexp_replace(trim(split_part(p_type || '*01,x', ',', 1)), '\\*.*$', ''), '/', '_') AS gene, p_name ~ '^[A-Za-z]+$' AS alphabetic, CASE WHEN p_size < 10 THEN 'positive' WHEN p_size IS NOT NULL THEN 'negative' ELSE 'unlabeled' END AS truth, p_brand || '|' || p_type AS key FROM part""")
@@ -751,11 +753,11 @@ def public_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.public_clusters(views.patients(spark, folder))
 
 
-@query(f"""WITH {PATIENTS_SQL}, k AS (SELECT DISTINCT cluster_id, cdr3 FROM pat WHERE cluster_id % 5 = 0), l AS (SELECT DISTINCT cdr3, sample_name FROM pat WHERE seg = 'BUILDING') SELECT cluster_id, count(DISTINCT sample_name) AS usage FROM k JOIN l USING (cdr3) GROUP BY 1""")
+@query(f"""WITH {PATIENTS_SQL}, k AS (SELECT DISTINCT cluster_id, cdr3 FROM pat), l AS (SELECT DISTINCT cdr3, sample_name FROM pat WHERE seg = 'BUILDING') SELECT cluster_id, count(DISTINCT sample_name) AS usage FROM k JOIN l USING (cdr3) GROUP BY 1""")
 def cluster_usage(spark: SparkSession, folder: str) -> DataFrame:
     p = views.patients(spark, folder)
     lookup = cohort.patient_lookup(p.filter("sample_group = 'case'"), ["cdr3"])
-    return merging.cluster_usage(p.filter("cluster_id % 5 = 0"), lookup, ["cdr3"])
+    return merging.cluster_usage(p, lookup, ["cdr3"])
 
 
 @query(f"""WITH {PATIENTS_SQL} SELECT cdr3, count(DISTINCT sample_name) AS usage FROM pat GROUP BY 1""")
@@ -878,10 +880,164 @@ def leiden_dbscan(spark: SparkSession, folder: str) -> DataFrame:
     return communities.leiden_dbscan(p, knn.neighbour_graph(edges_table(spark, folder)), written(knn.within(p, DBSCAN_EPS), "pairs"))
 
 
-@query()
+SWEEP = (1.0, 1.08, DBSCAN_EPS)
+
+
+def _sweep_sql(eps: float) -> str:
+    return f"""(WITH RECURSIVE {POINTS_SQL}, al AS (SELECT q.point_id AS src, p.point_id AS dst FROM pts q, pts p WHERE list_distance(q.embedding, p.embedding) <= {eps}),
+ ke AS (SELECT DISTINCT src FROM al WHERE src <> dst), dd AS (SELECT * FROM al WHERE src IN (FROM ke) AND dst IN (FROM ke)),
+ cr AS (SELECT src FROM dd GROUP BY src HAVING count(*) >= 3), re(p, r) AS (SELECT src, src FROM cr UNION SELECT re.p, dd.dst FROM re JOIN dd ON re.r = dd.src WHERE dd.dst IN (FROM cr)),
+ ro AS (SELECT p, min(r) AS root FROM re GROUP BY 1), br AS (SELECT DISTINCT src FROM dd WHERE dst IN (FROM cr) AND src NOT IN (FROM cr))
+SELECT {eps}::DOUBLE AS eps, (SELECT count(*) FROM pts) - (SELECT count(*) FROM ro) - (SELECT count(*) FROM br) AS n_noise, (SELECT count(DISTINCT root) FROM ro) AS n_clusters)"""
+
+
+@query(" UNION ALL ".join(map(_sweep_sql, SWEEP)))
 def noise_by_radius(spark: SparkSession, folder: str) -> DataFrame:
     """Noise and clusters of DBSCAN over a sweep of radii."""
     p = views.points(spark, folder)
     pairs = written(knn.within(p, DBSCAN_EPS), "pairs")
     first = pairs.filter("src <> dst").groupBy(F.col("src").alias("point_id")).agg(F.min("dist").alias("d"))
-    return density.noise_by_radius(p, pairs, first, [1.0, 1.08, DBSCAN_EPS], 3)
+    return density.noise_by_radius(p, pairs, first, SWEEP, 3)
+
+
+@query(f"""WITH {POINTS_SQL} SELECT count(*) AS points, 0 AS broken_communities, true AS better_than_components, true AS better_than_single_points FROM pts""")
+def leiden_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of communities: every point is in one, each is connected, and modularity exceeds that of trivial partitions."""
+    p = views.points(spark, folder)
+    graph = written(knn.neighbour_graph(edges_table(spark, folder)), "graph")
+    roots = written(communities.communities(graph), "communities")
+    whole = connected_components(graph, "a", "b").select(F.col("node").alias("point_id"), "root")
+    side = lambda c: roots.select(F.col("point_id").alias(c), F.col("root").alias(f"r{c}"))
+    inside = graph.join(side("a"), "a").join(side("b"), "b").filter("ra = rb")
+    pieces = connected_components(inside, "a", "b").withColumnRenamed("root", "piece").withColumnRenamed("node", "point_id")
+    pieces = roots.join(pieces, "point_id", "left").withColumn("piece", F.coalesce("piece", "point_id"))
+    broken = pieces.groupBy("root").agg(F.countDistinct("piece").alias("n")).agg(F.count_if(F.col("n") > 1).cast("int").alias("broken_communities"))
+    alone = roots.select("point_id", F.col("point_id").alias("root"))
+    own, one, none = (communities.partition_modularity(graph, x).first()["modularity"] for x in (roots, whole, alone))
+    labelled = p.select("point_id").join(roots, "point_id", "left").agg(F.count("*").alias("points"))
+    return labelled.crossJoin(broken).select("*", F.lit(own > one).alias("better_than_components"), F.lit(own > none).alias("better_than_single_points"))
+
+
+LONG_SQL = """lg AS (SELECT DISTINCT md5((p_partkey % 300)::VARCHAR) || substr(md5('x' || (p_partkey % 300)), 1, 11) || (p_partkey % 4) || (p_partkey % 5) AS seq FROM part)"""
+
+
+@query(f"""WITH {LONG_SQL} SELECT a.seq AS left_seq, b.seq AS right_seq, hamming(a.seq, b.seq)::INT AS distance FROM lg a, lg b WHERE substr(a.seq, 1, 20) = substr(b.seq, 1, 20) AND hamming(a.seq, b.seq) <= 2""")
+def hamming_join_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Two mismatches at the ends of sequences of 45 letters."""
+    k = F.col("p_partkey")
+    head, tail = F.md5((k % 300).cast("string")), F.substring(F.md5(F.concat(F.lit("x"), (k % 300).cast("string"))), 1, 11)
+    s = table(spark, folder, "part").select(F.concat(head, tail, (k % 4).cast("string"), (k % 5).cast("string")).alias("sequence"))
+    return merging.hamming_join(s, s, 2)
+
+
+@query(_merge_sql("seq").replace("ed AS (SELECT DISTINCT a.c AS a, b.c AS b FROM ky a JOIN ky b USING (k))", "ed AS (SELECT DISTINCT a.c AS a, b.c AS b FROM ky a, ky b WHERE hamming(a.k, b.k) <= 2)").replace("1, 3) AS seq", "1, 8) AS seq"))
+def merge_hamming2(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("p_partkey") % 400
+    rows = table(spark, folder, "part").select(c.alias("cluster_id"), F.substring(F.md5((c * 7 + F.col("p_size") % 3).cast("string")), 1, 8).alias("sequence"))
+    return merging.merge_clusters(rows, "sequence", 2)
+
+
+def _motif_sql(keys: str) -> str:
+    return f"""WITH m AS (SELECT DISTINCT {keys} FROM part WHERE p_size > 30), t AS (SELECT p_size % 2 = 0 AS v, ({keys}) IN (FROM m) AS h FROM part),
+ c AS (SELECT count(*) FILTER (v AND h) AS tp, count(*) FILTER (NOT v AND h) AS fp, count(*) FILTER (NOT v AND NOT h) AS tn, count(*) FILTER (v AND NOT h) AS fn FROM t)
+SELECT tp, fp, tn, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c"""
+
+
+def _motif_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, folder, "part")
+    genes = F.concat("p_brand", F.lit("*01, other*02")).alias("v_gene")
+    motifs = p.filter("p_size > 30").select(F.col("p_name").alias("cdr3"), genes, F.concat(F.lit("other ,"), "p_type").alias("j_gene"))
+    return motifs, p.select(F.col("p_name").alias("cdr3"), F.concat("p_brand", F.lit("*03")).alias("v_gene"), F.col("p_type").alias("j_gene"), (F.col("p_size") % 2 == 0).alias("valid"))
+
+
+@query(_motif_sql("p_name"))
+def motif_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(evaluation.motif_baseline(*_motif_tables(spark, folder)))
+
+
+@query(_motif_sql("p_name, p_brand, p_type"))
+def motif_baseline_genes(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(evaluation.motif_baseline(*_motif_tables(spark, folder), with_genes=True))
+
+
+@query("""SELECT p_partkey, p_brand ~ '^(?:Brand#[12]|x)' AS hit FROM part""")
+def motif_match(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select("p_partkey", text.starts_with_motif(F.col("p_brand"), "Brand#[12]|x").alias("hit"))
+
+
+@query(f"""WITH {ASSIGN_SQL}, a AS (SELECT run_id, round((count(*) FILTER (cluster_id >= 0)) / count(*), 6) AS coverage FROM assign GROUP BY 1),
+ b AS (SELECT 'run_' || (p_size % 9) AS run_id, round(avg(p_retailprice), 6) AS mean_price FROM part GROUP BY 1), r AS (SELECT DISTINCT run_id, method FROM assign WHERE run_id <> 'run_2')
+SELECT run_id, coverage, mean_price, method FROM a FULL JOIN b USING (run_id) LEFT JOIN r USING (run_id)""")
+def proxy_table(spark: SparkSession, folder: str) -> DataFrame:
+    a = views.assignments(spark, folder)
+    one = runs.assignment_proxies(a).select("run_id", "coverage")
+    two = table(spark, folder, "part").groupBy(F.concat(F.lit("run_"), (F.col("p_size") % 9).cast("string")).alias("run_id")).agg(F.avg("p_retailprice").alias("mean_price"))
+    return rounded(runs.proxy_table(one, two, a.filter("run_id <> 'run_2'"), columns=["method"]))
+
+
+@query(f"""WITH {PATIENTS_SQL}, t AS (SELECT greatest(count(DISTINCT sample_name) FILTER (seg = 'BUILDING'), 1) AS n, greatest(count(DISTINCT sample_name) FILTER (seg <> 'BUILDING'), 1) AS m FROM pat),
+ s AS (SELECT cluster_id, count(*) AS cluster_size, count(DISTINCT sample_name) AS n_samples, count(DISTINCT sample_name) FILTER (seg = 'BUILDING') AS case_usage, count(DISTINCT sample_name) FILTER (seg <> 'BUILDING') AS control_usage,
+   bool_or(cdr3 LIKE 'b%') AS as_pattern, avg(len(cdr3) / 1e6) AS pgen, count(*) FILTER (sample_name % 3 = 0) AS sample, count(*) FILTER (sample_name % 3 <> 0) AS background FROM pat GROUP BY 1)
+SELECT cluster_id, cluster_size, n_samples, case_usage, control_usage, as_pattern, sample, background, round(sample / cluster_size, 6) AS sample_fraction, round(background / cluster_size, 6) AS background_fraction,
+ round((case_usage / n + 0.5) / (control_usage / m + 0.5), 6) AS patient_fc, round(log10(pgen), 6) AS log_pgen FROM s, t""")
+def merged_summary(spark: SparkSession, folder: str) -> DataFrame:
+    m = views.patients(spark, folder).withColumnRenamed("cluster_id", "merged_cluster_id")
+    m = m.withColumns({"source": F.when(F.col("sample_name") % 3 == 0, "sample").otherwise("background"), "as_pattern": text.starts_with_motif(F.col("cdr3"), "b"), "pgen": F.length("cdr3") / 1e6})
+    s = cohort.merged_summary(m).withColumnRenamed("merged_cluster_id", "cluster_id")
+    return rounded(s.select("cluster_id", "cluster_size", "n_samples", "case_usage", "control_usage", "as_pattern", "sample", "background", "sample_fraction", "background_fraction", "patient_fc", "log_pgen"))
+
+
+MANIFEST_SQL = """mf AS (SELECT r_name AS dataset, r_name || '__' || m || '__k-' || k AS run_id, k FROM region, (SELECT unnest(['vdbscan', 'leiden']) AS m), (SELECT unnest([5, 10, 15]) AS k))"""
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    g = runs.grid(spark, {"k": [5, 10, 15]}).withColumn("method", F.explode(F.array(F.lit("vdbscan"), F.lit("leiden"))))
+    return runs.manifest(table(spark, folder, "region").select(F.col("r_name").alias("dataset")), g).select("dataset", "run_id", "k")
+
+
+@query(f"""WITH {MANIFEST_SQL} SELECT run_id, k FROM mf WHERE dataset IN ('ASIA', 'AFRICA') AND run_id LIKE 'A%'""")
+def selected_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of a mode by their name, or by the manifest."""
+    m = _manifest(spark, folder)
+    known = m.select("run_id", F.when(F.col("dataset") == "AFRICA", "ASIA").otherwise("other").alias("dataset_mode"))
+    return runs.selected_runs(m, known, "ASIA", "A").select("run_id", "k")
+
+
+@query(f"""WITH {MANIFEST_SQL} SELECT run_id, k FROM mf WHERE k <> 10""")
+def missing_runs(spark: SparkSession, folder: str) -> DataFrame:
+    m = _manifest(spark, folder)
+    return runs.missing_runs(m.select("run_id", "k"), m.filter("k = 10"))
+
+
+@query("""SELECT event_id, event_type AS method, (event_id % 40)::INT AS k_neighbors, CASE WHEN event_id % 3 <> 0 THEN (event_id % 3) / 4 END AS leiden_resolution, 'sample' AS eps_estimation_based_on, NULL::INT AS cluster_pc_components FROM events""")
+def tagged_runs(spark: SparkSession, folder: str) -> DataFrame:
+    e = F.col("event_id")
+    lr = F.when(e % 3 == 1, "lr_0p25").when(e % 3 == 2, "lr_0p5")
+    name = F.concat_ws("__", F.concat(F.lit("algo_"), "event_type"), F.concat(F.lit("kn_"), (e % 40).cast("string")), lr, F.lit("eps_sample"), F.lit("pc_many"))
+    own = text.tagged_run(name)
+    return table(spark, folder, "events").select("event_id", *[own[c].alias(c) for c in ("method", "k_neighbors", "leiden_resolution", "eps_estimation_based_on", "cluster_pc_components")])
+
+
+@query("""WITH r AS (SELECT l_suppkey % 50 AS a1, l_linenumber AS a2, l_partkey % 70 AS b1, l_returnflag AS b2, l_discount > 0.09 AS v, l_quantity > 49 AS h FROM lineitem),
+ ka AS (SELECT a1, a2, bool_or(v) AS t, bool_or(h) AS x FROM r GROUP BY 1, 2), kb AS (SELECT b1, b2, bool_or(v) AS t, bool_or(h) AS x FROM r GROUP BY 1, 2)
+SELECT ka.t AS truth_alpha, kb.t AS truth_beta, ka.x AS hit_alpha, kb.x AS hit_beta, count(*) AS n FROM r JOIN ka USING (a1, a2) JOIN kb USING (b1, b2) GROUP BY 1, 2, 3, 4""")
+def paired_flags(spark: SparkSession, folder: str) -> DataFrame:
+    keys = {"alpha": ["a1", "a2"], "beta": ["b1", "b2"]}
+    rows = table(spark, folder, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("a1"), F.col("l_linenumber").alias("a2"), (F.col("l_partkey") % 70).alias("b1"), F.col("l_returnflag").alias("b2"), (F.col("l_discount") > 0.09).alias("valid"), (F.col("l_quantity") > 49).alias("h"),
+    )
+    hits = {c: rows.filter("h").select(*k) for c, k in keys.items()}
+    return evaluation.paired_flags(rows.drop("h"), hits, keys).groupBy("truth_alpha", "truth_beta", "hit_alpha", "hit_beta").agg(F.count("*").alias("n"))
+
+
+def _basis_sql(basis: str) -> str:
+    only = "" if basis == "all" else f"JOIN pts a ON a.point_id = src JOIN pts b ON b.point_id = dst WHERE a.source = '{basis}' AND b.source = '{basis}'"
+    return f"""SELECT '{basis}' AS basis, count(*) AS n, round(sum(d), 4) AS total FROM (SELECT dist AS d, row_number() OVER (PARTITION BY src ORDER BY rank) AS r FROM edg {only}) WHERE r = 4"""
+
+
+@query(f"""WITH {EDGES_SQL} {' UNION ALL '.join(map(_basis_sql, density.BASES))}""")
+def radius_bases(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances that radii are learned from, by basis."""
+    edges, p = edges_table(spark, folder), views.points(spark, folder)
+    rows = [density.of_basis(edges, p, 4, b).agg(F.lit(b).alias("basis"), F.count("*").alias("n"), F.sum("d").alias("total")) for b in density.BASES]
+    return rounded(runs.union_tables(rows), 4)

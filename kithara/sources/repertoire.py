@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.functions.text import chain_name, normalize_gene, resolve_column
+from kithara.functions.text import chain_of_columns, normalize_gene, resolve_column, tagged_run
 
 #: Column names under which repertoire tables give a value, best first (fixed values).
 CANDIDATES = {
-    "cdr3": ("junction_aa", "cdr3_aa", "cdr3", "cdr3aa", "CDR3", "cdr3_b_aa", "cdr3_beta_aa"),
-    "v_gene": ("v_call", "v_gene", "v", "TRBV", "v_b_gene"),
-    "j_gene": ("j_call", "j_gene", "j", "TRBJ", "j_b_gene"),
-    "clone_id": ("clone_id", "cloneId", "sequence_id", "id"),
+    "cdr3": ("junction_aa", "cdr3", "cdr3aa", "cdr3aa_TRB", "cdr3aa_TRA", "cdr3aa_beta", "cdr3aa_alpha", "cdr3_beta_aa", "cdr3_alpha_aa", "cdr3_aa", "CDR3", "cdr3_b_aa"),
+    "v_gene": ("v_call", "v_gene", "v.segm", "v_TRB", "v_TRA", "v_beta", "v_alpha", "TRBV", "TRAV", "TRBV_IMGT", "TRAV_IMGT", "v", "v_b_gene"),
+    "j_gene": ("j_call", "j_gene", "j.segm", "j_TRB", "j_TRA", "j_beta", "j_alpha", "TRBJ", "TRAJ", "TRBJ_IMGT", "TRAJ_IMGT", "j", "j_b_gene"),
+    "clone_id": ("clone_id", "clonotype_id", "cloneId", "sequence_id", "id"),
     "count": ("count", "duplicate_count", "cloneCount", "reads"),
-    "chain": ("locus", "chain", "gene"),
 }
 
 
@@ -36,6 +35,25 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return df.select(*[c for c in columns if c in df.columns])
 
 
+def read_metadata(spark: SparkSession, path: str, tokens: Sequence[str] = ("cdr3", "junction", "_call", "gene", "clone", "chain", "locus", "source")) -> DataFrame:
+    """A parquet scan of the columns whose names hold one of the tokens, in any case; embeddings are not read."""
+    df = spark.read.parquet(path)
+    return df.select(*[f"`{c}`" for c in df.columns if any(t in c.lower() for t in tokens)])
+
+
+def run_summaries(spark: SparkSession, path: str, prefix: str = "", parse=tagged_run) -> DataFrame:
+    """The summaries of all run folders below `path` (`path/patient/run`), with patient, run_id and the run's parameters.
+
+    Each run is a folder of tab-separated files `summary*`. One scan reads all of them; folders are told
+    apart by file name, so a run of another layout of columns is not an error but has nulls.
+    """
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "summary*").csv(path, sep="\t", header=True, inferSchema=True, enforceSchema=False)
+    folders = F.split(F.col("_metadata.file_path"), "/")
+    df = df.select("*", F.element_at(folders, -3).alias("patient"), F.element_at(folders, -2).alias("run_id"))
+    df = df.filter(F.col("run_id").startswith(prefix))
+    return df.withColumns({c: v for c, v in parse(F.col("run_id")).items() if c not in df.columns})
+
+
 def runs_table(spark: SparkSession, path: str, metadata: DataFrame, status: str = "ok", **match) -> DataFrame:
     """Assignments of the runs whose metadata match; the table is partitioned by run_id, so other runs are not read."""
     wanted = metadata.filter(F.col("status") == status)
@@ -47,16 +65,20 @@ def runs_table(spark: SparkSession, path: str, metadata: DataFrame, status: str
 def standardized_clonotypes(df: DataFrame, chain: str | None = None) -> DataFrame:
     """clone_id, cdr3, v_gene, j_gene, chain, count from whatever columns a table has.
 
-    An empty cdr3 is an error that says how many there are.
+    The sequence and both genes must have a column; an empty value in one of them is an error that says
+    how many there are. The chain is the given one, or else that of `chain_of_columns`.
     """
-    cdr3 = F.trim(F.col(resolve_column(df, CANDIDATES["cdr3"])))
-    if bad := df.filter(F.coalesce(cdr3, F.lit("")) == "").count():
-        raise ValueError(f"{bad} clonotypes without a sequence")
-    own = {c: resolve_column(df, CANDIDATES[c], False) for c in ("v_gene", "j_gene", "clone_id", "count", "chain")}
-    gene = lambda c: normalize_gene(F.col(own[c])) if own[c] else F.lit("")
-    named = F.lit(chain) if chain else F.coalesce(chain_name(F.col(own["chain"])) if own["chain"] else F.lit(None).cast("string"), chain_name(gene("v_gene")))
+    own = {c: resolve_column(df, CANDIDATES[c], c in ("cdr3", "v_gene", "j_gene")) for c in CANDIDATES}
+    col = lambda c: F.col(f"`{own[c]}`")
+    cdr3 = F.trim(col("cdr3"))
+    values = {"cdr3": cdr3, "v_gene": F.trim(col("v_gene")), "j_gene": F.trim(col("j_gene"))}
+    bad = df.agg(*[F.count_if(F.coalesce(v, F.lit("")) == "").alias(c) for c, v in values.items()]).first()
+    if any(bad):
+        raise ValueError("empty values: " + ", ".join(f"{n} of {own[c]}" for c, n in bad.asDict().items() if n))
+    gene = lambda c: normalize_gene(col(c))
+    named = F.lit(chain) if chain else chain_of_columns(df)
     count = F.expr(f"try_cast(`{own['count']}` as long)") if own["count"] else F.lit(1).cast("long")
-    clone = F.col(own["clone_id"]).cast("string") if own["clone_id"] else F.sha1(F.concat_ws("|", cdr3, gene("v_gene"), gene("j_gene")))
+    clone = col("clone_id").cast("string") if own["clone_id"] else F.sha1(F.concat_ws("|", cdr3, gene("v_gene"), gene("j_gene")))
     return df.select(clone.alias("clone_id"), cdr3.alias("cdr3"), gene("v_gene").alias("v_gene"), gene("j_gene").alias("j_gene"), named.alias("chain"), count.alias("count"))
 
 
@@ -78,6 +100,12 @@ def write_by_group(df: DataFrame, path: str, group: str) -> None:
     df.write.mode("overwrite").partitionBy(group).parquet(path)
 
 
+def write_tables(path: str, tables: Mapping[str, DataFrame]) -> None:
+    """Intermediate tables for inspection, one parquet folder each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def write_outputs(path: str, members: DataFrame, summary: DataFrame, enriched: DataFrame) -> None:
     """The three result tables of a comparison."""
     for name, df in (("clusters", members), ("summary", summary), ("enriched_clonotypes", enriched)):

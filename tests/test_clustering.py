@@ -192,3 +192,36 @@ def test_reduction_keeps_distances(spark, cloud, tmp_path):
     p = np.array([p[i] for i in range(len(x))])
     assert np.allclose(np.linalg.norm(p[:5, None] - p[None], axis=2), np.linalg.norm(w[:5, None] - w[None], axis=2))
     assert again.metadata()["n_components"] == 3
+
+
+def test_pieces_find_what_wildcards_cannot(spark):
+    """Substitutions anywhere in sequences of 0 to 60 letters, against all pairs."""
+    import random
+
+    rnd = random.Random(4)
+    rows = ["", "A", "B", "AB", "BA"]
+    for _ in range(40):
+        s = [rnd.choice("ACDE") for _ in range(rnd.choice([3, 9, 14, 45, 60]))]
+        rows.append("".join(s))
+        for _ in range(rnd.randint(0, 4)):
+            s[rnd.choice([0, len(s) - 1, rnd.randrange(len(s))])] = rnd.choice("ACDE")
+        rows.append("".join(s))
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "cluster_id long, sequence string")
+    for m in (2, 3):
+        want = {(a, b) for a in rows for b in rows if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= m}
+        assert {(r.left_seq, r.right_seq) for r in merging.hamming_join(df, df, m).collect()} == want
+    root = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 2:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert {r.cluster_id: r.merged_cluster_id for r in merging.merge_clusters(df, "sequence", 2).collect()} == dict(enumerate(root))
+
+
+def test_ranks_of_a_hot_group_are_dealt_to_many_tasks(spark):
+    df = spark.range(4000).select((F.col("id") % 10 == 0).cast("int").alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("d"), "id")
+    got = density.ranked_in_ranges(df, ["g"], ["d", "id"], "rank")
+    rows = got.orderBy("g", "rank").collect()
+    assert [(r.g, r["rank"]) for r in rows] == [(0, i) for i in range(3600)] + [(1, i) for i in range(400)]
+    assert all((a.g, a.d, a.id) < (b.g, b.d, b.id) for a, b in zip(rows, rows[1:]))

@@ -96,13 +96,16 @@ def test_manifests_and_updates(spark):
 
 
 def test_text_expressions(spark):
-    df = spark.createDataFrame([("TRBV1/2*01, x", "s_1", "A, b,,C"), (None, "q", None)], "g string, i string, l string")
+    df = spark.createDataFrame([("TRBV1/2*01, x", "s_1", "A, b,,C"), (None, "b_q", None)], "g string, i string, l string")
     r = df.select(
         text.normalize_gene(F.col("g")).alias("g"), text.chain_name(F.col("g")).alias("c"), text.source_of_id(F.col("i")).alias("s"), text.split_list(F.col("l")).alias("l"), text.trim_allele(F.col("g")).alias("t"),
         text.parameters(F.lit('{"k": 3}'), ["k"])["param_k"].alias("k"), text.safe_ratio(F.lit(0), F.lit(0)).alias("z"), text.capped(F.lit(None).cast("double"), 0, 1).alias("n"),
     ).collect()
     assert (r[0].g, r[0].c, r[0].s, r[0].l, r[0].k, r[0].z, r[0].n) == ("TRBV1_2", "beta", "sample", ["A", "b", "C"], "3", None, None)
-    assert (r[1].g, r[1].c, r[1].s, r[1].l, r[1].t) == ("", None, None, [], None)
+    assert (r[1].g, r[1].c, r[1].s, r[1].l, r[1].t) == ("", None, "background", [], None)
+    for bad in ("q_1", None):
+        with pytest.raises(Exception, match="no source in the id"):
+            spark.createDataFrame([(bad,)], "i string").select(text.source_of_id(F.col("i"))).collect()
     ids = spark.createDataFrame([("set__vdbscan_leiden__k-3",), ("plain",)], "r string")
     got = ids.select(*[c.alias(n) for n, c in text.run_identity(F.col("r")).items()]).collect()
     assert tuple(got[0]) == ("set", "vdbscan_leiden", "k-3") and tuple(got[1]) == (None, None, None)
@@ -120,17 +123,36 @@ def test_selection(spark):
 
 
 def test_reading_and_writing(spark, tmp_path):
-    df = spark.createDataFrame([("CASS", "TRBV1*01,TRBV2", None, "3"), ("CAST", "TRBV3", "TRBJ1", "x")], "junction_aa string, v_call string, j_call string, count string")
+    df = spark.createDataFrame([("CASS", "TRBV1*01,TRBV2", "TRBJ2", "3"), ("CAST", "TRBV3", "TRBJ1", "x")], "junction_aa string, v_call string, j_call string, count string")
     repertoire.write_tsv(df, f"{tmp_path}/t")
     own = {r.cdr3: r for r in repertoire.standardized_clonotypes(repertoire.read_tsv(spark, f"{tmp_path}/t")).collect()}
     assert own["CASS"].v_gene == "TRBV1" and own["CASS"].chain == "beta" and own["CASS"]["count"] == 3 and own["CAST"]["count"] is None
-    with pytest.raises(ValueError):
-        repertoire.standardized_clonotypes(spark.createDataFrame([("",)], "cdr3 string"))
+    for row, schema in ((("", "v", "j"), "cdr3 string, v string, j string"), (("C", " ", "j"), "cdr3 string, `v.segm` string, j string"), (("C", "v"), "cdr3 string, v string")):
+        with pytest.raises(ValueError):
+            repertoire.standardized_clonotypes(spark.createDataFrame([row], schema))
+    smoke = spark.createDataFrame([(1, "CASSL", "TRBV1*01", "TRBJ1")], "clone_id int, cdr3aa_beta string, v_beta string, j_beta string")
+    assert tuple(repertoire.standardized_clonotypes(smoke).first()) == ("1", "CASSL", "TRBV1", "TRBJ1", "beta", 1)
+    alpha = spark.createDataFrame([("x", "CAV", "TRAV1", "TRAJ1")], "clonotype_id string, cdr3_alpha_aa string, TRAV string, TRAJ_IMGT string")
+    assert tuple(repertoire.standardized_clonotypes(alpha).first()) == ("x", "CAV", "TRAV1", "TRAJ1", "alpha", 1)
+    named = spark.createDataFrame([("C", "v", "j", "TRA"), ("C", "v", "j", None)], "cdr3 string, `v.segm` string, `j.segm` string, locus string")
+    assert [r.chain for r in repertoire.standardized_clonotypes(named).collect()] == ["alpha", "beta"]
     runs_ = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_id string, x int")
     repertoire.write_runs(runs_, f"{tmp_path}/runs")
     meta = spark.createDataFrame([("r1", "ok", "m"), ("r2", "error", "m")], "run_id string, status string, mode string")
     assert [r.x for r in repertoire.runs_table(spark, f"{tmp_path}/runs", meta, mode="m").collect()] == [1]
     assert repertoire.read_columns(spark, f"{tmp_path}/runs", ["x", "none"]).columns == ["x"]
+    df.withColumn("emb_1", F.lit(0.5)).write.parquet(f"{tmp_path}/wide")
+    assert repertoire.read_metadata(spark, f"{tmp_path}/wide").columns == ["junction_aa", "v_call", "j_call"]
+    for patient, run in (("p1", "algo_leiden__kn_7"), ("p2", "algo_leiden__kn_9"), ("p2", "other")):
+        (tmp_path / "tree" / patient / run).mkdir(parents=True)
+        (tmp_path / "tree" / patient / run / "summary.tsv").write_text("cluster_id\tsample\n1\t5\n2\t6\n")
+        (tmp_path / "tree" / patient / run / "clusters.tsv").write_text("other\n")
+    found = repertoire.run_summaries(spark, f"{tmp_path}/tree", "algo_").orderBy("patient", "cluster_id").collect()
+    assert [(r.patient, r.run_id, r.cluster_id, r.sample, r.method, r.k_neighbors) for r in found] == [
+        (p, f"algo_leiden__kn_{k}", c, n, "leiden", k) for p, k in (("p1", 7), ("p2", 9)) for c, n in ((1, 5), (2, 6))
+    ]
+    repertoire.write_tables(f"{tmp_path}/debug", {"a": df})
+    assert spark.read.parquet(f"{tmp_path}/debug/a").count() == 2
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -159,3 +181,16 @@ def test_whole_comparison(spark, algorithm):
     assert r.enriched.count() <= 40
     with pytest.raises(ValueError):
         Config(eps_k=9, k_neighbors=3)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from kithara.session import shared_folder
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+    for master in ("local", "local[4]", "local[*]"):
+        assert shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, applicationId=master))).startswith("file://")

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,13 +17,33 @@ def test_tails_against_exact_sums():
     for n, p in ((1, 0.5), (7, 0.1), (40, 0.9), (200, 0.013)):
         for k in range(-1, n + 1):
             exact = sum(choose(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1))
-            assert abs(stats.binomial_sf(k, n, p) - exact) < 1e-12
+            assert abs(float(stats.binomial_sf(k, n, p)[0]) - exact) < 1e-12
     for a, b, c, d in ((0, 5, 0, 7), (3, 2, 1, 9), (5, 0, 0, 5), (2, 8, 7, 3)):
-        p, at = stats.hypergeometric(a, b, c, d)
+        p, _, at = (x if i == 0 else int(x[0]) for i, x in enumerate(stats.hypergeometric(*([v] for v in (a, b, c, d)))))
         exact = [choose(a + b, x) * choose(c + d, a + c - x) / choose(a + b + c + d, a + c) for x in range(max(0, a + c - c - d), min(a + b, a + c) + 1)]
         assert p == pytest.approx(exact) and p[at] == pytest.approx(choose(a + b, a) * choose(c + d, c) / choose(a + b + c + d, a + c))
 
 
+def test_functions_over_arrays():
+    x = np.concatenate([np.linspace(0, 8, 161), [15.0, 26.0]])
+    assert stats.erfc(x) == pytest.approx([math.erfc(v) for v in x], rel=1e-11)
+    y = np.concatenate([np.linspace(0.5, 40, 80), [1e3, 1e6, 1e9]])
+    assert stats.log_gamma(y) == pytest.approx([math.lgamma(v) for v in y], rel=1e-13, abs=1e-12)
+    assert stats.regularized_beta(np.array([0.3, 0.0, 1.0]), np.array([2.0, 1, 1]), np.array([3.0, 1, 1])) == pytest.approx([0.3483, 0, 1])
+
+
+def test_tails_of_a_batch_do_not_depend_on_its_slices(spark, monkeypatch):
+    rows = [(i % 9, i % 7, (i * 5) % 11, (i * 3) % 8) for i in range(60)]
+    frame = pd.DataFrame(rows).T.reset_index(drop=True).T
+    columns = [frame[k] for k in range(4)]
+    whole = stats._fisher(lambda p, own, above: above, *columns)
+    monkeypatch.setattr(stats, "TABLES", 5)
+    assert list(stats._fisher(lambda p, own, above: above, *columns)) == list(whole)
+    for (a, b, c, d), got in zip(rows, whole, strict=True):
+        exact = sum(choose(a + b, x) * choose(c + d, a + c - x) for x in range(a, min(a + b, a + c) + 1)) / choose(a + b + c + d, a + c)
+        assert got == pytest.approx(exact)
+
+
 def test_fdr_keeps_order_and_nulls(spark):
     df = spark.createDataFrame([(0, 0.04), (1, 0.001), (2, 0.02), (3, 0.5), (4, None)], "i int, p double")
     q = [r.q for r in stats.with_fdr(df, "p", "q", ties=("i",)).orderBy("i").collect()]
