@@ -45,9 +45,10 @@ from kithara.session import free_of, written
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
+SLACK = 1e-4  # a score this little below the threshold still counts
 BLOCK, SHARD = 4, 1024
-#: Pairs of item and term in one pass over the documents: 64 to 128 MB of index. More take more passes.
-PASS_ENTRIES = 4_000_000
+#: Pairs of item and term in one pass over the documents: at most 200 MB of index. More take more passes.
+PASS_ENTRIES = 1_000_000
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -78,26 +79,50 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return text, ""
 
 
-@dataclass
 class Rows:
-    """Sparse rows: row r has terms[at[r] : at[r + 1]] with their values."""
-
-    at: np.ndarray
-    terms: np.ndarray
-    values: np.ndarray
+    """A sparse matrix as a hash table from row * terms + term to a value, a quarter full, probed slot by slot."""
+
+    def __init__(self, count: int, terms: int, codes: np.ndarray, values: np.ndarray) -> None:
+        self.count, self.terms = count, terms
+        self.bits = (4 * len(codes)).bit_length()
+        self.codes, self.values = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.float32)
+        slot, open_ = self._slot(codes), np.arange(len(codes))
+        while len(open_):
+            free = open_[self.codes[slot[open_]] == -1]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.codes[slot[put]], self.values[slot[put]] = codes[put], values[put]
+            open_ = open_[self.codes[slot[open_]] != codes[open_]]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def at(self, codes: np.ndarray) -> np.ndarray:
+        slot = self._slot(codes)
+        found = self.codes[slot]
+        out = np.where(found == codes, self.values[slot], np.float32(0))
+        open_ = np.flatnonzero((found != codes) & (found != -1))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            found = self.codes[slot]
+            hit = found == codes[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            more = ~hit & (found != -1)
+            open_, slot = open_[more], slot[more]
+        return out
 
-    def sums(self, row: np.ndarray, group: np.ndarray, codes: np.ndarray, terms: int) -> np.ndarray:
-        """For each i the sum of row[i]'s values over the terms of group[i]; codes: group * terms + term, ascending."""
+    def sums(self, row: np.ndarray, term: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each i the sum of row[i]'s values at term[head[i] : head[i] + size[i]]."""
         out = np.empty(len(row), np.float32)
-        n = np.diff(self.at)[row]
-        step = max(1, (1 << 20) // max(1, int(n.max(initial=1))))
+        step = max(1, (1 << 18) // max(1, int(size.max(initial=1))))
         for a in range(0, len(row), step):
-            size = n[a : a + step]
-            ends = np.cumsum(size)
-            at = np.repeat(self.at[row[a : a + step]] - ends + size, size) + np.arange(ends[-1])
-            key = np.repeat(group[a : a + step] * terms, size) + self.terms[at]
-            place = np.minimum(np.searchsorted(codes, key), len(codes) - 1)
-            out[a : a + step] = np.add.reduceat(np.where(codes[place] == key, self.values[at], np.float32(0)), ends - size)
+            n = size[a : a + step]
+            ends = np.cumsum(n)
+            at = np.repeat(head[a : a + step] - ends + n, n) + np.arange(ends[-1])
+            out[a : a + step] = np.add.reduceat(self.at(np.repeat(row[a : a + step] * self.terms, n) + term[at]), ends - n)
         return out
 
 
@@ -116,20 +141,21 @@ class Shard:
     posting: np.ndarray  # blocks that hold a term number
 
 
+@dataclass
+class Item:
+    item: object
+    parts: tuple  # of question and answer: shingle length and distinct shingles
+    terms: np.ndarray  # ascending, and of each its share of the score
+    impact: np.ndarray
+
+
 @dataclass
 class Index:
     length: int
-    items: list  # item ids
-    parts: list[tuple]  # of question and answer: shingle length and distinct shingles
+    items: list[Item]
     shards: list[Shard]
 
 
-@dataclass
-class Item:
-    item: object
-    parts: tuple
-    terms: np.ndarray
-    impact: np.ndarray
 
 
 def build(items: list[Item], length: int) -> Index:
@@ -147,6 +173,7 @@ def build(items: list[Item], length: int) -> Index:
         number[order] = np.arange(len(terms))
         term = number[term]
         blocks = -(-len(own) // BLOCK)
+        each = np.repeat(np.arange(len(own)), size) * len(terms) + term
         pair = np.repeat(np.arange(len(own)) // BLOCK, size) * len(terms) + term
         pair, at = np.unique(pair, return_inverse=True)
         most = np.zeros(len(pair), np.float32)
@@ -157,11 +184,15 @@ def build(items: list[Item], length: int) -> Index:
         sieve[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
         shards.append(Shard(
             a, terms, number, sieve, greatest[order],
-            Rows(np.concatenate([[0], np.cumsum(size)]), term, impact),
-            Rows(np.searchsorted(block, np.arange(blocks + 1)), of, most),
+            Rows(len(own), len(terms), each, impact), Rows(blocks, len(terms), pair, most),
             np.searchsorted(of[by_term], np.arange(len(terms) + 1)), block[by_term],
         ))
-    return Index(length, [x.item for x in items], [x.parts for x in items], shards)
+    return Index(length, items, shards)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def search(s: Shard, h: np.ndarray, place: np.ndarray, base: np.ndarray, length: int, threshold: float) -> tuple[np.ndarray, ...]:
@@ -175,9 +206,9 @@ def search(s: Shard, h: np.ndarray, place: np.ndarray, base: np.ndarray, length:
     maybe, term = maybe[hit], s.number[at[hit]]
     k, v = place[maybe] // length, len(s.terms)
     own = base[maybe] + k
-    codes = np.unique(np.concatenate([own * v + term, (own[k > 0] - 1) * v + term[k > 0]]))
+    codes = _distinct(np.concatenate([own * v + term, (own[k > 0] - 1) * v + term[k > 0]]))
     passage, term = codes // v, codes % v
-    slack = threshold - 1e-4  # sums of single floats
+    slack = threshold - 2 * SLACK  # sums of single floats; what is found is scored again in double precision
     none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
     if not len(passage):
         return none
@@ -195,18 +226,17 @@ def search(s: Shard, h: np.ndarray, place: np.ndarray, base: np.ndarray, length:
     n = np.diff(s.posting_at)[term[pivot]]
     ends = np.cumsum(n)
     blocks = s.posting[np.repeat(s.posting_at[term[pivot]] - ends + n, n) + np.arange(ends[-1])]
-    in_all = len(s.block.at) - 1
-    cand = np.unique(np.repeat(rank[pivot], n) * in_all + blocks)
+    in_all = s.block.count
+    cand = _distinct(np.repeat(rank[pivot], n) * in_all + blocks)
     group, block = cand // in_all, cand % in_all
-    codes = rank * v + term
-    keep = s.block.sums(block, group, codes, v) >= slack
+    keep = s.block.sums(block, term, head[group], size[group]) >= slack
     group = np.repeat(group[keep], BLOCK)
     item = (block[keep][:, None] * BLOCK + np.arange(BLOCK)).ravel()
-    inside = item < len(s.impact.at) - 1
+    inside = item < s.impact.count
     group, item = group[inside], item[inside]
     if not len(item):
         return none
-    score = s.impact.sums(item, group, codes, v)
+    score = s.impact.sums(item, term, head[group], size[group])
     keep = score >= slack
     return passage[head[group[keep]]], item[keep], score[keep]
 
@@ -226,14 +256,16 @@ def matches_of(index: Index, texts: pa.Array, threshold: float, overlap: float)
         doc = np.repeat(np.arange(b - a), n)
         place = np.arange(len(h)) - w.first[doc]
         for s in index.shards:
-            for passage, item, score in zip(*search(s, h, place, base[doc], index.length, threshold), strict=True):
+            for passage, item, _ in zip(*search(s, h, place, base[doc], index.length, threshold), strict=True):
                 d = int(np.searchsorted(base, passage, "right")) - 1
                 start = (int(passage) - int(base[d])) * index.length
                 own = h[w.first[d] + start : min(w.first[d] + start + 2 * index.length, w.first[d + 1])]
                 i = s.first + int(item)
-                q, ans = (float(np.isin(p, shingles(own, size)).mean()) if size else 1.0 for size, p in index.parts[i])
-                if q >= overlap and ans >= overlap:
-                    found = (float(score), q, ans, -start)
+                it = index.items[i]
+                score = float(it.impact[np.isin(it.terms, own)].sum())
+                q, ans = (float(np.isin(p, shingles(own, size)).mean()) if size else 1.0 for size, p in it.parts)
+                if score >= threshold - SLACK and q >= overlap and ans >= overlap:
+                    found = (score, q, ans, -start)
                     best[a + d, i] = max(best.get((a + d, i), found), found)
     return [(d, i, s, q, ans, -p) for (d, i), (s, q, ans, p) in sorted(best.items())]
 
@@ -296,7 +328,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
             for b in batches:
                 found = matches_of(index, b.column(1), threshold, overlap) if index.shards else []
                 d, i, *rest = zip(*found, strict=True) if found else ([],) * 6
-                names = pa.array([index.items[x] for x in i], target.field(1).type)
+                names = pa.array([index.items[x].item for x in i], target.field(1).type)
                 arrays = [b.column(0).take(pa.array(d, pa.int64())), names, *(pa.array(x, t) for x, t in zip(rest, (pa.float64(),) * 3 + (pa.int64(),), strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=target.names)
 
