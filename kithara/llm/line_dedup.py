@@ -130,6 +130,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "d
     # A fingerprint of one place, selected by several windows there, is not repeated.
     spot = F.struct(F.col("key").isNull().alias("none"), "key", "same", "spot")
     prints = windows.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("print")
+    prints = written(prints, "prints")
     open_ = windows.join(prints, "print", "left_semi")
     place = F.struct(F.col("key").isNull().alias("none"), "key", "same", "head")
 
