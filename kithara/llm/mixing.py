@@ -10,8 +10,10 @@ the last epoch the shortest prefix that reaches the leaf's budget.
 
 Defined results: a null text has no tokens; null level values form a branch of their own; a leaf
 without tokens gets no budget and none of its rows; weight 0 excludes a subtree; repeated rows are
-rows of their own; rows that tie in the permutation are ordered by their number of tokens; an
-empty table gives an empty result; input columns named like the added ones are replaced. Budgets are integers and add up exactly.
+rows of their own; the permutation is by a hash of key and text, so rows of one key, or of a null
+key, are permuted as well, and rows that still tie are alike; a very long text is one row, of which
+the last epoch may take a part; an empty table gives an empty result; input columns named like the
+added ones are replaced. Budgets are integers and add up exactly.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from kithara.session import free_of, written
 #: Levels are compared as text; this stands for a null.
 NONE = "␀"
 OUT = ("mix_path", "mix_epoch", "mix_tokens", "mix_taken")
+ROWS_A_RANGE = 1000
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -104,24 +107,28 @@ def mix(
     levels: name to expression, from the root down. A row comes once for each epoch that takes it.
     mix_taken is smaller than mix_tokens only where a leaf's budget ends inside that row.
 
-    The rows of a leaf are never gathered: prefix sums over 4096 hash ranges tell which range the
-    budget ends in, and only that range is ordered row by row.
+    The rows of a leaf are never gathered: prefix sums over hash ranges tell which range the budget
+    ends in, and only that range is ordered row by row. Ranges follow the leaf's rows: each is a
+    prefix of the hash, as long as is needed for ROWS_A_RANGE rows or fewer.
     """
     names = [f"_mix_{i}" for i in range(len(levels))]
-    docs = free_of(docs, [*names, *OUT, "_whole", "_rest", "_draw", "_range", "_end", "_before"])
+    docs = free_of(docs, [*names, *OUT, "_whole", "_rest", "_digits", "_print", "_draw", "_range", "_end", "_before"])
     path = [F.coalesce(e.cast("string"), F.lit(NONE)).alias(n) for n, e in zip(names, levels.values(), strict=True)]
     rows = docs.withColumn("mix_tokens", word_count(F.col(text)))
-    leaves = rows.select(*path, "mix_tokens").groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"))
-    leaves = budgets(written(leaves, "leaf_tokens"), names, weights, share, max_epochs)
+    leaves = rows.select(*path, "mix_tokens").groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("n"))
+    leaves = written(leaves, "leaf_tokens")
+    digits = leaves.select(*names, F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("n") / ROWS_A_RANGE))).cast("int").alias("_digits"))
+    leaves = budgets(leaves, names, weights, share, max_epochs).join(digits, names)
     leaves = leaves.withColumn("_whole", F.expr("coalesce(budget div nullif(tokens, 0), 0)"))
     leaves = leaves.withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens"))
-    leaves = written(leaves.select(*names, "_whole", "_rest"), "leaves")
+    leaves = written(leaves.select(*names, "_whole", "_rest", "_digits"), "leaves")
 
     def drawn(frame: DataFrame) -> DataFrame:
-        word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_whole"), F.coalesce(F.col(key).cast("string"), F.lit(NONE))))
-        return frame.withColumn("_draw", word).withColumn("_range", F.substring("_draw", 1, 3))
+        own = [F.coalesce(x, F.lit(NONE)) for x in (F.col(key).cast("string"), F.col("_print"))]
+        word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_whole"), *own))
+        return frame.withColumn("_draw", word).withColumn("_range", F.substring(F.col("_draw"), F.lit(1), F.col("_digits")))
 
-    slim = docs.select(*path, F.col(key), word_count(F.col(text)).alias("mix_tokens"))
+    slim = docs.select(*path, F.col(key), F.md5(text).alias("_print"), word_count(F.col(text)).alias("mix_tokens"))
     slim = drawn(slim.join(leaves.filter("_rest > 0"), names))
     sums = slim.groupBy(*names, "_rest", "_range").agg(F.sum("mix_tokens").alias("sum"))
     upto = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,7 +137,7 @@ def mix(
     ends = ends.select(*names, F.col("_range").alias("_end"), "_before")
     leaves = written(leaves.join(ends, names, "left"), "leaf_ends")
 
-    rows = rows.select("*", *path).join(leaves, names).withColumn("mix_path", F.array(*names))
+    rows = rows.select("*", F.md5(text).alias("_print"), *path).join(leaves, names).withColumn("mix_path", F.array(*names))
     kept = [*docs.columns, *OUT]
     whole = rows.filter("_whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole") - 1)))
     whole = whole.withColumn("mix_taken", F.col("mix_tokens")).select(*kept)

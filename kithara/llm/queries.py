@@ -51,7 +51,7 @@ def _op1_sql() -> str:
     with_ = [f"""
 docs AS (SELECT doc_id, coalesce(lang, '{mixing.NONE}') AS lang, coalesce(source, '{mixing.NONE}') AS source,
   list_extract([{', '.join(map(repr, MIX_DOMAINS))}], (coalesce({number} % {len(MIX_DOMAINS)}, 0) + 1)::BIGINT) AS domain,
-  coalesce(len(regexp_extract_all(text, '{mixing.WORDS}')), 0)::HUGEINT AS t FROM documents)""", f"""
+  coalesce(md5(text), '{mixing.NONE}') AS m, coalesce(len(regexp_extract_all(text, '{mixing.WORDS}')), 0)::HUGEINT AS t FROM documents)""", f"""
 leaves AS (SELECT domain, lang, source, sum(t)::HUGEINT AS t, sum(t)::HUGEINT * {MIX_EPOCHS} AS cap FROM docs GROUP BY ALL)""", f"""
 b0 AS (SELECT least((sum(t) * {MIX_SHARE[0]}) // {MIX_SHARE[1]}, sum(cap))::HUGEINT AS given FROM leaves)"""]
     cols = ("domain", "lang", "source")
@@ -73,7 +73,7 @@ b{d} AS (SELECT {own}, (even + CASE WHEN NOT is_full AND nth <= rest - sum(CASE
     with_.append(f"""
 plan AS (SELECT leaves.*, given // t AS whole, given % t AS rest FROM leaves JOIN b3 USING (domain, lang, source) WHERE t > 0),
 rows_ AS (SELECT docs.doc_id, domain, lang, source, docs.t, whole, rest,
-  md5('{MIX_SEED}|' || whole::VARCHAR || '|' || coalesce(doc_id::VARCHAR, '{mixing.NONE}')) AS draw FROM docs JOIN plan USING (domain, lang, source)),
+  md5('{MIX_SEED}|' || whole::VARCHAR || '|' || coalesce(doc_id::VARCHAR, '{mixing.NONE}') || '|' || m) AS draw FROM docs JOIN plan USING (domain, lang, source)),
 cut AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY domain, lang, source ORDER BY draw, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rows_)
 SELECT doc_id, domain, lang, source, unnest(range(whole::BIGINT)) AS epoch, t::BIGINT AS n_tokens, t::BIGINT AS taken_tokens FROM rows_
 UNION ALL SELECT doc_id, domain, lang, source, whole::BIGINT, t::BIGINT, least(t, rest - before)::BIGINT FROM cut WHERE before < rest""")

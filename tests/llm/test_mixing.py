@@ -38,8 +38,8 @@ def share_out(caps, weights, budget):
 def brute(rows, share, epochs, seed):
     leaves = {}
     for k, t, *path in rows:
-        leaves.setdefault(tuple(mixing.NONE if p is None else p for p in path), []).append((k, tokens(t)))
-    size = {p: sum(n for _, n in r) for p, r in leaves.items()}
+        leaves.setdefault(tuple(mixing.NONE if p is None else p for p in path), []).append((k, tokens(t), mixing.NONE if t is None else hashlib.md5(t.encode()).hexdigest()))
+    size = {p: sum(n for _, n, _ in r) for p, r in leaves.items()}
     weight = lambda p: WEIGHTS.get(p, 1)
     cap = {p: n * epochs if all(weight(p[:d]) for d in (1, 2, 3)) else 0 for p, n in size.items()}
     given = {(): min(sum(size.values()) * share[0] // share[1], sum(cap.values()))}
@@ -52,9 +52,9 @@ def brute(rows, share, epochs, seed):
         if not size[p]:
             continue
         whole, rest = divmod(given[p], size[p])
-        out += [(k, p, e, n) for e in range(whole) for k, n in r]
-        key = lambda x: (hashlib.md5(f"{seed}|{whole}|{mixing.NONE if x[0] is None else x[0]}".encode()).hexdigest(), x[1])  # noqa: B023, E731
-        for k, n in sorted(r, key=key):
+        out += [(k, p, e, n) for e in range(whole) for k, n, _ in r]
+        key = lambda x: (hashlib.md5(f"{seed}|{whole}|{mixing.NONE if x[0] is None else x[0]}|{x[2]}".encode()).hexdigest(), x[1])  # noqa: B023, E731
+        for k, n, _ in sorted(r, key=key):
             if rest <= 0:
                 break
             out.append((k, p, whole, min(n, rest)))
@@ -92,3 +92,16 @@ def test_empty_and_zero(spark):
     docs = spark.createDataFrame([(1, None, "d0", "en", "s1"), (2, "", "d1", "en", "s1")], schema)
     assert run(docs, (1, 1), 2).count() == 0
     assert run(docs.limit(0), (1, 1), 2).count() == 0
+
+
+def test_rows_of_a_null_key_are_spread_over_the_ranges(spark, monkeypatch):
+    """A third of all rows has no key; the range in which the budget ends still holds few rows."""
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 20)
+    schema = "doc_id long, text string, domain string, lang string, source string"
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i % 4) + str(i), "d0", "en", "s1") for i in range(6000)]
+    docs = spark.createDataFrame(rows, schema)
+    first = sorted(map(str, run(docs, (1, 2), 1).collect()))
+    assert sorted(map(str, run(docs.repartition(7), (1, 2), 1).collect())) == first
+    drawn = {hashlib.md5(f"7|0|{mixing.NONE if k is None else k}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest() for k, t, *_ in rows}
+    ranges = [sum(d.startswith(f"{x:03x}") for d in drawn) for x in range(0, 4096, 64)]
+    assert len(drawn) == 6000 and max(ranges) < 20
