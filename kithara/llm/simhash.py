@@ -11,10 +11,14 @@ Equal fingerprints are one row from the start. A bucket gives only edges that sp
 never all pairs. A bucket of many fingerprints is dealt to tasks as pairs of blocks, so no task
 holds more than two blocks, and no pair is lost.
 
+Nothing is gathered by component. Names of components, one row each, are written before they are
+joined with their members, so that adaptive execution can split the partition of a large one.
+
 Defined results: a null or empty text has fingerprint zero, which links like any other; a text of
-fewer words than a shingle is one shingle; rows with a null id take part but never name a
-component; repeated rows are kept; an empty table gives an empty result; input columns named like
-the added ones are replaced.
+fewer words than a shingle is one shingle, and a very long one counts whole; a bit that is set in
+just half of the shingles is 0; rows with a null id take part but never name a component; repeated
+rows are kept; an empty table gives an empty result; input columns named like the added ones are
+replaced.
 """
 
 from __future__ import annotations
@@ -183,8 +187,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """One row a document: `key`, fp, component_id (least key that links reach, own one included)."""
     rows, roots = _rooted(docs, key, text)
     least = rows.groupBy("fp").agg(F.min("key").alias("least")).join(roots, "fp")
-    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     nodes = written(roots.join(names, "root").select("fp", "component_id"), "components")
+    # A fingerprint that a third of all rows have is one key of this join; the other side has one row for it.
     return rows.join(nodes, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
