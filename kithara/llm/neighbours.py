@@ -8,14 +8,16 @@ parts and ranked there by the exact inner product in double precision. How many
 measured: the fewest at which held-back sample vectors find RECALL of their true neighbours.
 
 A part of many rows is dealt to tasks as blocks, and so are its queries, so one task holds one block
-of either whatever the sizes. Each block returns each query's nearest few only, and of these only what reaches the k-th best
-score among the sampled rows of the query's probed parts.
+of either whatever the sizes; a table of more rows than fit the most parts has longer parts of more
+blocks, and loses nothing. Each block returns each query's nearest few only, and of these only what
+reaches the k-th best score among the sampled rows of the query's probed parts.
 
 Defined results: null ids and vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part; rows that repeat an id are one candidate with its
 nearest vector, and as a query that id has its least vector; ties go to the smaller id; a query for
-which the probed parts hold fewer than k candidates is searched in all parts; an empty table gives an
-empty result.
+which the probed parts hold fewer than k candidates is searched in all parts; columns other than
+those named are not read, whatever their names (texts, long or short, play no part); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from kithara.session import written
 #: Vectors that the graph and the network are fitted to, at most.
 SAMPLE = 8192
 EDGES, HIDDEN, EPOCHS, SEED = 10, 128, 20, 9
-ROWS_A_PART, LEAST_PARTS, MOST_PARTS = 500, 64, 256
+#: Parts follow the rows; there are not more than the sample can fit, eight vectors a part.
+ROWS_A_PART, LEAST_PARTS, MOST_PARTS = 500, 64, SAMPLE // 8
 RECALL = 0.93
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 
@@ -52,7 +55,6 @@ class Router:
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.maximum((x / np.where(norm > 0, norm, 1)) @ w1 + b1, 0) @ w2 + b2
 
-
     def bounds(self, ids: np.ndarray, x: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
         """For each query the k-th best score among sampled rows of its probed parts: no less can be needed."""
         out = np.full(len(x), -np.inf)

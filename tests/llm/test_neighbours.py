@@ -21,7 +21,7 @@ def test_recall_scores_and_ties(spark):
     ids = rng.permutation(len(x))
     rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
     odd = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [1.0] * 15 + [None]), (9005, [1.0] * 3), (9006, [float("inf")] * 16), (None, [5.0] * 16), (9020, None)]
-    frame = spark.createDataFrame(rows + odd + rows[:50], "vec_id long, embedding array<float>").repartition(5)
+    frame = spark.createDataFrame([(*r, 1, "clash") for r in rows + odd + rows[:50]], "vec_id long, embedding array<float>, id int, part string").repartition(5)
     asked = [int(i) for i in ids if i % 20 == 0]
     got = {}
     for r in neighbours.search(frame, (neighbours.F.col("vec_id") % 20 == 0)).collect():
@@ -61,3 +61,8 @@ def test_parts_are_balanced():
     x = np.random.default_rng(2).normal(size=(1000, 8))
     part = neighbours.balanced_parts(neighbours.neighbour_graph(x, 10), 8)
     assert np.bincount(part).min() >= 124 and np.bincount(part).max() <= 126
+
+
+def test_parts_follow_the_rows_as_far_as_the_sample_goes():
+    x = np.random.default_rng(3).normal(size=(4096, 4))
+    assert [neighbours.fit(x[:n], total, 5).parts for n, total in ((4096, 4096), (4096, 100_000), (4096, 10**9), (100, 100))] == [64, 256, 512, 8]
