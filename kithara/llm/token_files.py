@@ -12,8 +12,11 @@ bases, how many ids and documents come before a part, are prefix sums of the par
 writes files of a name of its own and reports it; only reported files enter the manifest, so a
 repeated or lost task leaves no trace in the data set.
 
-Defined results: a null or empty text is the end id alone; repeated rows are documents of their own;
-an empty table gives a manifest without parts and an empty result.
+Defined results: a null or empty text is the end id alone; a very long text is encoded whole; repeated
+rows are documents of their own; columns other than those named are not read, whatever their names; an
+empty table gives a manifest without parts and an empty result. A tokenizer that does not treat
+white-space separated pieces independently is an error: every task compares its first text with what
+the library gives for the whole of it, and the driver some odd ones.
 """
 
 from __future__ import annotations
@@ -106,6 +109,12 @@ class Encoder:
                 ids = np.insert(ids, ends[1:], end)
             yield ids, np.diff(ends) + (end is not None)
 
+    def check(self, text: str) -> None:
+        """An error unless the pieces of a text give the ids of the whole."""
+        got = np.concatenate([ids for ids, _ in self.encode(pa.array([text]), None)])
+        if got.tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+            raise ValueError("this tokenizer does not treat white-space separated pieces independently")
+
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[i], ..., starts[i] + sizes[i] - 1 for each i."""
@@ -114,6 +123,10 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(total)
 
 
+#: Texts in which a tokenizer that looks across white space shows it.
+ODD_TEXTS = ("a b  c\td\n\ne ", " lead", "It's 1 000 000, isn't it ?", "e\u0301 \u0301x \u00a0y\u0085z", "the the\r\nthe\x0b\x0c.", "\U0001f600 \u4e2d \u6587 abc")
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -143,6 +156,8 @@ def write(docs: DataFrame, tokenizer: str, end: int | None, folder: str | None =
     """Encode all texts and write a data set; returns its folder."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
+    for odd in ODD_TEXTS:
+        encoder(tokenizer).check(odd)
     kind = "<u2" if max(encoder(tokenizer).tokenizer.get_vocab_size(), (end or 0) + 1) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +168,7 @@ def write(docs: DataFrame, tokenizer: str, end: int | None, folder: str | None =
             if not b.num_rows:
                 continue
             if streams is None:
+                encoder(tokenizer).check(next((t for t in b.column(1).slice(0, 64).to_pylist() if t and len(t) < 1 << 16), ""))
                 fs.create_dir(base, recursive=True)
                 streams = fs.open_output_stream(f"{base}/{name}.ids")
             keys.append(b.column(0).cast(pa.int64()).fill_null(NO_KEY).to_numpy().astype("<i8"))

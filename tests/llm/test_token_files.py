@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from tokenizers import Tokenizer
+import pytest
+from tokenizers import Tokenizer, models
 
 from kithara.llm import token_files
 
@@ -37,7 +38,7 @@ def test_round_trip(spark):
     direct = Tokenizer.from_file(PATH)
     t = texts(120)
     rows = [(i, x) for i, x in enumerate(t)] + [(7, t[7]), (None, "no key"), (-5, "first")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    docs = spark.createDataFrame([(*r, "clash", 0) for r in rows], "doc_id long, text string, ids string, part int").repartition(6)
     folder = token_files.write(docs, PATH, 2)
     got = sorted(token_files.digest(spark, folder).collect(), key=lambda r: r.start)
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -49,3 +50,13 @@ def test_round_trip(spark):
     back = {r.doc_id: r.ids for r in token_files.texts_of(spark, folder).collect()}
     assert back == {k: i for (k, _), i in zip(want, ids, strict=True)}
     assert token_files.digest(spark, token_files.write(docs.limit(0), PATH, 2)).count() == 0
+
+
+def test_a_tokenizer_across_white_space_is_an_error(spark, tmp_path):
+    own = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "b": 2, "a b": 3}, "[UNK]"))
+    own.save(f"{tmp_path}/own.json")
+    token_files.Encoder(f"{tmp_path}/own.json").check("a")
+    with pytest.raises(ValueError, match="independently"):
+        token_files.Encoder(f"{tmp_path}/own.json").check("a b")
+    with pytest.raises(ValueError, match="independently"):
+        token_files.write(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), f"{tmp_path}/own.json", 2)
