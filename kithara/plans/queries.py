@@ -1041,3 +1041,28 @@ def radius_bases(spark: SparkSession, folder: str) -> DataFrame:
     edges, p = edges_table(spark, folder), views.points(spark, folder)
     rows = [density.of_basis(edges, p, 4, b).agg(F.lit(b).alias("basis"), F.count("*").alias("n"), F.sum("d").alias("total")) for b in density.BASES]
     return rounded(runs.union_tables(rows), 4)
+
+
+def _nested(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """One row: noise of the inner clustering, and inner clusters that lie in more than one outer cluster."""
+    both = inner.join(outer.select("point_id", F.col("cluster_id").alias("outer_id")), "point_id")
+    lost = both.groupBy("cluster_id").agg(F.countDistinct("outer_id").alias("n")).filter("cluster_id >= 0 and n > 1").agg(F.count("*").cast("int").alias("split_clusters"))
+    return inner.agg(F.count_if(F.col("cluster_id") == -1).alias("noise")).crossJoin(lost)
+
+
+@query(f"""SELECT count(*) FILTER (cluster_id = -1) AS noise, 0 AS split_clusters FROM ({_vdbscan_sql("a.eps")})""")
+def vdbscan_leiden_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Leiden inside density clusters adds no noise and crosses no cluster."""
+    edges = edges_table(spark, folder)
+    radii, own = radius_table(spark, folder, edges)
+    outer = written(density.vdbscan(edges, written(density.radius_of_points(own, radii), "radius"), 3, "asymmetric"), "vdbscan")
+    inner = communities.vdbscan_leiden(views.points(spark, folder), outer, knn.neighbour_graph(edges))
+    return _nested(outer, written(inner, "inner"))
+
+
+@query(f"""WITH {POINTS_SQL} SELECT 0 AS noise, 0 AS split_clusters FROM pts LIMIT 1""")
+def hierarchical_leiden_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """The second level, with clusters of any size, crosses no community of the first."""
+    p, graph = views.points(spark, folder), written(knn.neighbour_graph(edges_table(spark, folder)), "graph")
+    outer = written(communities.leiden_clusters(p, graph, least=0), "outer")
+    return _nested(outer, written(communities.hierarchical_leiden(p, graph, least=0, least_within=0), "inner"))
