@@ -69,6 +69,17 @@ def of_basis(edges: DataFrame, points: DataFrame, kth: int, basis: str = "all")
     return edges.filter(F.col("rank") == kth - 1).select(F.col("src").alias("point_id"), F.col("dist").alias("d"))
 
 
+def resampled(distances: DataFrame, by: Sequence[str] = (), least: int = 20_000, share: float = 0.2, seed: int = 17) -> DataFrame:
+    """Distances (by, point_id, d) that a radius may be learned from: of each group `share`, but about `least` where it has them.
+
+    Points are drawn by a seeded hash, so a draw repeats itself.
+    """
+    sizes = distances.groupBy(*by).agg(F.count("*").alias("_n"))
+    own = distances.join(sizes, list(by)) if by else distances.crossJoin(sizes)  # one row without groups
+    part = F.greatest(F.lit(float(least)) / F.col("_n"), F.lit(share))
+    return own.filter(F.pmod(F.xxhash64("point_id", F.lit(seed)), F.lit(1_000_000)) < part * 1_000_000).drop("_n")
+
+
 def ranked_in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """df with the rank from 0 of each row in its group's order; no group is gathered in one task.
 

@@ -29,6 +29,7 @@ class Config:
     auxiliary: bool = True
     eps: float | None = None
     radius_basis: str = "all"
+    resample: bool = False
 
     def __post_init__(self) -> None:
         if self.algorithm not in ALGORITHMS:
@@ -54,7 +55,8 @@ def labels_of(points: DataFrame, edges: DataFrame, config: Config) -> tuple[Data
         lengths = points.select("point_id", F.length("cdr3").alias("length"))
         groups = density.length_groups(lengths, c.least_share)
         own = lengths.join(density.nearest_group(lengths, groups), "length").select("point_id", "gid")
-        radii = density.chord_radius(density.of_basis(edges, points, c.eps_k, c.radius_basis).join(own, "point_id"), ["gid"])
+        curve = density.of_basis(edges, points, c.eps_k, c.radius_basis).join(own, "point_id")
+        radii = density.chord_radius(density.resampled(curve, ["gid"]) if c.resample else curve, ["gid"])
         radius = written(density.radius_of_points(own, radii), "radius")
         more |= {"length_groups": groups, "radii": radii, "distance_curve": density.distance_curve(d.join(own, "point_id"), ["gid"])}
         labels = density.vdbscan(edges, radius, c.core_min_samples, c.symmetrization)

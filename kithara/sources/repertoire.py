@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import io
+import tarfile
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,34 @@ def standardized_clonotypes(df: DataFrame, chain: str | None = None) -> DataFram
     return df.select(clone.alias("clone_id"), cdr3.alias("cdr3"), gene("v_gene").alias("v_gene"), gene("j_gene").alias("j_gene"), named.alias("chain"), count.alias("count"))
 
 
+def archived_tables(spark: SparkSession, path: str, suffix: str = ".tsv") -> DataFrame:
+    """(archive, member, content) of the members of tar archives, compressed or not, whose names end in `suffix`.
+
+    One task unpacks one archive at a time and holds one member of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(data.as_py())) as tar:
+                    for member in tar:
+                        if member.isfile() and member.name.endswith(suffix):
+                            yield pa.RecordBatch.from_pydict({"archive": [name], "member": [member.name], "content": [tar.extractfile(member).read().decode()]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "archive string, member string, content string")
+
+
+def archived_rows(archived: DataFrame, schema: str) -> DataFrame:
+    """archive, member and the rows of tab-separated members with a header; columns by name, those that are missing null."""
+    lines = F.filter(F.split("content", "\r?\n"), lambda x: x != "")
+    rows = archived.withColumn("_lines", lines).withColumn("_head", F.split(F.col("_lines")[0], "\t"))
+    rows = rows.select("archive", "member", "_head", F.explode(F.slice("_lines", 2, 2**30)).alias("_line"))
+    cells = F.map_from_arrays("_head", F.slice(F.concat(F.split("_line", "\t"), F.array_repeat(F.lit(""), F.size("_head"))), 1, F.size("_head")))
+    fields = [x.split() for x in schema.split(",")]
+    return rows.select("archive", "member", *[F.nullif(F.try_element_at(cells, F.lit(n)), F.lit("")).try_cast(t).alias(n) for n, t in fields])
+
+
 def wide_to_vector(df: DataFrame, columns: Sequence[str], vector: str = "embedding") -> DataFrame:
     """Numeric columns as one array; nulls and NaN stay null inside."""
     return df.select(*[c for c in df.columns if c not in columns], F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]).alias(vector))

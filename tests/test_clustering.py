@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kithara.operators import communities, density, knn, merging, reduction
 from kithara.operators.components import connected_components
@@ -219,6 +220,15 @@ def test_pieces_find_what_wildcards_cannot(spark):
     assert {r.cluster_id: r.merged_cluster_id for r in merging.merge_clusters(df, "sequence", 2).collect()} == dict(enumerate(root))
 
 
+def test_resampled_curves_repeat_themselves(spark):
+    d = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("gid"), F.col("id").alias("point_id"), F.rand(1).alias("d"))
+    n = {r.gid: r["count"] for r in density.resampled(d, ["gid"], least=400, share=0.3).groupBy("gid").count().collect()}
+    assert 320 < n[1] < 480 and 500 < n[0] < 700
+    first = sorted(r.point_id for r in density.resampled(d, least=50, share=0.1).collect())
+    assert first == sorted(r.point_id for r in density.resampled(d.repartition(7), least=50, share=0.1).collect())
+    assert density.resampled(d, ["gid"]).count() == 3000
+
+
 def test_ranks_of_a_hot_group_are_dealt_to_many_tasks(spark):
     df = spark.range(4000).select((F.col("id") % 10 == 0).cast("int").alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("d"), "id")
     got = density.ranked_in_ranges(df, ["g"], ["d", "id"], "rank")

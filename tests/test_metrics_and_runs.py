@@ -1,4 +1,5 @@
 import math
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,11 @@ def test_reading_and_writing(spark, tmp_path):
     assert [(r.patient, r.run_id, r.cluster_id, r.sample, r.method, r.k_neighbors) for r in found] == [
         (p, f"algo_leiden__kn_{k}", c, n, "leiden", k) for p, k in (("p1", 7), ("p2", 9)) for c, n in ((1, 5), (2, 6))
     ]
+    with tarfile.open(tmp_path / "runs.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "tree", "tree")
+    held = repertoire.archived_tables(spark, f"{tmp_path}/runs.tar.gz", "summary.tsv")
+    back = repertoire.archived_rows(held, "cluster_id int, sample int, none string").collect()
+    assert sorted((r.member, r.cluster_id, r.sample, r.none) for r in back) == sorted((f"tree/{p}/{x}/summary.tsv", c, n, None) for p, x in (("p1", "algo_leiden__kn_7"), ("p2", "algo_leiden__kn_9"), ("p2", "other")) for c, n in ((1, 5), (2, 6)))
     repertoire.write_tables(f"{tmp_path}/debug", {"a": df})
     assert spark.read.parquet(f"{tmp_path}/debug/a").count() == 2
 
