@@ -6,6 +6,7 @@ candidates, then by distance, then by id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points in a block: a task multiplies one block of queries with one block of candidates.
-BLOCK = 4096
+#: A task multiplies one block of queries with one block of candidates. Points in a block at least (where there
+#: are as many), and bytes at most: rows are copied once for each block of the other side, so large blocks move less.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -50,8 +52,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """Every block of queries with every block of candidates; rows are copied once for each block of the other side."""
-    n, m = (max(1, -(-df.count() // BLOCK)) for df in (queries, points))
+    """Every block of queries with every block of candidates; there are cells enough for all cores where blocks are not the least."""
+    first = points.select(F.size("vector").alias("n")).first()
+    most = max(BLOCK, BLOCK_BYTES // (8 * max(1, first["n"] if first else 1)))
+    sides = 2 * math.isqrt(points.sparkSession.sparkContext.defaultParallelism) + 1
+    n, m = (max(1, -(-rows // most), min(-(-rows // BLOCK), sides)) for rows in (queries.count(), points.count()))
     own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     a = points.select(own(m).alias("p"), all_(n).alias("q"), F.lit(False).alias("is_query"), "id", "vector")
