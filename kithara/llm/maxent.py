@@ -53,7 +53,8 @@ BATCH = 8192
 CHUNK_BYTES = 4 << 20
 RANGE_ENTRIES = 1_000_000  # entries of chunk vocabularies that a hash range should hold
 BLOCK_ROWS = 4096
-TASK_TOKENS = 1 << 30  # at most in one training task, so that its counts fit 32 bits
+TASK_TOKENS = 1 << 24  # in one training task, which returns some 10 MB of counts
+MOST_LOGIT = 80.0
 ENDINGS = 48  # classes of words by their last two bytes; the end token and what precedes a text are two more
 NO_KEY = -(2**63)
 #: The end token: the hash of a byte that no word holds. And what stands before a text.
@@ -231,13 +232,13 @@ def _rows(m: Model, level: int, node: np.ndarray, features: list[np.ndarray]) ->
 
 
 def _branches(m: Model, level: int, node: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of the branches less their greatest, and the running sums of their exponentials."""
+    """Logits of the branches and their exponentials, which single precision holds."""
     z = m.shares[level].take(node, axis=0)
     if m.weights is not None:
         for r in rows:
             z += m.table.take(r, axis=0)
-    z -= z.max(1, keepdims=True)
-    return z, np.cumsum(np.exp(z), axis=1)
+    np.minimum(z, MOST_LOGIT, out=z)
+    return z, np.exp(z)
 
 
 def log_paths(m: Model, c: Chunk) -> np.ndarray:
@@ -248,8 +249,8 @@ def log_paths(m: Model, c: Chunk) -> np.ndarray:
         own, at = [f[a : a + BATCH] for f in features], code[a : a + BATCH]
         for level in range(m.levels):
             node, branch = at >> 4 * (m.levels - level), (at >> 4 * (m.levels - level - 1)) & 15
-            z, run = _branches(m, level, node, _rows(m, level, node, own))
-            out[a : a + BATCH] += z[np.arange(len(at)), branch] - np.log(run[:, -1])
+            z, odds = _branches(m, level, node, _rows(m, level, node, own))
+            out[a : a + BATCH] += z[np.arange(len(at)), branch] - np.log(odds.sum(1))
     return out
 
 
@@ -267,7 +268,7 @@ def tally(m: Model, c: Chunk, seen: np.ndarray, chosen: np.ndarray, round_: int)
         for level in range(m.levels):
             node, branch = at >> 4 * (m.levels - level), (at >> 4 * (m.levels - level - 1)) & 15
             rows = _rows(m, level, node, own)
-            _, run = _branches(m, level, node, rows)
+            run = np.cumsum(_branches(m, level, node, rows)[1], axis=1)
             with np.errstate(over="ignore"):
                 draw = (_mixed(lot[pick] + np.uint64(level)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
             guess = (run[:, :-1] <= (draw * run[:, -1])[:, None]).sum(1)
@@ -301,7 +302,7 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def _tasks(table: DataFrame, tokens: int) -> DataFrame:
-    """As many tasks as there are cores, since each returns counts for the whole table of weights."""
+    """As few tasks as keep the cores busy and each below TASK_TOKENS, since each returns counts for the whole table of weights."""
     n, cores = table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism
     want = max(cores, -(-tokens // TASK_TOKENS))
     return table.repartition(want) if n < want else table.coalesce(want)
@@ -398,5 +399,6 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     blobs = ["keys", "held", "sizes", "vocab", "tails", "ids"]
     a = counts.filter("kind = 0").select("chunk", "range", "data", *(none.alias(c) for c in blobs))
     b = table.select("chunk", F.lit(2**31 - 1).alias("range"), none.alias("data"), *blobs)
-    both = a.unionByName(b).repartition("chunk").sortWithinPartitions("chunk", "range")
+    parts = max(table.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a chunk or so in each
+    both = a.unionByName(b).repartition(parts, "chunk").sortWithinPartitions("chunk", "range")
     return both.mapInArrow(run, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

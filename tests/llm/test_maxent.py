@@ -80,6 +80,7 @@ def plain_score(m, rows, counts):
                 for f in maxent.BROAD if level < 2 else maxent.NARROW:
                     row = (((features[f] ^ (((node + 16**level) * B) & mask)) * A) & mask) >> (64 - m.bits)
                     z = [x + float(y) for x, y in zip(z, m.weights[row], strict=True)]  # half precision
+                z = [min(x, maxent.MOST_LOGIT) for x in z]
                 top = max(z)
                 total += z[branch] - top - math.log(sum(math.exp(x - top) for x in z))
             total += math.log((counts[w] + 0.1) / m.mass[code >> (64 - 4 * m.levels)])
@@ -110,13 +111,13 @@ def test_scores_do_not_depend_on_the_run_or_the_number_of_tasks(spark):
 
 
 def test_more_vocabulary_gives_more_classes_and_more_tokens_more_rows(spark):
-    small, large = ([(i, " ".join(f"w{(i * 37 + k) % v}" for k in range(400))) for i in range(n)] for n, v in ((10, 50), (500, 6000)))
+    small, large = ([(i, " ".join(f"w{(i * 37 + k) % v}" for k in range(400))) for i in range(n)] for n, v in ((10, 50), (2000, 6000)))
     models = []
     for rows in (small, large):
         table = maxent.chunks(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), "doc_id", "text")
         models.append(maxent.train(table, maxent.word_counts(table)))
     assert models[0].levels < models[1].levels and models[0].bits < models[1].bits
-    assert models[1].tokens == 500 * 401 and models[1].distinct == 6001
+    assert models[1].tokens == 2000 * 401 and models[1].distinct == 6001
 
 
 def test_nothing_to_learn_and_empty(spark):
