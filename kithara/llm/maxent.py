@@ -47,7 +47,7 @@ from kithara.session import dropped, written
 #: Branches of a class, words that a last class should hold at most, and most levels (a million last classes).
 WIDTH, LEAF, MOST_LEVELS = 16, 16, 5
 #: Training tokens for a row of the table, and the least and most rows as powers of two (16 MB of weights; a training task holds 128 MB).
-TOKENS_A_ROW, LEAST_BITS, MOST_BITS = 64, 12, 19
+TOKENS_A_ROW, LEAST_BITS, MOST_BITS = 16, 12, 19
 ROUNDS, STEP, PRIOR = 2, 2.0, 2.0
 BATCH = 8192
 CHUNK_BYTES = 4 << 20
