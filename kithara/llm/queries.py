@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import decontamination, line_dedup, maxent, mixing, neighbours, sharding, simhash, token_files, toxicity, url_reputation
+from kithara.llm import decontamination, line_dedup, maxent, merkle, mixing, neighbours, sharding, simhash, token_files, toxicity, url_reputation
 from kithara.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +213,59 @@ SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(2)}, CASE WHEN bad
   0.0 + round(bad_low, 6) AS bad_low FROM p JOIN low USING (host)"""
 
 
+# ---------------------------------------------------------------- op11: Merkle manifest
+MERKLE_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id has no decimal form, so such a row is not tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in MERKLE_COLUMNS]
+    columns[3] = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0, merkle.leaf(*columns))
+    found = merkle.proofs(merkle.build(docs, MERKLE_COLUMNS, keep={"doc_id": F.col("doc_id"), "tampered": tampered}))
+    claimed = merkle.folded(F.coalesce("tampered", "leaf"), F.col("merkle_path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("merkle_path")).alias("proof_sha256"), claimed.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: crc32 by its polynomial: the table of all bytes (to be joined, one row), and the sum over the ASCII letters of a text.
+CRC_TABLE_SQL = """crc_steps AS (SELECT i, i AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS steps FROM crc_steps WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    letters = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {letters}), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def _op11_sql() -> str:
+    field = lambda c: f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
+    row = lambda n: f"sha256({' || '.join(field(n if c == 'n_chars' else c) for c in MERKLE_COLUMNS)})"
+    tree = lambda name, first: f"""
+{name} AS ({first} UNION ALL
+  SELECT grp, lvl + 1, idx // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE m > 1 GROUP BY grp, lvl, idx // 2, m)"""
+    steps = lambda leaves, nodes, base: f"""SELECT p.id, {base} + l.lvl AS lvl, CASE WHEN s.h IS NULL THEN '-' WHEN (p.idx >> l.lvl) & 1 = 1 THEN 'L' ELSE 'R' END AS side, s.h
+  FROM {leaves} p JOIN (SELECT DISTINCT grp, lvl FROM {nodes} WHERE m > 1) l ON l.grp IS NOT DISTINCT FROM p.grp
+  LEFT JOIN {nodes} s ON s.grp IS NOT DISTINCT FROM p.grp AND s.lvl = l.lvl AND s.idx = xor(p.idx >> l.lvl, 1)"""
+    return f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+d AS (SELECT row_number() OVER () AS id, doc_id, lang AS grp, {row('n_chars')} AS leaf,
+  CASE WHEN {crc_sql('doc_id::VARCHAR')} % 7 = 0 THEN {row('n_chars::HUGEINT + 1')} END AS bad FROM documents, crc_table),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS m FROM d),
+{tree('nodes', 'SELECT grp, 0 AS lvl, idx, m, leaf AS h FROM placed')},
+subs AS (SELECT grp AS lang, h, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS idx, count(*) OVER () AS m FROM nodes WHERE m = 1),
+{tree('tops', "SELECT 'all' AS grp, 0 AS lvl, idx, m, h FROM subs")},
+under AS (SELECT p.id, 'all' AS grp, s.idx, s.h AS subroot FROM placed p JOIN subs s ON s.lang IS NOT DISTINCT FROM p.grp),
+steps AS ({steps('placed', 'nodes', 0)} UNION ALL {steps('under', 'tops', 1000)}),
+paths AS (SELECT id, string_agg(h, '' ORDER BY lvl) AS siblings, list(side || coalesce(h, '') ORDER BY lvl) AS path FROM steps GROUP BY id),
+found AS (SELECT p.doc_id, p.leaf, u.subroot, (SELECT h FROM tops WHERE m = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(bad, leaf), coalesce(path, [])), lambda a, b: CASE b[1] WHEN 'L' THEN sha256(b[2:] || a) WHEN 'R' THEN sha256(a || b[2:]) ELSE sha256(a) END) AS folded_root
+  FROM placed p JOIN under u USING (id) LEFT JOIN paths USING (id))
+SELECT *, folded_root = root AS verified FROM found"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_learned_partitions": op2_learned_partitions,
@@ -224,5 +277,6 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_host_reputation": op10_host_reputation,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op1_source_mixing": _op1_sql(), "op10_host_reputation": _op10_sql()}
+ORACLES: dict[str, str] = {"op1_source_mixing": _op1_sql(), "op10_host_reputation": _op10_sql(), "op11_merkle_manifest": _op11_sql()}
