@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import decontamination, line_dedup, maxent, merkle, mixing, neighbours, sharding, simhash, token_files, toxicity, url_reputation
+from kithara.llm import decontamination, line_dedup, maxent, merkle, mixing, neighbours, prefix_trie, sharding, simhash, token_files, toxicity, url_reputation
+from kithara.session import written
 from kithara.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +267,37 @@ found AS (SELECT p.doc_id, p.leaf, u.subroot, (SELECT h FROM tops WHERE m = 1) A
 SELECT *, folded_root = root AS verified FROM found"""
 
 
+# ---------------------------------------------------------------- op13: conversation prefix trie
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c begins with the first turns of conversation c - c % 5 in place of its own."""
+    own = written(prefix_trie.turns(table(spark, sf_dir, "conversations")), "turns")
+    other = own.select(F.col("conv_id").alias("from_conv"), F.col("turns").alias("from_turns"))
+    convs = own.withColumns({"from_conv": F.col("conv_id") - F.col("conv_id") % 5, "cut": crc_remainder("conv_id", 9).cast("int")}).join(other, "from_conv", "left")
+    begin = F.coalesce(F.slice("from_turns", F.lit(1), F.col("cut")), F.slice("turns", F.lit(1), F.lit(0)))
+    return prefix_trie.trie(convs.select("conv_id", F.concat(begin, F.slice("turns", F.col("cut") + 1, F.size("turns"))).alias("turns")))
+
+
+def _op13_sql() -> str:
+    return f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+t AS (SELECT conv_id, strlen(coalesce(text, '')) AS bytes, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, bytes, digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM t),
+c AS (SELECT conv_id, {crc_sql('conv_id::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+rebuilt AS (SELECT c.conv_id, own.pos, digest, bytes FROM c JOIN own ON own.conv_id = c.conv_id - c.conv_id % 5 AND own.pos <= h
+  UNION ALL SELECT c.conv_id, own.pos, digest, bytes FROM c JOIN own ON own.conv_id = c.conv_id AND own.pos > h),
+paths AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS k, bytes FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+nodes AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes, left(k, len(k) - 64) AS above FROM paths GROUP BY k, depth),
+kids AS (SELECT above AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+own_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+under AS (SELECT p.k, sum((o.n_children = 0)::INT) AS n_leaves, sum((o.n - 1) * o.bytes) AS saved FROM own_nodes o JOIN paths p ON p.conv_id = o.conv_id AND p.depth <= o.depth GROUP BY p.k),
+ends AS (SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(k, depth) AS k FROM paths GROUP BY conv_id) GROUP BY k)
+SELECT o.conv_id::BIGINT AS conv_id, o.depth::BIGINT AS depth, up.conv_id::BIGINT AS parent_conv_id, o.n::BIGINT AS n_convs, o.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM own_nodes o JOIN under USING (k) LEFT JOIN ends USING (k) LEFT JOIN nodes up ON up.k = o.above AND o.depth > 0"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_learned_partitions": op2_learned_partitions,
@@ -278,5 +310,6 @@ QUERIES: dict[str, Query] = {
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_host_reputation": op10_host_reputation,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op1_source_mixing": _op1_sql(), "op10_host_reputation": _op10_sql(), "op11_merkle_manifest": _op11_sql()}
+ORACLES: dict[str, str] = {"op1_source_mixing": _op1_sql(), "op10_host_reputation": _op10_sql(), "op11_merkle_manifest": _op11_sql(), "op13_prefix_trie": _op13_sql()}
