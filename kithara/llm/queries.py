@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, with production parameters."""
+"""The numbered operators as queries over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithara.llm import decontamination, line_dedup, maxent, merkle, mixing, neighbours, prefix_trie, sharding, simhash, token_files, toxicity, url_reputation
+from kithara.llm import decontamination, line_dedup, maxent, merkle, mixing, neighbours, prefix_trie, quality, sharding, simhash, token_files, toxicity, url_reputation
 from kithara.session import written
 from kithara.sources.tables import table
 
@@ -267,6 +267,17 @@ found AS (SELECT p.doc_id, p.leaf, u.subroot, (SELECT h FROM tops WHERE m = 1) A
 SELECT *, folded_root = root AS verified FROM found"""
 
 
+# ---------------------------------------------------------------- op12: quality
+GOOD_FROM = 0.3
+
+
+def op12_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), learn=crc_remainder("doc_id", 5) != 0)
+    out = quality.score(docs, model)
+    return out.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 # ---------------------------------------------------------------- op13: conversation prefix trie
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation c begins with the first turns of conversation c - c % 5 in place of its own."""
@@ -310,6 +321,7 @@ QUERIES: dict[str, Query] = {
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_host_reputation": op10_host_reputation,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_cnn_quality": op12_byte_cnn_quality,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {"op1_source_mixing": _op1_sql(), "op10_host_reputation": _op10_sql(), "op11_merkle_manifest": _op11_sql(), "op13_prefix_trie": _op13_sql()}
