@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithara.operators.components import connected_components
+from kithara.operators.knn import kth_distance, nearest
 from kithara.session import written
 
 
@@ -54,19 +55,18 @@ BASES = ("sample", "background", "all")
 
 
 def of_basis(edges: DataFrame, points: DataFrame, kth: int, basis: str = "all") -> DataFrame:
-    """(point_id, d): kth distances of the points of a basis among points of the same basis.
+    """(point_id, d): kth distances (the point itself is the first) of the points of a basis among points of the same basis.
 
-    edges: neighbour lists with ranks; of a basis of one source the lists keep neighbours of that source only,
-    in their order, so they must be longer than kth.
+    For `all` they are read off the neighbour lists `edges`. Lists over both sources say too little of one source
+    (a point among many of the other has few of its own in its list), so a basis of one source gets lists of
+    its own over the embeddings of `points`; every one of its points has a distance if there are kth of them.
     """
     if basis not in BASES:
         raise ValueError(f"basis {basis!r}; one of {BASES}")
     if basis != "all":
-        own = written(points.filter(F.col("source") == basis).select("point_id"), "basis")
-        for side in ("src", "dst"):
-            edges = edges.join(own.select(F.col("point_id").alias(side)), side, "left_semi")
-        edges = edges.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("rank")) - 1)
-    return edges.filter(F.col("rank") == kth - 1).select(F.col("src").alias("point_id"), F.col("dist").alias("d"))
+        own = written(points.filter(F.col("source") == basis).select("point_id", "embedding"), "basis")
+        edges = nearest(own, own, kth)
+    return kth_distance(edges, kth)
 
 
 def resampled(distances: DataFrame, by: Sequence[str] = (), least: int = 20_000, share: float = 0.2, seed: int = 17) -> DataFrame:

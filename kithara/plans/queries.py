@@ -1032,7 +1032,7 @@ def paired_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 def _basis_sql(basis: str) -> str:
     only = "" if basis == "all" else f"JOIN pts a ON a.point_id = src JOIN pts b ON b.point_id = dst WHERE a.source = '{basis}' AND b.source = '{basis}'"
-    return f"""SELECT '{basis}' AS basis, count(*) AS n, round(sum(d), 4) AS total FROM (SELECT dist AS d, row_number() OVER (PARTITION BY src ORDER BY rank) AS r FROM edg {only}) WHERE r = 4"""
+    return f"""SELECT '{basis}' AS basis, count(*) AS n, round(sum(d), 4) AS total FROM (SELECT dist AS d, row_number() OVER (PARTITION BY src ORDER BY dist, dst <> src, dst) AS r FROM dd {only}) WHERE r = 4"""
 
 
 @query(f"""WITH {EDGES_SQL} {' UNION ALL '.join(map(_basis_sql, density.BASES))}""")

@@ -235,3 +235,17 @@ def test_ranks_of_a_hot_group_are_dealt_to_many_tasks(spark):
     rows = got.orderBy("g", "rank").collect()
     assert [(r.g, r["rank"]) for r in rows] == [(0, i) for i in range(3600)] + [(1, i) for i in range(400)]
     assert all((a.g, a.d, a.id) < (b.g, b.d, b.id) for a, b in zip(rows, rows[1:]))
+
+
+def test_radii_of_one_source_come_from_lists_within_it(spark, cloud):
+    """One sample point among many of the background has none of its own in joint lists, yet a distance."""
+    x, points = cloud
+    few = points.withColumn("source", F.when(F.col("point_id") % 12 == 0, "sample").otherwise("background"))
+    edges = knn.nearest(few, few, 5)
+    for basis in density.BASES:
+        own = [i for i in range(len(x)) if basis == "all" or (i % 12 == 0) == (basis == "sample")]
+        want = {i: np.sort(np.sqrt(((x[own] - x[i]) ** 2).sum(1)))[3] for i in own}
+        got = {r.point_id: r.d for r in density.of_basis(edges, few, 4, basis).collect()}
+        assert got == pytest.approx(want)
+    with pytest.raises(ValueError):
+        density.of_basis(edges, few, 4, "other")
