@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kithara.operators.components import connected_components
 from kithara.operators.knn import kth_distance, nearest
+from kithara.operators.ranges import ranked_in_ranges
 from kithara.session import written
 
 
@@ -80,23 +81,6 @@ def resampled(distances: DataFrame, by: Sequence[str] = (), least: int = 20_000,
     return own.filter(F.pmod(F.xxhash64("point_id", F.lit(seed)), F.lit(1_000_000)) < part * 1_000_000).drop("_n")
 
 
-def ranked_in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """df with the rank from 0 of each row in its group's order; no group is gathered in one task.
-
-    Rows are dealt by ranges of group and order; a rank is the place in the range and the rows before it.
-    """
-    dealt = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
-    dealt = written(dealt, "ranges")
-    sizes = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_part").alias("_p"), before.alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
-    same = F.col("_part") == F.col("_p")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    return dealt.withColumn("_local", local).join(starts, same).withColumn(name, F.col("_before") + F.col("_local")).select(*df.columns, name)
-
-
 def chord_radius(distances: DataFrame, by: Sequence[str] = (), d: str = "d", least: int = 1) -> DataFrame:
     """(by, eps): the point of the sorted distances that lies farthest above the chord of the curve.
 

@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 #: A task multiplies one block of queries with one block of candidates. Points in a block at least (where there
 #: are as many), and bytes at most: rows are copied once for each block of the other side, so large blocks move less.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Pairs that are compared without an index, at most.
+DIRECT = 1 << 26
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+def pairs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
     """Calls use(query ids, queries, ids, points) for each cell of rows (cell, is_query, id, vector), sorted so."""
     held: list[pa.RecordBatch] = []
 
@@ -33,7 +35,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
         asks = t.column("is_query").to_numpy()
         n = len(asks) - int(asks.sum())
         if 0 < n < len(asks):
-            ids, x = t.column("id").to_numpy(), _matrix(t.column("vector").combine_chunks())
+            ids, x = t.column("id").to_numpy(), matrix(t.column("vector").combine_chunks())
             out = list(use(ids[n:], x[n:], ids[:n], x[:n]))
             src, dst, dist = (np.concatenate(c) for c in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(dist)], names=["src", "dst", "dist"])
@@ -65,7 +67,7 @@ def _cells(queries: DataFrame, points: DataFrame) -> DataFrame:
     return both.repartition("cell").sortWithinPartitions("cell", "is_query", "id")
 
 
-def _named(points: DataFrame, key: str, vector: str) -> DataFrame:
+def named(points: DataFrame, key: str, vector: str) -> DataFrame:
     return points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
 
 
@@ -78,29 +80,32 @@ def check_finite(points: DataFrame, vector: str = "embedding") -> None:
         raise ValueError(f"{bad} vectors are null or not finite")
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, key: str = "point_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest points of each query, itself included where it is a point."""
+def k_best(k: int):
+    """For `pairs`: the k nearest candidates of each query."""
 
     def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
         squares, m = (x * x).sum(1), min(k, len(x))
         for i in range(0, len(q), 256):
-            part = q[i : i + 256]
+            part, own = q[i : i + 256], q_ids[i : i + 256]
             rough = squares[None, :] - 2 * part @ x.T
             edge = np.partition(rough, m - 1, axis=1)[:, m - 1]
-            slack = 1e-9 * (1 + np.abs(rough).max())
-            for j in range(len(part)):
-                pick = np.flatnonzero((rough[j] <= edge[j] + slack) | (ids == q_ids[i + j]))
-                dist = np.sqrt(((x[pick] - part[j]) ** 2).sum(1))
-                best = np.lexsort((ids[pick], ids[pick] != q_ids[i + j], dist))[:k]
-                yield np.full(len(best), q_ids[i + j]), ids[pick][best], dist[best]
+            row, col = np.nonzero((rough <= (edge + 1e-9 * (1 + np.abs(rough).max()))[:, None]) | (ids[None, :] == own[:, None]))
+            begins = np.searchsorted(row, np.arange(len(part) + 1))
+            a = 0
+            while a < len(part):  # all of some rows at once, 2^17 candidates or one row
+                e = max(a + 1, int(np.searchsorted(begins, begins[a] + (1 << 17), "right")) - 1)
+                r, c = row[begins[a] : begins[e]], col[begins[a] : begins[e]]
+                dist = np.sqrt(((x[c] - part[r]) ** 2).sum(1))
+                order = np.lexsort((ids[c], ids[c] != own[r], dist, r))
+                order = order[np.arange(len(r)) - (begins[:-1] - begins[a])[r] < k]
+                yield own[r[order]], ids[c[order]], dist[order]
+                a = e
 
-    cells = _cells(_named(queries, key, vector), _named(points, key, vector))
-    near = cells.mapInArrow(lambda b: _pairs(b, use), "src long, dst long, dist double")
-    return ranked(near, k)
+    return use
 
 
-def within(points: DataFrame, radius: float, key: str = "point_id", vector: str = "embedding") -> DataFrame:
-    """All pairs (src, dst, dist) of points no farther apart than the radius, each point with itself too."""
+def all_within(radius: float):
+    """For `pairs`: all candidates no farther than the radius."""
 
     def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
         for i in range(0, len(q), 256):
@@ -111,8 +116,34 @@ def within(points: DataFrame, radius: float, key: str = "point_id", vector: str
             near = dist <= radius
             yield q_ids[i + a[near]], ids[b[near]], dist[near]
 
-    own = _named(points, key, vector)
-    return _cells(own, own).mapInArrow(lambda b: _pairs(b, use), "src long, dst long, dist double")
+    return use
+
+
+def _few(queries: DataFrame, points: DataFrame) -> bool:
+    return queries.count() * points.count() <= DIRECT
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, key: str = "point_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest points of each query, itself included where it is a point.
+
+    Up to DIRECT pairs are compared block by block; beyond, an index leaves out what cannot be near. The rows are the same.
+    """
+    if not _few(queries, points):
+        from kithara.operators.metric_index import PivotIndex
+
+        return PivotIndex(points, key, vector).nearest(queries, k)
+    cells = _cells(named(queries, key, vector), named(points, key, vector))
+    return ranked(cells.mapInArrow(lambda b: pairs(b, k_best(k)), "src long, dst long, dist double"), k)
+
+
+def within(points: DataFrame, radius: float, key: str = "point_id", vector: str = "embedding") -> DataFrame:
+    """All pairs (src, dst, dist) of points no farther apart than the radius, each point with itself too."""
+    if not _few(points, points):
+        from kithara.operators.metric_index import PivotIndex
+
+        return PivotIndex(points, key, vector).within(points, radius)
+    own = named(points, key, vector)
+    return _cells(own, own).mapInArrow(lambda b: pairs(b, all_within(radius)), "src long, dst long, dist double")
 
 
 def ranked(edges: DataFrame, k: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kithara.functions import stats, text
 from kithara.operators import cluster_metrics, cohort, communities, density, enrichment, evaluation, knn, longitudinal, merging, reduction, runs
 from kithara.operators.components import connected_components
+from kithara.operators.metric_index import PivotIndex
 from kithara.plans import views
 from kithara.plans.compare import Config, compare
 from kithara.plans.views import ASSIGN_SQL, PARAMS_SQL, PATIENTS_SQL, POINTS_SQL
@@ -198,6 +199,13 @@ def knn_joint_merge(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(knn.split_nearest(views.points(spark, folder), 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(_knn_sql("true", "true", 8))
+def knn_self_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of knn_self by way of the pivot index, whatever the size."""
+    p = views.points(spark, folder)
+    return rounded(PivotIndex(p, ring=128).nearest(p, 8)).withColumn("rank", F.col("rank").cast("long"))
+
+
 def edges_table(spark: SparkSession, folder: str, k: int = 8) -> DataFrame:
     p = views.points(spark, folder)
     return written(knn.nearest(p, p, k), "edges")

@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kithara.operators import communities, density, knn, merging, reduction
+from kithara.operators import communities, density, knn, merging, ranges, reduction
 from kithara.operators.components import connected_components
+from kithara.operators.metric_index import PivotIndex
 
 
 def roots(n, edges):
@@ -231,7 +232,7 @@ def test_resampled_curves_repeat_themselves(spark):
 
 def test_ranks_of_a_hot_group_are_dealt_to_many_tasks(spark):
     df = spark.range(4000).select((F.col("id") % 10 == 0).cast("int").alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("d"), "id")
-    got = density.ranked_in_ranges(df, ["g"], ["d", "id"], "rank")
+    got = ranges.ranked_in_ranges(df, ["g"], ["d", "id"], "rank")
     rows = got.orderBy("g", "rank").collect()
     assert [(r.g, r["rank"]) for r in rows] == [(0, i) for i in range(3600)] + [(1, i) for i in range(400)]
     assert all((a.g, a.d, a.id) < (b.g, b.d, b.id) for a, b in zip(rows, rows[1:]))
@@ -249,3 +250,41 @@ def test_radii_of_one_source_come_from_lists_within_it(spark, cloud):
         assert got == pytest.approx(want)
     with pytest.raises(ValueError):
         density.of_basis(edges, few, 4, "other")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pivot_index_equals_comparing_all(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 4)) for c in (0, 3, 9)] + [rng.uniform(-3, 12, (40, 4)), np.full((50, 4), 3.0)])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, embedding array<double>")
+    index = PivotIndex(points, ring=16, asks=20, pivots=9)
+    got = {}
+    for r in index.nearest(points, 7).collect():
+        got.setdefault(r.src, []).append((r["rank"], r.dst, r.dist))
+    for i, want in enumerate(lists(x, 7)):
+        own = sorted(got[i])
+        assert [d for _, d, _ in own] == [j for _, j in want]
+        assert [d for _, _, d in own] == pytest.approx([d for d, _ in want])
+    other = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(rng.uniform(-3, 12, (30, 4)))], "point_id long, embedding array<double>")
+    assert sorted(map(tuple, index.nearest(other, 500).collect())) == sorted(map(tuple, knn.nearest(other, points, 500).collect()))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for radius in (0.0, 0.3, 4.0):
+        near = index.within(points, radius).collect()
+        assert len(near) == (d <= radius).sum() and all(d[r.src, r.dst] <= radius for r in near)
+    none = PivotIndex(points.limit(0))
+    assert none.nearest(points, 3).count() == 0 and none.within(points, 3.0).count() == 0 and index.nearest(points.limit(0), 3).count() == 0
+
+
+def test_pivot_index_visits_few_rings_where_points_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.1, (40, 6)) + rng.uniform(-50, 50, 6) for _ in range(40)])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, embedding array<double>").cache()
+    index = PivotIndex(points, ring=20, pivots=80)
+    found = index.nearest(points, 5)
+    assert found.count() == 5 * len(x) and index.rings >= 80
+    assert index.visits < 0.15 * len(x) * index.rings
+    monkeypatch.setattr(knn, "DIRECT", 0)
+    assert sorted(map(tuple, knn.nearest(points, points, 5).collect())) == sorted(map(tuple, found.collect()))
+    before = index.visits
+    index.within(points, 0.2).count()
+    assert index.visits - before < 0.15 * len(x) * index.rings
