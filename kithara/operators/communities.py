@@ -1,8 +1,12 @@
-"""Leiden communities of a weighted graph, component by component.
+"""Leiden communities of a weighted graph.
 
 Traag et al., "From Louvain to Leiden" (2019): local moving, refinement within the communities found,
-aggregation, until nothing moves. Components are independent, so each is one group; points are visited
-in order of id, so the result is the same each time. A component must fit one task.
+aggregation, until nothing moves. Given the weight of the whole graph, components are independent. One
+of up to MOST_EDGES edges is one group, whose points are visited in order of id. A larger one goes through
+tables: in each round the points that would gain by a move are found by joins and sums, and those move whose
+draw is above that of all neighbours that would move too, so no two neighbours ever move at once (which
+also keeps refined communities connected). Rounds are kept only if the quality has risen. The refined
+communities become the points of a smaller graph, until that fits a task. Results repeat themselves.
 """
 
 from __future__ import annotations
@@ -71,11 +75,11 @@ def _moved(g: _Graph, label: np.ndarray, gamma: float, total: float, within: np.
     return changed
 
 
-def leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, gamma: float = 1.0) -> np.ndarray:
-    """A community for each of n nodes."""
-    g = _Graph(n, a, b, w, np.zeros(n))
-    total = max(float(g.strength.sum()), 1e-300)
-    node, label = np.arange(n), np.arange(n)
+def leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, gamma: float = 1.0, total: float | None = None, loops: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
+    """A community for each of n nodes. total: strength of the graph that this is a part of; loops: weights of nodes with themselves; label: where to begin."""
+    g = _Graph(n, a, b, w, np.zeros(n) if loops is None else loops)
+    total = max(float(g.strength.sum()) if total is None else total, 1e-300)
+    node, label = np.arange(n), np.arange(n) if label is None else label.copy()
     while True:
         moved = _moved(g, label, gamma, total)
         fine = np.arange(g.n)
@@ -118,30 +122,123 @@ def partition_modularity(graph: DataFrame, labels: DataFrame, gamma: float = 1.0
     return within.crossJoin(squares).select((F.col("inside") / F.col("m") - gamma * F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-#: Edges of one connected component that a task moves; about a gigabyte.
+#: Edges of one connected component that a task moves, at most (about a gigabyte); larger ones go through tables.
 MOST_EDGES = 10_000_000
+#: Rounds of one local moving through tables, at most, and how often a round that lowers the quality is taken back.
+MOST_ROUNDS, FAILURES = 30, 3
+SEED = 29
+
+
+def _settled(nodes: DataFrame, both: DataFrame, gamma: float, alone: bool) -> tuple[DataFrame, bool]:
+    """Local moving of nodes (node, comp, strength, total, label) along both (u, v, w: every edge in both directions).
+
+    alone: only nodes that are a community of their own move, as in refinement.
+    """
+    kept, kept_quality, moved, share, failures = nodes, None, False, 1.0, 0
+    for k in range(MOST_ROUNDS):
+        size = written(nodes.groupBy("label").agg(F.sum("strength").alias("size"), F.count("*").alias("n")), "sizes")
+        links = both.join(nodes.select(F.col("node").alias("v"), F.col("label").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("w"))
+        me = nodes.join(size, "label").select(F.col("node").alias("u"), "label", "strength", "total", (F.col("size") - F.col("strength")).alias("rest"), "n")
+        cand = links.join(me, "u").join(size.select(F.col("label").alias("to"), F.col("size").alias("to_size")), "to")
+        own = F.col("to") == F.col("label")
+        gain = F.col("w") - gamma * F.col("strength") * F.col("to_size") / F.col("total")
+        one = cand.groupBy("u").agg(
+            F.max(F.when(~own, F.struct(gain.alias("gain"), (-F.col("to")).alias("to")))).alias("best"), F.coalesce(F.sum(F.when(own, F.col("w"))), F.lit(0.0)).alias("inside"),
+            *[F.first(c).alias(c) for c in ("label", "strength", "total", "rest", "n")],
+        )
+        stay = F.col("inside") - gamma * F.col("strength") * F.col("rest") / F.col("total")
+        wants = F.col("best.gain") > stay + 1e-12
+        one = one.select("u", (-F.col("best.to")).alias("to"), F.coalesce(wants & ((F.col("n") == 1) | F.lit(not alone)), F.lit(False)).alias("wants"), (stay - gamma * F.col("strength") * F.col("strength") / F.col("total")).alias("quality"))
+        one = written(one, "wishes")
+        found = one.agg(F.sum("quality").alias("quality"), F.count_if("wants").alias("wants")).first()
+        if kept_quality is not None and found["quality"] < kept_quality - 1e-9 * abs(kept_quality):
+            nodes, share, failures = kept, share / 2, failures + 1
+            if failures > FAILURES:
+                break
+            continue
+        kept, kept_quality, moved = nodes, found["quality"], moved or k > 0
+        if not found["wants"]:
+            break
+        draw = F.xxhash64("u", F.lit(SEED + k))
+        want = one.filter(F.col("wants") & (F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20))).select("u", "to", draw.alias("draw"))
+        rival = both.join(want.select("u"), "u").join(want.select(F.col("u").alias("v"), F.col("draw").alias("rival")), "v").groupBy("u").agg(F.max("rival").alias("rival"))
+        go = want.join(rival, "u", "left").filter("rival is null or rival < draw").select(F.col("u").alias("node"), "to")
+        nodes = written(nodes.join(go, "node", "left").select("node", "comp", "strength", "total", F.coalesce("to", "label").alias("label")), "moved")
+    return kept, moved
+
+
+def _through_tables(graph: DataFrame, gamma: float, most_edges: int) -> DataFrame:
+    """(point_id, root) of components (comp, a, b, weight, total) of any size; root names the community."""
+    edges = graph.select("comp", "a", "b", F.col("weight").alias("w"))
+    turned = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"), "w"))
+    ends = graph.select(F.explode(F.array("a", "b")).alias("node"), "comp", "weight", "total").groupBy("node").agg(F.first("comp").alias("comp"), F.sum("weight").alias("strength"), F.first("total").alias("total"))
+    nodes = written(ends.withColumn("label", F.col("node")), "nodes")
+    places = nodes.select(F.col("node").alias("point_id"), "node")
+    while True:
+        both = written(turned(edges), "both")
+        nodes, moved = _settled(nodes, both, gamma, alone=False)
+        of = nodes.select(F.col("node"), "label")
+        inner = both.join(of.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(of.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v").filter("lu = lv").select("u", "v", "w")
+        fine, _ = _settled(nodes.withColumn("label", F.col("node")), written(inner, "inner"), gamma, alone=True)
+        fine = written(fine.select("node", F.col("label").alias("up")), "refined")
+        if not moved or fine.select("up").distinct().count() == nodes.count():
+            return places.join(nodes.select("node", "label"), "node").select("point_id", F.col("label").alias("root"))
+        places = written(places.join(fine, "node").select("point_id", F.col("up").alias("node")), "places")
+        side = lambda c: fine.select(F.col("node").alias(c), F.col("up").alias(f"u{c}"))  # noqa: E731, B023
+        edges = edges.join(side("a"), "a").join(side("b"), "b").filter("ua <> ub").groupBy("comp", F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).agg(F.sum("w").alias("w"))
+        edges = written(edges, "coarse_edges")
+        up = nodes.join(fine, "node").groupBy(F.col("up").alias("node")).agg(F.first("comp").alias("comp"), F.sum("strength").alias("strength"), F.first("total").alias("total"), F.first("label").alias("was"))
+        names = up.groupBy("was").agg(F.min("node").alias("label"))
+        nodes = written(up.join(names, "was").drop("was"), "coarse_nodes")
+        most = edges.groupBy("comp").count().agg(F.max("count")).first()[0] or 0
+        if most <= most_edges:
+            break
+    none = F.lit(None)
+    rows = edges.select("comp", "a", "b", "w", none.cast("double").alias("total")).unionByName(nodes.select("comp", F.col("node").alias("a"), F.col("label").alias("b"), F.col("strength").alias("w"), "total"))
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        own, links = p[p["total"].notna()].sort_values("a"), p[p["total"].isna()].sort_values(["a", "b"])
+        names = own["a"].to_numpy()
+        a, b, w = np.searchsorted(names, links["a"]), np.searchsorted(names, links["b"]), links["w"].to_numpy()
+        loops = (own["w"].to_numpy() - np.bincount(a, w, len(names)) - np.bincount(b, w, len(names))) / 2
+        label = leiden(len(names), a, b, w, gamma, float(own["total"].iloc[0]), loops, np.searchsorted(names, own["b"]))
+        return pd.DataFrame({"node": names, "root": names[label]})
+
+    ended = rows.groupBy("comp").applyInPandas(one, "node long, root long")
+    return places.join(ended, "node").select("point_id", "root")
+
 
+def communities(graph: DataFrame, gamma: float = 1.0, groups: DataFrame | None = None, most_edges: int | None = None) -> DataFrame:
+    """(point_id, root) of the points that have an edge; with groups (point_id, group), each group is a graph of its own.
 
-def communities(graph: DataFrame, gamma: float = 1.0, groups: DataFrame | None = None) -> DataFrame:
-    """(point_id, root) of the points that have an edge; with groups (point_id, group), edges across groups do not count."""
+    root is the least point of the community.
+    """
+    most_edges = MOST_EDGES if most_edges is None else most_edges
     if groups is not None:
         g = lambda c: groups.select(F.col("point_id").alias(c), F.col("group").alias(f"g{c}"))
-        graph = graph.join(g("a"), "a").join(g("b"), "b").filter("ga = gb").select("a", "b", "weight")
+        graph = graph.join(g("a"), "a").join(g("b"), "b").filter("ga = gb").select("a", "b", "weight", F.col("ga").alias("part"))
+    else:
+        graph = graph.select("a", "b", "weight", F.lit(0).cast("long").alias("part"))
     graph = written(graph, "graph")
+    totals = written(graph.groupBy("part").agg((2 * F.sum("weight")).alias("total")), "totals")
     roots = connected_components(graph, "a", "b")
-    own = graph.join(roots.withColumnRenamed("node", "a"), "a")
-    largest = own.groupBy("root").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if largest > MOST_EDGES:
-        raise ValueError(f"a connected component has {largest} edges, more than the {MOST_EDGES} that one task can move; cut the graph into groups first (vdbscan_leiden does)")
+    sizes = graph.join(roots.withColumnRenamed("node", "a"), "a").groupBy(F.col("root").alias("comp"), "part").agg(F.count("*").alias("n")).join(totals, "part")
+    sizes = written(sizes.select("comp", "total", "n"), "components")
+    own = graph.drop("part").join(roots.select(F.col("node").alias("a"), F.col("root").alias("comp")), "a").join(sizes, "comp")
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["a", "b"])
         names = np.unique(p[["a", "b"]].to_numpy())
-        label = leiden(len(names), np.searchsorted(names, p["a"]), np.searchsorted(names, p["b"]), p["weight"].to_numpy(), gamma)
+        label = leiden(len(names), np.searchsorted(names, p["a"]), np.searchsorted(names, p["b"]), p["weight"].to_numpy(), gamma, float(p["total"].iloc[0]))
         lead = pd.Series(names).groupby(label).transform("min")
         return pd.DataFrame({"point_id": names, "root": lead.to_numpy()})
 
-    return own.groupBy("root").applyInPandas(one, "point_id long, root long")
+    small = own.filter(F.col("n") <= most_edges).groupBy("comp").applyInPandas(one, "point_id long, root long")
+    if not sizes.filter(F.col("n") > most_edges).limit(1).count():
+        return small
+    large = written(_through_tables(written(own.filter(F.col("n") > most_edges), "large"), gamma, most_edges), "moved")
+    lead = large.groupBy("root").agg(F.min("point_id").alias("lead"))
+    return small.unionByName(large.join(lead, "root").select("point_id", F.col("lead").alias("root")))
 
 
 def without_small(labels: DataFrame, points: DataFrame, least: int, source: str = "sample") -> DataFrame:

@@ -288,3 +288,26 @@ def test_pivot_index_visits_few_rings_where_points_cluster(spark, monkeypatch):
     before = index.visits
     index.within(points, 0.2).count()
     assert index.visits - before < 0.15 * len(x) * index.rings
+
+
+def test_leiden_through_tables_is_as_good_as_in_one_task(spark, monkeypatch):
+    """Planted communities in one component: quality within 1 % of one task's, communities connected."""
+    monkeypatch.setattr(communities, "MOST_ROUNDS", 9)
+    rng = np.random.default_rng(8)
+    n, groups = 240, 12
+    of = np.arange(n) % groups
+    a, b = rng.integers(0, n, 9000), rng.integers(0, n, 9000)
+    keep = (a < b) & ((of[a] == of[b]) | (rng.random(9000) < 0.04))
+    frame = pd.DataFrame({"a": a[keep], "b": b[keep], "weight": rng.uniform(0.5, 1, keep.sum())}).drop_duplicates(["a", "b"])
+    frame = pd.concat([frame, pd.DataFrame({"a": [1000, 1001], "b": [1001, 1002], "weight": [1.0, 1.0]})])
+    graph = spark.createDataFrame(frame)
+    quality = lambda label: communities.modularity(pd.Series(label), frame)
+    one = dict(communities.communities(graph).collect())
+    for most in (len(frame) // 3, 0):
+        many = dict(communities.communities(graph, most_edges=most).collect())
+        assert set(many) == set(one) and quality(many) > 0.99 * quality(one)
+        assert all(min(i for i in many if many[i] == r) == r for r in set(many.values()))
+        for r in set(many.values()):
+            own = {i for i in many if many[i] == r}
+            inner = [(x, y) for x, y in zip(frame["a"], frame["b"], strict=True) if x in own and y in own]
+            assert len({q for i, q in enumerate(roots(1003, inner)) if i in own}) == 1
