@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithara.operators.components import connected_components
+from kithara.operators.forest import spanning_forest
 from kithara.operators.knn import kth_distance, nearest
 from kithara.operators.ranges import ranked_in_ranges
 from kithara.session import written
@@ -169,14 +170,39 @@ def dbscan_prefiltered(points: DataFrame, pairs: DataFrame, nearest: DataFrame,
     return points.select("point_id").join(own, "point_id", "left").select("point_id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
 
 
+def reach(pairs: DataFrame, nearest: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From which radius on DBSCAN with the prefilter has what: cores (point_id, core_d), a spanning forest of the links of
+    cores (a, b, weight), and points (point_id, d) that are in any cluster.
+
+    A point is core from the distance of its `least`-th neighbour on (itself counted) and not before it has a
+    neighbour at all; two cores are linked from the largest of their core distances and their own distance on; any
+    point belongs to a cluster from where it is core or within reach of a core. pairs: all (src, dst, dist) up to some radius.
+    """
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    kth = pairs.select("src", "dst", "dist", nth.alias("_n")).filter(F.col("_n") <= least).filter(F.col("_n") == least)
+    cores = kth.select(F.col("src").alias("point_id"), "dist").join(nearest.select("point_id", F.col("d").alias("_first")), "point_id")
+    cores = written(cores.select("point_id", F.greatest("dist", "_first").alias("core_d")), "cores")
+    to_core = pairs.filter("src <> dst").join(cores.select(F.col("point_id").alias("dst"), F.col("core_d").alias("_to")), "dst")
+    near = to_core.groupBy(F.col("src").alias("point_id")).agg(F.min(F.greatest("dist", "_to")).alias("d"))
+    links = to_core.filter("src < dst").join(cores.select(F.col("point_id").alias("src"), F.col("core_d").alias("_from")), "src")
+    forest = spanning_forest(links.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.greatest("dist", "_from", "_to").alias("weight")))
+    member = near.unionByName(cores.select("point_id", F.col("core_d").alias("d"))).groupBy("point_id").agg(F.min("d").alias("d"))
+    return cores, written(forest, "forest"), member
+
+
 def noise_by_radius(points: DataFrame, pairs: DataFrame, nearest: DataFrame, radii: Sequence[float], least: int) -> DataFrame:
-    """(eps, n_noise, n_clusters) for each radius of a sweep; pairs must reach the largest."""
-    out = None
-    for r in radii:
-        labels = dbscan_prefiltered(points, pairs.filter(F.col("dist") <= r), nearest, r, least)
-        row = labels.agg(F.lit(r).alias("eps"), F.count_if(F.col("cluster_id") == -1).alias("n_noise"), F.countDistinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"))
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        raise ValueError("no radius")
-    return out
+    """(eps, n_noise, n_clusters) of DBSCAN with the prefilter for each radius of a sweep; pairs must reach the largest.
 
+    One spanning forest serves all radii: at a radius there are as many clusters as cores less links of the forest.
+    """
+    if not radii:
+        raise ValueError("no radius")
+    cores, forest, member = reach(pairs, nearest, least)
+    at = sorted(set(radii))
+    step = lambda x: F.size(F.filter(F.array(*map(F.lit, at)), lambda r: r < x))
+    kinds = [cores.select(F.lit("core").alias("kind"), step(F.col("core_d")).alias("step")), forest.select(F.lit("link").alias("kind"), step(F.col("weight")).alias("step")), member.select(F.lit("member").alias("kind"), step(F.col("d")).alias("step"))]
+    counts = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("kind", "step").count().collect()  # radii + 1 rows of each kind
+    upto = lambda kind, i: sum(r["count"] for r in counts if r["kind"] == kind and r["step"] <= i)
+    total = points.count()
+    rows = [(float(r), total - upto("member", at.index(r)), upto("core", at.index(r)) - upto("link", at.index(r))) for r in radii]
+    return points.sparkSession.createDataFrame(rows, "eps double, n_noise long, n_clusters long")

@@ -888,7 +888,7 @@ def leiden_dbscan(spark: SparkSession, folder: str) -> DataFrame:
     return communities.leiden_dbscan(p, knn.neighbour_graph(edges_table(spark, folder)), written(knn.within(p, DBSCAN_EPS), "pairs"))
 
 
-SWEEP = (1.0, 1.08, DBSCAN_EPS)
+SWEEP = (0.9, 0.96, 1.0, 1.04, 1.06, 1.08, 1.1, DBSCAN_EPS)
 
 
 def _sweep_sql(eps: float) -> str:

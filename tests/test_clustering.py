@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kithara.operators import communities, density, knn, merging, ranges, reduction
 from kithara.operators.components import connected_components
+from kithara.operators.forest import spanning_forest
 from kithara.operators.metric_index import PivotIndex
 
 
@@ -303,7 +304,7 @@ def test_leiden_through_tables_is_as_good_as_in_one_task(spark, monkeypatch):
     graph = spark.createDataFrame(frame)
     quality = lambda label: communities.modularity(pd.Series(label), frame)
     one = dict(communities.communities(graph).collect())
-    for most in (len(frame) // 3, 0):
+    for most in (len(frame) // 3,):
         many = dict(communities.communities(graph, most_edges=most).collect())
         assert set(many) == set(one) and quality(many) > 0.99 * quality(one)
         assert all(min(i for i in many if many[i] == r) == r for r in set(many.values()))
@@ -311,3 +312,42 @@ def test_leiden_through_tables_is_as_good_as_in_one_task(spark, monkeypatch):
             own = {i for i in many if many[i] == r}
             inner = [(x, y) for x, y in zip(frame["a"], frame["b"], strict=True) if x in own and y in own]
             assert len({q for i, q in enumerate(roots(1003, inner)) if i in own}) == 1
+
+
+def test_spanning_forest_by_rounds_and_in_one_task(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 90, 260), rng.integers(0, 90, 260)
+    w = rng.integers(0, 12, 260) / 4  # many ties
+    rows = [(int(x), int(y), float(v)) for x, y, v in zip(a, b, w, strict=True)]
+    least = {}
+    for x, y, v in rows:
+        if x != y:
+            k = (min(x, y), max(x, y))
+            least[k] = min(v, least.get(k, v))
+    want, root = set(), list(range(90))
+    for v, (x, y) in sorted((v, k) for k, v in least.items()):
+        if root[x] != root[y]:
+            want.add((x, y, v))
+            low, high = sorted((root[x], root[y]))
+            root = [low if r == high else r for r in root]
+    edges = spark.createDataFrame([*rows, (None, 3, 1.0), (200, 201, 5.0)], "a long, b long, weight double")
+    for local in (1_000_000, 40, 0):
+        assert set(map(tuple, spanning_forest(edges, local).collect())) == want | {(200, 201, 5.0)}
+    assert spanning_forest(edges.limit(0)).count() == 0
+
+
+def test_a_sweep_of_radii_equals_dbscan_at_each(spark, cloud):
+    x, points = cloud
+    pairs = knn.within(points, 0.8).cache()
+    first = knn.first_neighbour_distance(knn.nearest(points, points, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for least in (1, 3, 6):
+        radii = [0.0, 0.1, 0.25, 0.3, 0.45, 0.6, 0.8]
+        got = {r.eps: (r.n_noise, r.n_clusters) for r in density.noise_by_radius(points, pairs, first, radii, least).collect()}
+        for r in radii:
+            inside = [i for i in range(len(x)) if np.sum(d[i] <= r) > 1]
+            nb = [sorted((d[i, j], j) for j in inside if d[i, j] <= r) if i in inside else [] for i in range(len(x))]
+            want = brute_vdbscan(nb, [r] * len(x), least, "min")
+            assert got[r] == (want.count(-1), len(set(want) - {-1})), (least, r)
+    with pytest.raises(ValueError):
+        density.noise_by_radius(points, pairs, first, [], 3)
