@@ -4,9 +4,10 @@ Lines are compared by their words (lower-cased A-Z, white space apart); blank li
 window is a line and as many after it as are needed for `least_words` words. Every window selects
 the line of the least hash in it as its fingerprint. A run of lines that repeats and has
 `least_words` words holds a window, so it shares a fingerprint with its other occurrence, wherever it
-begins. Fingerprints that stand in one place only are done with.
+begins. Only selected lines are exploded and grouped; what stands in one place only is done with, and so are
+the texts that have nothing else. Around the repeated ones the lines of both places are compared.
 
-Places of a repeated fingerprint are joined with the first place (by key, then line) that has the
+The windows that selected a repeated fingerprint are joined with the first place (by key, then line) that has the
 fingerprint in the same window: one row for each later place, never all pairs. The matches are then
 extended. To the left, every line begins a window, so the windows before a match are matches
 themselves as far as the run goes. To the right, where lines are too few for another window, a matched
@@ -50,14 +51,11 @@ def _grown(whole: np.ndarray, line: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def windows_of(texts: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
-    """For each window: its text, first and last line, hash of all its lines, fingerprint, and the line that gave it.
-
-    Then, for what windows can grow to: the window's place in these arrays, the last line, the hash. A
-    window grows while the lines after its first have fewer than least_words words.
-    """
+def parsed(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """For each line that is not blank: its text, number, words and hash."""
     raw, off = byte_buffer(texts)
-    parts, more_parts, done = [], [], 0
+    none = np.zeros(0, np.int64)
+    parts = [(none, none, none, none.view(np.uint64))]
     for a, b in slices(off):
         part, cuts = raw[off[a] : off[b]], off[a : b + 1] - off[a]
         breaks = np.flatnonzero(part == 10) + 1
@@ -71,38 +69,99 @@ def windows_of(texts: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
             continue
         h = xxh64(w.low, w.start[w.first[full]], w.end[w.first[full + 1] - 1])
         doc = np.searchsorted(cuts, lines[full], "right") - 1
-        number = full - np.searchsorted(lines, cuts)[doc]
-        words = np.cumsum(n[full])
-        head = np.arange(len(full))
-        tail = np.searchsorted(words, words - n[full] + least_words)
-        live = tail < len(full)
-        live[live] = doc[tail[live]] == doc[live]
-        head, tail = head[live], tail[live]
-        print_, whole, spot = h[head].copy(), h[head].copy(), number[head].copy()
-        with np.errstate(over="ignore"):
-            more, k = np.flatnonzero(tail > head), 1
-            while len(more):
-                at = h[head[more] + k]
-                less = at < print_[more]
-                print_[more[less]], spot[more[less]] = at[less], number[head[more[less]] + k]
-                whole[more] = _grown(whole[more], at, k)
-                k += 1
-                more = more[head[more] + k <= tail[more]]
-            own, end, hash_ = np.arange(len(head)), tail.copy(), whole.copy()
-            while len(own):
-                end += 1
-                fits = end < len(full)
-                fits[fits] = (doc[end[fits]] == doc[head[own[fits]]]) & (words[end[fits]] - words[head[own[fits]]] < least_words)
-                own, end = own[fits], end[fits]
-                hash_ = _grown(hash_[fits], h[end], end - head[own])
-                if len(own):
-                    more_parts.append((own + done, number[end], hash_))
-        parts.append((doc[head] + a, number[head], number[tail], whole, print_, spot))
-        done += len(head)
-    none = np.zeros(0, np.int64)
-    windows = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none.view(np.uint64), none.view(np.uint64), none)
-    grown = tuple(np.concatenate(x) for x in zip(*more_parts, strict=True)) if more_parts else (none, none, none.view(np.uint64))
-    return *windows, *grown
+        parts.append((doc + a, full - np.searchsorted(lines, cuts)[doc], n[full], h))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def windows(doc: np.ndarray, n: np.ndarray, h: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+    """For each window, as places in the given lines: first and last line, and the line of the least hash (the first of equals)."""
+    words = np.cumsum(n)
+    head = np.arange(len(doc))
+    tail = np.searchsorted(words, words - n + least_words)
+    live = tail < len(doc)
+    live[live] = doc[tail[live]] == doc[live]
+    head, tail = head[live], tail[live]
+    spot = head.copy()
+    more, k = np.flatnonzero(tail > head), 1
+    while len(more):
+        at = head[more] + k
+        less = h[at] < h[spot[more]]
+        spot[more[less]] = at[less]
+        k += 1
+        more = more[head[more] + k <= tail[more]]
+    return head, tail, spot
+
+
+def hashes(doc: np.ndarray, n: np.ndarray, h: np.ndarray, head: np.ndarray, tail: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+    """The hash of all lines of each window. Then, for what windows can grow to: the window, the last line, the hash.
+
+    A window grows while the lines after its first have fewer than least_words words.
+    """
+    words, whole = np.cumsum(n), h[head].copy()
+    grown = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    with np.errstate(over="ignore"):
+        more, k = np.flatnonzero(tail > head), 1
+        while len(more):
+            whole[more] = _grown(whole[more], h[head[more] + k], k)
+            k += 1
+            more = more[head[more] + k <= tail[more]]
+        own, end, hash_ = np.arange(len(head)), tail.copy(), whole.copy()
+        while len(own):
+            end += 1
+            fits = end < len(doc)
+            fits[fits] = (doc[end[fits]] == doc[head[own[fits]]]) & (words[end[fits]] - words[head[own[fits]]] < least_words)
+            own, end = own[fits], end[fits]
+            hash_ = _grown(hash_[fits], h[end], end - head[own])
+            if len(own):
+                grown.append((own, end.copy(), hash_))
+    return whole, *(np.concatenate(x) for x in zip(*grown, strict=True))
+
+
+def _lists(values: np.ndarray, of: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
+    """One list for each of `rows` rows; of: each value's row, ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), pa.array(values, kind))
+
+
+def selections(docs: DataFrame, least_words: int) -> DataFrame:
+    """(key, same, number, words, hash, spots) of docs (key, same, text): the lines of each text that are not blank, and which of them its windows select."""
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, number, n, h = parsed(b.column(2))
+            spot = np.unique(windows(doc, n, h, least_words)[2])
+            lists = [_lists(number, doc, b.num_rows, pa.int32()), _lists(n, doc, b.num_rows, pa.int32()), _lists(h.view(np.int64), doc, b.num_rows, pa.int64()), _lists(spot - np.searchsorted(doc, doc[spot]), doc[spot], b.num_rows, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *lists], names=["key", "same", "number", "words", "hash", "spots"])
+
+    found = docs.mapInArrow(run, f"key {kind}, same long, number array<int>, words array<int>, hash array<long>, spots array<int>")
+    return found.filter(F.size("spots") > 0)
+
+
+def _around(lines: DataFrame, least_words: int) -> DataFrame:
+    """The windows of texts (key, same, number, words, hash, open) that selected one of the open lines, and what they can grow to."""
+    kind = lines.schema["key"].dataType.simpleString()
+    names = ["key", "same", "head", "tail", "whole", "print", "grown"]
+    pair = [pa.field("tail", pa.int32()), pa.field("whole", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = lambda i: b.column(i).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            sizes = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            doc, number, n, h = np.repeat(np.arange(b.num_rows), sizes), flat(2), flat(3).astype(np.int64), flat(4).view(np.uint64)
+            first = np.cumsum(sizes) - sizes
+            open_ = np.zeros(len(doc), bool)
+            open_[flat(5) + np.repeat(first, pc.list_value_length(b.column(5)).to_numpy(zero_copy_only=False))] = True
+            head, tail, spot = windows(doc, n, h, least_words)
+            kept = open_[spot]
+            head, tail, spot = head[kept], tail[kept], spot[kept]
+            whole, own, end, more = hashes(doc, n, h, head, tail, least_words)
+            order = np.argsort(own, kind="stable")
+            items = pa.StructArray.from_arrays([pa.array(number[end[order]], pa.int32()), pa.array(more[order].view(np.int64))], fields=pair)
+            grown = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[order], np.arange(len(head) + 1)).astype(np.int32)), items)
+            at = pa.array(doc[head])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number[head], pa.int32()), pa.array(number[tail], pa.int32()), pa.array(whole.view(np.int64)), pa.array(h[spot].view(np.int64)), grown], names=names)
+
+    return lines.select("key", "same", "number", "words", "hash", "open").mapInArrow(run, f"key {kind}, same long, head int, tail int, whole long, print long, grown array<struct<tail: int, whole: long>>")
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,26 +171,15 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "d
     of the document where the first window of the run stands earlier.
     """
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
-    kind = docs.schema["key"].dataType.simpleString()
-    names = ["key", "same", "head", "tail", "whole", "print", "spot", "grown"]
-    pair = pa.struct([("tail", pa.int32()), ("whole", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, head, tail, whole, print_, spot, own, end, hash_ = windows_of(b.column(2), least_words)
-            order = np.argsort(own, kind="stable")
-            items = pa.StructArray.from_arrays([pa.array(end[order].astype(np.int32)), pa.array(hash_[order].view(np.int64))], fields=list(pair))
-            grown = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[order], np.arange(len(doc) + 1)).astype(np.int32)), items)
-            at = pa.array(doc)
-            ints = [pa.array(x.astype(np.int32)) for x in (head, tail, spot)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *ints[:2], pa.array(whole.view(np.int64)), pa.array(print_.view(np.int64)), ints[2], grown], names=names)
-
-    windows = written(docs.mapInArrow(run, f"key {kind}, same long, head int, tail int, whole long, print long, spot int, grown array<struct<tail: int, whole: long>>"), "windows")
-    # A fingerprint of one place, selected by several windows there, is not repeated.
+    lines = written(selections(docs, least_words), "lines")
+    selected = lines.select("key", "same", F.explode(F.transform("spots", lambda i: F.struct(i.alias("spot"), F.get("hash", i).alias("print")))).alias("s")).select("key", "same", "s.*")
     spot = F.struct(F.col("key").isNull().alias("none"), "key", "same", "spot")
-    prints = windows.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("print")
+    prints = selected.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("print")
     prints = written(prints, "prints")
-    open_ = windows.join(prints, "print", "left_semi")
+    open_ = selected.join(prints, "print", "left_semi").groupBy("key", "same").agg(F.collect_set("spot").alias("open"))
+    of = written(open_.select(F.col("key").alias("_key"), F.col("same").alias("_same"), "open"), "open_lines")
+    near = lines.join(of, F.col("key").eqNullSafe(F.col("_key")) & (F.col("same") == F.col("_same")))
+    open_ = written(_around(near, least_words), "windows")
     place = F.struct(F.col("key").isNull().alias("none"), "key", "same", "head")
 
     def with_first(frame: DataFrame, label: str) -> DataFrame:

@@ -58,3 +58,22 @@ def test_passage_over_fifty_words_is_kept_once(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
     assert [i for i in got if passage in got[i]] == [0]
     assert all(got[i] == f"head {i} of it\ntail {i} of it" for i in range(1, 20))
+
+
+def test_only_selected_lines_are_grouped_and_only_repeated_ones_opened(spark, monkeypatch):
+    """Of texts without repeats nothing but selections is written; windows are those that selected a repeated line."""
+    rnd = random.Random(9)
+    own = lambda i: "\n".join(" ".join(f"{i}x{rnd.randint(0, 10**9)}" for _ in range(rnd.randint(1, 9))) for _ in range(60))
+    passage = "\n".join(f"p{k} of the passage that repeats" for k in range(8))
+    rows = [(i, own(i) + ("\n" + passage if i < 3 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = {}
+    monkeypatch.setattr(line_dedup, "written", lambda df, label: tables.setdefault(label, df.cache()))
+    runs = line_dedup.repeated_runs(docs).collect()
+    assert sorted(r.key for r in runs) == [1, 2]
+    lines = tables["lines"].collect()
+    selected, all_ = sum(len(r.spots) for r in lines), sum(len(r.hash) for r in lines)
+    assert selected < 0.5 * all_
+    windows = tables["windows"].collect()
+    assert {r.key for r in windows} == {0, 1, 2} and len(windows) < 3 * 10
+    assert tables["open_lines"].count() == 3
