@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kithara.operators.components import connected_components
 from kithara.operators.forest import spanning_forest
+from kithara.operators.knee import polynomial_radius
 from kithara.operators.knn import kth_distance, nearest
 from kithara.operators.ranges import ranked_in_ranges
 from kithara.session import written
@@ -97,6 +98,17 @@ def chord_radius(distances: DataFrame, by: Sequence[str] = (), d: str = "d", lea
     return x.groupBy(*by).agg(F.max_by("d", F.struct(F.round(F.col("d") - line, 12), -F.col("i"))).alias("eps"))
 
 
+def knee_radius(distances: DataFrame, by: Sequence[str] = (), d: str = "d", degree: int = 10, sensitivity: float = 1.0, least: int = 1) -> DataFrame:
+    """(by, eps): the polynomial knee of each group's sorted distances, or the chord's farthest point where there is no knee."""
+    own = written(distances.select(*by, F.col(d).alias("d")), "distances")
+    knees = polynomial_radius(own, by, "d", degree, sensitivity).withColumnRenamed("eps", "knee")
+    chord = chord_radius(own, by, "d", least)
+    if not by:
+        chord, knees = chord.withColumn("_all", F.lit(0)), knees.withColumn("_all", F.lit(0))
+    on = list(by) or ["_all"]
+    return chord.join(knees, on, "left").select(*by, F.coalesce("knee", "eps").alias("eps"))
+
+
 def distance_curve(distances: DataFrame, by: Sequence[str] = (), d: str = "d") -> DataFrame:
     """The sorted distances of each group with their rank from 1."""
     return ranked_in_ranges(distances, by, [d, "point_id"], "curve_rank").withColumn("curve_rank", (F.col("curve_rank") + 1).cast("int"))

@@ -8,11 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithara.operators import cluster_metrics, communities, density, enrichment, knn, reduction
+from kithara.operators import cluster_metrics, communities, density, enrichment, knee, knn, reduction
 from kithara.session import local_session, written
 
 ALGORITHMS = ("dbscan", "vdbscan", "leiden", "hierarchical_leiden", "leiden_dbscan", "vdbscan_leiden")
 
+#: How radii follow from sorted distances: the polynomial's knee (the chord where it has none), the chord, the spline's bend.
+RADIUS_METHODS = {"knee": density.knee_radius, "chord": density.chord_radius, "spline": knee.spline_elbow}
+
 
 @dataclass(frozen=True)
 class Config:
@@ -30,10 +33,13 @@ class Config:
     eps: float | None = None
     radius_basis: str = "all"
     resample: bool = False
+    radius_method: str = "knee"
 
     def __post_init__(self) -> None:
         if self.algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {self.algorithm!r}; one of {ALGORITHMS}")
+        if self.radius_method not in RADIUS_METHODS:
+            raise ValueError(f"unknown radius method {self.radius_method!r}; one of {tuple(RADIUS_METHODS)}")
         if self.eps_k > self.k_neighbors:
             raise ValueError("eps_k exceeds k_neighbors")
 
@@ -56,7 +62,7 @@ def labels_of(points: DataFrame, edges: DataFrame, config: Config) -> tuple[Data
         groups = density.length_groups(lengths, c.least_share)
         own = lengths.join(density.nearest_group(lengths, groups), "length").select("point_id", "gid")
         curve = density.of_basis(edges, points, c.eps_k, c.radius_basis).join(own, "point_id")
-        radii = density.chord_radius(density.resampled(curve, ["gid"]) if c.resample else curve, ["gid"])
+        radii = RADIUS_METHODS[c.radius_method](density.resampled(curve, ["gid"]) if c.resample else curve, ["gid"])
         radius = written(density.radius_of_points(own, radii), "radius")
         more |= {"length_groups": groups, "radii": radii, "distance_curve": density.distance_curve(d.join(own, "point_id"), ["gid"])}
         labels = density.vdbscan(edges, radius, c.core_min_samples, c.symmetrization)
@@ -64,7 +70,7 @@ def labels_of(points: DataFrame, edges: DataFrame, config: Config) -> tuple[Data
             labels = communities.vdbscan_leiden(points, written(labels, "vdbscan"), graph, c.gamma)
         return labels, more
     if c.algorithm in ("dbscan", "leiden_dbscan"):
-        eps = c.eps if c.eps is not None else density.chord_radius(d).first()["eps"]
+        eps = c.eps if c.eps is not None else RADIUS_METHODS[c.radius_method](d).first()["eps"]
         pairs = written(knn.within(points, eps), "pairs")
         if c.algorithm == "dbscan":
             return density.dbscan_prefiltered(points, pairs, knn.first_neighbour_distance(edges), eps, c.core_min_samples), more
@@ -107,10 +113,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--components", type=int, default=50)
     p.add_argument("--gamma", type=float, default=1.0)
     p.add_argument("--radius-basis", choices=density.BASES, default="all")
+    p.add_argument("--radius-method", choices=RADIUS_METHODS, default="knee")
     p.add_argument("--debug-tables", help="a folder for the tables in between")
     a = p.parse_args(argv)
     spark = local_session()
-    config = Config(algorithm=a.algorithm, k_neighbors=a.k_neighbors, eps_k=a.eps_k, core_min_samples=a.core_min_samples, components=a.components, gamma=a.gamma, radius_basis=a.radius_basis)
+    config = Config(algorithm=a.algorithm, k_neighbors=a.k_neighbors, eps_k=a.eps_k, core_min_samples=a.core_min_samples, components=a.components, gamma=a.gamma, radius_basis=a.radius_basis, radius_method=a.radius_method)
     r = compare(spark.read.parquet(a.points), config)
     write_outputs(a.output, r.members.drop("embedding"), r.summary, r.enriched.drop("embedding"))
     if a.debug_tables:

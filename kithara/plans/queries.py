@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithara.functions import stats, text
-from kithara.operators import cluster_metrics, cohort, communities, density, enrichment, evaluation, knn, longitudinal, merging, reduction, runs
+from kithara.operators import cluster_metrics, cohort, communities, density, enrichment, evaluation, knee, knn, longitudinal, merging, reduction, runs
 from kithara.operators.components import connected_components
 from kithara.operators.metric_index import PivotIndex
 from kithara.plans import views
@@ -848,6 +848,23 @@ def monthly_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- without a SQL form
+def distances_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    own = views.points(spark, folder).select("point_id", (F.length("cdr3") % 3).cast("long").alias("gid"))
+    return knn.kth_distance(edges_table(spark, folder), 4).join(own, "point_id")
+
+
+@query()
+def eps_by_knee(spark: SparkSession, folder: str) -> DataFrame:
+    """Radii by the knee of a polynomial fitted to the sorted distances of each group."""
+    return density.knee_radius(distances_by_group(spark, folder), ["gid"])
+
+
+@query()
+def eps_by_spline(spark: SparkSession, folder: str) -> DataFrame:
+    """Radii where the smoothed curve of sorted distances bends most."""
+    return knee.spline_elbow(distances_by_group(spark, folder), ["gid"])
+
+
 @query()
 def pca_distances(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbours after standardizing and projecting to eight components."""
