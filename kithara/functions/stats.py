@@ -133,48 +133,69 @@ def binomial_upper_tail(a: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(np.where(q <= 0, (k <= 0).astype(float), binomial_sf(k - 1, n, np.maximum(q, 0))))
 
 
-#: Tables of a margin that are held at once.
-TABLES = 1 << 20
-
-
-def hypergeometric(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities of all tables with the margins of each [[a, b], [c, d]], where those of each begin, and the place of its own."""
-    a, b, c, d = (np.asarray(v).astype(np.int64) for v in (a, b, c, d))
-    row, col, n = a + b, a + c, a + b + c + d
-    low = np.maximum(0, col - (n - row))
-    size = np.minimum(row, col) - low + 1
-    begin = np.cumsum(size) - size
-    whole = log_gamma(row + 1) + log_gamma(n - row + 1) + log_gamma(col + 1) + log_gamma(n - col + 1) - log_gamma(n + 1)
-    of = np.repeat(np.arange(len(a)), size)
-    x = np.arange(len(of)) - begin[of] + low[of]
-    logs = whole[of] - log_gamma(x + 1) - log_gamma(row[of] - x + 1) - log_gamma(col[of] - x + 1) - log_gamma(n[of] - row[of] - col[of] + x + 1)
-    return np.exp(logs), begin, begin + a - low
-
-
-def _fisher(sides, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Sums of sides(probabilities, own probability, whether at or above the own table), in slices of TABLES tables."""
-    cells = [v.to_numpy(float).astype(np.int64) for v in (a, b, c, d)]
-    size = np.minimum(cells[0] + cells[1], cells[0] + cells[2]) + 1
-    out, i = np.zeros(len(size)), 0
-    ends = np.cumsum(size)
-    while i < len(size):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TABLES, "right")))
-        p, begin, at = hypergeometric(*(v[i:j] for v in cells))
-        n = np.diff(np.append(begin, len(p)))
-        keep = sides(p, np.repeat(p[at], n), np.arange(len(p)) >= np.repeat(at, n))
-        out[i:j] = np.add.reduceat(np.where(keep, p, 0.0), begin)
-        i = j
-    return pd.Series(np.minimum(out, 1.0))
+def _beyond_mode(sign: int, mode: np.ndarray, row: np.ndarray, col: np.ndarray, n: np.ndarray, at: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums over the tables beyond the mode in one direction, whose weight is 1: of all, of those from `at` on, of those of at most `limit`; and the weight at `at`.
+
+    Weights follow from each other by a ratio and fall ever faster, so a sum ends at its last digit; nothing
+    is kept of the tables passed. at: a place in this direction, or the mode for none; limit: 0 for none.
+    """
+    total, tail, small, own = (np.zeros(len(mode)) for _ in range(4))
+    live, x, w = np.arange(len(mode)), mode.astype(float), np.ones(len(mode))
+    has_at, has_limit = sign * (at - mode) > 0, limit > 0
+    while len(live):
+        r, c, rest, a = row[live], col[live], n[live] - row[live] - col[live], at[live]
+        w *= (r - x) * (c - x) / ((x + 1) * (rest + x + 1)) if sign > 0 else x * (rest + x) / ((r - x + 1) * (c - x + 1))
+        x += sign
+        total[live] += w
+        reached = has_at[live] & (sign * (x - a) >= 0)
+        tail[live] += np.where(reached, w, 0)
+        own[live] = np.where(has_at[live] & (x == a), w, own[live])
+        small[live] += np.where(w <= limit[live], w, 0)
+        goes = (w > 1e-17 * total[live]) | (has_at[live] & (~reached | (w > 1e-17 * tail[live]))) | (has_limit[live] & ((small[live] == 0) | (w > 1e-17 * small[live])))
+        goes &= w > 1e-300
+        live, x, w = live[goes], x[goes], w[goes]
+    return total, tail, small, own
+
+
+def hypergeometric_tails(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each table [[a, b], [c, d]] with its margins: P(X >= a), and the sum of all probabilities up to that of a.
+
+    The tables are passed outward from the most probable one, so the work follows the spread of the law (a
+    few thousand tables for margins of 10^8) and the memory is that of the rows. Probabilities below 1e-300 are 0.
+    """
+    a, row, col, n = (np.asarray(v, float) for v in (a, a + b, a + c, a + b + c + d))
+    mode = np.floor((row + 1) * (col + 1) / (n + 2))
+    mode = np.clip(mode, np.maximum(0, row + col - n), np.minimum(row, col))
+    none = np.zeros(len(a))
+    up, at_up, _, own_up = _beyond_mode(1, mode, row, col, n, a, none)
+    # P(X >= a) for a up to the mode is 1 less the tables below a
+    below = np.where(a <= mode, a - 1, mode)
+    down, at_down, _, _ = _beyond_mode(-1, mode, row, col, n, below, none)
+    whole = 1 + up + down
+    greater = np.where(a > mode, at_up / whole, 1 - at_down / whole)
+    own_down = _beyond_mode(-1, mode, row, col, n, a, none)[3]
+    own = np.where(a > mode, own_up, np.where(a < mode, own_down, 1.0))
+    limit = own * (1 + 1e-7)
+    both = sum(_beyond_mode(s, mode, row, col, n, mode, limit)[2] for s in (1, -1)) + (limit >= 1)
+    return np.clip(greater, 0, 1), np.clip(both / whole, 0, 1)
+
+
+def _fisher(side: int, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    cells = np.array([v.to_numpy(float) for v in (a, b, c, d)])
+    out = np.full(cells.shape[1], np.nan)
+    whole = np.isfinite(cells).all(0)
+    out[whole] = hypergeometric_tails(*np.floor(cells[:, whole]))[side]
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return _fisher(lambda p, own, above: above, a, b, c, d)
+    return _fisher(0, a, b, c, d)
 
 
 @F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return _fisher(lambda p, own, above: p <= own * (1 + 1e-7), a, b, c, d)
+    return _fisher(1, a, b, c, d)
 
 
 def with_fdr(df: DataFrame, p: str, q: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:

@@ -19,9 +19,10 @@ def test_tails_against_exact_sums():
             exact = sum(choose(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1))
             assert abs(float(stats.binomial_sf(k, n, p)[0]) - exact) < 1e-12
     for a, b, c, d in ((0, 5, 0, 7), (3, 2, 1, 9), (5, 0, 0, 5), (2, 8, 7, 3)):
-        p, _, at = (x if i == 0 else int(x[0]) for i, x in enumerate(stats.hypergeometric(*([v] for v in (a, b, c, d)))))
-        exact = [choose(a + b, x) * choose(c + d, a + c - x) / choose(a + b + c + d, a + c) for x in range(max(0, a + c - c - d), min(a + b, a + c) + 1)]
-        assert p == pytest.approx(exact) and p[at] == pytest.approx(choose(a + b, a) * choose(c + d, c) / choose(a + b + c + d, a + c))
+        greater, both = (float(x[0]) for x in stats.hypergeometric_tails(*(np.array([v]) for v in (a, b, c, d))))
+        low = max(0, a + c - c - d)
+        exact = [choose(a + b, x) * choose(c + d, a + c - x) / choose(a + b + c + d, a + c) for x in range(low, min(a + b, a + c) + 1)]
+        assert greater == pytest.approx(sum(exact[a - low :])) and both == pytest.approx(sum(p for p in exact if p <= exact[a - low] * (1 + 1e-7)))
 
 
 def test_functions_over_arrays():
@@ -32,13 +33,13 @@ def test_functions_over_arrays():
     assert stats.regularized_beta(np.array([0.3, 0.0, 1.0]), np.array([2.0, 1, 1]), np.array([3.0, 1, 1])) == pytest.approx([0.3483, 0, 1])
 
 
-def test_tails_of_a_batch_do_not_depend_on_its_slices(spark, monkeypatch):
+def test_tails_of_a_batch_do_not_depend_on_each_other(spark):
     rows = [(i % 9, i % 7, (i * 5) % 11, (i * 3) % 8) for i in range(60)]
     frame = pd.DataFrame(rows).T.reset_index(drop=True).T
     columns = [frame[k] for k in range(4)]
-    whole = stats._fisher(lambda p, own, above: above, *columns)
-    monkeypatch.setattr(stats, "TABLES", 5)
-    assert list(stats._fisher(lambda p, own, above: above, *columns)) == list(whole)
+    whole = stats._fisher(0, *columns)
+    assert [v for i in range(0, 60, 7) for v in stats._fisher(0, *(c[i : i + 7] for c in columns))] == list(whole)
+    assert stats._fisher(0, *(pd.Series([x]) for x in (1.0, None, 2.0, 3.0))).isna().all()
     for (a, b, c, d), got in zip(rows, whole, strict=True):
         exact = sum(choose(a + b, x) * choose(c + d, a + c - x) for x in range(a, min(a + b, a + c) + 1)) / choose(a + b + c + d, a + c)
         assert got == pytest.approx(exact)
@@ -89,3 +90,26 @@ def test_evaluation_special_cases(spark):
     assert got[0].p_value == 0 and got[1].p_value == 1 and got[0].total_sample == 4 and got[0].is_significant and not got[1].is_significant
     row = enrichment.summarize_enrichment(enrichment.evaluation_enrichment(a)).first()
     assert row.number_of_significant_enriched_clusters == 1 and row.retained_fraction == 0.75 and row.background_contamination == 0
+
+
+def test_fisher_of_any_margins_against_whole_laws():
+    import time
+    from fractions import Fraction
+    from math import comb
+
+    rng = np.random.default_rng(5)
+    tables = [tuple(int(v) for v in rng.integers(0, m, 4)) for m in (3, 6, 30, 60) for _ in range(25)] + [(0, 0, 0, 0), (0, 5, 0, 7), (9, 0, 0, 9), (0, 9, 9, 0), (40, 2, 3, 60)]
+    greater, both = stats.hypergeometric_tails(*np.array(tables, float).T)
+    for (a, b, c, d), g, t in zip(tables, greater, both, strict=True):
+        row, col, n = a + b, a + c, a + b + c + d
+        law = {x: Fraction(comb(row, x) * comb(n - row, col - x), comb(n, col)) for x in range(max(0, row + col - n), min(row, col) + 1)}
+        assert g == pytest.approx(float(sum(p for x, p in law.items() if x >= a)), rel=1e-9, abs=1e-14)
+        assert t == pytest.approx(float(sum(p for p in law.values() if p <= law[a] * (1 + Fraction(1, 10**7)))), rel=1e-9, abs=1e-14)
+    began = time.time()
+    m = 10**8
+    greater, both = stats.hypergeometric_tails(*np.array([(m // 2, m // 2, m // 2, m // 2), (m // 2 + 10_000, m // 2, m // 2, m // 2 + 10_000), (5, m, 3, m)], float).T)
+    # the second is 5000 above its mean, with a variance of m / 8: the root of 2 in spreads; the third is 5 of 8 by fair coins
+    assert greater[0] == pytest.approx(0.5, abs=1e-3) and both[0] == pytest.approx(1)
+    assert both[1] == pytest.approx(2 * greater[1], rel=1e-3) and greater[1] == pytest.approx(math.erfc(1) / 2, rel=1e-3)
+    assert greater[2] == pytest.approx(sum(comb(8, k) for k in (5, 6, 7, 8)) / 256, rel=1e-6)
+    assert time.time() - began < 30
