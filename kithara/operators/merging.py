@@ -26,16 +26,28 @@ def wildcard_keys(sequence: Column, mismatches: int) -> Column:
     return F.when(length == 0, F.array(sequence)).otherwise(keys)
 
 
-def piece_keys(sequence: Column, mismatches: int) -> Column:
-    """Keys that sequences of equal length share if they differ in at most `mismatches` places, whatever the length.
+#: Pieces that a sequence is cut into, over those that mismatches can spoil.
+SOUND_PIECES = 4
 
-    A sequence is cut into mismatches + 2 pieces of near equal length; at least two of them agree, so
-    each pair of pieces, with its place and the whole length, is a key. What shares a key must still be compared.
+
+def rare_piece_keys(sequences: DataFrame, mismatches: int, on: str) -> DataFrame:
+    """(on, key): keys that two of the distinct sequences share if they have equal length and differ in at most `mismatches` places.
+
+    A sequence is cut into mismatches + SOUND_PIECES pieces of near equal length, of which SOUND_PIECES at least
+    agree. All pieces (with place and length) are ranked by how many sequences have them; of two
+    sequences that agree in so many, the mismatches + 2 rarest pieces of each have two in common (prefix filtering).
+    So each pair of these is a key, and pieces that most sequences have, as their common beginnings and ends, are in none
+    unless nothing rarer is left. What shares a key must still be compared.
     """
-    length, n = F.length(sequence), mismatches + 2
+    length, n = F.length(on), mismatches + SOUND_PIECES
     cut = lambda i: F.floor(length * i / n).cast("int")
-    piece = [F.substring(sequence, cut(i) + 1, cut(i + 1) - cut(i)) for i in range(n)]
-    return F.array(*[F.concat_ws("|", length, F.lit(f"{i},{j}"), piece[i], piece[j]) for i, j in combinations(range(n), 2)])
+    pieces = F.array(*[F.struct(length.alias("length"), F.lit(i).alias("place"), F.substring(on, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(n)])
+    each = sequences.select(on, F.inline(pieces))
+    often = written(each.groupBy("length", "place", "piece").agg(F.count("*").alias("n")), "pieces")
+    ranked = each.join(often, ["length", "place", "piece"]).groupBy(on, "length").agg(F.array_sort(F.collect_list(F.struct("n", "place", "piece"))).alias("rare"))
+    few = F.array_sort(F.transform(F.slice("rare", 1, mismatches + 2), lambda p: F.struct(p["place"].alias("place"), p["piece"].alias("piece"))))
+    both = lambda i, j: F.concat_ws("|", "length", F.col("few")[i]["place"], F.col("few")[j]["place"], F.col("few")[i]["piece"], F.col("few")[j]["piece"])
+    return ranked.withColumn("few", few).select(on, F.explode(F.array(*[both(i, j) for i, j in combinations(range(mismatches + 2), 2)])).alias("key"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -46,9 +58,13 @@ def hamming(a: Column, b: Column) -> Column:
 
 def hamming_join(left: DataFrame, right: DataFrame, mismatches: int = 1, on: str = "sequence") -> DataFrame:
     """(left_seq, right_seq, distance) of distinct sequences of equal length within the mismatches."""
-    keys = wildcard_keys if mismatches < 2 else piece_keys
-    key = lambda df, n: df.select(F.col(on).alias(n)).filter(F.col(n).isNotNull()).distinct().withColumn("key", F.explode(keys(F.col(n), mismatches)))
-    pairs = key(left, "left_seq").join(key(right, "right_seq"), "key").select("left_seq", "right_seq").distinct()
+    own = [df.select(F.col(on).alias("seq")).filter(F.col(on).isNotNull()).distinct() for df in (left, right)]
+    if mismatches < 2:
+        keyed = [df.withColumn("key", F.explode(wildcard_keys(F.col("seq"), mismatches))) for df in own]
+    else:  # one order of pieces for both sides
+        keys = written(rare_piece_keys(own[0].union(own[1]).distinct(), mismatches, "seq"), "keys")
+        keyed = [keys.join(df, "seq", "left_semi") for df in own]
+    pairs = keyed[0].withColumnRenamed("seq", "left_seq").join(keyed[1].withColumnRenamed("seq", "right_seq"), "key").select("left_seq", "right_seq").distinct()
     return pairs.withColumn("distance", hamming(F.col("left_seq"), F.col("right_seq"))).filter(F.col("distance") <= mismatches)
 
 

@@ -660,8 +660,8 @@ def best_by_metric(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- cohort
-USAGE_SQL = f"""{PATIENTS_SQL}, us AS (SELECT cluster_id, count(*) AS cluster_size, count(DISTINCT sample_name) AS n_samples, count(DISTINCT sample_name) FILTER (seg = 'BUILDING') AS a, count(DISTINCT sample_name) FILTER (seg = 'MACHINERY') AS b FROM pat GROUP BY 1),
- tt AS (SELECT count(DISTINCT sample_name) FILTER (seg = 'BUILDING') AS n, count(DISTINCT sample_name) FILTER (seg = 'MACHINERY') AS m FROM pat), uu AS (SELECT * FROM us, tt)"""
+USAGE_SQL = f"""{PATIENTS_SQL}, us AS (SELECT cluster_id, count(*) AS cluster_size, count(DISTINCT sample_name) AS n_samples, count(DISTINCT sample_name) FILTER (seg = 'BUILDING') AS a, count(DISTINCT sample_name) FILTER (seg <> 'BUILDING') AS b FROM pat GROUP BY 1),
+ tt AS (SELECT count(DISTINCT sample_name) FILTER (seg = 'BUILDING') AS n, count(DISTINCT sample_name) FILTER (seg <> 'BUILDING') AS m FROM pat), uu AS (SELECT * FROM us, tt)"""
 
 
 @query(f"""WITH {USAGE_SQL} SELECT cluster_id, cluster_size, n_samples, a AS case_usage, b AS control_usage, n AS total_case, m AS total_control FROM uu""")
@@ -731,7 +731,7 @@ def hla_exclusive(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").filter(has).select("p_partkey")
 
 
-@query("""SELECT substr(p_name, 1, 1) AS initial, i AS position, substr(p_name, (i + 1)::INT, 1) AS residue, count(*) AS n FROM part, (SELECT unnest(range(0, 40)) AS i) WHERE i < len(p_name) GROUP BY 1, 2, 3""")
+@query("""SELECT substr(p_name, 1, 1) AS initial, i AS position, substr(p_name, (i + 1)::INT, 1) AS residue, count(*) AS n FROM part, (SELECT unnest(range(0, (SELECT max(len(p_name)) FROM part))) AS i) WHERE i < len(p_name) GROUP BY 1, 2, 3""")
 def logo_counts(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part").withColumn("initial", F.substring("p_name", 1, 1))
     return cohort.logo_counts(p, "p_name", ["initial"]).withColumn("position", F.col("position").cast("long"))

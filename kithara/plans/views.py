@@ -18,7 +18,7 @@ ASSIGN_SQL = """assign AS (SELECT 'run_' || l_linenumber AS run_id, 'D' || (l_su
 POINTS_SQL = """pts AS (SELECT vec_id AS point_id, CASE WHEN (label < 3 AND vec_id % 4 <> 0) OR (label >= 3 AND vec_id % 4 = 0) THEN 'sample' ELSE 'background' END AS source,
     embedding::DOUBLE[] AS embedding, label::BIGINT AS cluster_id, substr(md5(vec_id::VARCHAR), 1, (8 + vec_id % 9)::INT) AS cdr3 FROM embeddings)"""
 PATIENTS_SQL = """pat AS (SELECT c_custkey AS sample_name, c_mktsegment AS seg, l_partkey % 41 AS cluster_id, p_name AS cdr3
-  FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))"""
+  FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"""
 PARAMS_SQL = """par AS (SELECT event_id, user_id, ts, event_type AS method, json_extract_string(props, '$.k') AS k, value AS score FROM events)"""
 
 
@@ -49,8 +49,8 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def patients(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
-    o, l, p = (table(spark, folder, t) for t in ("orders", "lineitem", "part"))  # noqa: E741
+    """Customers of one segment are cases, all others controls."""
+    c, o, l, p = (table(spark, folder, t) for t in ("customer", "orders", "lineitem", "part"))  # noqa: E741
     rows = c.join(o, F.col("o_custkey") == F.col("c_custkey")).join(l, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
     group = F.when(F.col("c_mktsegment") == "BUILDING", "case").otherwise("control")
     return rows.select(F.col("c_custkey").alias("sample_name"), group.alias("sample_group"), (F.col("l_partkey") % 41).alias("cluster_id"), F.col("p_name").alias("cdr3"))

@@ -44,15 +44,34 @@ def read_metadata(spark: SparkSession, path: str, tokens: Sequence[str] = ("cdr3
     return df.select(*[f"`{c}`" for c in df.columns if any(t in c.lower() for t in tokens)])
 
 
+def _in_folders(df: DataFrame) -> DataFrame:
+    """df with patient and run_id, the two folders that a row's file lies in."""
+    folders = F.split(F.col("_metadata.file_path"), "/")
+    return df.select("*", F.element_at(folders, -3).alias("patient"), F.element_at(folders, -2).alias("run_id"))
+
+
 def run_summaries(spark: SparkSession, path: str, prefix: str = "", parse=tagged_run) -> DataFrame:
     """The summaries of all run folders below `path` (`path/patient/run`), with patient, run_id and the run's parameters.
 
-    Each run is a folder of tab-separated files `summary*`. One scan reads all of them; folders are told
-    apart by file name, so a run of another layout of columns is not an error but has nulls.
+    Each run is a folder of tab-separated files `summary*`. Runs may differ in their columns: files are told apart by
+    their first lines, those of one layout are one scan, and columns that a layout lacks are null. A column that is
+    text in one layout and not in another is text.
     """
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "summary*").csv(path, sep="\t", header=True, inferSchema=True, enforceSchema=False)
-    folders = F.split(F.col("_metadata.file_path"), "/")
-    df = df.select("*", F.element_at(folders, -3).alias("patient"), F.element_at(folders, -2).alias("run_id"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "summary*").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    layouts = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()  # names of files only
+    if not layouts:
+        raise ValueError(f"no summary in {path}")
+    tables = [_in_folders(spark.read.csv(x["files"], sep="\t", header=True, inferSchema=True, enforceSchema=False)) for x in layouts]
+    kinds: dict[str, set[str]] = {}
+    for t in tables:
+        for c, kind in t.dtypes:
+            kinds.setdefault(c, set()).add(kind)
+    mixed = {c for c, k in kinds.items() if len(k) > 1 and not k <= {"int", "bigint", "double"}}
+    df = tables[0].withColumns({c: F.col(c).cast("string") for c in tables[0].columns if c in mixed})
+    for t in tables[1:]:
+        df = df.unionByName(t.withColumns({c: F.col(c).cast("string") for c in t.columns if c in mixed}), allowMissingColumns=True)
     df = df.filter(F.col("run_id").startswith(prefix))
     return df.withColumns({c: v for c, v in parse(F.col("run_id")).items() if c not in df.columns})
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kithara.operators import communities, density, knn, merging, ranges, reduction
+from kithara.operators import communities, components, density, knn, merging, ranges, reduction
 from kithara.operators.components import connected_components
 from kithara.operators.forest import spanning_forest
 from kithara.operators.metric_index import PivotIndex
@@ -25,7 +25,9 @@ def roots(n, edges):
     return [find(i) for i in range(n)]
 
 
-def test_components_of_random_graphs_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [components.LOCAL_EDGES, 0])
+def test_components_of_random_graphs_chains_and_stars(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     rnd = random.Random(3)
     graphs = [[(rnd.randrange(60), rnd.randrange(60)) for _ in range(m)] for m in (20, 45)]
     graphs += [[(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 50)], [(59 - i, 58 - i) for i in range(40)]]
@@ -351,3 +353,14 @@ def test_a_sweep_of_radii_equals_dbscan_at_each(spark, cloud):
             assert got[r] == (want.count(-1), len(set(want) - {-1})), (least, r)
     with pytest.raises(ValueError):
         density.noise_by_radius(points, pairs, first, [], 3)
+
+
+def test_common_ends_of_sequences_are_no_keys(spark):
+    """20,000 sequences with one beginning and one end: keys come from what is between."""
+    rnd = random.Random(2)
+    seqs = sorted({"CASS" + "".join(rnd.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(8)) + "EQYF" for _ in range(20_000)})
+    df = spark.createDataFrame([(s,) for s in seqs], "sequence string")
+    keys = merging.rare_piece_keys(df, 2, "sequence").groupBy("key").count()
+    # before, one key held every sequence and the join had 4 * 10^8 rows
+    assert keys.agg({"count": "max"}).first()[0] < 1000
+    assert keys.selectExpr("sum(count * count)").first()[0] < 3_000_000

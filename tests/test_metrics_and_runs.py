@@ -200,3 +200,17 @@ def test_shared_folder_must_be_named_on_a_cluster():
             shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
     for master in ("local", "local[4]", "local[*]"):
         assert shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, applicationId=master))).startswith("file://")
+
+
+def test_run_folders_of_different_layouts(spark, tmp_path):
+    texts = {"p1/a_1/summary.tsv": "cluster_id\tsample\tbackground\n1\t5\t7\n2\t6\t8\n", "p1/a_2/summary.tsv": "cluster_id\tfold\tsample\n1\t0.5\t9\n",
+             "p2/a_1/summary_x.tsv": "cluster_id\tsample\tbackground\nc3\t1\t2\n", "p2/b_1/summary.tsv": "cluster_id\tfold\tsample\n4\t1.5\t3\n"}
+    for name, text_ in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text_)
+    found = repertoire.run_summaries(spark, str(tmp_path), "a_", parse=lambda c: {})
+    got = sorted((r.patient, r.run_id, r.cluster_id, r.sample, r.background, r.fold) for r in found.collect())
+    assert got == [("p1", "a_1", "1", 5, 7, None), ("p1", "a_1", "2", 6, 8, None), ("p1", "a_2", "1", 9, None, 0.5), ("p2", "a_1", "c3", 1, 2, None)]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError):
+        repertoire.run_summaries(spark, str(tmp_path / "empty"))
