@@ -13,7 +13,7 @@ without tokens gets no budget and none of its rows; weight 0 excludes a subtree;
 rows of their own; the permutation is by a hash of key and text, so rows of one key, or of a null
 key, are permuted as well, and rows that still tie are alike; a very long text is one row, of which
 the last epoch may take a part; an empty table gives an empty result; input columns named like the
-added ones are replaced. Budgets are integers and add up exactly.
+added ones are replaced; an empty text is a row without tokens. Budgets are integers and add up exactly.
 """
 
 from __future__ import annotations
@@ -36,6 +36,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space as it is; the whole text if it has no more."""
+    parts = F.split(text, "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
+    return F.when(word_count(text) <= n, text).otherwise(F.array_join(F.slice(parts, F.lit(1), n.cast("int")), ""))
+
+
+def taken_text(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of `mix` with their texts cut to the tokens that were taken."""
+    cut = F.when(F.col("mix_taken") < F.col("mix_tokens"), first_words(F.col(text), F.col("mix_taken"))).otherwise(F.col(text))
+    return mixed.withColumn(text, cut)
+
+
 def _weight(levels: Sequence[str], weights: Mapping[tuple, int]) -> Column:
     """The weight of the node named by `levels`; 1 where none is given."""
     own = {k: v for k, v in weights.items() if len(k) == len(levels)}

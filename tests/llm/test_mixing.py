@@ -105,3 +105,10 @@ def test_rows_of_a_null_key_are_spread_over_the_ranges(spark, monkeypatch):
     drawn = {hashlib.md5(f"7|0|{mixing.NONE if k is None else k}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest() for k, t, *_ in rows}
     ranges = [sum(d.startswith(f"{x:03x}") for d in drawn) for x in range(0, 4096, 64)]
     assert len(drawn) == 6000 and max(ranges) < 20
+
+
+def test_taken_texts_are_cut_at_the_token(spark):
+    rows = [(0, "  one two\n three\tfour ", 4, 2), (1, "one two", 2, 2), (2, "é\u00a0x y", 2, 1), (3, None, 0, 0), (4, "a " * 30000, 30000, 29999)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mix_tokens long, mix_taken long")
+    got = {r.doc_id: r.text for r in mixing.taken_text(df).collect()}
+    assert got == {0: "  one two", 1: "one two", 2: "é\u00a0x", 3: None, 4: ("a " * 29999).rstrip()}
