@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from kithara.operators import ranges
+from kithara.session import written
+
 
 def z_binomial(a: Column, b: Column, s: Column, n: Column) -> Column:
     """Standard score of a of s sample points against b of n background points."""
@@ -199,7 +202,10 @@ def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) ->
 
 
 def with_fdr(df: DataFrame, p: str, q: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg q-values of the non-null p, within groups. A group is ordered in one task."""
+    """Benjamini-Hochberg q-values of the non-null p, within groups. A task orders groups of up to ONE_TASK rows; larger ones are dealt in ranges."""
+    df = written(df, "p_values")
+    if ranges.largest_group(df, by) > ranges.ONE_TASK:
+        return ranges.fdr_in_ranges(df, p, q, by, ties)
     some = F.when(F.col(p).isNotNull(), 1)
     up = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last(), *ties)
     down = Window.partitionBy(*by).orderBy(F.col(p).desc_nulls_last(), *[F.desc(t) for t in ties]).rowsBetween(Window.unboundedPreceding, 0)

@@ -11,6 +11,8 @@ from pyspark.sql.types import DoubleType
 
 from kithara.functions.stats import fisher_two_sided
 from kithara.functions.text import smoothed_ratio
+from kithara.operators.ranges import ranked_in_ranges
+from kithara.session import written
 
 
 def patient_lookup(rows: DataFrame, keys: Sequence[str], patient: str = "sample_name") -> DataFrame:
@@ -76,19 +78,20 @@ def sample_share(members: DataFrame, keys: Sequence[str], cluster: str = "cluste
 def topsis(df: DataFrame, weights: Mapping[str, float], costs: Sequence[str] = (), score: str = "topsis_score", ties: Sequence[str] = ()) -> DataFrame:
     """Closeness to the best of all metrics (min-max scaled, costs turned round), and its rank."""
     total = sum(weights.values())
-    whole = Window.partitionBy()
-    scaled = {}
-    for m in weights:
-        x = F.col(m).cast("double")
-        low, high = F.min(x).over(whole), F.max(x).over(whole)
-        y = F.when(high > low, (x - low) / (high - low)).otherwise(0.0)
-        scaled[f"_t_{m}"] = (1 - y if m in costs else y) * (weights[m] / total)
-    df = df.withColumns(scaled)
-    best = sum(((F.col(f"_t_{m}") - F.max(f"_t_{m}").over(whole)) ** 2 for m in weights), F.lit(0.0))
-    worst = sum(((F.col(f"_t_{m}") - F.min(f"_t_{m}").over(whole)) ** 2 for m in weights), F.lit(0.0))
-    df = df.withColumns({"_b": F.sqrt(best), "_w": F.sqrt(worst)})
-    df = df.withColumn(score, F.when(F.col("_b") + F.col("_w") > 0, F.col("_w") / (F.col("_b") + F.col("_w"))).otherwise(0.0)).drop("_b", "_w", *scaled)
-    return df.withColumn("topsis_rank", F.row_number().over(Window.orderBy(F.desc(score), *ties)))
+    df = written(df, "metrics")
+    ends = df.agg(*[f(F.col(m).cast("double")).alias(f"{n}_{i}") for i, m in enumerate(weights) for n, f in (("low", F.min), ("high", F.max))]).first()
+    best, worst = F.lit(0.0), F.lit(0.0)
+    for i, m in enumerate(weights):
+        x, low, high, w = F.col(m).cast("double"), ends[f"low_{i}"], ends[f"high_{i}"], weights[m] / total
+        varies = low is not None and high > low
+        y = (x - low) / (high - low) if varies else F.lit(0.0)
+        y = (1 - y if m in costs else y) * w
+        top, bottom = (w, 0.0) if varies else (w, w) if m in costs else (0.0, 0.0)
+        best, worst = best + (y - top) ** 2, worst + (y - bottom) ** 2
+    best, worst = F.sqrt(best), F.sqrt(worst)
+    df = df.withColumn(score, F.when(best + worst > 0, worst / (best + worst)).otherwise(0.0))
+    ranked = ranked_in_ranges(df.withColumn("_down", -F.col(score)), [], ["_down", *ties], "topsis_rank")
+    return ranked.drop("_down").withColumn("topsis_rank", (F.col("topsis_rank") + 1).cast("int"))
 
 
 def most_supported(records: DataFrame, group: str, keys: Sequence[str]) -> DataFrame:

@@ -25,3 +25,42 @@ def ranked_in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], nam
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
     return dealt.withColumn("_local", local).join(starts, same).withColumn(name, F.col("_before") + F.col("_local")).select(*df.columns, name)
+
+
+#: Rows of a group that one task orders; larger groups are dealt to many.
+ONE_TASK = 1_000_000
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def fdr_in_ranges(df: DataFrame, p: str, q: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Benjamini-Hochberg q-values of the non-null p within groups of any size.
+
+    A rank is the place in a range and the rows before it; the least of all later ratios is that of
+    the rest of the range and of the ranges after it.
+    """
+    names = ["_part", "_none", "_before", "_n", "_r", "_later"]
+    dealt = df.drop(*names).withColumn("_none", F.col(p).isNull()).repartitionByRange(*by, "_none", p, *ties)
+    dealt = written(dealt.withColumn("_part", F.spark_partition_id()), "fdr_ranges")
+    sizes = dealt.groupBy(*by, "_part").agg(F.count(p).alias("_k"))
+    upto = Window.partitionBy(*by).orderBy("_part")
+    sizes = sizes.select(*by, "_part", (F.sum("_k").over(upto) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy(*by)).alias("_n"))
+
+    def with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        other = parts.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_part").alias("_p"), *[c for c in parts.columns if c not in (*by, "_part")])
+        same = F.col("_part") == F.col("_p")
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+        return rows.join(other, same).drop("_p", *[f"_b_{c}" for c in by])
+
+    order = Window.partitionBy(*by, "_part").orderBy("_none", p, *ties)
+    rows = with_part(dealt.withColumn("_i", F.row_number().over(order)), written(sizes, "fdr_sizes"))
+    rows = written(rows.withColumn("_r", F.col(p) * F.col("_n") / (F.col("_before") + F.col("_i"))), "fdr_ratios")
+    after = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    least = rows.groupBy(*by, "_part").agg(F.min("_r").alias("_least"))
+    least = written(least.select(*by, "_part", F.min("_least").over(after).alias("_later")), "fdr_later")
+    down = Window.partitionBy(*by, "_part").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+    out = with_part(rows, least).withColumn(q, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_r").over(down), F.col("_later"))))
+    return out.select(*[c for c in df.columns if c != q], q)

@@ -113,3 +113,23 @@ def test_fisher_of_any_margins_against_whole_laws():
     assert both[1] == pytest.approx(2 * greater[1], rel=1e-3) and greater[1] == pytest.approx(math.erfc(1) / 2, rel=1e-3)
     assert greater[2] == pytest.approx(sum(comb(8, k) for k in (5, 6, 7, 8)) / 256, rel=1e-6)
     assert time.time() - began < 30
+
+
+def test_fdr_of_a_large_group_in_many_tasks(spark, monkeypatch):
+    rows = spark.range(900).select(F.when(F.col("id") % 9 == 0, None).otherwise((F.col("id") % 3 == 0).cast("int")).alias("g"), "id", F.when(F.col("id") % 11 == 0, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(400)) / 400).alias("p")).repartition(6)
+    want = {r.id: (r.g, r.p, r.q) for r in stats.with_fdr(rows, "p", "q", ["g"], ["id"]).collect()}
+    whole = {r.id: r.q for r in stats.with_fdr(rows, "p", "q", ties=["id"]).collect()}
+    monkeypatch.setattr(stats.ranges, "ONE_TASK", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: (r.g, r.p, r.q) for r in stats.with_fdr(rows, "p", "q", ["g"], ["id"]).collect()}
+        again = {r.id: r.q for r in stats.with_fdr(rows, "p", "q", ties=["id"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 900 and got == want and again == whole
+    p = sorted((v[1], i) for i, v in want.items() if v[1] is not None)
+    q, least = {}, 1.0
+    for k in range(len(p), 0, -1):
+        least = min(least, p[k - 1][0] * len(p) / k)
+        q[p[k - 1][1]] = least
+    assert {i: v for i, v in whole.items() if v is not None} == pytest.approx(q)
