@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithara.session import written
@@ -64,3 +64,35 @@ def fdr_in_ranges(df: DataFrame, p: str, q: str, by: Sequence[str] = (), ties: S
     down = Window.partitionBy(*by, "_part").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     out = with_part(rows, least).withColumn(q, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_r").over(down), F.col("_later"))))
     return out.select(*[c for c in df.columns if c != q], q)
+
+
+def joined(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """left with the columns of right's row of the same keys, null keys too; without keys right is one row."""
+    if not by:
+        return left.crossJoin(right)
+    right = right.withColumnsRenamed({c: f"_j_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+    return left.join(right, same, "left").drop(*[f"_j_{c}" for c in by])
+
+
+def ranked_values(rows: DataFrame, values: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
+    """(by, _what, _x, _rank, _n): the non-null values of each name with their rank from 0 and their number, in ranges."""
+    long = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(k).alias("_what"), x.cast("double").alias("_x")) for k, x in values.items()]))).filter("_x is not null")
+    ranked = written(ranked_in_ranges(long, [*by, "_what"], ["_x"], "_rank"), "ranked_values")
+    return joined(ranked, written(ranked.groupBy(*by, "_what").agg(F.count("*").alias("_n")), "value_counts"), [*by, "_what"])
+
+
+def quantiles(rows: DataFrame, values: Mapping[str, Column], at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, an array for each name): quantiles of the non-null values, linear between neighbours, from groups of any size.
+
+    Only the values at the ranks next to each quantile are picked out; nothing is kept of a group.
+    """
+    place = [F.lit(q) * (F.col("_n") - 1) for q in at]
+    end = lambda r: F.max(F.when(F.col("_rank") == r, F.col("_x")))
+    low, high = [end(F.floor(x)) for x in place], [end(F.ceil(x)) for x in place]
+    part = [F.max(x - F.floor(x)) for x in place]
+    found = ranked_values(rows, values, by).groupBy(*by, "_what").agg(F.array(*[a + (b - a) * t for a, b, t in zip(low, high, part, strict=True)]).alias("_q"))
+    found = found.groupBy(*by).agg(*[F.max(F.when(F.col("_what") == k, F.col("_q"))).alias(k) for k in values])
+    return joined(rows.select(*by).distinct(), found, by) if by else found

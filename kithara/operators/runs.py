@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from kithara.functions.stats import average_rank, percent_rank
 from kithara.functions.text import is_enriched, parameter_tag, parameters, safe_ratio
+from kithara.operators.ranges import ONE_TASK, joined, largest_group, quantiles, ranked_values
+from kithara.session import written
 
 NOISE = -1
 
@@ -86,13 +88,22 @@ def enriched_flag(fdr: str = "enrichment_fdr_zbinom", lfc: str = "log_fold_chang
     return is_enriched(F.col(fdr), F.col(lfc), F.col("cluster_id"))
 
 
-def numeric_summaries(columns: Sequence[str]) -> list[Column]:
-    """mean, median, max, q25 and q75 of each column, as column__statistic."""
-    out = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        out += [F.avg(x).alias(f"{c}__mean"), F.median(x).alias(f"{c}__median"), F.max(x).alias(f"{c}__max"), F.percentile(x, F.lit(0.25)).alias(f"{c}__q25"), F.percentile(x, F.lit(0.75)).alias(f"{c}__q75")]
-    return out
+#: Quantiles of a metric's summary.
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
+def _with_quantiles(rows: DataFrame, by: Sequence[str], out: list[Column], asked: dict[str, tuple[Column, dict[str, float]]]) -> DataFrame:
+    """rows.groupBy(by).agg(out) and, as name__suffix, the quantiles asked for of each expression.
+
+    An aggregate that holds a group's values serves groups of up to ONE_TASK rows; larger ones go through ranges.
+    """
+    rows = written(rows, "rows")
+    if largest_group(rows, by) <= ONE_TASK:
+        return rows.groupBy(*by).agg(*out, *[F.percentile(x.cast("double"), F.lit(q)).alias(f"{n}__{s}") for n, (x, at) in asked.items() for s, q in at.items()])
+    every = sorted({q for _, at in asked.values() for q in at.values()})
+    found = quantiles(rows, {n: x for n, (x, _) in asked.items()}, every, by)
+    found = found.select(*by, *[F.col(n)[every.index(q)].alias(f"{n}__{s}") for n, (_, at) in asked.items() for s, q in at.items()])
+    return joined(rows.groupBy(*by).agg(*out), found, by)
 
 
 def run_level_table(clusters: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("run_id",), fdr: str = "enrichment_fdr_zbinom") -> DataFrame:
@@ -105,15 +116,21 @@ def run_level_table(clusters: DataFrame, metrics: Sequence[str], by: Sequence[st
     e = lambda c: F.when(F.col("_e"), F.col(c))
     a = lambda c: F.when(real, F.col(c))
     out = [F.count("*").alias("n_clusters_in_summary"), F.count_if(real).alias("n_clusters_total"), F.count_if("_e").alias("n_clusters_enriched")]
+    asked = {}
     for name, c in (("cluster_size", "cluster_size"), ("sample_fraction", "_f")):
         for who, pick in (("all", a), ("enriched", e)):
-            out += [F.avg(pick(c)).alias(f"{name}_{who}__mean"), F.median(pick(c)).alias(f"{name}_{who}__median")]
+            out.append(F.avg(pick(c)).alias(f"{name}_{who}__mean"))
+            asked[f"{name}_{who}"] = (pick(c), {"median": 0.5})
     for flag in ("is_good_candidate", "is_good_candidate_relaxed"):
         if flag in clusters.columns:
             hit = F.coalesce(F.col(flag), F.lit(False))
             stem = "good_candidate" + flag.removeprefix("is_good_candidate")
             out += [F.count_if(hit).alias(f"{stem}_count"), F.avg(hit.cast("double")).alias(f"{stem}_fraction")]
-    return rows.groupBy(*by).agg(*out, *numeric_summaries(metrics))
+    for m in metrics:
+        x = F.col(m).cast("double")
+        out += [F.avg(x).alias(f"{m}__mean"), F.max(x).alias(f"{m}__max")]
+        asked[m] = (x, QUARTILES)
+    return _with_quantiles(rows, by, out, asked)
 
 
 def density_contrast(clusters: DataFrame, by: Sequence[str] = ("run_id",), fdr: str = "enrichment_fdr_zbinom") -> DataFrame:
@@ -291,20 +308,29 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(F.when(both, value * weight)) / F.nullif(F.sum(F.when(both, weight)), F.lit(0))
 
 
-def metric_statistics(clusters: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("run_id",), weight: str = "sample") -> DataFrame:
-    """Trimmed and weighted means and the share above 0 of each metric."""
+def metric_statistics(clusters: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("run_id",), weight: str = "sample", share: float = 0.1) -> DataFrame:
+    """Trimmed and weighted means and the share above 0 of each metric; trimming goes by ranks in ranges where a group is large."""
+    clusters = written(clusters.select(*dict.fromkeys([*by, *metrics, weight])), "rows")
+    large = largest_group(clusters, by) > ONE_TASK
     out = []
     for m in metrics:
         x = F.col(m).cast("double")
-        out += [trimmed_mean(x).alias(f"{m}__trimmed_mean"), weighted_mean(x, F.col(weight).cast("double")).alias(f"{m}__weighted_mean"), F.avg((x > 0).cast("double")).alias(f"{m}__gt0_fraction")]
-    return clusters.groupBy(*by).agg(*out)
+        out += [] if large else [trimmed_mean(x, share).alias(f"{m}__trimmed_mean")]
+        out += [weighted_mean(x, F.col(weight).cast("double")).alias(f"{m}__weighted_mean"), F.avg((x > 0).cast("double")).alias(f"{m}__gt0_fraction")]
+    df = clusters.groupBy(*by).agg(*out)
+    if not large:
+        return df
+    cut = F.when(F.col("_n") >= 3, F.floor(F.col("_n") * share)).otherwise(0)
+    kept = ranked_values(clusters, {m: F.col(m) for m in metrics}, by).filter((F.col("_rank") >= cut) & (F.col("_rank") < F.col("_n") - cut))
+    means = kept.groupBy(*by).agg(*[F.avg(F.when(F.col("_what") == m, F.col("_x"))).alias(f"{m}__trimmed_mean") for m in metrics])
+    return joined(df, means, by)
 
 
 def distribution(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Count and nine quantiles of a value."""
-    at = (("min", 0.0), ("q01", 0.01), ("q05", 0.05), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q95", 0.95), ("q99", 0.99), ("max", 1.0))
-    df = rows.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(F.col(value).cast("double"), F.array(*[F.lit(q) for _, q in at])).alias("_q"))
-    return df.select(*by, "n", *[F.col("_q")[i].alias(n) for i, (n, _) in enumerate(at)])
+    at = {"min": 0.0, "q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99, "max": 1.0}
+    df = _with_quantiles(rows.select(*by, value), by, [F.count(value).alias("n")], {"_q": (F.col(value), at)})
+    return df.select(*by, "n", *[F.col(f"_q__{n}").alias(n) for n in at])
 
 
 def drawn(rows: DataFrame, n: int, key: str, seed: int = 17) -> DataFrame:

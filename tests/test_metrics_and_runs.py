@@ -214,3 +214,26 @@ def test_run_folders_of_different_layouts(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
         repertoire.run_summaries(spark, str(tmp_path / "empty"))
+
+
+def test_summaries_of_large_groups_by_ranks_in_ranges(spark, monkeypatch):
+    """The same rows whether a group's values fit one buffer or only those next to each quantile are picked out."""
+    i = F.col("id")
+    c = spark.range(600).select(
+        F.when(i % 50 == 0, None).otherwise(F.concat(F.lit("r"), (i % 3 == 0).cast("int").cast("string"))).alias("run_id"), F.when(i % 29 == 0, -1).otherwise(i).cast("long").alias("cluster_id"),
+        (i % 40).cast("double").alias("sample"), (i % 23).cast("double").alias("background"), (i % 63).alias("cluster_size"), F.when(i % 7 == 0, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(90)) / 9).alias("log_fold_change"),
+        F.when(i % 3 == 0, None).otherwise((i % 5) / 10).alias("empty_in_one"), (F.pmod(i, F.lit(10)) / 100).alias("enrichment_fdr_zbinom"),
+    ).repartition(5)
+
+    def all_of():
+        tables = [runs.run_level_table(c, ["log_fold_change", "empty_in_one"]), runs.metric_statistics(c, ["log_fold_change", "empty_in_one"]), runs.distribution(c, "log_fold_change", ["run_id"]), runs.distribution(c, "log_fold_change")]
+        return [sorted(([tuple(sorted(r.asDict().items())) for r in t.collect()]), key=str) for t in tables]
+
+    small = all_of()
+    monkeypatch.setattr(runs, "ONE_TASK", 5)
+    for one, many in zip(small, all_of(), strict=True):
+        assert len(one) == len(many) > 0
+        for a, b in zip(one, many, strict=True):
+            assert [k for k, _ in a] == [k for k, _ in b]
+            for (k, x), (_, y) in zip(a, b, strict=True):
+                assert x == y or x == pytest.approx(y, rel=1e-12), k
