@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithara.operators.ranges import ranked_in_ranges
+from kithara.session import is_whole, written
+
 #: A task multiplies one block of queries with one block of candidates. Points in a block at least (where there
 #: are as many), and bytes at most: rows are copied once for each block of the other side, so large blocks move less.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
@@ -157,11 +160,49 @@ def merged(one: DataFrame, other: DataFrame, k: int) -> DataFrame:
     return ranked(one.select("src", "dst", "dist").unionByName(other.select("src", "dst", "dist")), k)
 
 
-def split_nearest(points: DataFrame, k: int, key: str = "point_id", vector: str = "embedding", source: str = "source") -> DataFrame:
-    """Joint neighbour lists of sample and background from the four blocks of the two sources."""
+def truncated(points: DataFrame, size: int, key: str = "point_id", source: str = "source") -> DataFrame:
+    """points with the first `size` of the background only, by key; a size that the background does not have is an error."""
+    rest = points.filter(F.col(source) == "background")
+    n = rest.count()
+    if not 0 < size <= n:
+        raise ValueError(f"{size} of {n} background points")
+    kept = written(ranked_in_ranges(rest.select(key), [], [key], "_place").filter(F.col("_place") < size).select(key), "kept")
+    return points.filter(F.col(source) != "background").unionByName(rest.join(kept, key, "left_semi"))
+
+
+def fingerprint(points: DataFrame, key: str = "point_id", vector: str = "embedding") -> str:
+    """The same for the same points in any order, and for hardly any others: their number and two sums of hashes."""
+    own = named(points, key, vector)
+    sums = [F.sum(F.xxhash64("id", "vector", F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]
+    n, *parts = own.agg(F.count("*"), *sums).first()
+    return f"{n:x}_" + "_".join(f"{int(p or 0) % (1 << 64):016x}" for p in parts)
+
+
+def stored_self_block(points: DataFrame, k: int, folder: str, key: str = "point_id", vector: str = "embedding", rebuild: bool = False) -> DataFrame:
+    """Neighbour lists of points among themselves, read from `folder` if a run over the same points and k has left them there.
+
+    A block is a table named by k and the points' fingerprint, so lists of other points (another or a truncated
+    background) are never taken for these. A table that was not written to its end does not count.
+    """
+    path = f"{folder.rstrip('/')}/self_{k}_{fingerprint(points, key, vector)}"
+    if rebuild or not is_whole(points.sparkSession, path):
+        nearest(points, points, k, key, vector).write.mode("overwrite").parquet(path)
+    return points.sparkSession.read.parquet(path)
+
+
+def split_nearest(points: DataFrame, k: int, key: str = "point_id", vector: str = "embedding", source: str = "source", stored: str | None = None, rebuild: bool = False) -> DataFrame:
+    """Joint neighbour lists of sample and background from the four blocks of the two sources.
+
+    stored: a folder in which the lists of each source among itself are kept between runs; those across are always computed.
+    """
     parts = {s: points.filter(F.col(source) == s) for s in ("sample", "background")}
-    blocks = {(a, b): nearest(parts[a], parts[b], k, key, vector) for a in parts for b in parts}
-    rows = [merged(blocks[a, "sample"], blocks[a, "background"], k) for a in parts]
+
+    def block(a: str, b: str) -> DataFrame:
+        if a == b and stored is not None:
+            return stored_self_block(parts[a], k, stored, key, vector, rebuild)
+        return nearest(parts[a], parts[b], k, key, vector)
+
+    rows = [merged(block(a, "sample"), block(a, "background"), k) for a in parts]
     return rows[0].unionByName(rows[1])
 
 

@@ -34,6 +34,8 @@ class Config:
     radius_basis: str = "all"
     resample: bool = False
     radius_method: str = "knee"
+    stored_blocks: str | None = None
+    background_size: int | None = None
 
     def __post_init__(self) -> None:
         if self.algorithm not in ALGORITHMS:
@@ -81,9 +83,12 @@ def labels_of(points: DataFrame, edges: DataFrame, config: Config) -> tuple[Data
 
 def compare(points: DataFrame, config: Config = Config()) -> Result:
     """points: point_id, source (sample or background), embedding, cdr3, and any other columns."""
+    if config.background_size is not None:
+        points = knn.truncated(points, config.background_size)
     knn.check_finite(points)
     space = written(reduction.reduced(points.select("point_id", "source", "cdr3", "embedding"), config.components), "space")
-    edges = written(knn.nearest(space, space, config.k_neighbors), "edges")
+    lists = knn.nearest(space, space, config.k_neighbors) if config.stored_blocks is None else knn.split_nearest(space, config.k_neighbors, stored=config.stored_blocks)
+    edges = written(lists, "edges")
     labels, more = labels_of(space, edges, config)
     labels = written(labels, "labels")
     members = points.drop("cluster_id").join(labels, "point_id")
@@ -114,10 +119,12 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--gamma", type=float, default=1.0)
     p.add_argument("--radius-basis", choices=density.BASES, default="all")
     p.add_argument("--radius-method", choices=RADIUS_METHODS, default="knee")
+    p.add_argument("--stored-blocks", help="a folder in which neighbour lists within a source are kept between runs")
+    p.add_argument("--background-size", type=int, help="take the first so many background points only")
     p.add_argument("--debug-tables", help="a folder for the tables in between")
     a = p.parse_args(argv)
     spark = local_session()
-    config = Config(algorithm=a.algorithm, k_neighbors=a.k_neighbors, eps_k=a.eps_k, core_min_samples=a.core_min_samples, components=a.components, gamma=a.gamma, radius_basis=a.radius_basis, radius_method=a.radius_method)
+    config = Config(algorithm=a.algorithm, k_neighbors=a.k_neighbors, eps_k=a.eps_k, core_min_samples=a.core_min_samples, components=a.components, gamma=a.gamma, radius_basis=a.radius_basis, radius_method=a.radius_method, stored_blocks=a.stored_blocks, background_size=a.background_size)
     r = compare(spark.read.parquet(a.points), config)
     write_outputs(a.output, r.members.drop("embedding"), r.summary, r.enriched.drop("embedding"))
     if a.debug_tables:

@@ -66,6 +66,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table stands at the path and was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def free_of(df: DataFrame, names) -> DataFrame:
     """The frame without columns whose names an operator is about to use (in any case)."""
     taken = {n.lower() for n in names}

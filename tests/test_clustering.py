@@ -364,3 +364,24 @@ def test_common_ends_of_sequences_are_no_keys(spark):
     # before, one key held every sequence and the join had 4 * 10^8 rows
     assert keys.agg({"count": "max"}).first()[0] < 1000
     assert keys.selectExpr("sum(count * count)").first()[0] < 3_000_000
+
+
+def test_blocks_within_a_source_are_kept_between_runs(spark, cloud, tmp_path, monkeypatch):
+    x, points = cloud
+    folder = f"file://{tmp_path}/blocks"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(knn.split_nearest(points, 4))
+    assert rows(knn.split_nearest(points, 4, stored=folder)) == want
+    assert len(list((tmp_path / "blocks").iterdir())) == 2
+    computed, own = [], knn.nearest
+    monkeypatch.setattr(knn, "nearest", lambda a, b, k, *r: computed.append((a, b)) or own(a, b, k, *r))
+    again = knn.split_nearest(points.repartition(7), 4, stored=folder)
+    assert rows(again) == want and len(computed) == 2  # only those across
+    assert any("/blocks/self_4_" in f for f in again.inputFiles())
+    few = knn.truncated(points, 9)
+    assert sorted(r.point_id for r in few.filter("source = 'background'").collect()) == [3 * i for i in range(9)]
+    assert rows(knn.split_nearest(few, 4, stored=folder)) == rows(knn.split_nearest(few, 4))
+    assert len(list((tmp_path / "blocks").iterdir())) == 3  # the sample's block served both
+    for size in (0, 1000):
+        with pytest.raises(ValueError):
+            knn.truncated(points, size)
