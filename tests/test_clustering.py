@@ -385,3 +385,25 @@ def test_blocks_within_a_source_are_kept_between_runs(spark, cloud, tmp_path, mo
     for size in (0, 1000):
         with pytest.raises(ValueError):
             knn.truncated(points, size)
+
+
+def test_leiden_then_dbscan_equals_dbscan_in_each_community(spark, cloud):
+    x, points = cloud
+    graph = knn.neighbour_graph(knn.nearest(points, points, 7)).cache()
+    group = {r.point_id: r.root for r in communities.communities(graph).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = dict(communities.leiden_dbscan(points, graph, knn.within(points, 0.45), least=4, keep_below=10).collect())
+    names, lead = {}, {}
+    for g in {group.get(i, i) for i in range(len(x))}:
+        own = [i for i in range(len(x)) if group.get(i, i) == g]
+        if len(own) < 10:
+            lead |= dict.fromkeys(own, min(own))
+            continue
+        nb = [sorted((d[i, j], own.index(j)) for j in own if d[i, j] <= 0.45) for i in own]
+        found = brute_vdbscan(nb, [0.45] * len(own), 4, "min")
+        for c in set(found) - {-1}:
+            names[g, c] = min(i for i, f in zip(own, found, strict=True) if f == c)
+        lead |= {i: names.get((g, f)) for i, f in zip(own, found, strict=True)}
+    pairs = {(got[i], lead[i]) for i in range(len(x))}
+    assert len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+    assert {i for i in got if got[i] == -1} == {i for i in lead if lead[i] is None}
