@@ -169,8 +169,8 @@ def op9_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- op10: URL reputation
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: The bound is that of 90 % confidence; the limit is this share of the bad rate of all labelled pages.
-BOUND_Z, RATE_SHARE = 1.2816, 1.0
+#: A host goes where it is 60 % likely (the bound of that confidence) that its bad rate is above this share of that of all labelled pages.
+BOUND_Z, RATE_SHARE = 0.2533, 1.0
 
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
