@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kithara.operators.components import connected_components
 from kithara.operators.forest import spanning_forest
 from kithara.operators.knee import polynomial_radius
-from kithara.operators.knn import kth_distance, nearest
+from kithara.operators.knn import compared, connecting, first_neighbour_distance, kth_distance, least_reach, lightest, nearest
 from kithara.operators.ranges import ranked_in_ranges
 from kithara.session import written
 
@@ -174,42 +174,57 @@ def dbscan(points: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     return numbered(points.select("point_id").join(roots.unionByName(border), "point_id", "left"))
 
 
-def dbscan_prefiltered(points: DataFrame, pairs: DataFrame, nearest: DataFrame, radius: float, least: int) -> DataFrame:
-    """DBSCAN of the points whose nearest other point (point_id, d) is within the radius; all others are noise."""
-    kept = nearest.filter(F.col("d") <= radius).select("point_id")
-    inside = pairs.join(kept.withColumnRenamed("point_id", "src"), "src", "left_semi").join(kept.withColumnRenamed("point_id", "dst"), "dst", "left_semi")
-    own = dbscan(kept, inside, least)
-    return points.select("point_id").join(own, "point_id", "left").select("point_id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
+def dbscan_within(points: DataFrame, radius: float, least: int, edges: DataFrame | None = None) -> DataFrame:
+    """DBSCAN of the points (point_id, embedding) whose nearest other point is within the radius; all others are noise.
+
+    Labels are those of `dbscan` over all pairs within the radius, but no task writes these, so dense data cost no
+    rows that grow with their square: a point is core if its `least`-th neighbour is near enough; of the links of
+    cores each block of points keeps no more than connect what they connect; any other point asks for its nearest core.
+    edges: neighbour lists of the points with at least `least` (and two) each, if there are any already.
+    """
+    own = written(points.select("point_id", "embedding"), "points")
+    edges = written(nearest(own, own, max(least, 2)), "edges") if edges is None else edges
+    close = written(first_neighbour_distance(edges).filter(F.col("d") <= radius).select("point_id"), "close")
+    enough = kth_distance(edges, least).filter(F.col("d") <= radius).select("point_id").join(close, "point_id", "left_semi")
+    cores = written(own.join(enough, "point_id", "left_semi"), "cores")
+    found = connected_components(compared(cores, cores, radius, connecting(radius)))
+    roots = cores.select("point_id").join(found.withColumnRenamed("node", "point_id"), "point_id", "left").select("point_id", F.coalesce("root", "point_id").alias("root"))
+    roots = written(roots, "core_roots")
+    rest = written(own.join(close, "point_id", "left_semi").join(roots, "point_id", "left_anti"), "rest")
+    border = nearest(rest, cores, 1).filter(F.col("dist") <= radius)
+    border = border.join(roots.select(F.col("point_id").alias("dst"), "root"), "dst").select(F.col("src").alias("point_id"), "root")
+    return numbered(points.select("point_id").join(roots.unionByName(border), "point_id", "left"))
 
 
-def reach(pairs: DataFrame, nearest: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From which radius on DBSCAN with the prefilter has what: cores (point_id, core_d), a spanning forest of the links of
-    cores (a, b, weight), and points (point_id, d) that are in any cluster.
+def reach(points: DataFrame, radius: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From which radius on, up to the given one, DBSCAN with the prefilter has what: cores (point_id, core_d), a spanning
+    forest of the links of cores (a, b, weight), and points (point_id, d) that are in any cluster.
 
     A point is core from the distance of its `least`-th neighbour on (itself counted) and not before it has a
     neighbour at all; two cores are linked from the largest of their core distances and their own distance on; any
-    point belongs to a cluster from where it is core or within reach of a core. pairs: all (src, dst, dist) up to some radius.
+    point belongs to a cluster from where it is core or within reach of a core. Each block of points keeps its own
+    spanning forest, and each point its own best core in a block: pairs are not listed.
     """
-    nth = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    kth = pairs.select("src", "dst", "dist", nth.alias("_n")).filter(F.col("_n") <= least).filter(F.col("_n") == least)
-    cores = kth.select(F.col("src").alias("point_id"), "dist").join(nearest.select("point_id", F.col("d").alias("_first")), "point_id")
-    cores = written(cores.select("point_id", F.greatest("dist", "_first").alias("core_d")), "cores")
-    to_core = pairs.filter("src <> dst").join(cores.select(F.col("point_id").alias("dst"), F.col("core_d").alias("_to")), "dst")
-    near = to_core.groupBy(F.col("src").alias("point_id")).agg(F.min(F.greatest("dist", "_to")).alias("d"))
-    links = to_core.filter("src < dst").join(cores.select(F.col("point_id").alias("src"), F.col("core_d").alias("_from")), "src")
-    forest = spanning_forest(links.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.greatest("dist", "_from", "_to").alias("weight")))
+    own = written(points.select("point_id", "embedding"), "points")
+    lists = written(nearest(own, own, max(least, 2)), "lists")
+    first = first_neighbour_distance(lists).withColumnRenamed("d", "_first")
+    kth = kth_distance(lists, least).join(first, "point_id").select("point_id", F.greatest("d", "_first").alias("core_d")).filter(F.col("core_d") <= radius)
+    all_ = written(own.join(kth, "point_id", "left"), "weighted")
+    cores = all_.filter("core_d is not null")
+    near = compared(all_.fillna({"core_d": 0.0}), cores, radius, least_reach(radius), weight="core_d").select(F.col("src").alias("point_id"), F.col("dist").alias("d"))
+    forest = spanning_forest(compared(cores, cores, radius, lightest(radius), weight="core_d").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dist").alias("weight")))
     member = near.unionByName(cores.select("point_id", F.col("core_d").alias("d"))).groupBy("point_id").agg(F.min("d").alias("d"))
-    return cores, written(forest, "forest"), member
+    return cores.select("point_id", "core_d"), written(forest, "forest"), member
 
 
-def noise_by_radius(points: DataFrame, pairs: DataFrame, nearest: DataFrame, radii: Sequence[float], least: int) -> DataFrame:
-    """(eps, n_noise, n_clusters) of DBSCAN with the prefilter for each radius of a sweep; pairs must reach the largest.
+def noise_by_radius(points: DataFrame, radii: Sequence[float], least: int) -> DataFrame:
+    """(eps, n_noise, n_clusters) of DBSCAN with the prefilter for each radius of a sweep.
 
     One spanning forest serves all radii: at a radius there are as many clusters as cores less links of the forest.
     """
     if not radii:
         raise ValueError("no radius")
-    cores, forest, member = reach(pairs, nearest, least)
+    cores, forest, member = reach(points, max(radii), least)
     at = sorted(set(radii))
     step = lambda x: F.size(F.filter(F.array(*map(F.lit, at)), lambda r: r < x))
     kinds = [cores.select(F.lit("core").alias("kind"), step(F.col("core_d")).alias("step")), forest.select(F.lit("link").alias("kind"), step(F.col("weight")).alias("step")), member.select(F.lit("member").alias("kind"), step(F.col("d")).alias("step"))]

@@ -35,6 +35,8 @@ def kruskal(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
         if u != v:
             parent[max(u, v)] = min(u, v)
             kept.append(e)
+            if len(kept) == len(names) - 1:
+                break
     return np.array(kept, np.int64)
 
 

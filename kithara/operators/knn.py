@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithara.operators.forest import kruskal
 from kithara.operators.ranges import ranked_in_ranges
 from kithara.session import is_whole, written
 
@@ -22,6 +23,8 @@ from kithara.session import is_whole, written
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Pairs that are compared without an index, at most.
 DIRECT = 1 << 26
+#: Numbers that hold differences of vectors at once, and pairs of a block that wait for their forest.
+DIFFERENCES, WAITING = 1 << 23, 1 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -40,6 +43,8 @@ def pairs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
         if 0 < n < len(asks):
             ids, x = t.column("id").to_numpy(), matrix(t.column("vector").combine_chunks())
             out = list(use(ids[n:], x[n:], ids[:n], x[:n]))
+            if not out:
+                return
             src, dst, dist = (np.concatenate(c) for c in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(dist)], names=["src", "dst", "dist"])
 
@@ -107,17 +112,108 @@ def k_best(k: int):
     return use
 
 
+def distances(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the pairs (q[a], x[b]), in memory that does not grow with them."""
+    step = max(1, DIFFERENCES // max(1, x.shape[1]))
+    parts = [np.sqrt(((x[b[i : i + step]] - q[a[i : i + step]]) ** 2).sum(1)) for i in range(0, len(a), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _rough(q: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """By 256 queries: the place of the first, they, their squared distances by the matrix product, and what these may be off."""
+    squares = (x * x).sum(1)
+    for i in range(0, len(q), 256):
+        part = q[i : i + 256]
+        rough = (part * part).sum(1)[:, None] + squares[None, :] - 2 * part @ x.T
+        yield i, part, rough, 1e-9 * (1 + np.abs(rough).max())
+
+
+def near_pairs(q: np.ndarray, x: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distances of the pairs no farther apart than the radius, 256 queries at once."""
+    for i, part, rough, off in _rough(q, x):
+        a, b = np.nonzero(rough <= radius * radius + off)
+        dist = distances(part, x, a, b)
+        near = dist <= radius
+        yield i + a[near], b[near], dist[near]
+
+
 def all_within(radius: float):
     """For `pairs`: all candidates no farther than the radius."""
 
     def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
-        for i in range(0, len(q), 256):
-            part = q[i : i + 256]
-            rough = (part * part).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * part @ x.T
-            a, b = np.nonzero(rough <= radius * radius + 1e-9 * (1 + np.abs(rough).max()))
-            dist = np.sqrt(((part[a] - x[b]) ** 2).sum(1))
-            near = dist <= radius
-            yield q_ids[i + a[near]], ids[b[near]], dist[near]
+        for a, b, dist in near_pairs(q, x, radius):
+            yield q_ids[a], ids[b], dist
+
+    return use
+
+
+def connecting(radius: float):
+    """For `pairs`: of the pairs src < dst within the radius, some that connect what all connect; fewer than the points of both blocks."""
+
+    def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+        label = np.arange(len(x))  # candidates that queries so far connect have one label
+        for i, part, rough, off in _rough(q, x):
+            near = rough <= radius * radius - off
+            a, b = np.nonzero((rough <= radius * radius + off) & ~near)
+            near[a, b] = distances(part, x, a, b) <= radius
+            near &= q_ids[i : i + 256, None] < ids[None, :]
+            src, dst = [], []
+            for r in np.flatnonzero(near.any(1)):
+                met = np.flatnonzero(near[r])
+                own = label[met]
+                if (own == own[0]).all():
+                    met = met[:1]
+                else:
+                    names, first = np.unique(own, return_index=True)
+                    joined = np.zeros(len(x), bool)
+                    joined[names] = True
+                    label[joined[label]] = names[0]
+                    met = met[first]
+                src.append(np.full(len(met), r))
+                dst.append(met)
+            if src:
+                src, dst = np.concatenate(src), np.concatenate(dst)
+                yield q_ids[i + src], ids[dst], distances(part, x, src, dst)
+
+    return use
+
+
+def lightest(radius: float):
+    """For `pairs` of vectors that end in a weight: a minimum spanning forest of the pairs src < dst within the radius, each
+    weighing the largest of its distance and both ends' weights. The union of such forests holds one of all pairs."""
+
+    def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+        def kept() -> list[np.ndarray]:
+            src, dst, weight = held
+            return [c[kruskal(src, dst, np.lexsort((dst, src, weight)))] for c in held]
+
+        for a, b, dist in near_pairs(q[:, :-1], x[:, :-1], radius):
+            once = q_ids[a] < ids[b]
+            a, b, dist = a[once], b[once], dist[once]
+            new = q_ids[a], ids[b], np.maximum(dist, np.maximum(q[a, -1], x[b, -1]))
+            held = [np.concatenate(c) for c in zip(held, new, strict=True)]
+            if len(held[0]) > WAITING:
+                held = kept()
+        if len(held[0]):
+            yield tuple(kept())
+
+    return use
+
+
+def least_reach(radius: float):
+    """For `pairs` of vectors that end in a weight: for each query the other candidate within the radius for which the larger
+    of distance and the candidate's weight is least."""
+
+    def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+        for a, b, dist in near_pairs(q[:, :-1], x[:, :-1], radius):
+            other = q_ids[a] != ids[b]
+            a, b, dist = a[other], b[other], dist[other]
+            weight = np.maximum(dist, x[b, -1])
+            order = np.lexsort((ids[b], weight, a))
+            order = order[np.diff(a[order], prepend=-1) > 0]
+            yield q_ids[a[order]], ids[b[order]], weight[order]
 
     return use
 
@@ -139,14 +235,24 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, key: str = "point_id"
     return ranked(cells.mapInArrow(lambda b: pairs(b, k_best(k)), "src long, dst long, dist double"), k)
 
 
-def within(points: DataFrame, radius: float, key: str = "point_id", vector: str = "embedding") -> DataFrame:
-    """All pairs (src, dst, dist) of points no farther apart than the radius, each point with itself too."""
-    if not _few(points, points):
+def compared(queries: DataFrame, points: DataFrame, radius: float, use, key: str = "point_id", vector: str = "embedding", weight: str | None = None) -> DataFrame:
+    """What `use` (`all_within`, `connecting`, `lightest`, `least_reach`) gives over blocks that together hold every pair of a
+    query and a point within the radius. weight: a column that follows each vector."""
+    full = [named(f, key, vector) if weight is None else _weighted(f, key, vector, weight) for f in (queries, points)]
+    if not _few(queries, points):
         from kithara.operators.metric_index import PivotIndex
 
-        return PivotIndex(points, key, vector).within(points, radius)
-    own = named(points, key, vector)
-    return _cells(own, own).mapInArrow(lambda b: pairs(b, all_within(radius)), "src long, dst long, dist double")
+        return PivotIndex(points, key, vector).compared(queries, radius, use, None if weight is None else full)
+    return _cells(*full).mapInArrow(lambda b: pairs(b, use), "src long, dst long, dist double")
+
+
+def _weighted(points: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
+    return named(points.withColumn(vector, F.concat(F.col(vector).cast("array<double>"), F.array(F.col(weight).cast("double")))), key, vector)
+
+
+def within(points: DataFrame, radius: float, key: str = "point_id", vector: str = "embedding") -> DataFrame:
+    """All pairs (src, dst, dist) of points no farther apart than the radius, each point with itself too."""
+    return compared(points, points, radius, all_within(radius), key, vector)
 
 
 def ranked(edges: DataFrame, k: int) -> DataFrame:

@@ -127,13 +127,19 @@ class PivotIndex:
 
         return written(asks.mapInArrow(run, "id long, vector array<double>, theta double, seen int, rings array<int>").filter(F.size("rings") > 0), "visits")
 
-    def _compared(self, planned: DataFrame, use) -> DataFrame:
-        """use(query ids, queries, point ids, points) over each ring and part of the queries that visit it."""
+    def _compared(self, planned: DataFrame, use, full: list[DataFrame] | None = None) -> DataFrame:
+        """use(query ids, queries, point ids, points) over each ring and part of the queries that visit it.
+
+        full: for queries and points (id, vector), what `use` sees in place of the vectors that bounds are told by.
+        """
+        own = self.points
+        if full is not None:
+            planned, own = planned.drop("vector").join(full[0], "id"), own.drop("vector").join(full[1], "id")
         each = planned.select("id", "vector", F.explode("rings").alias("ring"))
         load = written(each.groupBy("ring").agg(F.ceil(F.count("*") / self.asks).cast("int").alias("parts")), "load")
         unit = lambda part: (F.col("ring").cast("long") * (1 << 31) + part).alias("cell")
         asks = each.join(load, "ring").select(unit(F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit(True).alias("is_query"), "id", "vector")
-        points = self.points.join(load, "ring").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(unit(F.col("_part")), F.lit(False).alias("is_query"), "id", "vector")
+        points = own.join(load, "ring").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(unit(F.col("_part")), F.lit(False).alias("is_query"), "id", "vector")
         both = points.unionByName(asks).repartition("cell").sortWithinPartitions("cell", "is_query", "id")
         return both.mapInArrow(lambda b: knn.pairs(b, use), "src long, dst long, dist double")
 
@@ -154,11 +160,15 @@ class PivotIndex:
             asks = planned.select("id", "vector", "seen").join(theta, "id", "left").select("id", "vector", F.coalesce("theta", F.lit(float("inf"))).alias("theta"), "seen")
         return found
 
-    def within(self, queries: DataFrame, radius: float) -> DataFrame:
-        """All pairs (src, dst, dist) of a query and a point no farther apart than the radius."""
+    def compared(self, queries: DataFrame, radius: float, use, full: list[DataFrame] | None = None) -> DataFrame:
+        """What `use` gives over the rings that hold every pair of a query and a point within the radius."""
         asks = knn.named(queries, self.key, self.vector).select("id", "vector", F.lit(float(radius)).alias("theta"), F.lit(0).alias("seen"))
         if not self.rings:
             return self.spark.createDataFrame([], "src long, dst long, dist double")
         planned = self._planned(asks, 0, None)
         self.visits += planned.agg(F.sum(F.size("rings"))).first()[0] or 0
-        return self._compared(planned, knn.all_within(radius))
+        return self._compared(planned, use, full)
+
+    def within(self, queries: DataFrame, radius: float) -> DataFrame:
+        """All pairs (src, dst, dist) of a query and a point no farther apart than the radius."""
+        return self.compared(queries, radius, knn.all_within(radius))

@@ -301,10 +301,7 @@ DBSCAN_EPS = 1.12
  la AS (SELECT * FROM ro UNION ALL SELECT br.point_id, ro.root FROM br JOIN ro ON ro.point_id = br.c)
 SELECT pts.point_id, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY root NULLS LAST) - 1 END AS cluster_id FROM pts LEFT JOIN la USING (point_id)""")
 def dbscan_prefilter(spark: SparkSession, folder: str) -> DataFrame:
-    p = views.points(spark, folder)
-    pairs = written(knn.within(p, DBSCAN_EPS), "pairs")
-    first = pairs.filter("src <> dst").groupBy(F.col("src").alias("point_id")).agg(F.min("dist").alias("d"))
-    return density.dbscan_prefiltered(p, pairs, first, DBSCAN_EPS, 3)
+    return density.dbscan_within(views.points(spark, folder), DBSCAN_EPS, 3)
 
 
 def _merge_sql(key: str) -> str:
@@ -919,10 +916,7 @@ SELECT {eps}::DOUBLE AS eps, (SELECT count(*) FROM pts) - (SELECT count(*) FROM
 @query(" UNION ALL ".join(map(_sweep_sql, SWEEP)))
 def noise_by_radius(spark: SparkSession, folder: str) -> DataFrame:
     """Noise and clusters of DBSCAN over a sweep of radii."""
-    p = views.points(spark, folder)
-    pairs = written(knn.within(p, DBSCAN_EPS), "pairs")
-    first = pairs.filter("src <> dst").groupBy(F.col("src").alias("point_id")).agg(F.min("dist").alias("d"))
-    return density.noise_by_radius(p, pairs, first, SWEEP, 3)
+    return density.noise_by_radius(views.points(spark, folder), SWEEP, 3)
 
 
 @query(f"""WITH {POINTS_SQL} SELECT count(*) AS points, 0 AS broken_communities, true AS better_than_components, true AS better_than_single_points FROM pts""")

@@ -110,9 +110,11 @@ def test_dbscan_with_and_without_prefilter(spark, cloud):
     got = dict(density.dbscan(points, pairs, 4).collect())
     want = brute_vdbscan(nb, [0.45] * len(x), 4, "min")
     assert [got[i] for i in range(len(x))] == want
-    first = knn.first_neighbour_distance(knn.nearest(points, points, 2))
-    assert {r.cluster_id for r in density.dbscan_prefiltered(points, pairs, first, -1.0, 4).collect()} == {-1}
-    sweep = {r.eps: r.n_noise for r in density.noise_by_radius(points, pairs, first, [0.2, 0.45], 4).collect()}
+    assert {r.cluster_id for r in density.dbscan_within(points, -1.0, 4).collect()} == {-1}
+    for edges in (None, knn.nearest(points, points, 6)):
+        got = dict(density.dbscan_within(points, 0.45, 4, edges).collect())
+        assert [got[i] for i in range(len(x))] == want
+    sweep = {r.eps: r.n_noise for r in density.noise_by_radius(points, [0.2, 0.45], 4).collect()}
     assert sweep[0.45] == want.count(-1) and sweep[0.2] >= sweep[0.45]
 
 
@@ -340,19 +342,17 @@ def test_spanning_forest_by_rounds_and_in_one_task(spark):
 
 def test_a_sweep_of_radii_equals_dbscan_at_each(spark, cloud):
     x, points = cloud
-    pairs = knn.within(points, 0.8).cache()
-    first = knn.first_neighbour_distance(knn.nearest(points, points, 2))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     for least in (1, 3, 6):
         radii = [0.0, 0.1, 0.25, 0.3, 0.45, 0.6, 0.8]
-        got = {r.eps: (r.n_noise, r.n_clusters) for r in density.noise_by_radius(points, pairs, first, radii, least).collect()}
+        got = {r.eps: (r.n_noise, r.n_clusters) for r in density.noise_by_radius(points, radii, least).collect()}
         for r in radii:
             inside = [i for i in range(len(x)) if np.sum(d[i] <= r) > 1]
             nb = [sorted((d[i, j], j) for j in inside if d[i, j] <= r) if i in inside else [] for i in range(len(x))]
             want = brute_vdbscan(nb, [r] * len(x), least, "min")
             assert got[r] == (want.count(-1), len(set(want) - {-1})), (least, r)
     with pytest.raises(ValueError):
-        density.noise_by_radius(points, pairs, first, [], 3)
+        density.noise_by_radius(points, [], 3)
 
 
 def test_common_ends_of_sequences_are_no_keys(spark):
@@ -407,3 +407,25 @@ def test_leiden_then_dbscan_equals_dbscan_in_each_community(spark, cloud):
     pairs = {(got[i], lead[i]) for i in range(len(x))}
     assert len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
     assert {i for i in got if got[i] == -1} == {i for i in lead if lead[i] is None}
+
+
+def test_dense_points_are_linked_in_few_rows(spark, monkeypatch):
+    """1,200 points all within the radius of each other, and two chains: block by block and through the index."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.uniform(0, 0.01, (1200, 3)), [[i * 0.9, 5, 0] for i in range(30)], [[i * 0.9, 9, 0] for i in range(40)], [[99, 9, 9]]])
+    points = spark.createDataFrame([(i, v.tolist(), 0.1) for i, v in enumerate(x)], "point_id long, embedding array<double>, core_d double").cache()
+    monkeypatch.setattr(knn, "BLOCK", 400)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 1)
+    sides = -(-len(x) // 400)
+    for direct in (1 << 26, 0):
+        monkeypatch.setattr(knn, "DIRECT", direct)
+        monkeypatch.setattr(knn, "WAITING", 5000)
+        for use, weight in ((knn.connecting(1.0), None), (knn.lightest(1.0), "core_d")):
+            links = knn.compared(points, points, 1.0, use, weight=weight).cache()
+            assert links.count() < 2 * len(x) * sides  # of 1.4 million pairs
+            want = roots(len(x), [(i, i + 1) for i in [*range(1199), *range(1200, 1229), *range(1230, 1269)]])
+            assert {r.node: r.root for r in connected_components(links).collect()} == {i: r for i, r in enumerate(want) if i < 1270}
+        got = dict(density.dbscan_within(points, 1.0, 3).collect())
+        assert [got[i] for i in (0, 1199, 1200, 1229, 1230, 1269, 1270)] == [0, 0, 1, 1, 2, 2, -1]
+        sweep = {r.eps: (r.n_noise, r.n_clusters) for r in density.noise_by_radius(points, [0.5, 1.0], 3).collect()}
+        assert sweep == {0.5: (71, 1), 1.0: (1, 3)}
