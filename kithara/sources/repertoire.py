@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithara.functions.text import chain_of_columns, normalize_gene, resolve_column, tagged_run
+from kithara.session import written
+
+#: Bytes of an archive's member that are read at once, and tasks that unpack archives at most.
+PIECE, UNPACKERS = 8 << 20, 10_000
 
 #: Column names under which repertoire tables give a value, best first (fixed values).
 CANDIDATES = {
@@ -104,29 +108,83 @@ def standardized_clonotypes(df: DataFrame, chain: str | None = None) -> DataFram
     return df.select(clone.alias("clone_id"), cdr3.alias("cdr3"), gene("v_gene").alias("v_gene"), gene("j_gene").alias("j_gene"), named.alias("chain"), count.alias("count"))
 
 
-def archived_tables(spark: SparkSession, path: str, suffix: str = ".tsv") -> DataFrame:
-    """(archive, member, content) of the members of tar archives, compressed or not, whose names end in `suffix`.
-
-    One task unpacks one archive at a time and holds one member of it.
+def _opened(path: str) -> pa.NativeFile:
+    """A file by the path that Spark lists it with, open for reading and seeking."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[len("file:") :].lstrip("/"))
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def _pieces(archive: str, member: str, read: Callable[[int], bytes], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A member as rows of whole lines; the first line that is not empty is the header of all."""
+    header, rest, nth, left = None, b"", 0, size
+    while left or rest:
+        data = read(min(most, left))
+        if left and not data:
+            raise ValueError(f"{archive} ends inside {member}")
+        left -= len(data)
+        end = data.rfind(b"\n") + 1 if left else len(data)
+        if not end and left:
+            rest += data
+            continue
+        lines, rest = rest + data[:end], data[end:]
+        while header is None and lines:
+            first, _, lines = lines.partition(b"\n")
+            header = first.rstrip(b"\r") or None
+        if header is not None and (lines or not nth):
+            yield pa.RecordBatch.from_pydict({"archive": [archive], "member": [member], "piece": pa.array([nth], pa.int32()), "header": [header.decode()], "content": [lines.decode()]})
+            nth += 1
+
+
+def archived_tables(spark: SparkSession, path: str, suffix: str = ".tsv", piece: int = PIECE) -> DataFrame:
+    """(archive, member, piece, header, content) of the members of tar archives, compressed or not, whose names end in `suffix`.
+
+    Content is a run of whole lines below the header, about `piece` bytes, so neither an archive nor a member is ever
+    held. An archive that is not compressed is read by as many tasks as it has members, each from the member's place
+    on; a compressed one can only be read from its beginning, by one task. Files are opened by Arrow's file systems
+    (local, HDFS, S3, GCS) on the executors. An empty member gives no row; a member with a header only one without content.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(data.as_py())) as tar:
-                    for member in tar:
-                        if member.isfile() and member.name.endswith(suffix):
-                            yield pa.RecordBatch.from_pydict({"archive": [name], "member": [member.name], "content": [tar.extractfile(member).read().decode()]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, member string, content string")
+            for name in b.column(0).to_pylist():
+                with _opened(name) as file:
+                    try:
+                        with tarfile.open(fileobj=file, mode="r:") as tar:
+                            own = [m for m in tar if m.isfile() and m.name.endswith(suffix)]
+                    except tarfile.ReadError:
+                        found = [(name, None, None, None)]
+                    else:
+                        if any(m.issparse() for m in own):
+                            raise ValueError(f"{name} has sparse members")
+                        found = [(name, m.name, m.offset_data, m.size) for m in own]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "member", "begin", "size"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                with _opened(row["archive"]) as file:
+                    if row["member"] is not None:
+                        file.seek(row["begin"])
+                        yield from _pieces(row["archive"], row["member"], file.read, row["size"], piece)
+                        continue
+                    with tarfile.open(fileobj=file, mode="r|*") as tar:
+                        for m in tar:
+                            if m.isfile() and m.name.endswith(suffix):
+                                yield from _pieces(row["archive"], m.name, tar.extractfile(m).read, m.size, piece)
+
+    tasks = lambda df: max(1, min(UNPACKERS, df.count()))
+    files = spark.read.format("binaryFile").load(path).select("path")  # names only: contents are not read here
+    members = written(files.repartition(tasks(files), "path").mapInArrow(listed, "archive string, member string, begin long, size long"), "members")
+    return members.repartition(tasks(members), "archive", "member").mapInArrow(unpacked, "archive string, member string, piece int, header string, content string")
 
 
 def archived_rows(archived: DataFrame, schema: str) -> DataFrame:
     """archive, member and the rows of tab-separated members with a header; columns by name, those that are missing null."""
     lines = F.filter(F.split("content", "\r?\n"), lambda x: x != "")
-    rows = archived.withColumn("_lines", lines).withColumn("_head", F.split(F.col("_lines")[0], "\t"))
-    rows = rows.select("archive", "member", "_head", F.explode(F.slice("_lines", 2, 2**30)).alias("_line"))
+    rows = archived.select("archive", "member", F.split("header", "\t").alias("_head"), F.explode(lines).alias("_line"))
     cells = F.map_from_arrays("_head", F.slice(F.concat(F.split("_line", "\t"), F.array_repeat(F.lit(""), F.size("_head"))), 1, F.size("_head")))
     fields = [x.split() for x in schema.split(",")]
     return rows.select("archive", "member", *[F.nullif(F.try_element_at(cells, F.lit(n)), F.lit("")).try_cast(t).alias(n) for n, t in fields])

@@ -1,4 +1,5 @@
 import math
+import random
 import tarfile
 
 import pytest
@@ -161,6 +162,41 @@ def test_reading_and_writing(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/debug/a").count() == 2
 
 
+@pytest.mark.parametrize("mode", ["w", "w:gz"])
+def test_archives_in_pieces(spark, tmp_path, mode):
+    """Members over many pieces, lines longer than a piece, blank first lines, header only, empty; plain and compressed."""
+    rnd = random.Random(5)
+    long_ = "x" * 500
+    tables = {f"m{i}.tsv": [(j, rnd.choice(["a", "b\u00e9", long_])) for j in range(300)] for i in range(3)}
+    (tmp_path / "in").mkdir()
+    for name, rows in tables.items():
+        end = "\r\n" if name == "m1.tsv" else "\n"
+        body = end.join(["n\ts", *(f"{n}\t{s}" for n, s in rows)])
+        (tmp_path / "in" / name).write_bytes((("\n\n" if name == "m0.tsv" else "") + body + ("" if name == "m2.tsv" else end)).encode())
+    (tmp_path / "in" / "head.tsv").write_text("n\ts")
+    (tmp_path / "in" / "empty.tsv").write_text("")
+    (tmp_path / "in" / "other.txt").write_text("n\ts\n1\t2\n")
+    (tmp_path / "a dir").mkdir()
+    for k in (1, 2):
+        with tarfile.open(tmp_path / "a dir" / f"{k}.tar", mode) as tar:
+            tar.add(tmp_path / "in", "in")
+    for piece in (100, 1 << 12, 8 << 20):
+        held = repertoire.archived_tables(spark, f"{tmp_path}/a dir", piece=piece).cache()
+        assert all(r.header == "n\ts" for r in held.select("header").distinct().collect())
+        sizes = held.groupBy("member").count().collect()
+        assert {r.member for r in sizes} == {"in/head.tsv", *(f"in/{m}" for m in tables)}
+        if piece == 100:
+            assert min(r["count"] for r in sizes if r.member != "in/head.tsv") > 100 and held.selectExpr("max(length(content))").first()[0] < 800
+        back = repertoire.archived_rows(held, "n int, s string").collect()
+        want = [(f"{k}.tar", f"in/{m}", n, v) for k in (1, 2) for m, rows in tables.items() for n, v in rows]
+        assert sorted((r.archive.rsplit("/", 1)[1], r.member, r.n, r.s) for r in back) == sorted(want)
+    if mode == "w":
+        whole = (tmp_path / "a dir" / "1.tar").read_bytes()
+        (tmp_path / "cut.tar").write_bytes(whole[: len(whole) // 2 // 512 * 512])
+        with pytest.raises(Exception, match="ends inside|unexpected end"):
+            repertoire.archived_tables(spark, f"{tmp_path}/cut.tar").collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     import datetime as dt
 
