@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kithara.operators.components import connected_components
 from kithara.operators.forest import spanning_forest
 from kithara.operators.knee import polynomial_radius
-from kithara.operators.knn import compared, connecting, first_neighbour_distance, kth_distance, least_reach, lightest, nearest
+from kithara.operators.knn import compared, connecting, first_neighbour_distance, in_groups, k_best, kth_distance, least_reach, lightest, nearest, ranked
 from kithara.operators.ranges import ranked_in_ranges
 from kithara.session import written
 
@@ -196,6 +196,26 @@ def dbscan_within(points: DataFrame, radius: float, least: int, edges: DataFrame
     return numbered(points.select("point_id").join(roots.unionByName(border), "point_id", "left"))
 
 
+def dbscan_in_groups(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(point_id, root) of DBSCAN within each group of points (point_id, embedding, group), by the least core of a cluster; noise is absent.
+
+    Roots are those of `dbscan` over all pairs of a group within the radius, which are not listed: each block of points
+    keeps of a point its `least` nearest within its group, and of the links of cores as many as connect what they connect.
+    """
+    groups = ranked_in_ranges(points.select("group").distinct(), [], ["group"], "_number")
+    own = written(points.join(groups, "group").select("point_id", "embedding", "_number"), "points")
+    lists = ranked(compared(own, own, radius, in_groups(k_best(least)), weight="_number"), least)
+    enough = written(kth_distance(lists, least).filter(F.col("d") <= radius).select("point_id"), "enough")
+    cores = written(own.join(enough, "point_id", "left_semi"), "cores")
+    found = connected_components(compared(cores, cores, radius, in_groups(connecting(radius)), weight="_number"))
+    roots = cores.select("point_id").join(found.withColumnRenamed("node", "point_id"), "point_id", "left").select("point_id", F.coalesce("root", "point_id").alias("root"))
+    roots = written(roots, "core_roots")
+    rest = written(own.join(roots, "point_id", "left_anti"), "rest")
+    border = ranked(compared(rest, cores, radius, in_groups(k_best(1)), weight="_number"), 1).filter(F.col("dist") <= radius)
+    border = border.join(roots.select(F.col("point_id").alias("dst"), "root"), "dst").select(F.col("src").alias("point_id"), "root")
+    return roots.unionByName(border)
+
+
 def reach(points: DataFrame, radius: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From which radius on, up to the given one, DBSCAN with the prefilter has what: cores (point_id, core_d), a spanning
     forest of the links of cores (a, b, weight), and points (point_id, d) that are in any cluster.

@@ -19,12 +19,13 @@ from kithara.operators.ranges import ranked_in_ranges
 from kithara.session import is_whole, written
 
 #: A task multiplies one block of queries with one block of candidates. Points in a block at least (where there
-#: are as many), and bytes at most: rows are copied once for each block of the other side, so large blocks move less.
-BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: are as many), and bytes at most: rows are copied once for each block of the other side, so large blocks move less. As many
+#: blocks as cores ask for serve any points until blocks reach these bytes, so what is moved grows with the points.
+BLOCK, BLOCK_BYTES = 4096, 64 << 20
 #: Pairs that are compared without an index, at most.
 DIRECT = 1 << 26
-#: Numbers that hold differences of vectors at once, and pairs of a block that wait for their forest.
-DIFFERENCES, WAITING = 1 << 23, 1 << 20
+#: Numbers that hold differences of vectors at once, pairs of a block that wait for their forest, and distances held at once.
+DIFFERENCES, WAITING, PRODUCTS = 1 << 23, 1 << 20, 1 << 21
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -32,8 +33,43 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _ring_by_ring(t: pa.Table, n: int, ids: np.ndarray, x: np.ndarray, use) -> Iterator[tuple]:
+    """use over each ring of a cell's points and the queries that visit it, made fewer rows where `use` knows how."""
+    rings = t.column("ring").to_numpy()[:n]
+    masks = t.column("mask").slice(n).to_pylist()
+    visits = np.unpackbits(np.frombuffer(b"".join(masks), np.uint8).reshape(len(masks), -1), axis=1)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(rings)) + 1, [n]])
+    fold, held, rows = getattr(use, "fold", None), [], 0
+
+    def folded() -> list[tuple]:
+        all_ = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        kept = fold(*all_)
+        return [tuple(c[kept] for c in all_)]
+
+    limit = WAITING
+    for a, e in zip(cut[:-1], cut[1:], strict=True):
+        who = n + np.flatnonzero(visits[:, rings[a]])
+        if len(who):
+            for found in use(ids[who], x[who], ids[a:e], x[a:e]):
+                if fold is None:
+                    yield found
+                    continue
+                held.append(found)
+                rows += len(found[0])
+                if rows > limit:
+                    held = folded()
+                    rows = len(held[0][0])
+                    limit = max(WAITING, 2 * rows)
+    if held:
+        yield from folded()
+
+
 def pairs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
-    """Calls use(query ids, queries, ids, points) for each cell of rows (cell, is_query, id, vector), sorted so."""
+    """Calls use(query ids, queries, ids, points) for each cell of rows (cell, is_query, id, vector), sorted so.
+
+    With columns ring and mask (points: the ring's place in the cell, sorted by it; queries: a bit for each ring
+    that they visit) it is called for each ring.
+    """
     held: list[pa.RecordBatch] = []
 
     def cell() -> Iterator[pa.RecordBatch]:
@@ -42,11 +78,23 @@ def pairs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
         n = len(asks) - int(asks.sum())
         if 0 < n < len(asks):
             ids, x = t.column("id").to_numpy(), matrix(t.column("vector").combine_chunks())
-            out = list(use(ids[n:], x[n:], ids[:n], x[:n]))
-            if not out:
-                return
-            src, dst, dist = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(dist)], names=["src", "dst", "dist"])
+            if "ring" in t.column_names:
+                out = _ring_by_ring(t, n, ids, x, use)
+            else:
+                out = use(ids[n:], x[n:], ids[:n], x[:n])
+            waiting, rows = [], 0
+            for found in out:
+                waiting.append(found)
+                rows += len(found[0])
+                if rows >= 1 << 16:
+                    yield batch(waiting)
+                    waiting, rows = [], 0
+            if waiting:
+                yield batch(waiting)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        src, dst, dist = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(dist)], names=["src", "dst", "dist"])
 
     for b in batches:
         cells = b.column(0).to_numpy()
@@ -88,13 +136,35 @@ def check_finite(points: DataFrame, vector: str = "embedding") -> None:
         raise ValueError(f"{bad} vectors are null or not finite")
 
 
+def folding(fold):
+    """Gives a `use` the function that makes fewer rows (src, dst, dist) of what it gave for several parts of a block."""
+
+    def marked(use):
+        use.fold = fold
+        return use
+
+    return marked
+
+
+def slices(n: int, m: int) -> Iterator[slice]:
+    """Of n queries as many at once as m candidates allow."""
+    step = max(1, min(256, PRODUCTS // max(1, m)))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
 def k_best(k: int):
     """For `pairs`: the k nearest candidates of each query."""
 
+    def fold(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        order = np.lexsort((dst, dst != src, dist, src))
+        own = src[order]
+        return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+    @folding(fold)
     def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
         squares, m = (x * x).sum(1), min(k, len(x))
-        for i in range(0, len(q), 256):
-            part, own = q[i : i + 256], q_ids[i : i + 256]
+        for at in slices(len(q), len(x)):
+            part, own = q[at], q_ids[at]
             rough = squares[None, :] - 2 * part @ x.T
             edge = np.partition(rough, m - 1, axis=1)[:, m - 1]
             row, col = np.nonzero((rough <= (edge + 1e-9 * (1 + np.abs(rough).max()))[:, None]) | (ids[None, :] == own[:, None]))
@@ -120,16 +190,16 @@ def distances(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
 
 
 def _rough(q: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
-    """By 256 queries: the place of the first, they, their squared distances by the matrix product, and what these may be off."""
+    """By `slices` of queries: the place of the first, they, their squared distances by the matrix product, and what these may be off."""
     squares = (x * x).sum(1)
-    for i in range(0, len(q), 256):
-        part = q[i : i + 256]
+    for at in slices(len(q), len(x)):
+        part = q[at]
         rough = (part * part).sum(1)[:, None] + squares[None, :] - 2 * part @ x.T
-        yield i, part, rough, 1e-9 * (1 + np.abs(rough).max())
+        yield at.start, part, rough, 1e-9 * (1 + np.abs(rough).max())
 
 
 def near_pairs(q: np.ndarray, x: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places and distances of the pairs no farther apart than the radius, 256 queries at once."""
+    """Places and distances of the pairs no farther apart than the radius, some queries at once."""
     for i, part, rough, off in _rough(q, x):
         a, b = np.nonzero(rough <= radius * radius + off)
         dist = distances(part, x, a, b)
@@ -150,13 +220,14 @@ def all_within(radius: float):
 def connecting(radius: float):
     """For `pairs`: of the pairs src < dst within the radius, some that connect what all connect; fewer than the points of both blocks."""
 
+    @folding(lambda src, dst, dist: kruskal(src, dst, np.arange(len(src))))
     def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
         label = np.arange(len(x))  # candidates that queries so far connect have one label
         for i, part, rough, off in _rough(q, x):
             near = rough <= radius * radius - off
             a, b = np.nonzero((rough <= radius * radius + off) & ~near)
             near[a, b] = distances(part, x, a, b) <= radius
-            near &= q_ids[i : i + 256, None] < ids[None, :]
+            near &= q_ids[i : i + len(part), None] < ids[None, :]
             src, dst = [], []
             for r in np.flatnonzero(near.any(1)):
                 met = np.flatnonzero(near[r])
@@ -182,12 +253,16 @@ def lightest(radius: float):
     """For `pairs` of vectors that end in a weight: a minimum spanning forest of the pairs src < dst within the radius, each
     weighing the largest of its distance and both ends' weights. The union of such forests holds one of all pairs."""
 
+    def fold(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return kruskal(src, dst, np.lexsort((dst, src, weight)))
+
+    @folding(fold)
     def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
         def kept() -> list[np.ndarray]:
-            src, dst, weight = held
-            return [c[kruskal(src, dst, np.lexsort((dst, src, weight)))] for c in held]
+            forest = fold(*held)
+            return [c[forest] for c in held]
 
         for a, b, dist in near_pairs(q[:, :-1], x[:, :-1], radius):
             once = q_ids[a] < ids[b]
@@ -206,6 +281,11 @@ def least_reach(radius: float):
     """For `pairs` of vectors that end in a weight: for each query the other candidate within the radius for which the larger
     of distance and the candidate's weight is least."""
 
+    def fold(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        order = np.lexsort((dst, weight, src))
+        return order[np.diff(src[order], prepend=src[order][:1] - 1) != 0]
+
+    @folding(fold)
     def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
         for a, b, dist in near_pairs(q[:, :-1], x[:, :-1], radius):
             other = q_ids[a] != ids[b]
@@ -218,6 +298,20 @@ def least_reach(radius: float):
     return use
 
 
+def in_groups(use):
+    """For `pairs` of vectors that end in a group's number: `use` over the queries and candidates of each group."""
+
+    def of_each(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+        a, b = np.argsort(q[:, -1], kind="stable"), np.argsort(x[:, -1], kind="stable")
+        one, other = q[a, -1], x[b, -1]
+        for g in np.intersect1d(one, other):
+            own = a[np.searchsorted(one, g) : np.searchsorted(one, g, "right")]
+            near = b[np.searchsorted(other, g) : np.searchsorted(other, g, "right")]
+            yield from use(q_ids[own], q[own, :-1], ids[near], x[near, :-1])
+
+    return folding(getattr(use, "fold", None))(of_each)
+
+
 def _few(queries: DataFrame, points: DataFrame) -> bool:
     return queries.count() * points.count() <= DIRECT
 
@@ -231,8 +325,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, key: str = "point_id"
         from kithara.operators.metric_index import PivotIndex
 
         return PivotIndex(points, key, vector).nearest(queries, k)
-    cells = _cells(named(queries, key, vector), named(points, key, vector))
-    return ranked(cells.mapInArrow(lambda b: pairs(b, k_best(k)), "src long, dst long, dist double"), k)
+    return ranked(block_by_block(named(queries, key, vector), named(points, key, vector), k_best(k)), k)
 
 
 def compared(queries: DataFrame, points: DataFrame, radius: float, use, key: str = "point_id", vector: str = "embedding", weight: str | None = None) -> DataFrame:
@@ -243,7 +336,12 @@ def compared(queries: DataFrame, points: DataFrame, radius: float, use, key: str
         from kithara.operators.metric_index import PivotIndex
 
         return PivotIndex(points, key, vector).compared(queries, radius, use, None if weight is None else full)
-    return _cells(*full).mapInArrow(lambda b: pairs(b, use), "src long, dst long, dist double")
+    return block_by_block(*full, use)
+
+
+def block_by_block(queries: DataFrame, points: DataFrame, use) -> DataFrame:
+    """What `use` gives over blocks of (id, vector) that together hold every pair."""
+    return _cells(queries, points).mapInArrow(lambda b: pairs(b, use), "src long, dst long, dist double")
 
 
 def _weighted(points: DataFrame, key: str, vector: str, weight: str) -> DataFrame:

@@ -75,7 +75,7 @@ def labels_of(points: DataFrame, edges: DataFrame, config: Config) -> tuple[Data
         eps = c.eps if c.eps is not None else RADIUS_METHODS[c.radius_method](d).first()["eps"]
         if c.algorithm == "dbscan":
             return density.dbscan_within(points, eps, c.core_min_samples, edges if c.k_neighbors >= max(c.core_min_samples, 2) else None), more
-        return communities.leiden_dbscan(points, graph, written(knn.within(points, eps), "pairs"), c.gamma, c.core_min_samples), more
+        return communities.leiden_dbscan(points, graph, gamma=c.gamma, least=c.core_min_samples, radius=eps), more
     run = communities.leiden_clusters if c.algorithm == "leiden" else communities.hierarchical_leiden
     return run(points, graph, c.gamma, least=c.least_cluster), more
 

@@ -899,7 +899,7 @@ def vdbscan_leiden(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def leiden_dbscan(spark: SparkSession, folder: str) -> DataFrame:
     p = views.points(spark, folder)
-    return communities.leiden_dbscan(p, knn.neighbour_graph(edges_table(spark, folder)), written(knn.within(p, DBSCAN_EPS), "pairs"))
+    return communities.leiden_dbscan(p, knn.neighbour_graph(edges_table(spark, folder)), radius=DBSCAN_EPS)
 
 
 SWEEP = (0.9, 0.96, 1.0, 1.04, 1.06, 1.08, 1.1, DBSCAN_EPS)
@@ -1092,5 +1092,5 @@ def leiden_dbscan_nested(spark: SparkSession, folder: str) -> DataFrame:
     """DBSCAN inside communities labels every point and crosses no community."""
     p, graph = views.points(spark, folder), written(knn.neighbour_graph(edges_table(spark, folder)), "graph")
     outer = written(communities.leiden_clusters(p, graph, least=0), "outer")
-    inner = written(communities.leiden_dbscan(p, graph, written(knn.within(p, DBSCAN_EPS), "pairs")), "inner")
+    inner = written(communities.leiden_dbscan(p, graph, radius=DBSCAN_EPS), "inner")
     return _nested(outer, inner).select(F.lit(inner.join(p, "point_id", "left_semi").count()).alias("points"), "split_clusters")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kithara.operators import communities, components, density, knn, merging, ranges, reduction
+from kithara.operators import communities, components, density, knn, merging, metric_index, ranges, reduction
 from kithara.operators.components import connected_components
 from kithara.operators.forest import spanning_forest
 from kithara.operators.metric_index import PivotIndex
@@ -429,3 +429,38 @@ def test_dense_points_are_linked_in_few_rows(spark, monkeypatch):
         assert [got[i] for i in (0, 1199, 1200, 1229, 1230, 1269, 1270)] == [0, 0, 1, 1, 2, 2, -1]
         sweep = {r.eps: (r.n_noise, r.n_clusters) for r in density.noise_by_radius(points, [0.5, 1.0], 3).collect()}
         assert sweep == {0.5: (71, 1), 1.0: (1, 3)}
+
+
+def test_points_without_structure_move_in_few_copies(spark, monkeypatch):
+    """Every ring may hold a neighbour of every point: compared block by block, and through shelves where that is forced."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, embedding array<double>").cache()
+    want = sorted(map(tuple, knn.nearest(points, points, 5).collect()))
+    index, direct = PivotIndex(points, ring=8), []
+    plain = knn.block_by_block
+    monkeypatch.setattr(knn, "block_by_block", lambda *a: direct.append(1) or plain(*a))
+    assert sorted(map(tuple, index.nearest(points, 5).collect())) == want and direct
+    monkeypatch.setattr(metric_index, "MOST_SHARE", 2.0)
+    index = PivotIndex(points, ring=8)
+    asks = index._asks(knn.named(points, "point_id", "embedding"), 1.5)
+    planned = index._planned(asks, 0, None)
+    visits, copies = planned.agg(F.sum("visits"), F.sum(F.size("to"))).first()
+    assert visits > 600 * 40 and copies <= 600 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(knn, "WAITING", 100)
+    assert sorted(map(tuple, index.nearest(points, 5).collect())) == want
+    near = sorted(map(tuple, knn.within(points, 1.0).collect()))
+    assert sorted(map(tuple, index.within(points, 1.0).collect())) == near
+
+
+def test_leiden_dbscan_lists_no_pairs(spark, cloud, monkeypatch):
+    x, points = cloud
+    graph = knn.neighbour_graph(knn.nearest(points, points, 5)).cache()
+    want = sorted(map(tuple, communities.leiden_dbscan(points, graph, knn.within(points, 0.45), least=4).collect()))
+    monkeypatch.setattr(knn, "within", None)
+    for block in (4096, 17):
+        monkeypatch.setattr(knn, "BLOCK", block)
+        assert sorted(map(tuple, communities.leiden_dbscan(points, graph, least=4, radius=0.45).collect())) == want
+    with pytest.raises(ValueError):
+        communities.leiden_dbscan(points, graph)
