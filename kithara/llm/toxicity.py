@@ -6,11 +6,13 @@ hashed tables, so that a rare word shares both rows with another almost never. F
 maxima. The first dimension of the tables starts from how much more often toxic texts hold the
 word than clean ones; gradient steps (Adagrad) then fit everything.
 
-The labelled sample is bounded (`SAMPLE` texts of each class, drawn by hash, and of each text at most
-WORDS_A_TEXT words, in runs of RUN words from all over it), and so are the bytes that reach the driver
-(under 100 MB). A quarter of it is not trained on but sets the scale of the scores (logistic calibration
-to the classes' true shares) and a threshold for each language. Labels, ids, languages and sources are
-never inputs of a score. Scoring reads whole texts.
+Every labelled text is learned from, whole, and none reaches the driver. Texts are packed once into blocks of about
+BLOCK texts, dealt and ordered by a hash. Counts of words go over all blocks. In each of EPOCHS rounds a task goes through
+each of its blocks from the model so far, and each number of the model moves by its mean change over the blocks that
+changed it. Sums are of whole numbers, so a model depends neither on the tasks nor on the order they end in; what goes to the
+driver is as large as the model. A quarter of the labelled texts is not trained on but sets the scale of the scores
+(logistic calibration) and a threshold for each language, from counts of all its outputs in steps of 1 / STEPS.
+Labels, ids, languages and sources are never inputs of a score. Scoring reads whole texts.
 
 Defined results: a null or empty text is scored like a text of padding only, a very long one by all
 its words; labels that are null count for nothing and a text labelled both ways is toxic; of the texts
@@ -31,16 +33,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kithara.llm.words import BY_ALNUM, Words, byte_buffer, slices, xxh64
+from kithara.operators.ranges import ranked_in_ranges
 from kithara.session import free_of, written
 
-#: Labelled texts of each class that a model is fitted to, at most.
-SAMPLE = 3000
-#: Words of a text that a model is fitted to, at most, and how many of them follow each other.
+#: Texts of a block, about; a block ends before it holds more words than these (a longer text is a block of its own).
+BLOCK, BLOCK_WORDS = 1024, 1 << 20
+#: Words that `excerpt` leaves of a text, at most, and how many of them follow each other.
 WORDS_A_TEXT, RUN = 2048, 64
+#: Numbers that tasks sum at once, steps of a number of the model that is summed, and of an output that is counted.
+PIECE, UNIT, STEPS = 1 << 16, 1 << 24, 1000
+#: Bits that tell which texts may have a label.
+MARKS = 1 << 24
 ROWS, DIM = 1 << 17, 8
 WIDTHS = ((1, 16), (2, 8), (3, 8))
 GAP = 2  # padding words before each text and after the last, so that no window spans two texts
-EPOCHS, BATCH, RATE, SEED = 8, 32, 0.05, 3
+EPOCHS, BATCH, RATE, SEED = 8, 32, 0.2, 3
 
 
 @dataclass
@@ -65,7 +72,7 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def excerpt(words: np.ndarray) -> np.ndarray:
-    """All words of a text, or of a longer one runs at even distances, the first and last words among them."""
+    """For callers that must bound a text (`train` and `score` do not): All words of a text, or of a longer one runs at even distances, the first and last words among them."""
     if len(words) <= WORDS_A_TEXT:
         return words
     at = np.linspace(0, len(words) - RUN, WORDS_A_TEXT // RUN).astype(np.int64)
@@ -116,86 +123,119 @@ def score_texts(m: Model, texts: pa.Array) -> np.ndarray:
     return _sigmoid(m.scale[0] * z + m.scale[1])
 
 
-def _log_odds(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def _holding(rows: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How many clean and how many toxic texts hold each row of a table."""
+    text = np.repeat(np.arange(len(toxic)), np.diff(at))
+    pairs = np.unique(text * (ROWS + 1) + rows[: at[-1]])
+    return np.bincount(toxic[pairs // (ROWS + 1)].astype(np.int64) * (ROWS + 1) + pairs % (ROWS + 1), minlength=2 * (ROWS + 1)).reshape(2, -1)
+
+
+def _log_odds(held: np.ndarray, clean: int, toxic: int) -> np.ndarray:
     """How much more often toxic texts hold a table row, shrunk by two standard errors towards 0."""
-    counts = np.zeros((2, ROWS + 1))
-    for r, t in zip(rows, toxic, strict=True):
-        counts[int(t), np.unique(r)] += 1
-    c, p = counts[0] + 0.5, counts[1] + 0.5
-    odds = np.log(p / (toxic.sum() + 1)) - np.log(c / ((1 - toxic).sum() + 1))
+    c, p = held + 0.5
+    odds = np.log(p / (toxic + 1)) - np.log(c / (clean + 1))
     shrunk = np.sign(odds) * np.maximum(np.abs(odds) - 2 * np.sqrt(1 / p + 1 / c), 0)
     shrunk[ROWS] = 0
     return np.clip(shrunk, -2, 2)
 
 
-def _trained(docs: list[np.ndarray], toxic: np.ndarray) -> Model:
+def _untrained(odds: list[np.ndarray]) -> Model:
     rng = np.random.default_rng(SEED)
-    rows = [_padded(d, np.array([0, len(d)])) for d in docs]
     tables = tuple((rng.normal(0, 0.05, (ROWS + 1, DIM))).astype(np.float32) for _ in range(2))
     for k in range(2):
-        tables[k][:, 0] = _log_odds([r[k] for r in rows], toxic)
+        tables[k][:, 0] = odds[k]
         tables[k][ROWS] = 0
     filters = [rng.normal(0, 0.3, (w, DIM, n)).astype(np.float32) for w, n in WIDTHS]
     biases = [np.zeros(n, np.float32) for _, n in WIDTHS]
     filters[0][0, :, 0] = 0
     filters[0][0, 0, 0] = 1
-    total = sum(n for _, n in WIDTHS)
-    out = rng.normal(0, 0.1, total).astype(np.float32)
+    out = rng.normal(0, 0.1, sum(n for _, n in WIDTHS)).astype(np.float32)
     out[0] = 2
-    m = Model(tables, filters, biases, out, -2.0, (1.0, 0.0), {}, 0.5)
+    return Model(tables, filters, biases, out, -2.0, (1.0, 0.0), {}, 0.5)
+
+
+def _numbers(m: Model) -> np.ndarray:
+    """All that is trained of a model, in one row."""
+    return np.concatenate([*(x.ravel() for x in (*m.tables, *m.filters, *m.biases, m.out)), np.array([m.out_bias], np.float32)])
+
+
+def _with_numbers(m: Model, x: np.ndarray) -> Model:
+    parts, at = [], 0
+    for old in (*m.tables, *m.filters, *m.biases, m.out):
+        parts.append(x[at : at + old.size].reshape(old.shape).astype(np.float32))
+        at += old.size
+    n = len(m.filters)
+    return Model((parts[0], parts[1]), parts[2 : 2 + n], parts[2 + n : 2 + 2 * n], parts[-1], float(x[at]), m.scale, m.thresholds, m.threshold)
+
+
+def _passed(m: Model, words: np.ndarray, first: np.ndarray, toxic: np.ndarray, nth: int) -> Model:
+    """The model after its nth pass (Adagrad) through the texts of one block."""
+    m, rng = _with_numbers(m, _numbers(m)), np.random.default_rng([SEED, nth])
+    rows, begins = _padded(words, first)[:2], first + GAP * np.arange(len(first))
+    tables, filters, biases, out = m.tables, m.filters, m.biases, m.out
     sums: dict[str, np.ndarray] = {}
 
-    def step(name: str, value: np.ndarray, grad: np.ndarray, rate: float = RATE) -> None:
+    def step(name: str, value: np.ndarray, grad: np.ndarray) -> None:
         s = sums.setdefault(name, np.full_like(value, 1e-2))
         s += grad * grad
-        value -= rate * grad / np.sqrt(s)
+        value -= RATE * grad / np.sqrt(s)
 
     bias = np.array([m.out_bias], np.float32)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(docs))
-        for a in range(0, len(order), BATCH):
-            batch = order[a : a + BATCH]
-            one, two = (np.concatenate([*(rows[d][k][:-GAP] for d in batch), np.full(GAP, ROWS, np.int32)]) for k in range(2))
-            at = np.concatenate([[0], np.cumsum([len(rows[d][0]) - GAP for d in batch])])
-            x = tables[0][one] + tables[1][two]
-            maps = _convolved(m, x)
-            best = [np.stack([c[s:e].argmax(0) + s for s, e in zip(at[:-1], at[1:], strict=True)]) for c in maps]
-            pooled = [np.take_along_axis(c, p, 0) + b for c, p, b in zip(maps, best, biases, strict=True)]
-            features = np.maximum(np.concatenate(pooled, axis=1), 0)
-            delta = ((_sigmoid(features @ out + bias[0]) - toxic[batch]) / len(batch)).astype(np.float32)
-            back = delta[:, None] * out[None, :] * (features > 0)
-            step("out", out, features.T @ delta)
-            step("out_bias", bias, delta.sum(keepdims=True))
-            col, at_rows, at_grads = 0, [], []
-            for k, f in enumerate(filters):
-                w, _, n = f.shape
-                g, p = back[:, col : col + n], best[k]
-                col += n
-                grad = np.zeros_like(f)
-                for j in range(w):
-                    q = p + j
-                    grad[j] = np.einsum("bf,bfd->df", g, x[q])
-                    live = g != 0
-                    at_rows.append(q[live])
-                    at_grads.append((g[:, :, None] * f[j].T[None])[live])
-                step(f"f{k}", f, grad)
-                step(f"b{k}", biases[k], g.sum(0))
-            where, grads = np.concatenate(at_rows), np.concatenate(at_grads)
-            for k, idx in ((0, one), (1, two)):
-                used, inverse = np.unique(idx[where], return_inverse=True)
-                g = np.zeros((len(used), DIM), np.float32)
-                np.add.at(g, inverse, grads)
-                g[used == ROWS] = 0
-                s = sums.setdefault(f"t{k}", np.full_like(tables[k], 1e-2))
-                s[used] += g * g
-                tables[k][used] -= RATE * g / np.sqrt(s[used])
+    order = rng.permutation(len(toxic))
+    for a in range(0, len(order), BATCH):
+        batch = order[a : a + BATCH]
+        one, two = (np.concatenate([*(rows[k][begins[d] : begins[d + 1]] for d in batch), np.full(GAP, ROWS, np.int32)]) for k in range(2))
+        at = np.concatenate([[0], np.cumsum([begins[d + 1] - begins[d] for d in batch])])
+        x = tables[0][one] + tables[1][two]
+        maps = _convolved(m, x)
+        best = [np.stack([c[s:e].argmax(0) + s for s, e in zip(at[:-1], at[1:], strict=True)]) for c in maps]
+        pooled = [np.take_along_axis(c, p, 0) + b for c, p, b in zip(maps, best, biases, strict=True)]
+        features = np.maximum(np.concatenate(pooled, axis=1), 0)
+        delta = ((_sigmoid(features @ out + bias[0]) - toxic[batch]) / len(batch)).astype(np.float32)
+        back = delta[:, None] * out[None, :] * (features > 0)
+        step("out", out, features.T @ delta)
+        step("out_bias", bias, delta.sum(keepdims=True))
+        col, at_rows, at_grads = 0, [], []
+        for k, f in enumerate(filters):
+            w, _, n = f.shape
+            g, p = back[:, col : col + n], best[k]
+            col += n
+            grad = np.zeros_like(f)
+            for j in range(w):
+                q = p + j
+                grad[j] = np.einsum("bf,bfd->df", g, x[q])
+                live = g != 0
+                at_rows.append(q[live])
+                at_grads.append((g[:, :, None] * f[j].T[None])[live])
+            step(f"f{k}", f, grad)
+            step(f"b{k}", biases[k], g.sum(0))
+        where, grads = np.concatenate(at_rows), np.concatenate(at_grads)
+        for k, idx in ((0, one), (1, two)):
+            used, inverse = np.unique(idx[where], return_inverse=True)
+            g = np.zeros((len(used), DIM), np.float32)
+            np.add.at(g, inverse, grads)
+            g[used == ROWS] = 0
+            s = sums.setdefault(f"t{k}", np.full_like(tables[k], 1e-2))
+            s[used] += g * g
+            tables[k][used] -= RATE * g / np.sqrt(s[used])
     m.out_bias = float(bias[0])
     return m
 
 
-def _scaled(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a weighted logistic fit of y to z, with smoothed targets (Platt)."""
-    pos, neg = y.sum(), (1 - y).sum()
+def _trained(docs: list[np.ndarray], toxic: np.ndarray) -> Model:
+    """What `train` makes of the texts of a single block, before it is scaled."""
+    words, first = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    one, two, at = _padded(words, first)
+    m = _untrained([_log_odds(_holding(r, at, toxic), len(toxic) - int(toxic.sum()), int(toxic.sum())) for r in (one, two)])
+    for nth in range(EPOCHS):
+        m = _passed(m, words, first, toxic, nth)
+    return m
+
+
+def _scaled(z: np.ndarray, y: np.ndarray, weight: np.ndarray, counts: tuple[float, float] | None = None) -> tuple[float, float]:
+    """Slope and intercept of a weighted logistic fit of y to z, with smoothed targets (Platt); counts: texts of
+    label 0 and 1, where rows stand for several."""
+    neg, pos = counts or ((1 - y).sum(), y.sum())
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     x = np.stack([z, np.ones_like(z)], 1)
@@ -222,52 +262,153 @@ def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(_sigmoid(np.array(mid)))
 
 
-def fit(hashes: list[np.ndarray], toxic: np.ndarray, lang: list[str], counts: tuple[int, int]) -> Model:
-    """A model from sampled texts in hash order; counts: labelled clean and toxic texts in all."""
-    if min(toxic.sum(), (1 - toxic).sum()) < 2:
-        empty = Model((np.zeros((0, 0)),) * 2, [], [], np.zeros(0), 0.0, (1.0, 0.0), {}, 0.5)
-        empty.constant = (counts[1] + 0.5) / (sum(counts) + 1)
-        return empty
-    nth = np.zeros(len(toxic), int)
-    for c in (0, 1):
-        nth[toxic == c] = np.arange((toxic == c).sum())
-    held = nth % 4 == 1
-    m = _trained([h for h, x in zip(hashes, held, strict=True) if not x], toxic[~held].astype(np.float32))
-    z = np.array([logits(m, h, np.array([0, len(h)]))[0] for h, x in zip(hashes, held, strict=True) if x], float)
-    y, own = toxic[held].astype(float), np.array(lang, object)[held]
-    weight = np.where(y > 0, counts[1] / max(y.sum(), 1), counts[0] / max((1 - y).sum(), 1)) * len(y) / sum(counts)
-    m.scale = _scaled(z, y, weight)
+def _blocks(found: DataFrame) -> DataFrame:
+    """Rows (held, words, first, toxic, langs) of blocks, from texts (_held, _shard, _order, _key, _toxic, _lang, _text) dealt and
+    ordered so: the hashes of all words, where each text begins in them, labels (a byte each) and languages."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, size = None, [], 0
+
+        def block() -> pa.RecordBatch:
+            words, toxic, langs = zip(*texts, strict=True)
+            first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+            row = [[now[0]], [np.concatenate(words).tobytes()], [first.tobytes()], [np.array(toxic, np.int8).tobytes()], [list(langs)]]
+            kinds = [pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["held", "words", "first", "toxic", "langs"])
+
+        for b in batches:
+            held, shard, toxic, lang = (b.column(k).to_pylist() for k in range(4))
+            for i, j, h, first in word_hashes(b.column(4)):
+                for t in range(i, j):
+                    own, n = (held[t], shard[t]), int(first[t - i + 1] - first[t - i])
+                    if texts and (own != now or size + n > BLOCK_WORDS):
+                        yield block()
+                        texts, size = [], 0
+                    now, size = own, size + n
+                    texts.append((h[first[t - i] : first[t - i + 1]].copy(), toxic[t], lang[t]))
+        if texts:
+            yield block()
+
+    return found.select("_held", "_shard", "_toxic", "_lang", "_text").mapInArrow(packed, "held boolean, words binary, first binary, toxic binary, langs array<string>")
+
+
+def _read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    for r in b.to_pylist():
+        yield np.frombuffer(r["words"], np.uint64), np.frombuffer(r["first"], np.int64), np.frombuffer(r["toxic"], np.int8).astype(np.float32), r["langs"]
+
+
+def _summed(blocks: DataFrame, size: int, of_block) -> np.ndarray:
+    """The sum over all blocks of what `of_block` adds to whole numbers, `size` of them. Tasks are as many as cores; their sums meet
+    piece by piece, so the driver gets `size` numbers however many tasks there are."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for words, first, toxic, _ in _read(b):
+                of_block(total, words, first, toxic)
+        for i in range(0, size, PIECE):
+            if total[i : i + PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([total[i : i + PIECE].tobytes()], pa.binary())], names=["piece", "numbers"])
+
+    def added(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("numbers"))
+        return pa.table({"piece": t.column("piece")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
+
+    schema, out = "piece long, numbers binary", np.zeros(size, np.int64)
+    few = blocks.coalesce(max(1, blocks.sparkSession.sparkContext.defaultParallelism)).mapInArrow(parts, schema)
+    for piece, numbers in few.groupBy("piece").applyInArrow(added, schema).toPandas().itertuples(index=False):
+        part = np.frombuffer(numbers, np.int64)
+        out[piece : piece + len(part)] = part
+    return out
+
+
+def _learned(blocks: DataFrame, clean: int, toxic: int) -> Model:
+    """A model from all blocks, which hold so many clean and toxic texts."""
+    spark, n = blocks.sparkSession, 2 * (ROWS + 1)
+
+    def held(total: np.ndarray, words: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> None:
+        one, two, at = _padded(words, first)
+        for k, rows in enumerate((one, two)):
+            total[k * n : (k + 1) * n] += _holding(rows, at, toxic).ravel()
+
+    counts = _summed(blocks, 2 * n, held).reshape(2, 2, -1)
+    m = _untrained([_log_odds(c, clean, toxic) for c in counts])
+    for nth in range(EPOCHS):
+        before = _numbers(m)
+        shared = spark.sparkContext.broadcast(m)
+
+        def moved(total: np.ndarray, words: np.ndarray, first: np.ndarray, toxic: np.ndarray, shared=shared, nth=nth) -> None:
+            by = _numbers(_passed(shared.value, words, first, toxic, nth)) - _numbers(shared.value)
+            steps = np.rint(by.astype(np.float64) * UNIT).astype(np.int64)
+            total[: len(steps)] += steps
+            total[len(steps) :] += steps != 0
+
+        total, times = np.split(_summed(blocks, 2 * len(before), moved), 2)
+        shared.destroy()
+        m = _with_numbers(m, before + total / UNIT / np.maximum(times, 1))
+    return m
+
+
+def _calibrated(m: Model, blocks: DataFrame) -> Model:
+    """The model with the scale and thresholds that the texts of all blocks ask for."""
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast(m)
+
+    def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, first, toxic, langs in _read(b):
+                z = np.concatenate([logits(shared.value, words[first[i] : first[j]], first[i : j + 1] - first[i]) for i, j in slices(8 * first, 1 << 20)])
+                steps = np.rint(np.clip(z, -40, 40) * STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(toxic.astype(np.int64)), pa.array(steps)], names=["lang", "toxic", "z"])
+
+    told = written(blocks.mapInArrow(outputs, "lang string, toxic long, z long").groupBy("lang", "toxic", "z").agg(F.count("*").alias("n")), "outputs")
+    each = told.groupBy("lang").agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg"))
+    # Languages with too few texts for a threshold of their own are told together.
+    few = written(each.filter("pos >= 5 and neg >= 5").select("lang", F.col("lang").alias("own")), "languages")
+    got = told.join(few, "lang", "left").groupBy("own", "toxic", "z").agg(F.sum("n").alias("n")).toPandas().sort_values(["z", "toxic", "own"], ignore_index=True)
+    z, y, n = got["z"].to_numpy(float) / STEPS, got["toxic"].to_numpy(float), got["n"].to_numpy(float)
+    m.scale = _scaled(z, y, n, ((n * (1 - y)).sum(), (n * y).sum()))
     p = np.clip(_sigmoid(m.scale[0] * z + m.scale[1]), 1e-9, 1 - 1e-9)
-    m.threshold = _best_threshold(p, y, weight)
-    for x in sorted(set(own)):
-        of = own == x
-        if min(y[of].sum(), (1 - y[of]).sum()) >= 5:
-            n = of.sum()
-            m.thresholds[x] = float((n * _best_threshold(p[of], y[of], weight[of]) + 50 * m.threshold) / (n + 50))
+    m.threshold = _best_threshold(p, y, n)
+    for x in sorted(set(got["own"].dropna())):
+        of = (got["own"] == x).to_numpy()
+        m.thresholds[x] = float((n[of].sum() * _best_threshold(p[of], y[of], n[of]) + 50 * m.threshold) / (n[of].sum() + 50))
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", learn: F.Column | None = None, sample: int = SAMPLE) -> Model:
-    """Fit to labelled documents; learn: a condition on `labels` that says which may be used."""
+def _maybe(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose _key may be among those of `known`: all that are, and few others. Told by one bit of MARKS for a hash of
+    each key, so what is broadcast is bounded (MARKS / 64 rows) and grows no further with the labels."""
+    at = F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(SEED + 2)), F.lit(MARKS))
+    slot, bit = F.shiftright(at, 6).alias("_slot"), at.bitwiseAND(F.lit(63)).cast("int")
+    marks = written(known.select(slot, bit.alias("_bit")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")), "marks")
+    near = rows.select("*", slot, bit.alias("_bit")).join(F.broadcast(marks), "_slot")
+    return near.filter("shiftrightunsigned(_bits, _bit) & 1 = 1").drop("_slot", "_bit", "_bits")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", learn: F.Column | None = None) -> Model:
+    """Fit to all labelled documents; learn: a condition on `labels` that says which may be used."""
     labels = labels if learn is None else labels.filter(learn)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max((F.col(label) > 0).cast("int")).alias("_toxic"))
-    known = written(known.withColumn("_order", F.xxhash64("_key", F.lit(SEED))), "labels")
-    counts = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    few = [known.filter(F.col("_toxic") == c).orderBy("_order", "_key").limit(sample) for c in (0, 1)]
-    ids = written(few[0].unionByName(few[1]), "sample")
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(F.col(lang), F.lit("")).alias("_lang")).join(F.broadcast(ids), "_key")
-    found = found.groupBy("_key", "_toxic", "_order").agg(F.min(F.struct("_text", "_lang")).alias("_row"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blobs = [excerpt(h[a:e]).tobytes() for _, _, h, first in word_hashes(b.column(4)) for a, e in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(blobs, pa.binary())], names=["_key", "_toxic", "_order", "_lang", "words"])
-
-    kind = dict(found.dtypes)["_key"]
-    found = found.select("_key", "_toxic", "_order", F.col("_row._lang").alias("_lang"), F.col("_row._text").alias("_text"))
-    got = found.mapInArrow(hashed, f"_key {kind}, _toxic int, _order long, _lang string, words binary").toPandas().sort_values(["_order", "_key"])
-    hashes = [np.frombuffer(x, np.uint64) for x in got["words"]]
-    return fit(hashes, got["_toxic"].to_numpy(dtype=int), list(got["_lang"]), (counts.get(0, 0), counts.get(1, 0)))
+    known = known.join(docs.select(F.col(key).alias("_key")), "_key", "left_semi").withColumn("_order", F.xxhash64("_key", F.lit(SEED)))
+    # Of each class every fourth text in order of the hash is held back for the calibration.
+    known = written(ranked_in_ranges(written(known, "labels"), ["_toxic"], ["_order", "_key"], "_nth").withColumn("_held", F.col("_nth") % 4 == 1), "parts")
+    counts = {(r["_toxic"], r["_held"]): r["n"] for r in known.groupBy("_toxic", "_held").agg(F.count("*").alias("n")).collect()}
+    of = [counts.get((c, False), 0) + counts.get((c, True), 0) for c in (0, 1)]
+    if min(of) < 2:
+        empty = Model((np.zeros((0, 0)),) * 2, [], [], np.zeros(0), 0.0, (1.0, 0.0), {}, 0.5)
+        empty.constant = (of[1] + 0.5) / (sum(of) + 1)
+        return empty
+    # Texts are dealt once, without those that surely have no label; a repeated id and a block are both within one deal.
+    shard = F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(SEED + 1)), F.lit(-(-sum(of) // BLOCK))).cast("int").alias("_shard")
+    texts = _maybe(docs.select(F.col(key).alias("_key"), F.struct(F.col(text).alias("_text"), F.coalesce(F.col(lang), F.lit("")).alias("_lang")).alias("_row")), known)
+    told = known.select(shard, "_key", F.struct("_toxic", "_held", "_order").alias("_label"))
+    both = texts.select(shard, "_key", "_row").unionByName(told, allowMissingColumns=True).repartition("_shard")
+    found = both.groupBy("_shard", "_key").agg(F.min("_row").alias("_row"), F.min("_label").alias("_label")).filter("_row is not null and _label is not null")
+    found = found.select("_shard", "_key", "_label.*", "_row.*").sortWithinPartitions("_held", "_shard", "_order", "_key")
+    blocks = written(_blocks(found), "blocks")
+    m = _learned(blocks.filter("not held"), counts.get((0, False), 0), counts.get((1, False), 0))
+    return _calibrated(m, blocks.filter("held"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:

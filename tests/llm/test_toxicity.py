@@ -106,3 +106,51 @@ def test_excerpts_are_bounded_and_reach_both_ends():
     got = toxicity.excerpt(long_)
     assert len(got) == toxicity.WORDS_A_TEXT and got[0] == 0 and got[-1] == 999_999
     assert (np.diff(got.reshape(-1, toxicity.RUN).astype(int), axis=1) == 1).all()
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    rnd = random.Random(4)
+    ids = spark.range(8000).selectExpr("id", f"xxhash64(id, {toxicity.SEED}) AS o").orderBy("o", "id").toPandas()["id"]
+    toxic = [int(i) for i in ids if i % 2]
+    late = set(toxic[3200:])  # in order of the hash: no sample of the first 3000 of a class holds any
+    rows = []
+    for i in map(int, ids):
+        words = ["w%d" % rnd.randint(0, 300) for _ in range(8)]
+        rows.append((i, " ".join([*words, *(["lateword"] if i in late else ["earlyword"] if i % 2 else [])]), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = toxicity.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    clean, early, last = toxicity.score_texts(m, pa.array(["w1 w2 w3", "w1 earlyword w3", "w1 lateword w3"]))
+    assert clean < 0.1 and early > 0.9 and last > 0.9
+
+
+def test_long_texts_are_learned_from_whole(spark):
+    n = 6000
+    runs = set(toxicity.excerpt(np.arange(n, dtype=np.uint64)).tolist())
+    place = next(i for i in range(n // 2, n) if i not in runs)
+    rows = []
+    for i in range(120):
+        words = ["w%d" % ((i * 31 + k) % 400) for k in range(n)]
+        if i % 2:
+            words[place] = BAD[0]
+        rows.append((i, " ".join(words), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = toxicity.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    clean, bad = toxicity.score_texts(m, pa.array(["w1 w2 w3", "w1 w2 " + BAD[0]]))
+    assert clean < 0.2 and bad > 0.8
+
+
+def test_a_model_does_not_depend_on_tasks_and_a_block_is_trained_as_alone(spark, monkeypatch):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(i, t, g) for i, t, g, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    one = toxicity.train(docs.repartition(1), labels)
+    own = docs.join(labels, "doc_id").selectExpr("text", "toxic", f"xxhash64(doc_id, {toxicity.SEED}) AS o").orderBy("o").toPandas()
+    own["held"] = own.groupby("toxic").cumcount() % 4 == 1
+    own = own[~own["held"]]
+    words = [h[a:e] for _, _, h, first in toxicity.word_hashes(pa.array(own["text"])) for a, e in zip(first[:-1], first[1:], strict=True)]
+    alone = toxicity._trained(words, own["toxic"].to_numpy(np.float32))
+    assert np.allclose(toxicity._numbers(one), toxicity._numbers(alone), atol=1e-3)
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    few, many = toxicity.train(docs.repartition(1), labels), toxicity.train(docs.repartition(7), labels)
+    assert (toxicity._numbers(few) == toxicity._numbers(many)).all()
+    assert few.scale == many.scale and few.thresholds == many.thresholds
