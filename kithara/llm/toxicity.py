@@ -297,29 +297,29 @@ def _read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield np.frombuffer(r["words"], np.uint64), np.frombuffer(r["first"], np.int64), np.frombuffer(r["toxic"], np.int8).astype(np.float32), r["langs"]
 
 
-def _summed(blocks: DataFrame, size: int, of_block) -> np.ndarray:
-    """The sum over all blocks of what `of_block` adds to whole numbers, `size` of them. Tasks are as many as cores; their sums meet
-    piece by piece, so the driver gets `size` numbers however many tasks there are."""
+def _summed(blocks: DataFrame, sums: int, size: int, of_block, made, dtype) -> list[tuple[int, np.ndarray]]:
+    """What `made` makes (of `dtype`) of the places from which and of the `sums` rows of whole numbers that `of_block` adds up over all
+    blocks, piece by piece of `size` places; pieces in which all is 0 are left out. Tasks are as many as cores and their sums meet in
+    tasks again, so the driver gets what is made, once, however many blocks and tasks there are."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros((sums, size), np.int64)
         for b in batches:
             for words, first, toxic, _ in _read(b):
                 of_block(total, words, first, toxic)
         for i in range(0, size, PIECE):
-            if total[i : i + PIECE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([total[i : i + PIECE].tobytes()], pa.binary())], names=["piece", "numbers"])
+            if total[:, i : i + PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([total[:, i : i + PIECE].tobytes()], pa.binary())], names=["piece", "numbers"])
 
     def added(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("numbers"))
-        return pa.table({"piece": t.column("piece")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("numbers")).reshape(sums, -1)
+        return pa.table({"piece": t.column("piece")[:1], "numbers": pa.array([made(t.column("piece")[0].as_py(), total).astype(dtype).tobytes()], pa.binary())})
 
-    schema, out = "piece long, numbers binary", np.zeros(size, np.int64)
+    schema = "piece long, numbers binary"
     few = blocks.coalesce(max(1, blocks.sparkSession.sparkContext.defaultParallelism)).mapInArrow(parts, schema)
-    for piece, numbers in few.groupBy("piece").applyInArrow(added, schema).toPandas().itertuples(index=False):
-        part = np.frombuffer(numbers, np.int64)
-        out[piece : piece + len(part)] = part
-    return out
+    # As Arrow batches: rows would be held in the driver's heap, and again as they are pickled.
+    got = few.groupBy("piece").applyInArrow(added, schema).toArrow()
+    return [(at.as_py(), np.frombuffer(x.as_buffer(), dtype)) for at, x in zip(*got.columns, strict=True)]
 
 
 def _learned(blocks: DataFrame, clean: int, toxic: int) -> Model:
@@ -329,23 +329,29 @@ def _learned(blocks: DataFrame, clean: int, toxic: int) -> Model:
     def held(total: np.ndarray, words: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> None:
         one, two, at = _padded(words, first)
         for k, rows in enumerate((one, two)):
-            total[k * n : (k + 1) * n] += _holding(rows, at, toxic).ravel()
+            total[0, k * n : (k + 1) * n] += _holding(rows, at, toxic).ravel()
 
-    counts = _summed(blocks, 2 * n, held).reshape(2, 2, -1)
-    m = _untrained([_log_odds(c, clean, toxic) for c in counts])
+    counts = np.zeros(2 * n, np.int64)
+    for at, part in _summed(blocks, 1, 2 * n, held, lambda at, total: total[0], np.int64):
+        counts[at : at + len(part)] = part
+    m = _untrained([_log_odds(c, clean, toxic) for c in counts.reshape(2, 2, -1)])
     for nth in range(EPOCHS):
-        before = _numbers(m)
+        numbers = _numbers(m)
         shared = spark.sparkContext.broadcast(m)
 
         def moved(total: np.ndarray, words: np.ndarray, first: np.ndarray, toxic: np.ndarray, shared=shared, nth=nth) -> None:
             by = _numbers(_passed(shared.value, words, first, toxic, nth)) - _numbers(shared.value)
             steps = np.rint(by.astype(np.float64) * UNIT).astype(np.int64)
-            total[: len(steps)] += steps
-            total[len(steps) :] += steps != 0
+            total[0] += steps
+            total[1] += steps != 0
+
+        def after(at: int, total: np.ndarray, shared=shared) -> np.ndarray:
+            return _numbers(shared.value)[at : at + total.shape[1]] + total[0] / UNIT / np.maximum(total[1], 1)
 
-        total, times = np.split(_summed(blocks, 2 * len(before), moved), 2)
+        for at, part in _summed(blocks, 2, len(numbers), moved, after, np.float32):
+            numbers[at : at + len(part)] = part
         shared.destroy()
-        m = _with_numbers(m, before + total / UNIT / np.maximum(times, 1))
+        m = _with_numbers(m, numbers)
     return m
 
 
@@ -365,7 +371,7 @@ def _calibrated(m: Model, blocks: DataFrame) -> Model:
     each = told.groupBy("lang").agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg"))
     # Languages with too few texts for a threshold of their own are told together.
     few = written(each.filter("pos >= 5 and neg >= 5").select("lang", F.col("lang").alias("own")), "languages")
-    got = told.join(few, "lang", "left").groupBy("own", "toxic", "z").agg(F.sum("n").alias("n")).toPandas().sort_values(["z", "toxic", "own"], ignore_index=True)
+    got = told.join(few, "lang", "left").groupBy("own", "toxic", "z").agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values(["z", "toxic", "own"], ignore_index=True)
     z, y, n = got["z"].to_numpy(float) / STEPS, got["toxic"].to_numpy(float), got["n"].to_numpy(float)
     m.scale = _scaled(z, y, n, ((n * (1 - y)).sum(), (n * y).sum()))
     p = np.clip(_sigmoid(m.scale[0] * z + m.scale[1]), 1e-9, 1 - 1e-9)

@@ -154,3 +154,22 @@ def test_a_model_does_not_depend_on_tasks_and_a_block_is_trained_as_alone(spark,
     few, many = toxicity.train(docs.repartition(1), labels), toxicity.train(docs.repartition(7), labels)
     assert (toxicity._numbers(few) == toxicity._numbers(many)).all()
     assert few.scale == many.scale and few.thresholds == many.thresholds
+
+
+def test_the_driver_gets_a_model_a_round_and_no_sums(spark, monkeypatch):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(i, t, g) for i, t, g, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    received, frame = [], type(docs)
+    for way in ("toPandas", "toArrow", "collect"):
+
+        def seen(self, plain=getattr(frame, way)):
+            got = plain(self)
+            if "numbers" in self.columns:
+                received.append(sum(len(r[1]) for r in (got.itertuples(index=False) if hasattr(got, "itertuples") else zip(*got.to_pydict().values(), strict=True) if hasattr(got, "to_pydict") else got)))
+            return got
+
+        monkeypatch.setattr(frame, way, seen)
+    m = toxicity.train(docs, labels)
+    assert len(received) >= 1 + toxicity.EPOCHS
+    assert max(received) <= 4 * len(toxicity._numbers(m))
