@@ -1084,7 +1084,7 @@ def hierarchical_leiden_nested(spark: SparkSession, folder: str) -> DataFrame:
     """The second level, with clusters of any size, crosses no community of the first."""
     p, graph = views.points(spark, folder), written(knn.neighbour_graph(edges_table(spark, folder)), "graph")
     outer = written(communities.leiden_clusters(p, graph, least=0), "outer")
-    return _nested(outer, written(communities.hierarchical_leiden(p, graph, least=0, least_within=0), "inner"))
+    return _nested(outer, written(communities.hierarchical_leiden(p, graph, least=0, least_within=0, first=outer), "inner"))
 
 
 @query(f"""WITH {POINTS_SQL} SELECT count(*) AS points, 0 AS split_clusters FROM pts""")
@@ -1092,5 +1092,5 @@ def leiden_dbscan_nested(spark: SparkSession, folder: str) -> DataFrame:
     """DBSCAN inside communities labels every point and crosses no community."""
     p, graph = views.points(spark, folder), written(knn.neighbour_graph(edges_table(spark, folder)), "graph")
     outer = written(communities.leiden_clusters(p, graph, least=0), "outer")
-    inner = written(communities.leiden_dbscan(p, graph, radius=DBSCAN_EPS), "inner")
+    inner = written(communities.leiden_dbscan(p, graph, radius=DBSCAN_EPS, first=outer), "inner")
     return _nested(outer, inner).select(F.lit(inner.join(p, "point_id", "left_semi").count()).alias("points"), "split_clusters")

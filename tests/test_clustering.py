@@ -464,3 +464,16 @@ def test_leiden_dbscan_lists_no_pairs(spark, cloud, monkeypatch):
         assert sorted(map(tuple, communities.leiden_dbscan(points, graph, least=4, radius=0.45).collect())) == want
     with pytest.raises(ValueError):
         communities.leiden_dbscan(points, graph)
+
+
+def test_communities_are_found_once(spark, cloud):
+    """What follows reads them written: no plan runs Leiden again for each place where they are read."""
+    _, points = cloud
+    graph = knn.neighbour_graph(knn.nearest(points, points, 4))
+    everywhere = points.select("point_id", F.lit(0).cast("long").alias("cluster_id"))
+    outer = communities.leiden_clusters(points, graph, least=0)
+    for labels in (outer, communities.hierarchical_leiden(points, graph), communities.vdbscan_leiden(points, everywhere, graph)):
+        assert "FlatMapGroupsInPandas" not in labels._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, communities.hierarchical_leiden(points, graph, least=0, first=outer).collect())) == sorted(map(tuple, communities.hierarchical_leiden(points, graph, least=0).collect()))
+    want = sorted(map(tuple, communities.leiden_dbscan(points, graph, least=4, radius=0.45).collect()))
+    assert sorted(map(tuple, communities.leiden_dbscan(points, graph, least=4, radius=0.45, first=outer).collect())) == want
