@@ -26,6 +26,9 @@ BLOCK, BLOCK_BYTES = 4096, 64 << 20
 DIRECT = 1 << 26
 #: Numbers that hold differences of vectors at once, pairs of a block that wait for their forest, and distances held at once.
 DIFFERENCES, WAITING, PRODUCTS = 1 << 23, 1 << 20, 1 << 21
+#: Nearest candidates are sought for ROWS queries at once, among FIRST candidates exactly and then WIDE at a time; where more than
+#: MANY pairs come into question, again in double precision. FAR: a square beyond all others.
+ROWS, FIRST, WIDE, MANY, FAR = 256, 512, 2048, 1 << 15, 1e30
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -153,7 +156,11 @@ def slices(n: int, m: int) -> Iterator[slice]:
 
 
 def k_best(k: int):
-    """For `pairs`: the k nearest candidates of each query."""
+    """For `pairs`: the k nearest candidates of each query.
+
+    Squared distances in single precision, of vectors moved to their middle and scaled to length 1, and the bound of their
+    error tell what may be nearer than the k nearest so far; distances of these few are computed from the vectors as they are.
+    """
 
     def fold(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> np.ndarray:
         order = np.lexsort((dst, dst != src, dist, src))
@@ -162,26 +169,60 @@ def k_best(k: int):
 
     @folding(fold)
     def use(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
-        squares, m = (x * x).sum(1), min(k, len(x))
-        for at in slices(len(q), len(x)):
-            part, own = q[at], q_ids[at]
-            rough = squares[None, :] - 2 * part @ x.T
-            edge = np.partition(rough, m - 1, axis=1)[:, m - 1]
-            row, col = np.nonzero((rough <= (edge + 1e-9 * (1 + np.abs(rough).max()))[:, None]) | (ids[None, :] == own[:, None]))
-            begins = np.searchsorted(row, np.arange(len(part) + 1))
-            a = 0
-            while a < len(part):  # all of some rows at once, 2^17 candidates or one row
-                e = max(a + 1, int(np.searchsorted(begins, begins[a] + (1 << 17), "right")) - 1)
-                r, c = row[begins[a] : begins[e]], col[begins[a] : begins[e]]
-                dist = np.sqrt(((x[c] - part[r]) ** 2).sum(1))
-                order = np.lexsort((ids[c], ids[c] != own[r], dist, r))
-                order = order[np.arange(len(r)) - (begins[:-1] - begins[a])[r] < k]
-                yield own[r[order]], ids[c[order]], dist[order]
-                a = e
+        middle = x.mean(0)
+        scale = np.sqrt(max(((y - middle) ** 2).sum(1).max() for z in (q, x) for y in np.array_split(z, -(-len(z) // WIDE)))) or 1.0
+        place = lambda y: (y - middle) / scale
+        slack = 4 * (x.shape[1] + 8) * 2.0**-24
+        single = None
+        if len(x) > FIRST:  # (vector, its square) in single precision, in multiples of eight, with points that nothing is near to
+            single = np.zeros((-(-len(x) // 8) * 8, x.shape[1] + 1), np.float32)
+            single[len(x) :, -1] = FAR
+            for i in range(0, len(x), WIDE):
+                y = place(x[i : i + WIDE])
+                single[i : i + len(y), :-1], single[i : i + len(y), -1] = y, (y * y).sum(1)
+        ends = [0, min(FIRST, len(x)), *range(FIRST + WIDE, len(x), WIDE), len(x)]
+        for i in range(0, len(q), ROWS):
+            part, own = q[i : i + ROWS], q_ids[i : i + ROWS]
+            asks = place(part)
+            squares = (asks * asks).sum(1)
+            twice = np.concatenate([-2 * asks, np.ones((len(part), 1))], 1, dtype=np.float32)
+            theta = np.full(len(part), np.inf)  # the k-th distance so far, squared
+            held, rows, folded = [], 0, 0
+            for c, e in zip(ends[:-1], ends[1:], strict=True):
+                if c == e:
+                    continue
+                row = None
+                if c:
+                    limit = np.nextafter(np.minimum(theta - squares + slack, FAR / 2).astype(np.float32), np.float32(FAR))
+                    row, col = _true(twice @ single[c : -(-e // 8) * 8].T <= limit[:, None])
+                if row is None or len(row) > MANY:
+                    y = place(x[c:e])
+                    rough = (y * y).sum(1)[None, :] - 2 * asks @ y.T
+                    edge = np.partition(rough, min(k, e - c) - 1, axis=1)[:, min(k, e - c) - 1]
+                    row, col = np.nonzero(rough <= (np.minimum(theta - squares, edge) + 1e-9)[:, None])
+                if len(row):
+                    held.append((own[row], ids[c + col], distances(part, x[c:e], row, col), row))
+                    rows += len(row)
+                if held and (e == len(x) or e >= 2 * folded or rows > MANY):
+                    src, dst, dist, row = (np.concatenate(h) for h in zip(*held, strict=True))
+                    order = np.lexsort((dst, dst != src, dist, row))
+                    nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                    full = order[nth == k - 1]
+                    theta[row[full]] = (dist[full] / scale) ** 2
+                    order = order[nth < k]
+                    held, rows, folded = [(src[order], dst[order], dist[order], row[order])], 0, e
+            yield from (h[:3] for h in held)
 
     return use
 
 
+def _true(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true values; rows are multiples of eight long."""
+    words = np.flatnonzero(found.view(np.uint64))
+    word, byte = np.nonzero(found.reshape(-1, 8)[words])
+    return np.divmod(8 * words[word] + byte, found.shape[1])
+
+
 def distances(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of the pairs (q[a], x[b]), in memory that does not grow with them."""
     step = max(1, DIFFERENCES // max(1, x.shape[1]))

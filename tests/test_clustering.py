@@ -477,3 +477,28 @@ def test_communities_are_found_once(spark, cloud):
     assert sorted(map(tuple, communities.hierarchical_leiden(points, graph, least=0, first=outer).collect())) == sorted(map(tuple, communities.hierarchical_leiden(points, graph, least=0).collect()))
     want = sorted(map(tuple, communities.leiden_dbscan(points, graph, least=4, radius=0.45).collect()))
     assert sorted(map(tuple, communities.leiden_dbscan(points, graph, least=4, radius=0.45, first=outer).collect())) == want
+
+
+def test_nearest_of_many_are_told_in_one_pass(monkeypatch):
+    """Only the first candidates are ordered; the others are met once by a bound, and the lists are those of all distances."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9001, 8))
+    few = np.round(x[:1500, :2])
+    copies = np.where(rng.random((1500, 1)) < 0.6, x[:1, :3], x[:1500, :3])
+    clusters = rng.integers(0, 4, (1500, 1)) * 1000.0 + 1e-3 * x[:1500, :3]
+    ordered = []
+    plain = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **named: ordered.append(a.size) or plain(a, *rest, **named))
+    for points in (x, few, copies, clusters, x[:1500] + 1e6, x[:1500] * 1e-30, x[np.argsort(-np.abs(x).sum(1))], np.ones((700, 3))):
+        ids, ask = rng.permutation(3 * len(points))[: len(points)], points[:60]
+        for k in (1, 5, 600):
+            ordered.clear()
+            src, dst, dist = (np.concatenate(c) for c in zip(*knn.k_best(k)(ids[:60], ask, ids, points), strict=True))
+            if points is x and k < 600:
+                assert sum(ordered) < 0.1 * 60 * len(points)
+            for i in range(60):
+                d = np.sqrt(((points - ask[i]) ** 2).sum(1))
+                want = np.lexsort((ids, ids != ids[i], d))[:k]
+                at = np.flatnonzero(src == ids[i])
+                at = at[np.lexsort((dst[at], dst[at] != ids[i], dist[at]))][:k]
+                assert (dst[at] == ids[want]).all() and (dist[at] == d[want]).all()
